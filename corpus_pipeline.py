@@ -1,4 +1,67 @@
-"""The corpus pipeline: five stages over ``documents``, each one of the training-data operators."""
+"""The corpus pipeline: five stages over ``documents``, each one of the training-data operators.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  The result of a
+stage is written as Parquet and read again as the next one's ``docs``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterlake.llm import decontamination, language_id, near_dups, pieces, secrets
+from meterlake.llm.common import materialize, table
+
+#: A document stays if this share of its n-grams belongs to the language found for it.
+LEAST_COVERAGE = 0.05
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter and those in none of the learned languages."""
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("coverage") >= LEAST_COVERAGE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates."""
+    return near_dups.deduplicate(docs).select(*docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold benchmark windows by the contract's rule."""
+    keyed = docs.withColumn("_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text"), F.crc32(F.col("text").cast("binary"))))
+    judged = decontamination.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
+    dirty = judged.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(dirty, "_key", "left_anti").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts; every document stays."""
+    return secrets.redact(docs, secrets.fit(docs)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add the SentencePiece ids of every text."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_passages),
+    ("secret_scan", secret_scan),
+    ("sentencepiece", encode),
+]
+
+#: Order MinHash, the trained network and the piece ids can't be said in SQL; tests hold the stages to brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs
