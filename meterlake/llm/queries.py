@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dups, pieces, secrets, sharding, token_counts
+from . import decontamination, language_id, lm, near_dups, pieces, secrets, sharding, token_counts
 from .common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op3_decontamination": op3_decontamination,
     "op4_secrets": op4_secrets,
     "op5_token_counts": op5_token_counts,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_sharding": op8_sharding,
     "pipeline": corpus_pipeline.run,
