@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm, near_dups, pieces, secrets, sharding, token_counts
+from . import ann, chat, decontamination, language_id, lm, near_dups, pieces, secrets, sharding, token_counts
 from .common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    tools = spark.createDataFrame(chat.TOOLS, chat.TOOL_SCHEMA)
+    return chat.format_chats(said, chat.derived_calls(said), chat.derived_results(said), tools)
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
@@ -62,6 +72,8 @@ QUERIES: dict[str, Query] = {
     "op6_lm_scoring": op6_lm_scoring,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_sharding": op8_sharding,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
     "pipeline": corpus_pipeline.run,
 }
 
