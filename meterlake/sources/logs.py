@@ -93,7 +93,7 @@ def parse_claude(files: DataFrame) -> DataFrame:
     ts = F.col("j.timestamp")
     bad = (
         F.col("v").isNull() | F.col("j._bad").isNotNull() | F.coalesce(_types(kind) != "STRING", F.lit(True)) | wrong
-        | F.coalesce(~ts.rlike(RFC3339) | F.try_to_timestamp(ts).isNull(), F.lit(False))
+        | (ts.isNotNull() & (~ts.rlike(RFC3339) | F.try_to_timestamp(ts).isNull()))
     )
     m = F.col("j.message")
     keep = (
