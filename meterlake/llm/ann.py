@@ -200,7 +200,7 @@ def _build_shard(most: float, degree: int, beam: int, alpha: float):
 def _search_shard(most: float, degree: int, beam: int, keep: int):
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(queries):
-            return pd.DataFrame({"qv": [], "found": []})
+            return pd.DataFrame({"qv": [], "found": []}, dtype=object)
         index = index.sort_values("node")
         v, ids = _matrix(index["v"]), list(index["ids"])
         x, graph = _lifted(v, most), np.stack([*index["out"], np.full(degree, -1)]).astype(np.int64)

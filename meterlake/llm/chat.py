@@ -71,11 +71,14 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def effective_turns(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, turn, after, ready) to (conv_id, call_id, eff, cycle) by pointer doubling."""
+    """(conv_id, call_id, turn, after, ready) to (conv_id, call_id, eff, cycle) by pointer doubling.
+
+    A call's row covers its ancestors up to ``anc``, ``dist`` steps up; ``best`` is the latest turn they allow.
+    """
     state = calls.select("conv_id", "call_id", "turn", "ready", F.col("after").alias("anc"))
-    parent = calls.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_id"), "ready", F.col("after").alias("p_after"))
+    parent = calls.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_id"), "ready")
     joined = state.drop("ready").join(parent, (F.col("conv_id") == F.col("p_conv")) & (F.col("anc") == F.col("p_id")), "left")
-    state = materialize(joined.select("conv_id", "call_id", "turn", F.col("p_after").alias("anc"), (F.col("ready") + 1).alias("best"), F.when(F.col("p_id").isNotNull(), 1).otherwise(0).cast("long").alias("dist")), "chains")
+    state = materialize(joined.select("conv_id", "call_id", "turn", F.col("p_id").alias("anc"), (F.col("ready") + 1).alias("best"), F.when(F.col("p_id").isNotNull(), 1).otherwise(0).cast("long").alias("dist")), "chains")
     for _ in range(MAX_ROUNDS):
         if state.filter("anc is not null").isEmpty():
             break
@@ -164,9 +167,14 @@ TOOLS = [
 TOOL_SCHEMA = "tool string, param string, type string, required boolean, low double, high double"
 
 
+def text_number() -> Column:
+    """A number from a text's first 24 hash bits."""
+    return F.conv(F.left(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.lit(6)), 16, 10).cast("long")
+
+
 def derived_calls(conversations: DataFrame) -> DataFrame:
     """A tool call for each assistant turn, made from its text: the table has prose only."""
-    h = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    h = text_number()
     conv, turn = F.col("conv_id").cast("string"), F.col("turn")
     query = F.regexp_replace(F.substring("text", 1, 20), r"[^A-Za-z ]", "")
     arguments = F.to_json(F.struct((h % 60).alias("limit"), F.when(h % 7 != 0, query).alias("query"), F.when(h % 11 == 0, F.lit("k")).alias("unit")))
@@ -180,8 +188,40 @@ def derived_calls(conversations: DataFrame) -> DataFrame:
 
 def derived_results(conversations: DataFrame) -> DataFrame:
     """A result for each later user turn, of the call one turn before or, for every fifth text, three before."""
-    h = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    h = text_number()
     back = F.when(h % 5 == 0, 3).otherwise(1)
     return conversations.filter("role = 'user' and turn >= 1").select(
         "conv_id", "turn", F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string")).alias("call_id"), F.col("text").alias("content")
     )
+
+
+#: The registered query in DuckDB SQL.
+ORACLE = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, CAST('0x' || substr(md5(coalesce(text, '')), 1, 6) AS BIGINT) AS h FROM conversations),
+a AS (
+  SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, ['search', 'lookup', 'sum', 'fly'][h % 4 + 1] AS name, h % 60 AS lim,
+    CASE WHEN h % 7 <> 0 THEN regexp_replace(substr(text, 1, 20), '[^A-Za-z ]', '', 'g') END AS q, h % 11 = 0 AS unit,
+    CASE WHEN h % 3 = 0 AND turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS after
+  FROM c WHERE role = 'assistant'),
+r AS (SELECT conv_id, turn, 'c' || conv_id || '-' || (turn - CASE WHEN h % 5 = 0 THEN 3 ELSE 1 END) AS call_id, text AS content FROM c WHERE role = 'user' AND turn >= 1),
+ans AS (SELECT call_id, min(turn) AS answer FROM r GROUP BY call_id),
+l AS (SELECT a.*, ans.answer, greatest(a.turn, coalesce(ans.answer, a.turn)) AS ready FROM a LEFT JOIN ans USING (call_id)),
+up AS (SELECT l.call_id, p.call_id AS anc, p.after AS nxt, p.ready + 1 AS best, 1 AS dist FROM l JOIN l p ON p.call_id = l.after
+  UNION ALL SELECT up.call_id, p.call_id, p.after, p.ready + up.dist + 1, up.dist + 1 FROM up JOIN l p ON p.call_id = up.nxt),
+eff AS (SELECT l.call_id, greatest(l.turn, coalesce(max(up.best), l.turn)) AS eff FROM l LEFT JOIN up USING (call_id) GROUP BY l.call_id, l.turn),
+ev AS (
+  SELECT conv_id, turn, turn AS eff, 0 AS kind_no, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, false AS linked, '' AS problems,
+    '{' || CASE WHEN text IS NOT NULL THEN '"content":' || to_json(text)::VARCHAR || ',' ELSE '' END || '"role":' || to_json(role)::VARCHAR || ',"type":"message"}' AS json FROM c
+  UNION ALL
+  SELECT l.conv_id, l.turn, eff.eff, 1, 'call', l.call_id, answer IS NOT NULL, concat_ws(',',
+      CASE WHEN name = 'fly' THEN 'tool:fly' WHEN name = 'search' AND lim > 50 OR name = 'sum' AND lim > 30 THEN 'range:limit' END,
+      CASE WHEN name IN ('search', 'lookup') AND q IS NULL THEN 'missing:query' END, CASE WHEN name = 'sum' AND q IS NOT NULL THEN 'unknown:query' END,
+      CASE WHEN name IN ('search', 'lookup') AND unit THEN 'unknown:unit' END, CASE WHEN after IS NOT NULL AND after NOT IN (SELECT call_id FROM a) THEN 'after' END),
+    '{' || CASE WHEN after IS NOT NULL THEN '"after":"' || after || '",' ELSE '' END || '"arguments":' ||
+      to_json('{"limit":' || lim || CASE WHEN q IS NOT NULL THEN ',"query":' || to_json(q)::VARCHAR ELSE '' END || CASE WHEN unit THEN ',"unit":"k"' ELSE '' END || '}')::VARCHAR ||
+      ',"id":"' || l.call_id || '","name":"' || name || '","type":"call"}' FROM l JOIN eff USING (call_id)
+  UNION ALL
+  SELECT r.conv_id, r.turn, greatest(r.turn, coalesce(eff.eff, r.turn)), 2, 'result', r.call_id, eff.call_id IS NOT NULL, CASE WHEN eff.call_id IS NOT NULL AND r.turn > answer THEN 'repeated' ELSE '' END,
+    '{"call":"' || r.call_id || '",' || CASE WHEN content IS NOT NULL THEN '"content":' || to_json(content)::VARCHAR || ',' ELSE '' END || '"type":"result"}' FROM r LEFT JOIN eff USING (call_id) LEFT JOIN ans USING (call_id))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY eff, kind_no, turn, call_id, json) AS position, kind, turn, call_id, linked, problems, json FROM ev
+"""

@@ -79,4 +79,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontamination.ORACLE,
+    "op9_chat_formatting": chat.ORACLE,
 }
