@@ -40,9 +40,12 @@ def price_join(rows: DataFrame, prices: DataFrame, how: str = "left") -> DataFra
 
 
 def component_costs(components: DataFrame, prices: DataFrame) -> DataFrame:
-    """Per component: how many prices match, and its exact cost where exactly one does."""
+    """Per component: how many prices match, and its exact cost where exactly one does.
+
+    Dealt by request once: the sums per component, those per request and the join with usage all use that layout.
+    """
     key = [*USAGE_KEY, "component_ordinal"]
-    matched = price_join(components, prices)
+    matched = price_join(components, prices).repartition(*USAGE_KEY)
     n = F.count("rate")
     return matched.groupBy(*key).agg(n.alias("price_matches"), F.when(n == 1, F.sum(cost_of("tokens", "rate"))).alias("exact"))
 

@@ -29,6 +29,14 @@ SOURCES = [
 TODAY = dt.date(2024, 2, 1)
 
 
+def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as literals, so that the optimizer knows its size."""
+    names = [c.split() for c in schema.split(", ")]
+    say = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else "'" + str(x).replace("'", "\\'") + "'"
+    values = ", ".join("(" + ", ".join(map(say, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {t}) AS {n}' for n, t in names)} FROM VALUES {values} AS t({', '.join(n for n, _ in names)})")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -76,7 +84,7 @@ def usage_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RATES, RATE_SCHEMA).coalesce(1)
+    return inline(spark, RATES, RATE_SCHEMA)
 
 
 def prices(spark: SparkSession) -> DataFrame:
@@ -107,7 +115,7 @@ def defective_prices(spark: SparkSession) -> DataFrame:
 
 
 def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SOURCES, "source string, source_url string, source_retrieved_at string, catalog_version string, source_kind string, notes string").coalesce(1)
+    return inline(spark, SOURCES, "source string, source_url string, source_retrieved_at string, catalog_version string, source_kind string, notes string")
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
