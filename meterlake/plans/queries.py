@@ -236,15 +236,15 @@ def _(t):
     return pricing.with_usd(t.rows.select(*USAGE_KEY, "total_tokens", "exact"))
 
 
-@query("J2_price_join", O.priced(f"SELECT c.provider, c.request_id, c.component_ordinal, c.tokens, p.rate, p.source AS price_source FROM components c LEFT JOIN prices p ON {O.MATCH} AND p.currency = 'USD' AND {O.IN_FORCE}"))
+@query("J2_price_join", O.priced(f"SELECT c.provider, c.request_id, c.component_ordinal, c.tokens, CAST(p.rate AS DOUBLE) AS rate, p.source AS price_source FROM components c LEFT JOIN prices p ON {O.MATCH} AND p.currency = 'USD' AND {O.IN_FORCE}"))
 def _(t):
-    return pricing.price_join(t.components, t.prices).select(*USAGE_KEY, "component_ordinal", "tokens", "rate", "price_source")
+    return pricing.price_join(t.components, t.prices).select(*USAGE_KEY, F.col("component_ordinal").cast("long").alias("component_ordinal"), "tokens", F.col("rate").cast("double").alias("rate"), "price_source")
 
 
-@query("J3_price_lookup", O.defective(f"""SELECT c.*, count(p.rate) AS price_matches, CASE WHEN count(p.rate) = 1 THEN max(p.rate) END AS rate, CASE WHEN count(p.rate) = 0 THEN 'missing' WHEN count(p.rate) > 1 THEN 'overlapping' ELSE 'found' END AS result
+@query("J3_price_lookup", O.defective(f"""SELECT c.* REPLACE ({O.said('c."timestamp"')} AS "timestamp"), count(p.rate) AS price_matches, CASE WHEN count(p.rate) = 1 THEN CAST(max(p.rate) AS DOUBLE) END AS rate, CASE WHEN count(p.rate) = 0 THEN 'missing' WHEN count(p.rate) > 1 THEN 'overlapping' ELSE 'found' END AS result
 FROM (SELECT DISTINCT {O.KEY}, date_trunc('day', "timestamp") AS "timestamp" FROM components) c LEFT JOIN prices p ON {O.MATCH} AND p.currency = 'USD' AND {O.IN_FORCE} GROUP BY ALL"""), defects=True)
 def _(t):
-    return pricing.lookup(t.components.select(*PRICE_KEY, F.date_trunc("day", "timestamp").alias("timestamp")).distinct(), t.prices).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return pricing.lookup(t.components.select(*PRICE_KEY, F.date_trunc("day", "timestamp").alias("timestamp")).distinct(), t.prices).withColumns({"timestamp": audit.text_of(F.col("timestamp")), "rate": F.col("rate").cast("double")})
 
 
 @query("J4_observed_coverage", O.defective(f"""SELECT provider, model_id, token_category, problem, count(*) AS n FROM (SELECT c.*, CASE WHEN count(p.rate) = 0 THEN 'missing' ELSE 'overlap' END AS problem
@@ -666,7 +666,7 @@ def _(t):
     return catalog.source_violations(rows).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C10_rate_expansion", """SELECT provider, model_id, token_category, region, source_detail, processing_mode, CAST(rate * CASE WHEN region = 'us' THEN 1.1 ELSE 1 END AS DECIMAL(18,6)) AS rate FROM (
+@query("C10_rate_expansion", """SELECT provider, model_id, token_category, region, source_detail, processing_mode, CAST(CAST(rate * CASE WHEN region = 'us' THEN 1.1 ELSE 1 END AS DECIMAL(18,6)) AS DOUBLE) AS rate FROM (
 SELECT *, unnest(CASE WHEN provider = 'claude-code' AND p_size % 2 = 0 THEN [NULL, 'us'] ELSE [NULL] END) AS region FROM (SELECT provider, model_id, p_size, CASE WHEN provider = 'codex' THEN 'standard' END AS processing_mode, u.c AS token_category, u.d AS source_detail, CAST(u.r AS DECIMAL(18,6)) AS rate FROM (
 SELECT *, unnest(CASE WHEN provider = 'codex' THEN [{'c': 'input', 'd': NULL, 'r': r}, {'c': 'output', 'd': NULL, 'r': r * 5}, {'c': 'cached_input', 'd': NULL, 'r': r * 0.1}, {'c': 'reasoning_output', 'd': NULL, 'r': r * 5}] ELSE [{'c': 'input', 'd': NULL, 'r': r}, {'c': 'output', 'd': NULL, 'r': r * 5},
 {'c': 'cache_read', 'd': NULL, 'r': r * 0.1}, {'c': 'cache_creation', 'd': NULL, 'r': r * 1.25}, {'c': 'cache_creation', 'd': 'ephemeral_5m', 'r': r * 1.25}, {'c': 'cache_creation', 'd': 'ephemeral_1h', 'r': r * 2}] END) AS u
@@ -677,7 +677,7 @@ def _(t):
         F.when(F.col("p_partkey") % 2 == 0, "codex").otherwise("claude-code").alias("provider"), F.concat(F.lit("part-"), "p_partkey").alias("model_id"), text(r).alias("input"), text(r * F.lit("1.25").cast("decimal(3,2)")).alias("cache_5m"), text(r * 2).alias("cache_1h"),
         text(r * F.lit("0.1").cast("decimal(2,1)")).alias("cache_read"), text(r * 5).alias("output"), (F.col("p_size") % 2 == 0).alias("regional"),
     )
-    return catalog.expand_rates(wide, bridge.START, "x").select("provider", "model_id", "token_category", "region", "source_detail", "processing_mode", F.col("rate_per_1m_tokens").alias("rate"))
+    return catalog.expand_rates(wide, bridge.START, "x").select("provider", "model_id", "token_category", "region", "source_detail", "processing_mode", F.col("rate_per_1m_tokens").cast("double").alias("rate"))
 
 
 @query("C11_raw_price_audit", """SELECT problem, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN l_orderkey % 11 = 0 THEN 'blank model_id' END, CASE WHEN l_orderkey % 13 = 0 THEN 'rate is no number' END, CASE WHEN l_orderkey % 13 <> 0 AND l_orderkey % 7 = 0 THEN 'rate is negative' END,
