@@ -12,7 +12,8 @@ aligned shingles over all (aligned once).  Groups are the connected components o
 What keeps it whole under skew: exact copies are one node, so a group of copies costs one signature.  A
 bucket's members are first compared with its least member only; once components are known, members of
 buckets that still hold several components are compared across components, so no candidate pair of
-different texts in different components is left out, while pairs inside a component are never made.
+different texts in different components is left out, while pairs inside a component are never made.  A bitmap of
+a text's shingles bounds what two texts can share, and pairs that can't reach the threshold end in the join.
 
 Defined results: a document's class id is the least doc_id in its group; null texts form no groups; texts
 without words, the empty one included, group with exact copies only; a text of under five words is
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, slices
@@ -33,6 +34,8 @@ from .hashing import K1, K2, mix, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 PICK, ROWS, BANDS = 2, 3, 32
+#: Places of the bitmap that bounds what two texts share.
+MARKS = 2048
 BLOCK = 8192
 
 
@@ -140,13 +143,38 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return same / (na + nb - same)
 
 
+def occupancy(s: np.ndarray) -> np.ndarray:
+    """Which of ``MARKS`` places the shingles fall on, as 64-bit words."""
+    out = np.zeros(MARKS // 64, np.uint64)
+    place = mix(s * K2) & np.uint64(MARKS - 1)
+    np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
+def within_reach(a: str, b: str, threshold: float) -> Column:
+    """False only where two texts can't reach the threshold.
+
+    Each place that one text's shingles fall on and the other's don't stands for at least one shingle that the
+    other lacks, so it bounds what they share from above, whatever the order.
+    """
+    def lacking(x: str, y: str) -> Column:
+        gone = F.zip_with(f"{x}.marks", f"{y}.marks", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(gone, F.lit(0), lambda t, v: t + v)
+
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    lengths = F.least(na, nb) >= threshold * F.greatest(na, nb)
+    need = threshold / (1 + threshold) * (na + nb) - 1e-6
+    return F.when(lengths, F.when(na - lacking(a, b) >= need, nb - lacking(b, a) >= need)).otherwise(False)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 2, 1 << 20):
         sets = shingle_sets([t or b"" for t in b.column(2).to_pylist()])
         sig = [bands(s).view(np.int64) for s in sets]
         sizes = np.cumsum([0, *map(len, sig)])
         lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(sig)))
-        yield pa.record_batch([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), lists], ["id", "node", "n", "bands"])
+        marks = pa.array([occupancy(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+        yield pa.record_batch([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), lists, marks], ["id", "node", "n", "bands", "marks"])
 
 
 def _verify(threshold: float):
@@ -192,34 +220,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node = F.unhex(F.substring(F.sha2(F.col(text_col).cast("binary"), 256), 1, 32))
     rows = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    signed = materialize(map_arrow(rows, _signatures, f"id {kind}, node binary, n long, bands array<long>"), "signatures")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    nodes = materialize(nodes, "nodes")
-    member = nodes.select("node", "n", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "node", "n")
-    buckets = member.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    signed = materialize(map_arrow(rows, _signatures, f"id {kind}, node binary, n long, bands array<long>, marks array<long>"), "signatures")
+    first = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.any_value(F.struct("n", "bands", "marks")).alias("s"))
+    nodes = materialize(first.select("node", "id", "s.*"), "nodes")
+    facts = nodes.select("node", "n", "marks")
+    member = nodes.select("node", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "node", "pos")
+    buckets = member.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     # members of buckets with company; everything later works on these
-    member = materialize(member.join(buckets, "bucket").select("bucket", "node", "n", "pivot"), "members")
-    alike = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
-    pairs = materialize(
-        member.filter((F.col("node") != F.col("pivot.node")) & alike(F.col("n"), F.col("pivot.n")))
-        .select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct(),
-        "pairs",
-    )
+    member = materialize(member.join(buckets, "bucket").select("bucket", "node", "pos", "pivot"), "members")
+
+    def reachable(pairs: DataFrame) -> DataFrame:
+        """Distinct (a, b) without those whose bitmaps already rule them out."""
+        one, two = facts.select(F.struct("node", "n", "marks").alias("x"), F.col("node").alias("a")), facts.select(F.struct("node", "n", "marks").alias("y"), F.col("node").alias("b"))
+        return pairs.join(one, "a").join(two, "b").filter(within_reach("x", "y", threshold)).select("a", "b")
+
+    pairs = materialize(reachable(member.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
     wanted = member.select("node").distinct().join(nodes.select("node", "id"), "node")
     texts = materialize(rows.join(wanted, ["node", "id"], "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
     links = _links(pairs, texts, threshold)
     labels = components(links)
     # what is left: bucket members in different components
-    of = member.select("bucket", "node", "n").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = member.select("bucket", "node", "pos").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of = materialize(of, "rooted")
     sizes = of.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("bucket", F.col("m.root").alias("main"))
-    mixed = of.join(most, "bucket")
-    few = mixed.filter("root != main").select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    mixed = of.join(most, "bucket").join(nodes.select("node", F.struct("node", "n", "marks", "bands").alias("y")), "node").select("bucket", "pos", "root", "main", "y")
+    few = mixed.filter("root != main").select("bucket", F.col("root").alias("rx"), F.col("y").alias("x"))
+    # a pair counts in the first bucket it shares only
+    shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
     across = (
-        few.join(mixed.select("bucket", "node", "n", "root"), "bucket")
-        .filter((F.col("rx") != F.col("root")) & alike(F.col("nx"), F.col("n")))
-        .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        few.join(mixed.select("bucket", "pos", "root", "y"), "bucket")
+        .filter((F.col("rx") != F.col("root")) & (shared == F.col("pos") + 1) & within_reach("x", "y", threshold))
+        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     )
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = materialize(across.join(known, ["a", "b"], "left_anti"), "across")
