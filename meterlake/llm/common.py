@@ -66,6 +66,8 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     sc.addPyFile(str(path))
+    # texts are long: fewer rows a batch bound the memory on both sides of the pipe
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     _shipped.add(sc.applicationId)
 
 
@@ -80,7 +82,7 @@ def map_arrow(
 
 
 def slices(
-    batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = 4 << 20
+    batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = 1 << 20
 ) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a string or binary column holds about ``max_bytes`` per slice."""
     for batch in batches:
