@@ -35,7 +35,9 @@ from pyspark.sql import types as T
 from .common import map_arrow, materialize, slices
 
 CHUNK_CHARS = 32_768
-CACHE = 1_000_000
+#: Entries of each of a worker's caches; the older half of the words goes first.
+CACHE = 150_000
+LONG_UNIT = 64
 MARK = "▁"
 NEVER = -np.inf
 
@@ -65,6 +67,8 @@ class Pieces:
             self.raw[i] = b""
         self.after: dict[tuple[str, str], bool] = {}
         self.words: dict[str, array] = {}
+        self.older: dict[str, array] = {}
+        self.last: dict[str, str] = {}
         self.units = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+").findall
 
     def merged(self, text: str) -> list[str]:
@@ -86,7 +90,7 @@ class Pieces:
         key = (left, right)
         ok = self.after.get(key)
         if ok is None:
-            if len(self.after) > 2 * CACHE:
+            if len(self.after) > 3 * CACHE:
                 self.after.clear()
             unknown = (left and left not in self.rank) or right not in self.rank
             ok = self.after[key] = True if unknown and len(right) == 1 else self.merged(left + right) == ([left, right] if left else [right])
@@ -134,20 +138,48 @@ class Pieces:
                 out.extend(self.bytes[b] for b in p.encode("utf-8", "surrogatepass"))
         return out
 
+    def path(self, unit: str) -> list[str]:
+        """The path of a word.  Words share beginnings, and a beginning's best path never changes: its last piece is kept."""
+        if len(unit) > LONG_UNIT:
+            return self.trace(self.forward(unit, 0, "", len(unit)), 0, len(unit))
+        last, rank, after, longest = self.last, self.rank, self.after, self.longest
+        if len(last) > 3 * CACHE:
+            last.clear()
+        known = len(unit)
+        while known and unit[:known] not in last:
+            known -= 1
+        for j in range(known + 1, len(unit) + 1):
+            for i in range(j - 1, max(-1, j - 1 - longest), -1):
+                piece = unit[i:j]
+                if piece in rank or i == j - 1:
+                    left = last.get(unit[:i], "") if i else ""
+                    if i and not left:
+                        continue
+                    ok = after.get((left, piece))
+                    if self.fit(left, piece) if ok is None else ok:
+                        last[unit[:j]] = piece
+                        break
+        out = []
+        while unit:
+            out.append(last[unit])
+            unit = unit[: -len(out[-1])]
+        return out[::-1]
+
     def word(self, unit: str) -> array:
-        found = self.words.get(unit)
+        found = self.older.get(unit)
         if found is None:
-            if len(self.words) > CACHE:
-                self.words.clear()
-            found = self.words[unit] = self.number(self.trace(self.forward(unit, 0, "", len(unit)), 0, len(unit)))
+            found = self.number(self.path(unit))
+        if len(self.words) >= CACHE:
+            self.older, self.words = self.words, {}
+        self.words[unit] = found
         return found
 
     def encode(self, text: str) -> array:
         out = array("i")
         if text:
-            get, word = self.words.get, self.word
+            word = self.word
             for unit in self.units(MARK + text.replace(" ", MARK)):
-                out += get(unit) or word(unit)
+                out += self.words.get(unit) or word(unit)
         return out
 
     def decode(self, ids) -> str:
