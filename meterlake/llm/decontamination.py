@@ -97,7 +97,8 @@ def _candidates(bloom_bc, size: int):
             lo = np.maximum(at - (size - 1), first[doc])
             hi = np.minimum(at + size, first[doc + 1])
             context = [data[x:y] for x, y in zip(starts[lo].tolist(), ends[hi - 1].tolist(), strict=True)]
-            context = [" ".join(c.decode().split()) if b"  " in c else c.decode() for c in context]
+            # bytes split at ASCII blanks only; str would also split at U+00A0 and the like, which are word characters
+            context = [(b" ".join(c.split()) if b"  " in c else c).decode() for c in context]
             rows = np.concatenate((doc, empty))
             none = [None] * len(empty)
             take = pa.array(rows)

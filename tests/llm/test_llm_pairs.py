@@ -141,6 +141,17 @@ def test_decontamination_matches_brute_force(spark, docs):
     assert decontamination.decontaminate(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("odd", ["\u00a0", "\u3000", "\u0085", "\u2003", "\u2028"])
+def test_decontamination_keeps_unicode_spaces_inside_words(spark, odd):
+    passage = " ".join(f"w{i}" for i in range(13))
+    items = [(1, passage), (2, f"le prix{odd}net, est de dix euros; la somme due reste fixe cette fois"), (3, "a b c d")]
+    rows = [(1, f"foo{odd}bar, {odd}. x, {passage}. end"), (2, items[1][1]), (3, f"z, a{odd}b, c d"), (4, f"z, {odd}, a b, c. d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontamination.decontaminate(df, bench).collect()}
+    assert got == slow_contamination(rows, items) and [got[i][4] for i in (1, 2, 3, 4)] == [True, True, False, True]
+
+
 def test_nearest_neighbours_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1500, 16)).astype(np.float32)
