@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import bucket, clamp, group_label, local, log_intensity, project_label, report_day, usd
 from ..schemas import PRICE_KEY, TOKEN_COLUMNS, USAGE_KEY
@@ -175,3 +176,10 @@ def price_overview(prices: DataFrame) -> DataFrame:
 def tail(report: DataFrame, n: int, order: str = "period") -> DataFrame:
     """The last ``n`` rows in order, after gaps are filled: a top-n per task, then one of those."""
     return report.orderBy(F.desc(order)).limit(n).orderBy(order)
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with their ``place`` in order from 1: ranges are sorted and counted apart, so that no task has all rows."""
+    kinds = T.StructType([*rows.schema.fields, T.StructField("place", T.LongType(), False)])
+    placed = rows.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    return rows.sparkSession.createDataFrame(placed, kinds)

@@ -419,6 +419,13 @@ UNION SELECT DISTINCT {O.bucket('hourly', _z)} FROM few) LEFT JOIN (SELECT {O.bu
         return reports.rollup(t.rows.filter("session_id = 'sess-7'"), "hourly", z)
 
 
+for _z, _n in ((LA, "la"), (KOLKATA, "kolkata")):
+    @query(f"G2_local_hourly_{_n}_all", O.priced(f"""SELECT period, {O.ZEROS} FROM (SELECT DISTINCT {O.bucket('hourly', _z)} AS period FROM (SELECT unnest(generate_series(time_bucket(INTERVAL 15 MINUTES, min("timestamp")), max("timestamp"), INTERVAL 15 MINUTES)) AS "timestamp" FROM rows)
+UNION SELECT DISTINCT {O.bucket('hourly', _z)} FROM rows) LEFT JOIN (SELECT {O.bucket('hourly', _z)} AS period, {O.MEASURES} FROM rows GROUP BY 1) USING (period)"""))
+    def _(t, z=_z):
+        return reports.rollup(t.rows, "hourly", z)
+
+
 @query("G3_last_7_days", O.priced(f"SELECT * FROM ({_filled('daily')}) ORDER BY period DESC LIMIT 7"))
 def _(t):
     return reports.rollup(t.rows, "daily", last=7)
@@ -523,6 +530,11 @@ def _(t):
     return pricing.with_usd(pricing.request_costs(t.usage.filter(own), t.components.filter(own), t.prices)).select(*USAGE_KEY, "cost_usd")
 
 
+@query("A22_record_cost_all", O.priced("SELECT provider, request_id, CAST(round(exact, 0) AS DOUBLE) / 1e6 AS cost_usd FROM costs"))
+def _(t):
+    return pricing.with_usd(pricing.request_costs(t.usage, t.components, t.prices)).select(*USAGE_KEY, "cost_usd")
+
+
 @query("G5_calendar_grid", O.base(O.USAGE) + """, days AS (SELECT unnest(generate_series(DATE '2023-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS day),
 cells AS (SELECT days.day, coalesce(v, 0) AS value FROM days LEFT JOIN (SELECT date_trunc('day', "timestamp") AS day, CAST(sum(total_tokens) AS BIGINT) AS v FROM usage GROUP BY 1) u ON u.day = days.day)
 SELECT strftime(day, '%Y-%m-%d') AS day, CAST(dayofweek(day) AS INTEGER) AS weekday, CAST(floor(date_diff('day', TIMESTAMP '2023-01-01', day) / 7) AS INTEGER) AS week, value,
@@ -540,6 +552,12 @@ def _(t):
     return keys.withColumn("place", F.row_number().over(Window.orderBy("provider", "model_id", "token_category", F.col("region").asc_nulls_first())).cast("long"))
 
 
+@query("G6_ordered_findings_all", O.base(O.QUOTES) + f" SELECT row_number() OVER (ORDER BY provider, model_id, token_category, region NULLS FIRST) AS place, provider, model_id, token_category, region FROM (SELECT DISTINCT {O.KEY} FROM prices) ORDER BY place")
+def _(t):
+    shown = ["provider", "model_id", "token_category", "region"]
+    return reports.numbered(t.quotes.select(*PRICE_KEY).distinct().select(*shown), [F.col(c).asc_nulls_first() for c in shown])
+
+
 @query("S19_csv_rows", O.priced(f"SELECT provider, model_id, total_tokens, CAST(CAST(cost_usd AS DECIMAL(38,6)) AS VARCHAR) AS cost_usd FROM (SELECT provider, model_id, {O.MEASURES} FROM rows GROUP BY 1, 2)"))
 def _(t):
     report = reports.by_group(t.rows, "model").withColumn("project", F.lit(None).cast("string"))
