@@ -220,6 +220,13 @@ def test_lm_base_and_probability(docs, odd):
     assert lm.score(empty(docs)).count() == 0
 
 
+def test_lm_bits_per_byte(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "  \n "), (4, "Ab cd  é"), (4, "Ab cd  é"), (None, "no id")], "doc_id long, text string")
+    told = Counter((r["doc_id"], len(lm.closed([*(r["text"] or "").encode().lower().split(), lm.END])[0])) for r in df.collect())
+    got = lm.score(df, head=2).collect()
+    assert Counter((r["doc_id"], round(-r["score"] / math.log10(2) / r["bits_per_byte"])) for r in got) == told
+
+
 def test_lm_tokens_are_a_distribution(docs):
     mixer = lm.fit(lm.token_counts(docs, "text", F.lit(True)))
     # all continuations of a token by one byte: what is left for the closing blank and longer tokens can't exceed one
