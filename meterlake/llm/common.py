@@ -30,10 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; one of our own only where the session names none."""
+    """The folder that every executor sees: spark.checkpoint.dir, else one in the warehouse.
+
+    Where driver and executors are one process and no folder is set, as in tests, a temporary one will do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        if spark.sparkContext.master.startswith("local["):
+            found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        else:
+            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -43,7 +48,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing is read from them any more."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t._written_at
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that none of the ``taken`` ones equals in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def crc_fold(doc_id: Column | str, folds: int) -> Column:

@@ -31,6 +31,50 @@ def powers(n: int) -> np.ndarray:
 BLOCK = 1 << 20
 
 
+def run_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run ``a[start:end]``, a block of whole runs at a time."""
+    h = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, side="right")))
+        h[at:to] = _block_hashes(a, starts[at:to], ends[at:to])
+        at = to
+    return h
+
+
+class Lookup:
+    """A fixed map from 64-bit keys to integers, looked up for whole arrays; ``missing`` where a key is not held."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 8))))
+        self.key, self.value = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, missing, np.int64)
+        self.used = np.zeros(1 << self.bits, bool)
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            # of those that want one free slot the first gets it, the others look at the next slot
+            _, first = np.unique(slot[left], return_index=True)
+            got = left[first][~self.used[slot[left[first]]]]
+            self.key[slot[got]], self.value[slot[got]], self.used[slot[got]] = keys[got], values[got], True
+            left = np.setdiff1d(left, got, assume_unique=True)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * K3) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = self.value[slot]
+        # a free slot holds the missing value, so a lookup that ends there is done
+        left = np.flatnonzero((self.key[slot] != keys) & self.used[slot])
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            at = slot[left]
+            out[left] = self.value[at]
+            left = left[(self.key[at] != keys[left]) & self.used[at]]
+        return out
+
+
 def _block_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sizes = ends - starts
     offsets = np.cumsum(sizes) - sizes
@@ -48,13 +92,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-    h = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, side="right")))
-        h[at:to] = _block_hashes(a, starts[at:to], ends[at:to])
-        at = to
-    return h, starts, ends, first, data
+    return run_hashes(a, starts, ends), starts, ends, first, data
 
 
 def pair_hashes(h: np.ndarray) -> np.ndarray:

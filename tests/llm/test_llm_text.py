@@ -98,8 +98,29 @@ def test_pieces_of_random_text_in_chunks():
             around = pieces._around(text[start : k * chunk + chunk + m.longest + 1], k, chunk, m.longest, len(text), start)
             cuts.append(around)
             found.append(m.transfer(*around, (k + 1) * chunk >= len(text)))
-        ids = [i for around, (a, z) in zip(cuts, pieces.scan(found), strict=True) for i in m.between(*around, a, z)]
-        assert ids == sp.encode(text) == list(m.encode(text)), case
+        ids, at, covers = m.between([(*around, a, z) for around, (a, z) in zip(cuts, pieces.scan(found), strict=True)])
+        assert ids.tolist() == sp.encode(text) == list(m.encode(text)), case
+        assert at[-1] == len(ids) and all(a <= z for a, z in covers)
+
+
+def test_pieces_of_giant_texts_meet_in_levels(spark):
+    import sentencepiece
+
+    sp, rng = sentencepiece.SentencePieceProcessor(model_file=SP), random.Random(6)
+    parts = ["a", "b", "the", "  ", " ", "\n", "é", "日本", "ing", "!!", "▁", "🙂", "aaa", "0", "x" * 90]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (0, 5, 400, 900)] + ["a" * 700, "x y " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.col("doc_id") + 1 for c in ("_uid", "_own", "k", "ids", "same")})
+    rows = pieces.encode(df, SP, chunk_chars=30, fan=3).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["piece_ids"] == sp.encode(r["text"]) and r["round_trip"] == (sp.decode(r["piece_ids"]) == r["text"]) and r["_uid"] == r["_own"] == r["k"] == r["doc_id"] + 1
+
+
+def test_neighbouring_pieces_are_judged_as_by_merging():
+    m, rng = pieces.model(SP), np.random.default_rng(5)
+    ids = rng.choice(np.array(list(m.ids.values())), (2, 4000))
+    want = [m.merged(m.names[a] + m.names[b]) == [m.names[a], m.names[b]] for a, b in ids.T.tolist()]
+    assert m.fits(*ids).tolist() == want == m._fits(*ids).tolist()
 
 
 @pytest.mark.parametrize(("chunk", "overlap"), [(32_768, 512), (300, 80)])
