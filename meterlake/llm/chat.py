@@ -8,18 +8,22 @@ by (effective turn, message before call before result, turn, id) with counts per
 that a huge conversation is never sorted in one task.
 
 Arguments are checked against a table of tool parameters: unknown tool, missing or unknown argument, wrong
-type, out of range.  JSON is canonical: keys in order, no blanks, no null fields.
+type, out of range.  JSON is canonical: keys in order, no blanks, no null fields, and so is the text of a call's
+arguments, which is parsed and written again.
+
+A missing key never meets others: rows without one take a join key of their own, so no task gets them all.
 
 Defined results: rows without conversation or turn keep their JSON but have no position and link to
 nothing; a result whose call does not exist is not linked; the earliest of several results answers a call, the
 others are marked ``repeated``; calls with one id are merged into the earliest and marked ``repeated``; a
-chain that loops is marked ``cycle`` and ordered by turn; an unreadable argument text is marked ``json``;
-ties keep every row; empty tables give empty results; extra columns of the inputs are ignored.
+chain that loops is marked ``cycle`` and ordered by turn; an unreadable argument text, one that is no object and one
+with a repeated name are marked ``json`` and kept as they are; a call without conversation, turn or id stays, unlinked
+and marked ``key``; ties keep every row; empty tables give empty results; extra columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,29 +38,39 @@ def canonical(**fields: Column) -> Column:
     return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))
 
 
-def argument_types(arguments: Column) -> Column:
-    """Map of top-level argument name to type name; null where the text is no JSON object."""
-    shape = F.schema_of_variant(F.try_parse_json(arguments))
-    inner = F.regexp_extract(shape, r"^OBJECT<(.*)>$", 1)
-    for _ in range(3):
-        inner = F.regexp_replace(inner, r"<[^<>]*>", "")
-    pairs = F.filter(F.split(inner, ", "), lambda p: p != "")
-    found = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring_index(p, ": ", 1), F.substring_index(p, ": ", -1))))
-    return F.when(shape.startswith("OBJECT<"), found)
+def parsed(arguments: Column) -> Column:
+    """The arguments as a variant; null where the text is no JSON object."""
+    v = F.try_parse_json(arguments)
+    return F.when(F.schema_of_variant(v).startswith("OBJECT<"), v)
+
+
+def type_name(value: Column) -> Column:
+    """The type of a variant without its parameters: OBJECT, ARRAY, DECIMAL, BIGINT, ..."""
+    return F.coalesce(F.regexp_replace(F.schema_of_variant(value), r"[<(].*$", ""), F.lit("VOID"))
+
+
+def same_key(conv: Column | str, own: Column | str, other_conv: str, other: str, spread: str) -> Column:
+    """Equality of (conversation, id) as join keys.  Where either is missing, a hash of ``spread`` takes their place as a
+    third key, which nothing on the other side equals."""
+    conv, own = (F.col(c) if isinstance(c, str) else c for c in (conv, own))
+    apart = F.when(conv.isNull() | own.isNull(), F.pmod(F.xxhash64(spread), F.lit(65_536)) + 1).otherwise(0)
+    return (conv == F.col(other_conv)) & (own == F.col(other)) & (apart == F.when(F.col(other).isNotNull(), 0))
 
 
 def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """``calls`` with ``problems``: what is wrong with each one's arguments, in the schema's order."""
     params = schemas.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("param", "type", "required", "low", "high"))).alias("params"))
-    have, values = argument_types(F.col("arguments")), F.from_json("arguments", "map<string,string>")
+    # names and values come apart, so whatever stands in a name does no harm
+    have = F.when(F.col("object").isNotNull(), F.from_json("arguments", "map<string,variant>"))
 
     def judge(p: Column) -> Column:
-        there, value = F.try_element_at(F.col("have"), p["param"]), F.try_element_at(F.col("values"), p["param"]).try_cast("double")
-        outside = (value < p["low"]) | (value > p["high"])
+        there, value = F.map_contains_key("have", p["param"]), F.try_element_at("have", p["param"])
+        number = F.try_variant_get(value, "$", "double")
+        outside = (number < p["low"]) | (number > p["high"])
         return (
-            F.when(there.isNull() & p["required"], F.concat(F.lit("missing:"), p["param"]))
-            .when(there.isNotNull() & (there != p["type"]), F.concat(F.lit("type:"), p["param"]))
-            .when(there.isNotNull() & F.coalesce(outside, F.lit(False)), F.concat(F.lit("range:"), p["param"]))
+            F.when(~there & p["required"], F.concat(F.lit("missing:"), p["param"]))
+            .when(there & (type_name(value) != p["type"]), F.concat(F.lit("type:"), p["param"]))
+            .when(there & F.coalesce(outside, F.lit(False)), F.concat(F.lit("range:"), p["param"]))
         )
 
     names = F.transform("params", lambda p: p["param"])
@@ -66,8 +80,10 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         .when(F.col("have").isNull(), F.array(F.lit("json")))
         .otherwise(F.concat(F.filter(F.transform("params", judge), lambda x: x.isNotNull()), unknown))
     )
-    joined = calls.join(params, calls["name"] == params["tool"], "left").drop("tool")
-    return joined.withColumn("have", have).withColumn("values", values).withColumn("problems", problems).drop("params", "have", "values")
+    # a call without a tool's name joins with nothing, wherever it lies
+    joined = calls.join(params, F.coalesce("name", F.concat(F.lit("\0"), F.xxhash64("call_id"))) == params["tool"], "left").drop("tool")
+    read = joined.withColumn("object", parsed(F.col("arguments"))).withColumn("have", have).withColumn("problems", problems)
+    return read.withColumn("arguments", F.coalesce(F.to_json("object"), "arguments")).drop("params", "object", "have")
 
 
 def effective_turns(calls: DataFrame) -> DataFrame:
@@ -77,14 +93,14 @@ def effective_turns(calls: DataFrame) -> DataFrame:
     """
     state = calls.select("conv_id", "call_id", "turn", "ready", F.col("after").alias("anc"))
     parent = calls.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_id"), "ready")
-    joined = state.drop("ready").join(parent, (F.col("conv_id") == F.col("p_conv")) & (F.col("anc") == F.col("p_id")), "left")
+    joined = state.drop("ready").join(parent, same_key("conv_id", "anc", "p_conv", "p_id", "call_id"), "left")
     state = materialize(joined.select("conv_id", "call_id", "turn", F.col("p_id").alias("anc"), (F.col("ready") + 1).alias("best"), F.when(F.col("p_id").isNotNull(), 1).otherwise(0).cast("long").alias("dist")), "chains")
     for _ in range(MAX_ROUNDS):
         if state.filter("anc is not null").isEmpty():
             break
         far = state.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_id"), F.col("anc").alias("p_anc"), F.col("best").alias("p_best"), F.col("dist").alias("p_dist"))
         # a chain that is longer than there are calls loops; it stays marked by its ancestor
-        joined = state.join(far, (F.col("conv_id") == F.col("p_conv")) & (F.col("anc") == F.col("p_id")), "left")
+        joined = state.join(far, same_key("conv_id", "anc", "p_conv", "p_id", "call_id"), "left")
         state = materialize(
             joined.select("conv_id", "call_id", "turn", F.col("p_anc").alias("anc"), F.greatest("best", F.col("p_best") + F.col("dist")).alias("best"), (F.col("dist") + F.coalesce("p_dist", F.lit(0))).alias("dist")), "chains"
         )
@@ -128,7 +144,7 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
     known = linked.select(F.col("conv_id").alias("a_conv"), F.col("call_id").alias("a_id"))
     full = (
         validated(linked, schemas).join(order, key)
-        .join(known, (F.col("conv_id") == F.col("a_conv")) & (F.col("after") == F.col("a_id")), "left")
+        .join(known, same_key("conv_id", "after", "a_conv", "a_id", "call_id"), "left")
         .withColumn("problems", F.concat(
             "problems",
             F.when(F.col("after").isNotNull() & F.col("a_id").isNull(), F.array(F.lit("after"))).otherwise(F.array().cast("array<string>")),
@@ -136,13 +152,19 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
             F.when(F.col("cycle"), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")),
         ))
     )
-    said = lambda c: F.array_join(c, ",")
-    call_rows = full.select(
-        "conv_id", "turn", "eff", F.lit(1).alias("kind_no"), F.lit("call").alias("kind"), "call_id", F.col("answer").isNotNull().alias("linked"), said(F.col("problems")).alias("problems"),
+    lost = (
+        validated(calls.filter(~whole), schemas)
+        .withColumn("problems", F.concat("problems", F.array(F.lit("key"))))
+        .withColumns({"answer": F.lit(None).cast("long"), "eff": F.col("turn")})
+    )
+    shown = ["conv_id", "turn", "eff", "call_id", "answer", "problems", "after", "arguments", "name"]
+    call_rows = full.select(*shown).unionByName(lost.select(*shown)).select(
+        "conv_id", "turn", "eff", F.lit(1).alias("kind_no"), F.lit("call").alias("kind"), "call_id",
+        F.col("answer").isNotNull().alias("linked"), F.array_join("problems", ",").alias("problems"),
         canonical(after=F.col("after"), arguments=F.col("arguments"), id=F.col("call_id"), name=F.col("name"), type=F.lit("call")).alias("json"),
     )
     facts = linked.select(*key, "answer").join(order.select(*key, "eff"), key).select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id"), "answer", F.col("eff").alias("call_eff"))
-    result_rows = results.join(facts, (F.col("conv_id") == F.col("k_conv")) & (F.col("call_id") == F.col("k_id")), "left").select(
+    result_rows = results.join(facts, same_key("conv_id", "call_id", "k_conv", "k_id", "content"), "left").select(
         "conv_id", "turn", F.greatest("turn", "call_eff").alias("eff"), F.lit(2).alias("kind_no"), F.lit("result").alias("kind"), "call_id", F.col("k_id").isNotNull().alias("linked"),
         F.when(F.col("turn") > F.col("answer"), "repeated").otherwise("").alias("problems"),
         canonical(call=F.col("call_id"), content=F.col("content"), type=F.lit("result")).alias("json"),
@@ -167,6 +189,14 @@ TOOLS = [
 TOOL_SCHEMA = "tool string, param string, type string, required boolean, low double, high double"
 
 
+def tools(spark: SparkSession) -> DataFrame:
+    """The tools' parameters as literals of the plan."""
+    say = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower()
+    values = ", ".join(f"({', '.join(map(say, row))})" for row in TOOLS)
+    cast = ", ".join("CAST({0} AS {1}) AS {0}".format(*c.split()) for c in TOOL_SCHEMA.split(", "))
+    return spark.sql(f"SELECT {cast} FROM VALUES {values} AS t({', '.join(c.split()[0] for c in TOOL_SCHEMA.split(', '))})")
+
+
 def text_number() -> Column:
     """A number from a text's first 24 hash bits."""
     return F.conv(F.left(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.lit(6)), 16, 10).cast("long")

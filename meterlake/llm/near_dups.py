@@ -13,11 +13,18 @@ What keeps it whole under skew: exact copies are one node, so a group of copies
 bucket's members are first compared with its least member only; once components are known, members of
 buckets that still hold several components are compared across components, so no candidate pair of
 different texts in different components is left out, while pairs inside a component are never made.  A bitmap of
-a text's shingles bounds what two texts can share, and pairs that can't reach the threshold end in the join.
-
-Defined results: a document's class id is the least doc_id in its group; null texts form no groups; texts
-without words, the empty one included, group with exact copies only; a text of under five words is
-one shingle; repeated rows get the same class; an empty table gives an empty result; other columns stay.
+a text's shingles bounds what two texts can share, and pairs that can't reach the threshold end in the join.  Where
+a bucket would still need more than ``PAIRS`` comparisons, as with a family of texts on one template below the
+threshold, its members go to a join on shingle prefixes instead: shingles in order of rarity, the longer text
+offers the prefix that any text of the threshold must meet, the shorter one the still shorter prefix that suffices
+there, and nothing that the comparison would find is lost.
+
+A node's key begins with its least document id in sortable form, so the least key of a component is its class.
+
+Defined results: a document's class id is the least doc_id in its group (documents without an id come last); null
+texts form no groups; texts without words, the empty one included, group with exact copies only; a text of under
+five words is one shingle; repeated rows get the same class; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import map_arrow, materialize, slices
+from .common import discard, map_arrow, materialize, slices, unused
 from .hashing import K1, K2, mix, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -37,6 +45,8 @@ PICK, ROWS, BANDS = 2, 3, 32
 #: Places of the bitmap that bounds what two texts share.
 MARKS = 2048
 BLOCK = 8192
+#: Comparisons of one bucket's members; beyond it, its members meet by shingle prefixes.
+PAIRS = 1 << 20
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -174,7 +184,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.cumsum([0, *map(len, sig)])
         lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(sig)))
         marks = pa.array([occupancy(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-        yield pa.record_batch([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), lists, marks], ["id", "node", "n", "bands", "marks"])
+        yield pa.record_batch([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), lists, marks], ["id", "text_hash", "n", "bands", "marks"])
 
 
 def _verify(threshold: float):
@@ -188,6 +198,14 @@ def _verify(threshold: float):
     return run
 
 
+def _prefix_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) to a row per labelled shingle."""
+    for b in slices(batches, 1, 1 << 20):
+        sets = [labelled(s).view(np.int64) for s in shingle_sets(b.column(1).to_pylist())]
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        yield pa.record_batch([b.column(0).take(pa.array(owner)), pa.array(np.concatenate(sets))], ["node", "shingle"])
+
+
 def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Verified (a, b) of candidate pairs."""
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
@@ -198,31 +216,60 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge; root is the least node of its component.
 
-    Alternating large-star and small-star steps: every step is a minimum per node and an equi-join.
+    Alternating large-star and small-star steps: every step is a minimum per node, written, and an equi-join with it, so a
+    node with very many edges is only ever joined, which AQE can split, and summed up map-side first.
     """
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
+    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = edges.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        edges = materialize(edges, "stars")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialize(both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        discard(edges, least)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        edges = materialize(large.join(least, "u").select(ends.alias("e")).select("e.*").filter("u != v").distinct(), "edges")
+        discard(large, least)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: its id and class_id, the least id of its group."""
-    node = F.unhex(F.substring(F.sha2(F.col(text_col).cast("binary"), 256), 1, 32))
-    rows = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.col(text_col).cast("binary").alias("text"))
+def sortable(text_hash: Column, key: Column, kind: str) -> Column:
+    """A node's key: bytes that sort by id (missing ids last), then by the text's hash."""
+    if kind in WHOLE:
+        own = F.unhex(F.lpad(F.hex(F.coalesce(key.cast("long"), F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    else:
+        own = F.coalesce(key.cast("string"), F.lit("")).cast("binary")
+    return F.concat(F.when(key.isNull(), F.lit(b"\1")).otherwise(F.lit(b"\0")), own, text_hash)
+
+
+def id_of(node: Column, kind: str) -> Column:
+    """The id in a node's key."""
+    if kind in WHOLE:
+        own = (F.conv(F.hex(F.substring(node, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+    else:
+        own = node.substr(F.lit(2), F.octet_length(node) - F.lit(1 + HASH_BYTES)).cast("string")
+    return F.when(F.substring(node, 1, 1) == F.lit(b"\0"), own.cast(kind))
+
+
+WHOLE, HASH_BYTES = ("bigint", "int", "smallint", "tinyint"), 16
+
+
+def text_hash(text: str) -> Column:
+    return F.unhex(F.substring(F.sha2(F.col(text).cast("binary"), 256), 1, 2 * HASH_BYTES))
+
+
+def node_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, most_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's (id, text_hash), and per distinct text its hash, number of rows, own key and its class's key."""
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    signed = materialize(map_arrow(rows, _signatures, f"id {kind}, node binary, n long, bands array<long>, marks array<long>"), "signatures")
-    first = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.any_value(F.struct("n", "bands", "marks")).alias("s"))
-    nodes = materialize(first.select("node", "id", "s.*"), "nodes")
+    signed = materialize(map_arrow(rows, _signatures, f"id {kind}, text_hash binary, n long, bands array<long>, marks array<long>"), "signatures")
+    first = signed.filter("text_hash is not null").groupBy("text_hash").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value(F.struct("n", "bands", "marks")).alias("s")
+    )
+    nodes = materialize(first.select(sortable(F.col("text_hash"), F.col("id"), kind).alias("node"), "text_hash", "id", "copies", "s.*"), "nodes")
     facts = nodes.select("node", "n", "marks")
     member = nodes.select("node", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "node", "pos")
     buckets = member.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -235,44 +282,83 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(one, "a").join(two, "b").filter(within_reach("x", "y", threshold)).select("a", "b")
 
     pairs = materialize(reachable(member.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
-    wanted = member.select("node").distinct().join(nodes.select("node", "id"), "node")
-    texts = materialize(rows.join(wanted, ["node", "id"], "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
+    wanted = member.select("node").distinct().join(nodes.select("node", F.col("text_hash").alias("h"), F.col("id").alias("i")), "node")
+    texts = materialize(rows.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "text").dropDuplicates(["node"]), "texts")
     links = _links(pairs, texts, threshold)
     labels = components(links)
     # what is left: bucket members in different components
-    of = member.select("bucket", "node", "pos").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of = materialize(of, "rooted")
+    of = materialize(member.join(labels, "node", "left").select("bucket", "node", "pos", F.coalesce("root", "node").alias("root")), "rooted")
     sizes = of.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("bucket", F.col("m.root").alias("main"))
-    mixed = of.join(most, "bucket").join(nodes.select("node", F.struct("node", "n", "marks", "bands").alias("y")), "node").select("bucket", "pos", "root", "main", "y")
-    few = mixed.filter("root != main").select("bucket", F.col("root").alias("rx"), F.col("y").alias("x"))
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    most = materialize(most.select("bucket", F.col("m.root").alias("main"), ((F.col("all") - F.col("m.c")) * F.col("all") > most_pairs).alias("heavy")), "mixed")
+    mixed = of.join(most, "bucket").join(nodes.select("node", F.struct("node", "n", "marks", "bands").alias("y")), "node").select("bucket", "pos", "root", "main", "heavy", "y")
+    light = mixed.filter("not heavy")
+    few = light.filter("root != main").select("bucket", F.col("root").alias("rx"), F.col("y").alias("x"))
     # a pair counts in the first bucket it shares only
     shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
     across = (
-        few.join(mixed.select("bucket", "pos", "root", "y"), "bucket")
+        few.join(light.select("bucket", "pos", "root", "y"), "bucket")
         .filter((F.col("rx") != F.col("root")) & (shared == F.col("pos") + 1) & within_reach("x", "y", threshold))
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     )
+    if not most.filter("heavy").isEmpty():
+        own = of.join(most.filter("heavy"), "bucket").groupBy("node", "root").agg(F.max(F.col("root") != F.col("main")).alias("few"))
+        across = across.unionByName(reachable(by_prefix(own, texts, threshold))).distinct()
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = materialize(across.join(known, ["a", "b"], "left_anti"), "across")
+    discard(member, of)
     if not across.isEmpty():
         more = _links(across, texts, threshold)
         if not more.isEmpty():
             labels = components(links.unionByName(more))
-    # class id: least id over all copies of all texts of the component
-    rooted = nodes.select("node", "id").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
-    return signed.select("id", "node").join(rooted.select("node", "root"), "node", "left").join(least, "root", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+    classes = nodes.select("node", "text_hash", "copies").join(labels, "node", "left").select("text_hash", "copies", "node", F.coalesce("root", "node").alias("root"))
+    return signed.select("id", "text_hash"), materialize(classes, "classes")
+
+
+def by_prefix(own: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components, at least one of them among the ``few``, that meet in a shingle of their prefixes.
+
+    Two texts that reach the threshold share one of the longer text's n - ceil(t n) + 1 rarest shingles that is also among
+    the shorter one's n - ceil(2 t / (1 + t) n) + 1 rarest.
+    """
+    here = materialize(map_arrow(texts.join(own, "node", "left_semi").select("node", "text"), _prefix_shingles, "node binary, shingle long"), "shingles")
+    counts = here.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    by_rarity = Window.partitionBy("node").orderBy("df", "shingle")
+    n = F.count(F.lit(1)).over(Window.partitionBy("node"))
+    ranked = here.join(counts, "shingle").withColumn("place", F.row_number().over(by_rarity)).withColumn("n", n)
+    rest = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    ranked = ranked.filter(F.col("place") <= rest(threshold)).withColumn("short", F.col("place") <= rest(2 * threshold / (1 + threshold)))
+    ranked = materialize(ranked.join(own, "node").select("node", "root", "few", "shingle", "n", "short"), "prefixes")
+    longer = ranked.select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("few").alias("fx"))
+    shorter = ranked.filter("short").select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("few").alias("fy"))
+    order = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
+    meets = order & (F.col("rx") != F.col("ry")) & (F.col("ny") >= F.col("nx") * threshold - 1e-9)
+    found = [longer.filter("fx").join(shorter, "shingle").filter(meets), longer.filter("not fx").join(shorter.filter("fy"), "shingle").filter(meets)]
+    return found[0].unionByName(found[1]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most_pairs: int = PAIRS) -> DataFrame:
+    """One row per document: its id and class_id, the least id of its group."""
+    rows, classes = node_classes(docs, id_col, text_col, threshold, most_pairs)
+    kind = rows.schema["id"].dataType.simpleString()
+    of = classes.select("text_hash", id_of(F.col("root"), kind).alias("class_id"))
+    alone = rows.filter("text_hash is null").select("id", F.col("id").alias("class_id"))
+    return rows.join(of, "text_hash").select("id", "class_id").unionByName(alone).select(F.col("id").alias(id_col), "class_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document per group, the one with the least id; documents without an id stay."""
-    classes = materialize(near_duplicates(docs, id_col, text_col), "classes")
-    gone = classes.filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    # a repeated row shares its id with its copy, so the class id can't tell them apart
-    again = classes.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_again")).filter("_again is not null")
-    if again.isEmpty():
-        return kept
-    here = F.col(id_col) == F.col("_again")
-    return kept.join(again, here, "left_anti").unionByName(kept.join(again, here, "left_semi").dropDuplicates([id_col, text_col]))
+    """``docs`` with one row per group, of the least id, whatever the ids; every row without a text stays.
+
+    Rows go by their text, not by their id, so a text is kept where another one shares its id.
+    """
+    rows, classes = node_classes(docs, id_col, text_col, THRESHOLD, PAIRS)
+    kind = rows.schema["id"].dataType.simpleString()
+    mark, own, best = (unused(c, docs.columns) for c in ("_text", "_own", "_best"))
+    marked = docs.withColumn(mark, text_hash(text_col))
+    # texts of which some row goes: all rows of those that are not their class, all but one of the others
+    some = materialize(classes.filter("copies > 1 or node != root").select(F.col("text_hash").alias(own), F.when(F.col("node") == F.col("root"), F.struct(id_of(F.col("root"), kind).alias("id"))).alias(best)), "some-go")
+    here = F.col(mark) == F.col(own)
+    texts = marked.filter(F.col(mark).isNotNull())
+    whole = texts.join(some, here, "left_anti")
+    one = texts.join(some.filter(F.col(best).isNotNull()), here & F.col(id_col).eqNullSafe(F.col(best)["id"])).select(*marked.columns).dropDuplicates([mark])
+    return whole.unionByName(one).unionByName(marked.filter(F.col(mark).isNull())).drop(mark)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_arrow, materialize, ship, slices, unused
-from .hashing import Lookup, mix, run_hashes
+from .hashing import Lookup, mix, run_hashes, spread
 
 CHUNK_CHARS = 32_768
 #: Matrices that one task combines.
@@ -416,11 +416,6 @@ P, ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
 POWERS = np.array([pow(int(P), i, 1 << 64) for i in range(LONG_UNIT + 1)], np.uint64)
 
 
-def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... size[0] of them, then those of the next."""
-    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-
 def _prefix_hashes(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Of strings laid end to end, the hash that ``solve`` finds for a part of a word."""
     h, start = np.zeros(len(sizes), np.uint64), np.cumsum(sizes) - sizes

@@ -55,8 +55,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations")
-    tools = spark.createDataFrame(chat.TOOLS, chat.TOOL_SCHEMA)
-    return chat.format_chats(said, chat.derived_calls(said), chat.derived_results(said), tools)
+    return chat.format_chats(said, chat.derived_calls(said), chat.derived_results(said), chat.tools(spark))
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

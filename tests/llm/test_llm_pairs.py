@@ -80,6 +80,35 @@ def test_near_duplicates_match_brute_force(spark, docs):
     assert near_dups.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_large_buckets_meet_by_prefixes(spark):
+    """A family on one template below the threshold, with near pairs inside it, and no bucket small enough to compare."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, rows = [word() for _ in range(120)], []
+    for i in range(36):
+        own = base + [word() for _ in range(20 + i % 3)]
+        rows.append((2 * i, " ".join(own)))
+        if i % 4 == 0:
+            own[130] = word()
+            rows.append((2 * i + 1, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(d, c) for d, _, c in slow_classes(rows)}
+    for most in (0, near_dups.PAIRS):
+        assert {(r["doc_id"], r["class_id"]) for r in near_dups.near_duplicates(df, most_pairs=most).collect()} == want
+    assert len({c for _, c in want}) > 20
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_near_duplicates_of_other_ids(spark, kind):
+    rows = near_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    text = str if kind == "string" else int
+    groups = {}
+    for d, _, c in slow_classes(rows):
+        groups.setdefault(c, set()).add(text(d))
+    assert {(r["doc_id"], r["class_id"]) for r in near_dups.near_duplicates(df).collect()} == {(d, min(g)) for g in groups.values() for d in g}
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -87,6 +116,19 @@ def test_one_document_of_each_group_stays(spark):
     assert kept == Counter({c: 1 for _, _, c in slow_classes(rows)})
 
 
+def test_documents_go_by_text_not_by_id(spark):
+    a, b, u = "one two three four five six", "seven eight nine ten eleven twelve", "a text that nothing else in here equals"
+    rows = [(3, a), (7, a), (7, u), (5, b), (3, b), (None, u), (None, "lonely"), (None, "lonely"), (-4, "minus"), (9, "minus"), (1, None), (1, None), (None, None), (8, u), (8, u)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("_gone", "_again", "_text", "_own", "_best", "id", "node", "root")})
+    got = near_dups.deduplicate(df)
+    assert got.columns == df.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert kept == Counter([(3, a), (7, u), (3, b), (None, "lonely"), (-4, "minus"), (1, None), (1, None), (None, None)])
+    classes = Counter((r["doc_id"], r["class_id"]) for r in near_dups.near_duplicates(df).collect())
+    assert classes == Counter([(3, 3), (7, 3), (7, 7), (5, 3), (3, 3), (None, 7), (None, None), (None, None), (-4, -4), (9, -4), (1, 1), (1, 1), (None, None), (8, 7), (8, 7)])
+    assert near_dups.deduplicate(df.limit(0)).count() == 0
+
+
 def test_banded_alignment_and_bounds():
     rng = np.random.default_rng(5)
     for _ in range(40):
@@ -181,6 +223,37 @@ def test_nearest_neighbours_recall_and_odd_vectors(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("case", ["spread", "giant", "overflow"])
+def test_nearest_neighbours_of_spread_norms(spark, case):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((2000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if case == "spread":
+        x *= 10 ** rng.uniform(-3, 5, 2000)[:, None]
+    elif case == "giant":
+        x[77] *= 10_000
+    else:
+        x[77] *= 1e160
+        x[78] *= 1e-170
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(df).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, got in found.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert len(found) == 100 and hits / 2000 >= 0.95
+
+
+def test_every_row_but_the_query_is_a_candidate(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.0]), (None, [1.0, 0.0]), (20, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"row": F.lit(5), "q": F.lit("x"), "shard": F.lit(1)})
+    got = Counter((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df).collect())
+    assert got == Counter([(0, 1, 0), (0, 2, 20), (0, 3, 1)] * 2 + [(20, 1, 0), (20, 2, 0), (20, 3, 1)])
+
+
 def test_chat_links_orders_and_validates(spark):
     messages = spark.createDataFrame([(1, 0, "user", "hi"), (1, 3, "assistant", 'say "é"'), (None, 1, "user", "lost"), (2, None, "user", None)], "conv_id long, turn long, role string, text string").withColumn("json", F.lit("x"))
     calls = spark.createDataFrame(
@@ -191,7 +264,7 @@ def test_chat_links_orders_and_validates(spark):
         "conv_id long, turn long, call_id string, name string, arguments string, after string",
     )
     results = spark.createDataFrame([(1, 7, "b", "late"), (1, 8, "b", "again"), (1, 2, "zzz", "orphan")], "conv_id long, turn long, call_id string, content string")
-    tools = spark.createDataFrame(chat.TOOLS, chat.TOOL_SCHEMA)
+    tools = chat.tools(spark)
     rows = chat.format_chats(messages, calls, results, tools).collect()
     of = {(r["kind"], r["call_id"], r["turn"]): r for r in rows}
     assert len(rows) == 4 + 5 + 3
@@ -205,12 +278,31 @@ def test_chat_links_orders_and_validates(spark):
     assert chat.format_chats(messages.limit(0), calls.limit(0), results.limit(0), tools).count() == 0
 
 
+def test_chat_arguments_are_canonical_whatever_their_names(spark):
+    said = [
+        ('{"limit": 5,  "query":"x"}', ""), ('{"query":"x","limit":5}', ""), ('{"b, a, a, b":1, "query": "q", "limit": 1}', "unknown:b, a, a, b"), ('{"query, x":"x","limit":1}', "missing:query,unknown:query, x"),
+        ('{"query: r":1, "limit": 1, "query": "a"}', "unknown:query: r"), ('{"limit": null, "query": {"a": [1, {"b": 2}]}}', "type:limit,type:query"), ('{"limit":1,"limit":2,"query":"x"}', "json"), ("", "json"), (None, "json"),
+        ('{"query":"<,>: (x","limit":1e3}', "type:limit"),
+    ]
+    calls = spark.createDataFrame([(1, i, f"c{i}", "search", a, None) for i, (a, _) in enumerate(said)] + [(None, 3, "x", "sum", '{"limit":1}', "y"), (1, None, None, None, "{}", None)], "conv_id long, turn long, call_id string, name string, arguments string, after string")
+    results = spark.createDataFrame([(1, 2, None, "no id"), (None, 2, "c1", "no conversation"), (1, 5, "c1", "y" * 100_000)], "conv_id long, turn long, call_id string, content string")
+    messages = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    rows = chat.format_chats(messages, calls, results, chat.tools(spark)).collect()
+    assert len(rows) == len(said) + 2 + 3
+    of = {r["call_id"]: r for r in rows if r["kind"] == "call"}
+    assert [of[f"c{i}"]["problems"] for i in range(len(said))] == [p for _, p in said]
+    text = lambda i: json.loads(of[f"c{i}"]["json"]).get("arguments")
+    assert text(0) == text(1) == '{"limit":5,"query":"x"}' and text(6) == said[6][0] and text(8) is None
+    assert of["x"]["problems"] == "key" and of["x"]["position"] is None and of[None]["problems"] == "tool:,key"
+    assert [r["linked"] for r in rows if r["kind"] == "result" and r["call_id"] != "c1"] == [False] and of["c1"]["linked"]
+
+
 def test_long_chains_are_ordered(spark):
     n = 300
     calls = spark.createDataFrame([(1, i, f"c{i}", "sum", '{"limit":1}', f"c{i - 1}" if i else None) for i in range(n)], "conv_id long, turn long, call_id string, name string, arguments string, after string")
     results = spark.createDataFrame([(1, n, "c0", "slow")], "conv_id long, turn long, call_id string, content string")
     messages = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    rows = sorted((r["position"], r["call_id"]) for r in chat.format_chats(messages, calls, results, spark.createDataFrame(chat.TOOLS, chat.TOOL_SCHEMA)).collect() if r["kind"] == "call")
+    rows = sorted((r["position"], r["call_id"]) for r in chat.format_chats(messages, calls, results, chat.tools(spark)).collect() if r["kind"] == "call")
     assert [c for _, c in rows] == [f"c{i}" for i in range(n)]
 
 
