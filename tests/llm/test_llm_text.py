@@ -257,6 +257,103 @@ def test_lm_tokens_are_a_distribution(docs):
     assert common[0] > common[1] + 5
 
 
+def lm_rows():
+    rng = random.Random(11)
+    words = ["the", "of", "and", "is", *("".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 7))) for _ in range(60))]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared, line = say(300), say(30)
+    rows = [(i, say(rng.randint(1, 120))) for i in range(60)]
+    rows += [(100 + i, f"{say(40)} {shared} {say(20)}") for i in range(6)] + [(200 + i, f"{line}\n" * 12 + say(5)) for i in range(4)]
+    rows += [(300, shared), (301, shared), (302, None), (303, ""), (304, "Up Down"), (None, shared + " x"), (300, shared)]
+    return rows
+
+
+def slow_lm(rows, monkey):
+    """Scores by a walk through each text, with the operator's own tables of words and probabilities."""
+    mixer, words, guesses = monkey["mixer"], monkey["words"], monkey["guesses"]
+    trains = [d is None or zlib.crc32(str(d).encode()) % 10 != 0 for d, _ in rows]
+    texts, cuts = [], []
+    for _, t in rows:
+        w = lm.Words.of([(t or "").encode()])
+        p = lm.Passages.of(w)
+        texts.append((w, w.texts_of(np.arange(len(w.hash))).to_pylist()))
+        cuts.append([(int(c), int(b), int(f), int(n)) for c, b, f, n in zip(p.context, p.body, p.first, p.size, strict=True)])
+    count, total = Counter(), Counter()
+    for own, train in zip(cuts, trains, strict=True):
+        if train:
+            count.update((c, b) for c, b, _, _ in own)
+            total.update(c for c, _, _, _ in own)
+    best = {}
+    for (c, b), n in count.items():
+        signed = b - (1 << 64) if b >> 63 else b
+        best[c] = max(best.get(c, (0, 0, 0)), (n, signed, b))
+    out = []
+    for (w, tokens), own, train in zip(texts, cuts, trains, strict=True):
+        here, ctx = Counter((c, b) for c, b, _, _ in own), Counter(c for c, _, _, _ in own)
+        seen, seen_ctx, last, lp = Counter(), Counter(), {}, 0.0
+        made, right, bit = words.guess(w)
+        for c, b, first, n in own:
+            usual = best.get(c)
+            hit = None
+            if usual:
+                k = usual[0] - (here[c, b] if train else 0) + seen[c, b] if usual[2] == b else usual[0]
+                t = total[c] - (ctx[c] if train else 0) + seen_ctx[c]
+                if k > 0:
+                    hit, t = usual[2] == b, max(t, k)
+            if hit is None and seen_ctx[c]:
+                hit, k, t = last[c] == b, seen_ctx[c], seen_ctx[c]
+            if hit is not None:
+                p = guesses.hit[3][int(lm.step(np.array(k)))][int(lm.step(np.array(t)))]
+                lp += math.log10(p if hit else 1 - p)
+            if not hit:
+                for i in range(first, first + n):
+                    lp += bit[i] / math.log(10) + (0 if right[i] else mixer.log10([tokens[i]])[0])
+            seen[c, b] += 1
+            seen_ctx[c] += 1
+            last[c] = b
+        out.append(lp)
+    return out
+
+
+@pytest.mark.parametrize("head", [5, 1000])
+def test_lm_scores_match_a_walk_through_the_texts(spark, monkeypatch, head):
+    kept = {}
+    fit, of = lm.fit, lm.Contexts.of.__func__
+
+    def keep_fit(tokens):
+        kept["mixer"] = fit(tokens)
+        return kept["mixer"]
+
+    def keep_of(cls, successors, guesses):
+        kept["words"], kept["guesses"] = of(cls, successors, guesses), guesses
+        return kept["words"]
+
+    monkeypatch.setattr(lm, "fit", keep_fit)
+    monkeypatch.setattr(lm.Contexts, "of", classmethod(keep_of))
+    rows = lm_rows()
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), head=head).collect()
+    want = Counter((d, round(x, 6)) for (d, _), x in zip(rows, slow_lm(rows, kept), strict=True))
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in got) == want
+    of_doc = {r["doc_id"]: r["score"] / r["n_tokens"] for r in got}
+    # what occurs again in the corpus or in its own text is far likelier than what doesn't
+    assert of_doc[300] > -0.5 and of_doc[200] > -1.5 and max(v for d, v in of_doc.items() if d is not None and d < 60) < -1
+
+
+def test_lm_hears_the_order_of_words(docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["text"]]
+    turned = [(10_000 + d, " ".join(t.split()[::-1])) for d, t in rows[:20]]
+    df = docs.sparkSession.createDataFrame(rows + turned, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.score(df).collect()}
+    some = [(got[d], got[10_000 + d]) for d, _ in rows[:20]]
+    assert all(abs(a["base_score"] - b["base_score"]) < 1e-6 for a, b in some) and any(abs(a["score"] - b["score"]) > 1 for a, b in some)
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    got = [r for r in lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r["held_out"]]
+    n = sum(r["n_tokens"] for r in got)
+    assert sum(r["score"] for r in got) / n > sum(r["base_score"] for r in got) / n + 0.3
+
+
 def test_shards(spark, docs, odd):
     rows = sharding.shard(docs, 40).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs.collect())
