@@ -5,14 +5,16 @@ neighbouring words, or the word itself where it has one.  Shingles are ordered b
 documents.  Only full containment counts, so a window's prefix is its single rarest shingle, and a
 document can hold the window only where it holds that shingle.
 
-1. Count the windows' shingles over all documents (a Bloom filter of fixed size picks them out); a window
+1. Count the windows' shingles over all documents (a Bloom filter picks them out); a window
    with a shingle that no document has is gone.
 2. Find the prefix shingles in the documents and join them with the windows.  Positional and length
    bounds drop candidates whose window would start before the document or end after it.
 3. Verify: the document's words there equal the window's.
 
-The join key is salted by document, so a passage that a third of all documents share is spread over
-many tasks; the windows, not the documents, are repeated for each salt.
+The join key of a frequent prefix shingle is salted by document, with one salt for each ``SALT_ROWS`` times that the
+shingle was counted, so a passage that a third of all documents share is spread over many tasks; the windows, not the
+documents, are repeated for each salt.  Bloom filters are sized by what they hold, up to 2^27 bits; beyond that they let
+more candidates through, which the join drops.
 
 Defined results: null, empty and wordless documents have n_words 0 and no hits; null or wordless items
 have no windows; items with equal words all count; documents are told apart by row, so repeated rows
@@ -31,10 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import map_arrow, materialize, slices, words_of
-from .hashing import Bloom, pair_hashes, word_hashes
+from .hashing import Bloom, mix, pair_hashes, word_hashes
 
 WINDOW = 13
-SALTS = 32
+SALT_ROWS = 20_000
+#: Shingles that get more than one salt, the most frequent ones; they are broadcast.
+HOT = 1 << 16
 
 
 def _windows(size: int):
@@ -85,12 +89,13 @@ def _count(bloom_bc):
 
 
 def _candidates(bloom_bc, size: int):
-    """(_uid, doc_id, text) to a row per candidate place, or one without a place."""
+    """(_uid, doc_id, text) to a row per candidate place with its salt, or one without a place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom, hot, salts = bloom_bc.value
         for b in slices(batches, 2):
             texts = [t or b"" for t in b.column(2).to_pylist()]
-            at, h, starts, ends, first, data = _shingle_hits(texts, bloom_bc.value)
+            at, h, starts, ends, first, data = _shingle_hits(texts, bloom)
             doc = np.searchsorted(first, at, side="right") - 1
             empty = np.setdiff1d(np.arange(len(texts)), doc)
             n_words = np.diff(first)
@@ -102,13 +107,15 @@ def _candidates(bloom_bc, size: int):
             rows = np.concatenate((doc, empty))
             none = [None] * len(empty)
             take = pa.array(rows)
+            place = np.minimum(np.searchsorted(hot, h.view(np.int64)), len(hot) - 1)
+            own = mix(b.column(0).to_numpy()[doc].view(np.uint64)) % np.where(hot[place] == h.view(np.int64), salts[place], 1).astype(np.uint64)
             yield pa.record_batch(
                 [
                     b.column(0).take(take), b.column(1).take(take), pa.array(n_words[rows], pa.int64()),
                     pa.array(h.view(np.int64).tolist() + none, pa.int64()), pa.array((at - first[doc]).tolist() + none, pa.int64()),
-                    pa.array((lo - first[doc]).tolist() + none, pa.int64()), pa.array(context + none, pa.string()),
+                    pa.array((lo - first[doc]).tolist() + none, pa.int64()), pa.array(context + none, pa.string()), pa.array(own.tolist() + none, pa.int64()),
                 ],
-                ["_uid", "doc_id", "n_words", "shingle", "at", "lo", "context"],
+                ["_uid", "doc_id", "n_words", "shingle", "at", "lo", "context", "salt"],
             )
 
     return run
@@ -132,14 +139,19 @@ def decontaminate(
     ranked = (
         listed.dropDuplicates(["window", "off"]).join(counts, "shingle", "left")
         .withColumn("_rank", F.row_number().over(Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "off")))
-        .filter("_rank = 1 and n > 0").select("window", "len", "off", "shingle")
+        .filter("_rank = 1 and n > 0").select("window", "len", "off", "shingle", "n")
     )
     prefixes = materialize(ranked, "prefixes")
-    wanted = spark.sparkContext.broadcast(Bloom.of(prefixes.select("shingle").distinct(), "shingle"))
-    found = map_arrow(rows, _candidates(wanted, window), f"_uid long, doc_id {kind}, n_words long, shingle long, at long, lo long, context string")
+    # the counts above which a shingle is salted: SALT_ROWS, or what leaves HOT shingles
+    often = prefixes.filter(F.col("n") > SALT_ROWS).select("shingle", "n").distinct().orderBy(F.desc("n")).limit(HOT + 1).collect()
+    least = often[HOT]["n"] if len(often) > HOT else SALT_ROWS
+    hot = sorted((r["shingle"], -(-r["n"] // SALT_ROWS)) for r in often if r["n"] > least) or [(0, 1)]
+    wanted = spark.sparkContext.broadcast((Bloom.of(prefixes.select("shingle").distinct(), "shingle"), *np.array(hot, np.int64).T))
+    found = map_arrow(rows, _candidates(wanted, window), f"_uid long, doc_id {kind}, n_words long, shingle long, at long, lo long, context string, salt long")
     # documents without a candidate keep one row, under a key of their own
-    found = found.withColumn("shingle", F.coalesce("shingle", F.xxhash64("_uid"))).withColumn("salt", F.pmod(F.xxhash64("_uid", F.lit(1)), F.lit(SALTS)).cast("int"))
-    salted = prefixes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = found.withColumns({"shingle": F.coalesce("shingle", F.xxhash64("_uid")), "salt": F.coalesce("salt", F.lit(-1).cast("long"))})
+    salts = F.when(F.col("n") > least, F.ceil(F.col("n") / SALT_ROWS)).otherwise(1).cast("long")
+    salted = prefixes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     begin = F.col("at") - F.col("off")
     fits = (begin >= F.col("lo")) & (begin + F.col("len") <= F.col("n_words"))
     same = F.array_join(F.slice(F.split("context", " "), (F.greatest(begin - F.col("lo"), F.lit(0)) + 1).cast("int"), F.col("len")), " ") == F.col("window")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,15 +108,16 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
 
 
 class Bloom:
-    """A filter of ``2**bits`` bits whatever it holds: lookups may err only towards yes."""
+    """A filter of ``2**bits`` bits: lookups may err only towards yes."""
 
     def __init__(self, bits: int = 24, words: np.ndarray | None = None):
         self.bits = bits
         self.words = np.zeros(1 << (bits - 6), np.uint64) if words is None else words
 
     @classmethod
-    def of(cls, df: DataFrame, column: str, bits: int = 24) -> Bloom:
-        """From a column of 64-bit hashes; what reaches the driver is the filter's own size at most."""
+    def of(cls, df: DataFrame, column: str, most_bits: int = 27) -> Bloom:
+        """From a column of 64-bit hashes, 16 bits for each; what reaches the driver is the filter's own size at most."""
+        bits = min(most_bits, max(16, math.ceil(math.log2(16 * df.count() + 1))))
         place = F.array(*(F.shiftrightunsigned(column, s).bitwiseAND(F.lit((1 << bits) - 1)) for s in (0, 32)))
         rows = (
             df.select(F.explode(place).alias("bit"))

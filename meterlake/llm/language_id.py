@@ -1,14 +1,15 @@
 """Language identification with bit-sliced Bloom filters over character n-grams.
 
 One Bloom filter per language, all of one shape, lie bit-sliced in a single array: slot ``s`` holds a
-bitmask with bit ``l`` set where language ``l`` set its bit ``s``.  A lookup ANDs the masks of an n-gram's
+bitmask with bit ``l`` set where language ``l`` set its bit ``s``; beyond 64 languages it has more words.  A lookup ANDs the masks of an n-gram's
 ``HASHES`` slots and so gets every language that contains the n-gram at once.  Per document and language
 the masks' bits are counted; ``(hits - n * fp) / (1 - fp)`` takes out the false positives expected of a
 filter filled that far, and the language with most corrected hits wins.
 
 A language contains an n-gram where its rate there is at least ``ratio`` of the n-gram's highest rate in
 any language.  Profiles are fitted on a bounded sample of labelled rows: about ``sample_docs`` documents a
-language, chosen by a hash of their id.  The filter's size is fixed, so what is broadcast never grows.
+language, chosen by a hash of their id.  The filter's size depends on the number of languages only (16 MB for each 64 of
+them), so what is broadcast never grows with the documents.
 
 Defined results: ``und`` with score 0 for null or letterless text; where no n-gram is known, the most
 frequent learned language with score 0; equal counts go to the language that sorts first; no training
@@ -34,7 +35,6 @@ SLOT_BITS = 21
 SAMPLE_DOCS = 3000
 #: Code points worked on at once; a longer text is counted block by block.
 BLOCK = 1 << 20
-MAX_LANGUAGES = 64
 
 _letters: np.ndarray | None = None
 
@@ -74,7 +74,7 @@ def grams(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    masks: np.ndarray  # one mask a slot
+    masks: np.ndarray  # for each word of the mask one row, a value a slot
     fp: np.ndarray  # false positive rate of each language
     usual: int  # the most frequent language
 
@@ -88,15 +88,17 @@ class Model:
             for n in ORDERS:
                 block = codes[at : at + BLOCK + n - 1]
                 h, ok = grams(block, n)
-                mask = self.masks[h & low]
-                for j in range(1, HASHES):
-                    mask &= self.masks[(h >> np.uint64(SLOT_BITS * j)) & low]
                 cut = np.clip(starts - at, 0, len(h))
                 run = np.concatenate(([0], np.cumsum(ok)))
                 total += np.diff(run[cut])
-                for i in range(k):
-                    np.cumsum(((mask >> np.uint8(i)) & np.uint8(1) if self.masks.dtype == np.uint8 else (mask >> np.uint64(i)) & np.uint64(1)).astype(bool) & ok, out=run[1:])
-                    hits[:, i] += np.diff(run[cut])
+                kind = self.masks.dtype.type
+                for word, masks in enumerate(self.masks):
+                    mask = masks[h & low]
+                    for j in range(1, HASHES):
+                        mask &= masks[(h >> np.uint64(SLOT_BITS * j)) & low]
+                    for i in range(64 * word, min(k, 64 * word + 64)):
+                        np.cumsum(((mask >> kind(i % 64)) & kind(1)).astype(bool) & ok, out=run[1:])
+                        hits[:, i] += np.diff(run[cut])
         some = np.add.reduceat(np.concatenate((codes > 0, [False])).astype(np.int64), np.minimum(starts[:-1], len(codes))) > 0 if len(texts) else np.zeros(0, bool)
         right = np.clip((hits - total[:, None] * self.fp) / (1 - self.fp), 0, None)
         best = np.where(right.max(axis=1, initial=0) > 0, right.argmax(axis=1) if k else 0, self.usual)
@@ -125,11 +127,11 @@ def fit(
 ) -> Model:
     """Learn from the rows of ``docs`` whose text and language are set."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(key_col).cast("string").alias("key")).filter("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
     languages = sorted(counts)
     dtype = np.uint8 if len(languages) <= 8 else np.uint64
     if not languages:
-        return Model([], np.zeros(1 << SLOT_BITS, dtype), np.zeros(0), 0)
+        return Model([], np.zeros((1, 1 << SLOT_BITS), dtype), np.zeros(0), 0)
     pick = F.create_map(*(F.lit(x) for i, a in enumerate(languages) for x in (a, i)))
     share = F.create_map(*(F.lit(x) for a in languages for x in (a, min(1.0, sample_docs / counts[a]))))
     sample = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
@@ -139,20 +141,17 @@ def fit(
     totals = {r[0]: r[1] for r in per.groupBy("lang").agg(F.sum("n")).collect()}
     rate = F.col("n") / F.try_element_at(F.create_map(*(F.lit(x) for i in range(len(languages)) for x in (i, float(totals.get(i, 1))))), F.col("lang"))
     lists = per.withColumn("rate", rate).groupBy("gram").agg(F.collect_list(F.struct("lang", "n", "rate")).alias("in"), F.max("rate").alias("most"))
-    mask = F.aggregate(
-        F.filter("in", lambda x: (x["rate"] >= F.col("most") * ratio) & (x["n"] >= min_count)),
-        F.lit(0).cast("long"),
-        lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"])),
-    )
+    holders = F.filter("in", lambda x: (x["rate"] >= F.col("most") * ratio) & (x["n"] >= min_count))
+    held = lists.select("gram", F.explode(holders).alias("held")).select("gram", "held.lang")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("lang", F.lit(64)))
     slots = F.array(*(F.shiftrightunsigned("gram", SLOT_BITS * j).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for j in range(HASHES)))
     filled = (
-        lists.select(mask.alias("mask"), F.explode(slots).alias("slot")).filter("mask != 0")
-        .groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    )  # at most one row a slot
-    masks = np.zeros(1 << SLOT_BITS, dtype)
-    masks[filled["slot"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64).astype(dtype)
-    one = dtype(1)
-    fill = np.array([((masks >> dtype(i)) & one).mean() for i in range(len(languages))])
+        held.select(F.floor(F.col("lang") / 64).cast("int").alias("word"), bit.alias("mask"), F.explode(slots).alias("slot"))
+        .groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    )  # at most one row a slot and word
+    masks = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), dtype)
+    masks[filled["word"].to_numpy(), filled["slot"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64).astype(dtype)
+    fill = np.array([((masks[i // 64] >> dtype(i % 64)) & dtype(1)).mean() for i in range(len(languages))])
     return Model(languages, masks, fill**HASHES, max(range(len(languages)), key=lambda i: (counts[languages[i]], -i)))
 
 

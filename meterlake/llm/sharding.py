@@ -2,31 +2,37 @@
 
 Every record is hashed into one of ``n_slots`` virtual slots.  Bytes are summed per slot, and a
 versioned slot-to-shard map (one row a slot, so its size never depends on the data) says where each
-slot lives.  Rebalancing edits that map: it moves whole slots and leaves the hash alone.
+slot lives.  The map is a stored table: the first version deals slots round robin, and rebalancing edits the latest
+version into the next one: it moves whole slots and leaves the hash alone.  Records are placed by the map as it is read back.
 
 Defined results
 ---------------
 * null text: 0 bytes, so the record's size is the overhead alone; crc32 of no bytes is 0.
-* null id: hashed by its text instead, so many id-less records still spread over the slots.
+* the slot follows from id and text, so many records of one id, or without one, still spread over the slots.
 * repeated rows: each is placed and numbered on its own.
-* empty table: an empty result and a map of slots dealt round robin.
+* empty table: an empty result; the map's new version moves nothing.
+* ties (equal id, size and crc): numbered in any order.
 * extra columns never clash: only the id and the text are read.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, shared_dir
 
 #: Bytes that a record takes besides its text.
 OVERHEAD = 16
 SLOTS = 16384
+#: Parts in which a slot's records are numbered.
+PARTS = 8
 
 
 @dataclass
@@ -117,39 +123,50 @@ def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_s
         F.col(id_col).alias("doc_id"),
         (F.octet_length(data) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
-    ).withColumn(
-        "vslot",
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("crc "), F.col("text_crc32")))), F.lit(n_slots)).cast("int"),
-    )
+        F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int").alias("part"),
+    ).withColumn("vslot", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text_crc32"), F.lit(n_slots)).cast("int"))
 
 
 def slot_stats(narrow: DataFrame) -> DataFrame:
-    """Rows and bytes of each slot: at most one row a slot, summed map-side first."""
-    return narrow.groupBy("vslot").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-
-
-def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", n_slots: int = SLOTS) -> DataFrame:
+    """Rows and bytes of each slot and part: at most ``PARTS`` rows a slot, summed map-side first."""
+    return narrow.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+def next_version(spark: SparkSession, path: str, n_shards: int, n_slots: int, slot_bytes: dict[int, int]) -> SlotMap:
+    """The stored map, rebalanced and stored as a new version; where there is none, one is stored first."""
+    try:
+        now = SlotMap.load(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        now = SlotMap.balanced(n_shards, {}, n_slots)
+        now.save(spark, path)
+    if (now.n_shards, len(now.shard_of)) != (n_shards, n_slots):
+        raise ValueError(f"the stored map has {now.n_shards} shards and {len(now.shard_of)} slots")
+    now.rebalance(slot_bytes, 0.001).save(spark, path)
+    return SlotMap.load(spark, path)
+
+
+def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", n_slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Place every record: near-equal bytes per shard, and its number within its shard.
 
-    Only the slot statistics (``n_slots`` rows at most) reach the driver.  A record's number is its
-    slot's offset in the shard plus its rank in the slot, so ranking needs no task larger than a slot.
+    ``map_path`` holds the versions of the slot map (by default a new table in the shared folder).  Only bytes per slot
+    (``n_slots`` rows at most) reach the driver.  A record's number is its slot's offset in the shard plus its rank in one of the
+    slot's parts, so ranking needs no task larger than that, even if one record fills a slot.
     """
     spark = docs.sparkSession
     narrow = materialize(slotted(docs, id_col, text_col, n_slots), "slotted")
-    stats = slot_stats(narrow).collect()
-    slots = SlotMap.balanced(n_shards, {r["vslot"]: r["bytes"] for r in stats}, n_slots)
-    offset, filled = {}, [0] * n_shards
-    for r in sorted(stats):
-        at = slots.shard_of[r["vslot"]]
-        offset[r["vslot"]] = filled[at]
-        filled[at] += r["n"]
-    places = spark.createDataFrame(
-        [(v, slots.shard_of[v], offset[v]) for v in sorted(offset)], "vslot int, shard int, first long"
-    )
-    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
+    stats = materialize(slot_stats(narrow), "slot-stats")
+    slot_bytes = {r["vslot"]: r["b"] for r in stats.groupBy("vslot").agg(F.sum("bytes").alias("b")).collect()}
+    path = map_path or f"{shared_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
+    slots = next_version(spark, path, n_shards, n_slots, slot_bytes)
+    here = spark.read.parquet(path).filter(F.col("version") == slots.version).select("vslot", "shard")
+    before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    places = stats.join(F.broadcast(here), "vslot").select("vslot", "part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size"))
     return (
         narrow.withColumn("_rank", rank)
-        .join(F.broadcast(places), "vslot")
+        .join(F.broadcast(places), ["vslot", "part"])  # n_slots * PARTS rows at most
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
             (F.col("first") + F.col("_rank") - 1).alias("slot"),

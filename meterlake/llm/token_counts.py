@@ -50,6 +50,8 @@ class Counter:
         pre = spec["pre_tokenizer"] or {}
         if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
             raise ValueError("a byte-level tokenizer without normalizer or prefix space is needed")
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"]):
+            raise ValueError("added tokens that take blanks with them or stand as whole words only are not supported")
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.marks = added

@@ -183,6 +183,17 @@ def test_decontamination_matches_brute_force(spark, docs):
     assert decontamination.decontaminate(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_salts_frequent_shingles(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "SALT_ROWS", 3)
+    monkeypatch.setattr(decontamination, "HOT", 2)
+    passage = " ".join(f"w{i}" for i in range(20))
+    items = [(1, passage), (2, " ".join(f"w{i}" for i in range(5, 18))), (3, "alone here")]
+    rows = [(i, f"x{i} y {passage} z") for i in range(40)] + [(50, "alone here " * 9), (51, "no")]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontamination.decontaminate(df, bench).collect()}
+    assert got == slow_contamination(rows, items)
+
+
 @pytest.mark.parametrize("odd", ["\u00a0", "\u3000", "\u0085", "\u2003", "\u2028"])
 def test_decontamination_keeps_unicode_spaces_inside_words(spark, odd):
     passage = " ".join(f"w{i}" for i in range(13))
@@ -336,3 +347,14 @@ def test_pipeline_stages_match_brute_force(spark, docs):
     clean = stage["secret_scan"](spark, docs, SF).collect()
     assert len(clean) == docs.count() and not any(re.search(r"(?i)token\s*=\s*\"[0-9a-f]{20}", r["text"]) for r in clean) and all(r["n_chars"] == len(r["text"]) for r in clean)
     assert corpus_pipeline.run(spark, SF).filter("not round_trip").count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, docs):
+    clash = ("_key", "_uid", "_gone", "_again", "_text", "lang_pred", "score", "coverage", "shingle", "k")
+    odd = docs.limit(40).unionByName(docs.limit(3)).unionByName(docs.filter("length(text) > 50").limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).drop("n_chars").withColumns({c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(0))) for c in clash})
+    odd = odd.unionByName(odd.limit(1).withColumns({"doc_id": F.lit(7_777_777).cast("long"), "text": F.lit("the of and in " + "thatin estion heing " * 20_000)}))
+    rows = corpus_pipeline.apply(spark, odd, SF).collect()
+    assert rows and all(r[c] == f"{c}{r['doc_id'] or 0}" or r["doc_id"] == 7_777_777 for r in rows for c in clash)
+    assert len({r["text"] for r in rows}) == len(rows) and all(r["round_trip"] for r in rows) and 7_777_777 in {r["doc_id"] for r in rows}
+    assert corpus_pipeline.apply(spark, docs.limit(0), SF).count() == 0

@@ -53,7 +53,7 @@ def test_language_matches_brute_force(docs):
         for x in h[ok].tolist():
             mask = -1
             for j in range(language_id.HASHES):
-                mask &= int(model.masks[(x >> (language_id.SLOT_BITS * j)) & ((1 << language_id.SLOT_BITS) - 1)])
+                mask &= int(model.masks[0][(x >> (language_id.SLOT_BITS * j)) & ((1 << language_id.SLOT_BITS) - 1)])
             hits += [(mask >> i) & 1 for i in range(len(hits))]
             n += 1
     right = np.clip((hits - n * model.fp) / (1 - model.fp), 0, None)
@@ -69,6 +69,21 @@ def test_language_odd_rows(docs, odd):
     assert {r["lang_pred"] for r in language_id.identify(odd, language_id.fit(empty(docs))).collect()} == {"und"}
 
 
+def test_many_languages_and_ties(spark):
+    rng = random.Random(2)
+    letters = [chr(0x4E00 + 40 * i + j) for i in range(70) for j in range(12)]
+    say = lambda i: "".join(rng.choice(letters[12 * i : 12 * i + 12]) for _ in range(60))
+    rows = [(100 * i + j, say(i), f"l{i:02}") for i in range(70) for j in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, min_count=1)
+    assert len(model.languages) == 70 and model.masks.shape[0] == 2
+    fresh = spark.createDataFrame([(i, say(i)) for i in range(70)], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(fresh, model).collect()} == {i: f"l{i:02}" for i in range(70)}
+    # two languages with the same texts: the one that sorts first
+    same = spark.createDataFrame([(i, "the same words again", x) for i, x in enumerate("ba" * 6)], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.identify(same, language_id.fit(same, min_count=1)).collect()} == {"a"}
+
+
 @pytest.mark.parametrize("chunk", [32_768, 200])
 def test_pieces_equal_the_library(spark, docs, odd, chunk):
     import sentencepiece
@@ -366,7 +381,36 @@ def test_shards(spark, docs, odd):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
     biggest, goal = max(r["size"] for r in rows), sum(sizes.values()) / 40
     assert max(sizes.values()) - min(sizes.values()) <= biggest and max(sizes.values()) <= max(biggest, goal * 1.5)
-    assert sharding.shard(odd, 3).count() == len(ODD) and sharding.shard(empty(docs), 3).count() == 0
+    assert sharding.shard(empty(docs), 3).count() == 0
+
+
+def test_shards_of_odd_rows(spark, odd, tmp_path):
+    long = "é" * 300_000
+    df = odd.select("doc_id", "text", "shard").unionByName(spark.createDataFrame([(9, long, "y")] + [(1, "same", "z")] * 500, "doc_id long, text string, shard string"))
+    path = str(tmp_path / "map")
+    for version in (2, 3):
+        rows = sharding.shard(df, 3, map_path=path).collect()
+        want = Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in [*ODD, (9, long), *[(1, "same")] * 500])
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+        places = {}
+        for r in rows:
+            places.setdefault(r["shard"], []).append(r["slot"])
+        assert all(sorted(p) == list(range(len(p))) for p in places.values()) and {r["map_version"] for r in rows} == {version}
+    # more rows move few slots: the stored map is edited, not made anew
+    more = df.unionByName(spark.createDataFrame([(i, "x" * 3000, "") for i in range(1000, 1400)], "doc_id long, text string, shard string"))
+    sharding.shard(more, 3, map_path=path).count()
+    old, new = sharding.SlotMap.load(spark, path, 3), sharding.SlotMap.load(spark, path)
+    assert new.version == 4 and 0 < sum(a != b for a, b in zip(old.shard_of, new.shard_of, strict=True)) < 1000
+    with pytest.raises(ValueError):
+        sharding.shard(df, 5, map_path=path)
+
+
+def test_secret_runs_are_swept_once():
+    text = " ".join(f"token=abcdef{i}Gh/{i}xYz9Qw7Lm+{'0a' * 14}" for i in range(3000))
+    base = secrets.base_spans(text)
+    taken = [(s, e) for s, _, e, _ in base]
+    found = secrets.candidates(text, base)
+    assert len(base) >= 3000 and not any(s < z and a < e for (s, e), (a, z) in zip(found, taken, strict=False))
 
 
 def test_slot_map_edits_move_slots_only_where_needed(spark, tmp_path):
