@@ -10,9 +10,10 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import CATEGORIES, DIMENSIONS, PROVIDERS, dimension_suffix, parse_instant, utc_problem
 from ..schemas import PRICE_KEY, USAGE_KEY
-from .components import expected_components
+from .components import expected_components, key_set
 from .explain import STALE_DAYS
 from .pricing import same_key
+from .reports import numbered
 
 SEVERITIES = ("Info", "Warning", "Error")
 
@@ -94,12 +95,11 @@ def usage_row_problems(raw: DataFrame) -> DataFrame:
     return rows.select(*finding("Error", F.col("_kind"), F.col("timestamp"), remedy="correct or remove the usage row"))
 
 
-def coverage(components: DataFrame, prices: DataFrame) -> DataFrame:
-    """Where prices do not cover a key from its first to its last use.
+def coverage(seen: DataFrame, prices: DataFrame) -> DataFrame:
+    """Where prices do not cover a key from its first to its last use (``observations``).
 
     The cursor of a sweep over the intervals is a running maximum: of the first use and all earlier ends.
     """
-    seen = observations(components)
     usd_prices = prices.filter("currency = 'USD'").select(*PRICE_KEY, "effective_from", "effective_to")
     both = seen.alias("c").join(usd_prices.withColumn("currency", F.lit("USD")).alias("p"), same_key("c", "p"), "left").select("c.*", "p.effective_from", "p.effective_to")
     w = Window.partitionBy(*PRICE_KEY).orderBy("effective_from", F.col("effective_to").asc_nulls_last())
@@ -135,8 +135,8 @@ def unsupported_modifiers(components: DataFrame, prices: DataFrame) -> DataFrame
     odd = F.lit(False)
     for d in DIMENSIONS:
         odd = odd | F.col(d).isNotNull()
-    keys = components.select(*PRICE_KEY).filter(odd).distinct()
-    known = prices.select(*PRICE_KEY).distinct()
+    keys = key_set(components.filter(odd))
+    known = key_set(prices)
     return keys.alias("c").join(known.alias("p"), same_key("c", "p", None), "left_anti").select(*finding("Error", "UnsupportedModifier", remedy="add prices for these dimensions"))
 
 
@@ -205,19 +205,38 @@ def integrity(usage: DataFrame, components: DataFrame, selected: DataFrame | Non
     return out if limit is None else out.orderBy("step", *USAGE_KEY, "token_category").limit(limit)
 
 
-def full_audit(components: DataFrame, prices: DataFrame, sources: DataFrame, usage: DataFrame, today: dt.date, raw_prices: DataFrame | None = None) -> DataFrame:
-    """Every finding with the step that made it, in the audit's order."""
+def full_audit(
+    components: DataFrame, prices: DataFrame, sources: DataFrame, usage: DataFrame, today: dt.date, raw_prices: DataFrame | None = None, raw_usage: DataFrame | None = None,
+) -> DataFrame:
+    """Every finding with the step that made it, in the audit's order: currencies, open intervals, neighbouring intervals,
+    billing components, coverage, unknown models, unsupported modifiers, sources.
+
+    Raw price rows, where given, are step -2 and raw usage rows step -1; neither stops the other steps.
+    """
     none = [F.lit(None).cast("string").alias(d) for d in DIMENSIONS]
     broken = integrity(usage, components).select("issue", "provider", F.col("request_id").alias("model_id"), "token_category", *none).select(*finding("Error", "BillingIntegrity"), "issue").withColumn("remediation", F.col("issue")).drop("issue")
-    steps = [currencies(prices), open_intervals(prices), adjacent_pairs(prices), broken, coverage(components, prices), unknown_models(components, prices), unsupported_modifiers(components, prices), source_quality(components, prices, sources, today)]
+    # one row per pricing key stands for all usage in three of the steps
+    seen = observations(components).cache()
+    steps = {
+        0: currencies(prices), 1: open_intervals(prices), 2: adjacent_pairs(prices), 3: broken, 4: coverage(seen, prices), 5: unknown_models(seen, prices),
+        6: unsupported_modifiers(seen, prices), 7: source_quality(components, prices, sources, today),
+    }
     if raw_prices is not None:
-        steps.insert(0, malformed_prices(raw_prices))
-    out = steps[0].withColumn("step", F.lit(0))
-    for i, s in enumerate(steps[1:], 1):
-        out = out.unionByName(s.withColumn("step", F.lit(i)))
+        steps[-2] = malformed_prices(raw_prices)
+    if raw_usage is not None:
+        steps[-1] = usage_row_problems(raw_usage)
+    out = None
+    for i in sorted(steps):
+        own = steps[i].withColumn("step", F.lit(i))
+        out = own if out is None else out.unionByName(own)
     return out
 
 
+def ordered(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` numbered in the order of some columns, nulls first; see ``reports.numbered``."""
+    return numbered(rows, [F.col(c).asc_nulls_first() for c in columns])
+
+
 def verdict(findings: DataFrame, provider: str | None = None) -> DataFrame:
     """Findings by severity and whether the audit failed: any error."""
     own = findings if provider is None else findings.filter(F.col("provider") == provider)

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import CATEGORIES, DIMENSIONS, billable_tokens, normalize_dimension
+from ..schemas import PRICE_KEY
 
 COMPONENT_COLUMNS = ["provider", "request_id", "model_id", "timestamp", "token_category", "tokens", *DIMENSIONS, "component_ordinal"]
 
 
-def explode_components(usage: DataFrame) -> DataFrame:
-    """One row per category with tokens; cache creation splits by lifetime where the split is known.
-
-    One pass: an array of candidate components per request, its empty ones filtered, then posexplode.
-    """
+def component_array() -> Column:
+    """A request's components in order, as structs: one per category with tokens; cache creation splits by lifetime where
+    the split is known."""
     five, hour, whole = F.col("cache_creation_5m_tokens"), F.col("cache_creation_1h_tokens"), F.col("cache_creation_tokens")
     split = (five > 0) | (hour > 0)
     none = F.lit(None).cast("string")
@@ -32,14 +31,28 @@ def explode_components(usage: DataFrame) -> DataFrame:
         parts.append(part(c, F.when(has, five).otherwise(0), F.lit("ephemeral_5m")))
         parts.append(part(c, F.when(has, hour).otherwise(0), F.lit("ephemeral_1h")))
         parts.append(part(c, F.when(split, F.greatest(whole - five - hour, F.lit(0))).otherwise(whole)))
-    some = F.filter(F.array(*parts), lambda p: p["tokens"] > 0)
-    dims = [normalize_dimension("provider", d, d).alias(d) for d in DIMENSIONS[:4]]
-    return usage.select("provider", "request_id", "model_id", "timestamp", *dims, F.posexplode(some)).select(
+    return F.filter(F.array(*parts), lambda p: p["tokens"] > 0)
+
+
+def component_dimensions() -> dict[str, Column]:
+    """The dimensions that all of a request's components share."""
+    return {d: normalize_dimension("provider", d, d) for d in DIMENSIONS[:4]}
+
+
+def explode_components(usage: DataFrame) -> DataFrame:
+    """One row per component: the array of a request, exploded in one pass."""
+    dims = [c.alias(d) for d, c in component_dimensions().items()]
+    return usage.select("provider", "request_id", "model_id", "timestamp", *dims, F.posexplode(component_array())).select(
         "provider", "request_id", "model_id", "timestamp", F.col("col.token_category").alias("token_category"), F.col("col.tokens").alias("tokens"),
         *DIMENSIONS[:4], F.col("col.source_detail").alias("source_detail"), F.col("pos").alias("component_ordinal"),
     )
 
 
+def key_set(components: DataFrame) -> DataFrame:
+    """Every pricing key that components have."""
+    return components.select(*PRICE_KEY).distinct()
+
+
 def expected_components(usage: DataFrame) -> DataFrame:
     """(provider, request_id, token_category, expected): what a request should bill, one pass over all categories."""
     pairs = F.array(*(F.struct(F.lit(c).alias("token_category"), billable_tokens(c).cast("long").alias("expected")) for c in CATEGORIES))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import DIMENSIONS, PROVIDERS, cost_of, normalize_dimension, usd
 from ..schemas import PRICE_KEY, TOKEN_COLUMNS, USAGE_KEY
+from .components import component_array, component_dimensions, explode_components
 
 
 class MissingPricing(ValueError):
@@ -50,6 +51,59 @@ def component_costs(components: DataFrame, prices: DataFrame) -> DataFrame:
     return matched.groupBy(*key).agg(n.alias("price_matches"), F.when(n == 1, F.sum(cost_of("tokens", "rate"))).alias("exact"))
 
 
+def why(status: Column) -> Column:
+    return (
+        F.when(status == "ambiguous", "a component has several prices at its time")
+        .when(status == "integrity", "tokens are billable but no component bills them")
+        .when(status == "missing", "a component has no price at its time").otherwise("")
+    )
+
+
+def priced_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """Usage with ``exact`` and ``status``, as ``request_costs`` finds them for the components that usage gives rise to.
+
+    A request's components share everything but category and detail, so one join per request with the price lists of
+    its model and dimensions is enough: usage is read once, nothing is exploded, and with prices that Spark broadcasts
+    nothing is shuffled.  A list holds one model's prices of all dates.
+    """
+    shared = [c for c in PRICE_KEY if c not in ("token_category", "source_detail")]
+    offers = prices.filter("currency = 'USD'").groupBy(*shared).agg(
+        F.collect_list(F.struct("token_category", "source_detail", F.col("rate_per_1m_tokens").cast("decimal(18,6)").alias("rate"), "effective_from", "effective_to")).alias("_offers")
+    )
+    dims = {f"_{d}": c for d, c in component_dimensions().items()}
+    left = usage.withColumns({**dims, "_parts": component_array()}).alias("u")
+    meets = (F.col("u.provider") == F.col("o.provider")) & (F.col("u.model_id") == F.col("o.model_id"))
+    for d in dims:
+        meets = meets & F.col(f"u.{d}").eqNullSafe(F.col(f"o.{d[1:]}"))
+    joined = left.join(offers.alias("o"), meets, "left").select("u.*", "o._offers")
+    t = F.col("timestamp")
+
+    def applies(part: Column):
+        return lambda o: (
+            (o["token_category"] == part["token_category"]) & o["source_detail"].eqNullSafe(part["source_detail"])
+            & (o["effective_from"] <= t) & (o["effective_to"].isNull() | (t < o["effective_to"]))
+        )
+
+    zero = F.lit(0).cast("decimal(38,6)")
+    start = F.struct(F.lit(0).alias("missing"), F.lit(0).alias("ambiguous"), zero.alias("exact"))
+
+    def add(acc: Column, part: Column) -> Column:
+        found = F.filter(F.coalesce("_offers", F.array().cast(joined.schema["_offers"].dataType)), applies(part))
+        one = F.when(F.size(found) == 1, cost_of(part["tokens"], F.get(found, F.lit(0))["rate"])).otherwise(0)
+        return F.struct(
+            (acc["missing"] + F.when(F.size(found) == 0, 1).otherwise(0)).alias("missing"), (acc["ambiguous"] + F.when(F.size(found) > 1, 1).otherwise(0)).alias("ambiguous"),
+            (acc["exact"] + one).cast("decimal(38,6)").alias("exact"),
+        )
+
+    tokens = sum((F.col(c) for c in TOKEN_COLUMNS[1:]), F.col(TOKEN_COLUMNS[0]))
+    status = (
+        F.when(F.col("_sum.ambiguous") > 0, "ambiguous").when((F.size("_parts") == 0) & (tokens > 0), "integrity")
+        .when(F.col("_sum.missing") > 0, "missing").otherwise("priced")
+    )
+    summed = joined.withColumn("_sum", F.aggregate("_parts", start, add)).withColumn("status", status)
+    return summed.select(*usage.columns, F.when(F.col("status") == "priced", F.col("_sum.exact")).alias("exact"), "status")
+
+
 def request_costs(usage: DataFrame, components: DataFrame, prices: DataFrame, generation: int = 1) -> DataFrame:
     """One row per request: cost, status (ambiguous, integrity, missing, priced, in that order) and why."""
     per = component_costs(components, prices).groupBy(*USAGE_KEY).agg(
@@ -62,11 +116,7 @@ def request_costs(usage: DataFrame, components: DataFrame, prices: DataFrame, ge
         .when(F.col("n").isNull() & (tokens > 0), "integrity")
         .when(F.coalesce("priced", F.lit(0)) < F.coalesce("n", F.lit(0)), "missing").otherwise("priced")
     )
-    said = (
-        F.when(F.col("status") == "ambiguous", "multiple prices match a billing component")
-        .when(F.col("status") == "integrity", "billable usage has no billing components")
-        .when(F.col("status") == "missing", "one or more billing components lack pricing").otherwise("")
-    )
+    said = why(F.col("status"))
     exact = F.when(F.col("status") == "priced", F.coalesce("exact", F.lit(0).cast("decimal(38,6)")))
     return (
         usage.join(per, USAGE_KEY, "left").withColumn("status", status)
@@ -115,6 +165,24 @@ def require_cost(usage: DataFrame, costs: DataFrame, generations: DataFrame, com
     raise kind(f"{p['problem']} price: {p['provider']}/{p['model_id']}/{p['token_category']} at {p['timestamp']}")
 
 
+def require_priced(rows: DataFrame, prices: DataFrame) -> None:
+    """``require_cost`` for the rows of ``priced_usage``: looks at one bad row at most, and then at its components."""
+    bad = rows.filter("status != 'priced'").limit(1).collect()
+    if not bad:
+        return
+    own = rows.filter((F.col("provider") == bad[0]["provider"]) & (F.col("request_id") == bad[0]["request_id"]))
+    point = observed_coverage(explode_components(own), prices).limit(1).collect()
+    said = f"{bad[0]['provider']}/{bad[0]['request_id']} is {bad[0]['status']}"
+    if point:
+        said += f": {point[0]['problem']} price of {point[0]['model_id']}/{point[0]['token_category']} at {point[0]['timestamp']}"
+    raise (OverlappingPricing if bad[0]["status"] == "ambiguous" else MissingPricing)(f"cost of {said}")
+
+
+def record_costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """Cost of every request, null where any of its components lacks exactly one price."""
+    return with_usd(priced_usage(usage, prices).select(*USAGE_KEY, "exact"))
+
+
 def record_cost(usage: DataFrame, components: DataFrame, prices: DataFrame, provider: str, request_id: str) -> float:
     """Cost of one request; raises where any of its components lacks exactly one price."""
     own = (F.col("provider") == provider) & (F.col("request_id") == request_id)

@@ -18,7 +18,7 @@ STEPS = {"5min": "INTERVAL 5 MINUTES", "hourly": "INTERVAL 1 HOUR", "daily": "IN
 
 def with_costs(usage: DataFrame, costs: DataFrame | None) -> DataFrame:
     """Usage with its exact cost; without ``costs`` the join is left out and cost is 0."""
-    if costs is None:
+    if costs is None:  # a report without money
         return usage.withColumn("exact", F.lit(0).cast("decimal(38,6)"))
     return usage.join(costs.select(*USAGE_KEY, "exact"), USAGE_KEY, "left")
 
@@ -81,6 +81,11 @@ def by_group(rows: DataFrame, by: str, n: int | None = None) -> DataFrame:
     return out if n is None else out.limit(n)
 
 
+def distinct_sessions(rows: DataFrame) -> DataFrame:
+    """How many sessions there are; an id counts once per provider."""
+    return rows.agg(F.count_distinct("provider", "session_id").alias("sessions"))
+
+
 def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(*measures()).drop("first_at", "last_at")
 

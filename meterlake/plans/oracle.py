@@ -23,6 +23,12 @@ usage AS (
     CASE WHEN who % 5 = 0 THEN '' ELSE 'proj-' || (who % 5) END AS project, id % 6 = 0 AS is_subagent
   FROM ev))"""
 
+# line items repeat (order, line), so a row number tells requests apart
+SCALED = USAGE.replace("'req-' || id AS request_id", "'req-' || id || '-' || rid AS request_id").replace(USAGE[: USAGE.index("usage AS (")], """
+ev AS (SELECT row_number() OVER () AS rid, l_orderkey * 8 + l_linenumber AS id, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(l_orderkey % 30 AS INTEGER)) + to_hours(l_suppkey % 24) + to_minutes(l_partkey % 60) AS ts, l_suppkey % 150 AS who,
+  ['signup', 'error', 'click', 'view', 'purchase'][l_linenumber % 5 + 1] AS kind, l_extendedprice % 400 AS amount, l_partkey % 100 AS k FROM lineitem),
+""")
+
 COMPONENTS = """
 parts AS (
   SELECT *, unnest([
@@ -149,6 +155,11 @@ def priced(select: str, *more: str) -> str:
     return base(USAGE, COMPONENTS, price_cte(good_prices()), COSTS, *more) + "\n" + select
 
 
+def scaled(select: str) -> str:
+    """``priced`` over line items."""
+    return base(SCALED, COMPONENTS, price_cte(good_prices()), COSTS) + "\n" + select
+
+
 def defective(select: str, *more: str) -> str:
     return base(USAGE, COMPONENTS, price_cte(defective_prices()), COSTS, SOURCE_CTE, *more) + "\n" + select
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import audit, budget, explain, pricing, reports
-from ..operators.components import expected_components, explode_components
+from ..operators.components import expected_components, explode_components, key_set
 from ..operators.filters import UsageFilter
 from ..schemas import PRICE_KEY, USAGE_KEY
-from ..sources import bridge, catalog, sinks
+from ..sources import bridge, catalog, logs, sinks
 from . import oracle as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +52,7 @@ class Tables:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return reports.with_costs(self.usage, self.costs)
+        return pricing.priced_usage(self.usage, self.prices)
 
     @cached_property
     def sources(self) -> DataFrame:
@@ -233,7 +233,7 @@ for _name, _how, _where in (
 
 @query("J1_usage_costs", O.priced("SELECT provider, request_id, total_tokens, CAST(round(exact, 0) AS DOUBLE) / 1e6 AS cost_usd FROM rows"))
 def _(t):
-    return pricing.with_usd(t.rows.select(*USAGE_KEY, "total_tokens", "exact"))
+    return pricing.with_usd(reports.with_costs(t.usage, t.costs).select(*USAGE_KEY, "total_tokens", "exact"))
 
 
 @query("J2_price_join", O.priced(f"SELECT c.provider, c.request_id, c.component_ordinal, c.tokens, CAST(p.rate AS DOUBLE) AS rate, p.source AS price_source FROM components c LEFT JOIN prices p ON {O.MATCH} AND p.currency = 'USD' AND {O.IN_FORCE}"))
@@ -476,7 +476,7 @@ def _(t):
 
 @query("A9_distinct_sessions", O.base(O.USAGE) + " SELECT count(DISTINCT provider || ':' || session_id) AS sessions FROM usage")
 def _(t):
-    return t.usage.agg(F.count_distinct("provider", "session_id").alias("sessions"))
+    return reports.distinct_sessions(t.usage)
 
 
 @query("A15_inventory", O.priced("""SELECT 'usage_rows' AS item, '' AS key, CAST(count(*) AS VARCHAR) AS value FROM usage UNION ALL SELECT 'models', '', CAST(count(DISTINCT model_id) AS VARCHAR) FROM usage UNION ALL SELECT 'latest_usage', '', strftime(max("timestamp"), '%Y-%m-%d %H:%M:%S') FROM usage
@@ -526,13 +526,12 @@ for _m, _c in (("tokens", "total_tokens"), ("cost", "cost_usd"), ("input", "inpu
 
 @query("A22_record_cost", O.priced("SELECT provider, request_id, CAST(round(exact, 0) AS DOUBLE) / 1e6 AS cost_usd FROM costs WHERE request_id LIKE '%7'"))
 def _(t):
-    own = F.col("request_id").endswith("7")
-    return pricing.with_usd(pricing.request_costs(t.usage.filter(own), t.components.filter(own), t.prices)).select(*USAGE_KEY, "cost_usd")
+    return pricing.record_costs(t.usage.filter(F.col("request_id").endswith("7")), t.prices)
 
 
 @query("A22_record_cost_all", O.priced("SELECT provider, request_id, CAST(round(exact, 0) AS DOUBLE) / 1e6 AS cost_usd FROM costs"))
 def _(t):
-    return pricing.with_usd(pricing.request_costs(t.usage, t.components, t.prices)).select(*USAGE_KEY, "cost_usd")
+    return pricing.record_costs(t.usage, t.prices)
 
 
 @query("G5_calendar_grid", O.base(O.USAGE) + """, days AS (SELECT unnest(generate_series(DATE '2023-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS day),
@@ -555,7 +554,7 @@ def _(t):
 @query("G6_ordered_findings_all", O.base(O.QUOTES) + f" SELECT row_number() OVER (ORDER BY provider, model_id, token_category, region NULLS FIRST) AS place, provider, model_id, token_category, region FROM (SELECT DISTINCT {O.KEY} FROM prices) ORDER BY place")
 def _(t):
     shown = ["provider", "model_id", "token_category", "region"]
-    return reports.numbered(t.quotes.select(*PRICE_KEY).distinct().select(*shown), [F.col(c).asc_nulls_first() for c in shown])
+    return audit.ordered(key_set(t.quotes).select(*shown), *shown)
 
 
 @query("S19_csv_rows", O.priced(f"SELECT provider, model_id, total_tokens, CAST(CAST(cost_usd AS DECIMAL(38,6)) AS VARCHAR) AS cost_usd FROM (SELECT provider, model_id, {O.MEASURES} FROM rows GROUP BY 1, 2)"))
@@ -578,7 +577,7 @@ def _(t):
 
 @query("U2_key_sets", O.base(O.USAGE, O.COMPONENTS) + f" SELECT DISTINCT {O.KEY} FROM components")
 def _(t):
-    return t.components.select(*PRICE_KEY).distinct()
+    return key_set(t.components)
 
 
 # -- price timelines and audits
@@ -616,7 +615,7 @@ _W2 = f"""SELECT {O.finding("'Error'", 'k', O.said('a'), O.said('z'), "'add a pr
 
 @query("W2_coverage", O.defective(_W2, _SWEEP), defects=True)
 def _(t):
-    return audit.coverage(t.components, t.prices)
+    return audit.coverage(audit.observations(t.components), t.prices)
 
 
 _C14 = f"""SELECT {O.finding('sev', 'k', O.said('effective_from'), O.said('effective_to'), "source || ': import a reviewed catalog'", "'default'")} FROM (
@@ -659,6 +658,25 @@ def _(t):
     return catalog.refresh_plan(t.quotes.filter("source = 'src-0'"), snap).groupBy("provider", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SHOW = "provider, model_id, token_category, region, CAST(rate AS DOUBLE) AS rate, strftime(effective_from, '%Y-%m-%d') AS effective_from, strftime(effective_to, '%Y-%m-%d') AS effective_to, source"
+
+
+def _shown_prices(df: DataFrame) -> DataFrame:
+    return df.select("provider", "model_id", "token_category", "region", F.col("rate_per_1m_tokens").cast("double").alias("rate"), *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("effective_from", "effective_to")), "source")
+
+
+@query("C4_refresh_applied", O.base(O.QUOTES, _SNAP) + f""", todo AS (SELECT c.*, opens, o, CASE WHEN opens IS NULL THEN 'insert' WHEN opens > 1 THEN 'ambiguous' WHEN c.rate = p.o.r AND c.source = p.o.s THEN 'keep' WHEN c.rate = p.o.r THEN 'relabel'
+WHEN c.effective_from > p.o.f THEN 'close' WHEN c.effective_from = p.o.f THEN 'replace' ELSE 'stale' END AS action FROM snap c LEFT JOIN op p ON {O.MATCH}), good AS (SELECT * FROM todo WHERE action NOT IN ('stale', 'ambiguous')),
+after AS (SELECT p.provider, p.model_id, p.token_category, p.region, CASE WHEN action = 'replace' THEN c.rate ELSE p.rate END AS rate, p.effective_from, CASE WHEN action = 'close' THEN c.effective_from WHEN action = 'replace' THEN NULL ELSE p.effective_to END AS effective_to,
+  CASE WHEN action IN ('replace', 'relabel') THEN c.source ELSE p.source END AS source FROM (SELECT * FROM prices WHERE source = 'src-0') p LEFT JOIN good c ON {O.MATCH} AND p.effective_to IS NULL
+  UNION ALL SELECT provider, model_id, token_category, region, rate, effective_from, NULL, source FROM good WHERE action IN ('insert', 'close')) SELECT {_SHOW} FROM after""")
+def _(t):
+    snap = t.quotes.filter("source != 'src-0'").groupBy(*PRICE_KEY).agg(F.max("rate_per_1m_tokens").alias("rate_per_1m_tokens"), F.max("effective_from").alias("effective_from"), F.max("source").alias("source"))
+    snap = snap.withColumns({"currency": F.lit("USD"), "effective_to": F.lit(None).cast("timestamp")})
+    stored = t.quotes.filter("source = 'src-0'")
+    return _shown_prices(catalog.refresh(stored, catalog.refresh_plan(stored, snap).filter("action not in ('stale', 'ambiguous')").select(*stored.columns)))
+
+
 @query("C6_upsert_sources", "SELECT s_suppkey % 50 AS k, max(s_suppkey) FILTER (s_suppkey % 3 = 0) AS last_new, count(*) AS n FROM supplier GROUP BY 1 HAVING count(*) > 0")
 def _(t):
     s = t.spark.read.parquet(f"{t.sf_dir}/supplier.parquet")
@@ -698,25 +716,64 @@ def _(t):
     return catalog.expand_rates(wide, bridge.START, "x").select("provider", "model_id", "token_category", "region", "source_detail", "processing_mode", F.col("rate_per_1m_tokens").cast("double").alias("rate"))
 
 
-@query("C11_raw_price_audit", """SELECT problem, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN l_orderkey % 11 = 0 THEN 'blank model_id' END, CASE WHEN l_orderkey % 13 = 0 THEN 'rate is no number' END, CASE WHEN l_orderkey % 13 <> 0 AND l_orderkey % 7 = 0 THEN 'rate is negative' END,
-CASE WHEN l_partkey % 5 = 0 THEN 'unsupported provider' END, CASE WHEN l_partkey % 6 = 0 THEN 'unsupported category' END, CASE WHEN l_orderkey % 3 = 0 THEN 'effective_from is not canonical' END, CASE WHEN l_orderkey % 4 = 0 THEN 'effective_to is not after effective_from' END], lambda x: x IS NOT NULL)) AS problem FROM lineitem) GROUP BY 1""")
-def _(t):
+def _raw_prices(t: Tables) -> DataFrame:
+    """Price rows as text, with seeded defects."""
     k, p, day = F.col("l_orderkey"), F.col("l_partkey"), F.date_format("l_shipdate", "yyyy-MM-dd")
     none = F.lit(None).cast("string")
-    raw = t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet").select(
+    return t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet").select(
         F.when(p % 5 == 0, "acme").otherwise("codex").alias("provider"), F.when(k % 11 == 0, " ").otherwise("m").alias("model_id"), F.when(p % 6 == 0, "images").otherwise("input").alias("token_category"), *(none.alias(d) for d in C.DIMENSIONS), F.lit("USD").alias("currency"),
         F.when(k % 13 == 0, "abc").when(k % 7 == 0, "-1.5").otherwise("2.5").alias("rate_per_1m_tokens"), F.concat(day, F.when(k % 3 == 0, "T00:00:00Z").otherwise("T00:00:00+00:00")).alias("effective_from"),
         F.when(k % 4 == 0, F.concat(day, F.lit("T00:00:00+00:00"))).alias("effective_to"), F.lit("s").alias("source"),
     )
-    return audit.price_row_problems(raw).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C13_usage_row_audit", """SELECT kind, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN event_id % 5 = 0 THEN 'UnsupportedProvider' END, CASE WHEN event_id % 7 = 0 THEN 'UnsupportedCategory' END, CASE WHEN event_id % 3 = 0 THEN 'MalformedUsageTimestamp' END], lambda x: x IS NOT NULL)) AS kind FROM events) GROUP BY 1""")
+@query("C11_raw_price_audit", """SELECT problem, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN l_orderkey % 11 = 0 THEN 'blank model_id' END, CASE WHEN l_orderkey % 13 = 0 THEN 'rate is no number' END, CASE WHEN l_orderkey % 13 <> 0 AND l_orderkey % 7 = 0 THEN 'rate is negative' END,
+CASE WHEN l_partkey % 5 = 0 THEN 'unsupported provider' END, CASE WHEN l_partkey % 6 = 0 THEN 'unsupported category' END, CASE WHEN l_orderkey % 3 = 0 THEN 'effective_from is not canonical' END, CASE WHEN l_orderkey % 4 = 0 THEN 'effective_to is not after effective_from' END], lambda x: x IS NOT NULL)) AS problem FROM lineitem) GROUP BY 1""")
 def _(t):
+    return audit.price_row_problems(_raw_prices(t)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _raw_usage(t: Tables) -> DataFrame:
+    """Usage rows as text, with seeded defects."""
     i, none = F.col("event_id"), F.lit(None).cast("string")
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
-    raw = bridge.events(t.spark, t.sf_dir).select(F.when(i % 5 == 0, "acme").otherwise("codex").alias("provider"), F.lit("m").alias("model_id"), F.when(i % 7 == 0, "images").otherwise("input").alias("token_category"), F.concat(stamp, F.when(i % 3 == 0, "").otherwise("+00:00")).alias("timestamp"), *(none.alias(d) for d in C.DIMENSIONS))
-    return audit.usage_row_problems(raw).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return bridge.events(t.spark, t.sf_dir).select(F.when(i % 5 == 0, "acme").otherwise("codex").alias("provider"), F.lit("m").alias("model_id"), F.when(i % 7 == 0, "images").otherwise("input").alias("token_category"), F.concat(stamp, F.when(i % 3 == 0, "").otherwise("+00:00")).alias("timestamp"), *(none.alias(d) for d in C.DIMENSIONS))
+
+
+@query("C13_usage_row_audit", """SELECT kind, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN event_id % 5 = 0 THEN 'UnsupportedProvider' END, CASE WHEN event_id % 7 = 0 THEN 'UnsupportedCategory' END, CASE WHEN event_id % 3 = 0 THEN 'MalformedUsageTimestamp' END], lambda x: x IS NOT NULL)) AS kind FROM events) GROUP BY 1""")
+def _(t):
+    return audit.usage_row_problems(_raw_usage(t)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_MOD = f"""SELECT {O.finding("'Error'", "'UnsupportedModifier'", remedy="'add prices for these dimensions'")} FROM (SELECT DISTINCT {O.KEY} FROM components
+WHERE coalesce(service_tier, speed, region, processing_mode, source_detail) IS NOT NULL) c WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE {O.MATCH})"""
+_UNKNOWN = """SELECT 'Error' AS severity, 'UnknownObservedModel' AS kind FROM (SELECT DISTINCT provider, model_id FROM components) c
+WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.provider = c.provider AND p.model_id = c.model_id)"""
+_EVERY = f"SELECT * FROM ({_C12}) UNION ALL SELECT * FROM ({_W3}) UNION ALL SELECT * FROM ({_W1}) UNION ALL SELECT * FROM ({_W2}) UNION ALL SELECT * FROM ({_MOD}) UNION ALL SELECT * FROM ({_C14})"
+_VERDICT = "count(*) FILTER (severity = 'Error') > 0 AS failed, count(*) FILTER (severity = 'Error') AS error_count, count(*) FILTER (severity = 'Info') AS info_count, count(*) FILTER (severity = 'Warning') AS warning_count"
+
+
+@query("C18_errors_of_provider_all", O.defective(f"SELECT {_VERDICT} FROM ({_EVERY}) WHERE provider = 'claude-code'", _SWEEP, _USED), defects=True)
+def _(t):
+    return audit.verdict(audit.full_audit(t.components, t.prices, t.sources, t.usage, bridge.TODAY), "claude-code")
+
+
+def _steps(*steps: tuple[int, str]) -> str:
+    return "SELECT step, severity, kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {i} AS step, severity, kind FROM ({sql})" for i, sql in steps) + ") GROUP BY ALL"
+
+
+_FAULTS = " UNION ALL ".join(f"SELECT 'Error' AS severity, 'BillingIntegrity' AS kind FROM ({x})" for x in (_ORPHANS, _DUPES, _MISMATCH, _UNEXPECTED))
+_AUDIT_CTES = (O.USAGE, _BROKEN, O.price_cte(O.defective_prices()), O.SOURCE_CTE, _SWEEP, _USED)
+
+
+@query("C15_full_audit_raw", O.base(*_AUDIT_CTES) + " " + _steps(
+    (-2, f"SELECT 'Error' AS severity, 'MalformedCatalogRow' AS kind FROM (SELECT unnest(range(n)) FROM ({ORACLE_SQL['C11_raw_price_audit']}))"),
+    (-1, f"SELECT 'Error' AS severity, kind FROM (SELECT kind, unnest(range(n)) FROM ({ORACLE_SQL['C13_usage_row_audit']}))"),
+    (0, _C12), (1, _W3), (2, _W1), (3, _FAULTS), (4, _W2), (5, _UNKNOWN), (6, _MOD), (7, _C14),
+), defects=True)
+def _(t):
+    found = audit.full_audit(_broken(t), t.prices, t.sources, t.usage, bridge.TODAY, _raw_prices(t), _raw_usage(t))
+    return found.groupBy("step", "severity", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 _ASSUME = f"""pv AS (SELECT DISTINCT c.provider, c.model_id, c.token_category, c.service_tier, c.speed, c.region, c.processing_mode, p.source, s.source_kind, s.source_retrieved_at FROM components c LEFT JOIN prices p ON {O.MATCH} AND p.currency = 'USD' AND {O.IN_FORCE} LEFT JOIN sources s ON s.source = p.source),
@@ -739,8 +796,7 @@ def _(t):
 
 @query("C17_gated_report", O.priced(f"SELECT provider, {O.MEASURES} FROM rows GROUP BY 1"))
 def _(t):
-    now = t.spark.createDataFrame([(p, 1) for p in C.PROVIDERS], "provider string, generation int")
-    pricing.require_cost(t.usage, t.costs, now, t.components, t.prices)
+    pricing.require_priced(t.rows, t.prices)
     return reports.by_group(t.rows, "provider").drop("label")
 
 
@@ -774,32 +830,27 @@ def _(t):
 
 @query("W4_carry_forward", """SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events""")
 def _(t):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return bridge.events(t.spark, t.sf_dir).select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("value")), ignorenulls=True).over(w).alias("carried"))
+    rows = bridge.events(t.spark, t.sf_dir).withColumn("seen", F.when(F.col("event_type") == "signup", F.col("value")))
+    return logs.carried(rows, ["user_id"], ["ts", "event_id"], {"seen": "carried"}).select("event_id", "carried")
 
 
 @query("W5_max_output_wins", O.base(O.USAGE) + " SELECT session_id, project, request_id, output_tokens FROM (SELECT *, row_number() OVER (PARTITION BY session_id, project ORDER BY output_tokens DESC, CAST(split_part(request_id, '-', 2) AS BIGINT)) AS r FROM usage) WHERE r = 1")
 def _(t):
-    from ..sources.logs import max_output_wins
-
     # here a session stands for a file and a project for a request
     rows = t.usage.withColumns({"own": F.col("request_id"), "pos": F.substring_index("request_id", "-", -1).cast("long"), "path": F.col("session_id"), "request_id": F.col("project")})
-    return max_output_wins(rows).select("session_id", "project", F.col("own").alias("request_id"), "output_tokens")
+    return logs.max_output_wins(rows).select("session_id", "project", F.col("own").alias("request_id"), "output_tokens")
 
 
 @query("W6_S10_new_records", O.base(O.USAGE) + " SELECT provider, count(*) AS n FROM usage WHERE CAST(split_part(request_id, '-', 2) AS BIGINT) % 4 <> 0 GROUP BY 1")
 def _(t):
-    from ..sources.logs import first_wins, new_records
-
     i = F.substring_index("request_id", "-", -1).cast("long")
     twice = t.usage.unionByName(t.usage.filter(i % 2 == 0)).withColumns({"path": F.col("source_file"), "pos": F.lit(0)})
-    return new_records(first_wins(twice), t.usage.filter(i % 4 == 0)).groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
+    return logs.new_records(logs.first_wins(twice), t.usage.filter(i % 4 == 0)).groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SCALE_lineitem_by_model")
+@query("SCALE_lineitem_by_model", O.scaled(f"SELECT provider, model_id, provider || '/' || model_id AS label, {O.MEASURES} FROM rows GROUP BY 1, 2"))
 def _(t):
-    usage = bridge.usage_from_lineitem(t.spark, t.sf_dir)
-    costs = pricing.request_costs(usage, explode_components(usage), t.prices)
-    return reports.by_group(reports.with_costs(usage, costs), "model")
+    return reports.by_group(pricing.priced_usage(bridge.usage_from_lineitem(t.spark, t.sf_dir), t.prices), "model")
+
+
+from . import log_queries  # noqa: E402, F401 - registers the queries of logs, catalogs and streams

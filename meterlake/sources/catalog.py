@@ -187,6 +187,8 @@ def refresh(prices: DataFrame, snapshot: DataFrame) -> DataFrame:
     """
     if "position" not in snapshot.columns:
         snapshot = snapshot.withColumn("position", F.monotonically_increasing_id())
+    # columns of their own, also where both sides come from one table
+    snapshot = snapshot.select(*(F.col(c).alias(c) for c in snapshot.columns))
     n = snapshot.groupBy(*PRICE_KEY).agg(F.count(F.lit(1)).alias("n"))
     several = n.filter("n > 1").drop("n")
     once = snapshot.alias("s").join(several.alias("k"), same_price("s", "k"), "left_anti")

@@ -28,16 +28,37 @@ class InvalidRecord(ValueError):
     """A usage record that may not be stored."""
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``*.jsonl`` below a directory: path, size, mtime, content.  A missing directory is empty."""
-    schema = "path string, size long, mtime timestamp, value string"
+def listing(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
+    """Every log file below a directory: path, size, mtime; nothing of its content is read.  A missing directory is empty.
+
+    Where the file system shows links as the files they lead to, as Spark's local one does, they count as files.
+    """
     try:
-        files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
+            return spark.createDataFrame([], "path string, size long, mtime timestamp")
         raise
-    return files.select(F.url_decode(F.regexp_replace("_metadata.file_path", r"^file:(//)?", "")).alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
+    return files.select(plain_path("path").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+
+
+def plain_path(path: Column | str) -> Column:
+    return F.regexp_replace(path, r"^file:/*", "/")
+
+
+def read(files: DataFrame) -> DataFrame:
+    """``files`` with their content; null where a file can't be read, which does not stop the others."""
+    spark, names = files.sparkSession, [r["path"] for r in files.select("path").collect()]  # the driver has listed them anyway
+    if not names:
+        return files.withColumn("value", F.lit(None).cast("string"))
+    text = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(names, wholetext=True)
+    found = text.select(plain_path(F.url_decode("_metadata.file_path")).alias("path"), "value")
+    return files.join(found, "path", "left")
+
+
+def discover(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
+    """Every log file below a directory with its content: path, size, mtime, value."""
+    return read(listing(spark, root, glob))
 
 
 def file_columns(files: DataFrame) -> DataFrame:
@@ -58,15 +79,17 @@ def changed(files: DataFrame, manifest: DataFrame, provider: str) -> DataFrame:
 
 def lines(files: DataFrame) -> DataFrame:
     """One row per line with its position, byte offset, and whether a line feed ends it."""
-    split = files.withColumn("_lines", F.split("value", "\n", -1))
-    ends = F.aggregate(
-        F.transform("_lines", lambda x: F.octet_length(x).cast("long") + 1), F.array(F.lit(0).cast("long")),
-        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
-    )
-    rows = split.withColumn("_starts", ends).withColumn("_n", F.size("_lines")).drop("value")
-    rows = rows.select("*", F.posexplode("_lines").alias("pos", "line"))
-    start = F.element_at("_starts", F.col("pos") + 1)
-    return rows.withColumn("start", start).withColumn("ended", F.col("pos") < F.col("_n") - 1).drop("_lines", "_starts", "_n").filter(F.trim("line") != "")
+    split = F.split("value", "\n", -1)
+    rows = files.withColumn("_n", F.size(split)).select(*(c for c in files.columns if c != "value"), "_n", F.posexplode(split).alias("pos", "line"))
+    before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0).cast("long"))
+    return rows.withColumn("start", start).withColumn("ended", F.col("pos") < F.col("_n") - 1).drop("_n").filter(F.trim("line") != "")
+
+
+def carried(rows: DataFrame, keys: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
+    """``rows`` with the last value of some columns that was set so far, by key in order, under new names."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({new: F.last(c, ignorenulls=True).over(w) for c, new in columns.items()})
 
 
 def _types(obj: Column) -> Column:
@@ -135,13 +158,11 @@ def parse_codex(files: DataFrame) -> DataFrame:
     bad = F.col("v").isNull() | F.coalesce(_types(F.variant_get("v", "$.type", "variant")) != "STRING", F.lit(True)) | F.variant_get("v", "$.payload", "variant").isNull()
     kind, inner = g("$.type"), g("$.payload.type")
     sets = lambda p, *kinds: F.when(kind.isin(*kinds), first_present(g(p)))
-    w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda c: F.last(c, ignorenulls=True).over(w)
     rows = rows.withColumn("bad", bad).withColumns({
         "_session": sets("$.payload.id", "session_meta"), "_cwd": sets("$.payload.cwd", "session_meta", "turn_context"), "_model": sets("$.payload.model", "turn_context"),
         "_mode": sets("$.payload.processing_mode", "session_meta", "turn_context"),
     })
-    rows = rows.withColumns({"s_session": last("_session"), "s_cwd": last("_cwd"), "s_model": last("_model"), "s_mode": last("_mode")})
+    rows = carried(rows, ["path"], ["pos"], {"_session": "s_session", "_cwd": "s_cwd", "_model": "s_model", "_mode": "s_mode"})
     places = ("$.payload.info.last_token_usage", "$.payload.response.usage", "$.payload.usage")
     at = F.coalesce(*(F.variant_get("v", p, "variant") for p in places))
     rows = rows.withColumn("u", at)
@@ -190,7 +211,10 @@ def validate(records: DataFrame) -> None:
 
 
 def new_records(records: DataFrame, stored: DataFrame) -> DataFrame:
-    """Records whose key is not stored yet: insert or ignore."""
+    """Records whose key is not stored yet: insert or ignore.
+
+    A request that was stored under another day still counts, so days can't prune the stored side; its keys alone are read.
+    """
     return records.join(stored.select(*USAGE_KEY), USAGE_KEY, "left_anti").select(*USAGE_COLUMNS)
 
 
@@ -206,56 +230,74 @@ def upsert_manifest(manifest: DataFrame, fresh: DataFrame) -> DataFrame:
     return both.withColumn("_r", last).filter("_r = 1").drop("_w", "_r")
 
 
-def ingest_report(provider: str, discovered: DataFrame, parsed: DataFrame, inserted: DataFrame) -> DataFrame:
-    """One row: files found and read, records stored, bad lines past each file's offset, latest record."""
-    files = discovered.agg(F.count(F.lit(1)).alias("discovered"))
-    read = parsed.agg(F.count_distinct("path").alias("processed"), F.count_if((F.col("state") == "bad") & (F.col("start") >= F.col("offset"))).alias("parse_errors"))
+REPORT = "provider string, discovered long, processed long, inserted long, parse_errors long, file_errors long, last_record_at timestamp"
+
+
+def ingest_report(provider: str, discovered: DataFrame, files: DataFrame, parsed: DataFrame, inserted: DataFrame) -> DataFrame:
+    """One row: files found and read, records stored, bad lines past each file's offset, files that can't be read, latest record."""
+    found = discovered.agg(F.count(F.lit(1)).alias("discovered"))
+    opened = files.agg(F.count_if(F.col("value").isNotNull()).alias("processed"), F.count_if(F.col("value").isNull()).alias("file_errors"))
+    bad = parsed.agg(F.count_if((F.col("state") == "bad") & (F.col("start") >= F.col("offset"))).alias("parse_errors"))
     stored = inserted.agg(F.count(F.lit(1)).alias("inserted"), F.max("timestamp").alias("last_record_at"))
-    # three one-row results side by side
-    return files.join(F.broadcast(read)).join(F.broadcast(stored)).select(F.lit(provider).alias("provider"), "discovered", "processed", "inserted", "parse_errors", "last_record_at")
+    # one-row results side by side
+    out = found.join(F.broadcast(opened)).join(F.broadcast(bad)).join(F.broadcast(stored))
+    return out.select(F.lit(provider).alias("provider"), "discovered", "processed", "inserted", "parse_errors", "file_errors", "last_record_at")
+
+
+def parse_findings(parsed: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Per file how many bad lines it has past its offset; one that can't be read has null."""
+    out = parsed.filter("state = 'bad' and start >= offset").groupBy("path").agg(F.count(F.lit(1)).alias("bad_lines"))
+    return out if files is None else out.unionByName(files.filter("value is null").select("path", F.lit(None).cast("long").alias("bad_lines")))
+
+
+def stored_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
-def parse_findings(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("state = 'bad' and start >= offset").groupBy("path").agg(F.count(F.lit(1)).alias("bad_lines"))
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def ingest(spark: SparkSession, roots: dict[str, str], store: str, rebuild: bool = False) -> DataFrame:
+def ingest(spark: SparkSession, roots: dict[str, str], store: str, rebuild: bool = False, glob: str = "*.jsonl") -> DataFrame:
     """Read changed logs of each provider into ``store``/usage and ``store``/manifest; returns the reports.
 
-    Usage is appended before the manifest is replaced, and keys are idempotent, so a lost run is repeated safely.  The
-    manifest is written as a new version beside the old one.
+    Files are listed first, and only changed ones are read.  Usage is appended before the manifest, and keys are
+    idempotent, so a lost run is repeated safely.  A rebuild reads everything: it overwrites the provider's days, drops
+    those that no log has any more, and forgets its files in the manifest; if it is lost half way, it is run again.
     """
     usage_path, manifest_path = f"{store}/usage", f"{store}/manifest"
-
-    def read(path: str, schema: str) -> DataFrame:
-        try:
-            return spark.read.schema(schema).parquet(path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return spark.createDataFrame([], schema)
-
     reports = None
     for provider, root in roots.items():
-        log = read(manifest_path, MANIFEST)
-        manifest = spark.createDataFrame([], MANIFEST) if rebuild else upsert_manifest(log.limit(0), log)
-        found = discover(spark, root)
-        files = changed(found, manifest, provider)
-        parsed = PARSERS[provider](files).persist()
+        log = stored_table(spark, manifest_path, MANIFEST).filter(F.col("provider") == provider)
+        found = listing(spark, root, glob)
+        files = read(changed(found, log.limit(0) if rebuild else upsert_manifest(log.limit(0), log), provider)).persist()
+        parsed = PARSERS[provider](files.filter("value is not null")).persist()
         records = kept_records(parsed, provider)
         validate(records)
-        stored = read(usage_path, f"{USAGE}, usage_date date")
-        stored = stored.filter(F.col("provider") != provider) if rebuild else stored
-        fresh = new_records(records, stored).withColumn("usage_date", F.to_date("timestamp")).persist()
-        done = consumed(parsed, files).select(F.lit(provider).alias("provider"), "path", "size", "mtime", "consumed", F.current_timestamp().alias("ingested_at")).persist()
-        report = spark.createDataFrame(ingest_report(provider, found, parsed, fresh).collect(), "provider string, discovered long, processed long, inserted long, parse_errors long, last_record_at timestamp")
+        stored = stored_table(spark, usage_path, f"{USAGE}, usage_date date").filter(F.col("provider") == provider)
+        fresh = new_records(records, stored.limit(0) if rebuild else stored).withColumn("usage_date", F.to_date("timestamp")).persist()
+        done = consumed(parsed, files.filter("value is not null")).select(F.lit(provider).alias("provider"), "path", "size", "mtime", "consumed", F.current_timestamp().alias("ingested_at")).persist()
+        report = spark.createDataFrame(ingest_report(provider, found, files, parsed, fresh).collect(), REPORT)
         done.count()
+        gone = []
+        if rebuild:
+            days = lambda df: {r[0] for r in df.select(F.coalesce(F.col("usage_date").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))).distinct().collect()}  # noqa: E731 - a row a day
+            gone = sorted(days(stored) - days(fresh))
+        # the days that are written replace the stored ones in a rebuild, and no session setting says so
+        mode = fresh.write.mode("overwrite" if rebuild else "append").option("partitionOverwriteMode", "dynamic")
+        mode.partitionBy("provider", "usage_date").parquet(usage_path)
+        for day in gone:
+            delete(spark, f"{usage_path}/provider={provider}/usage_date={day}")
         if rebuild:
-            # the other providers' rows stay: only this provider's partitions are replaced
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        fresh.write.mode("overwrite" if rebuild else "append").partitionBy("provider", "usage_date").parquet(usage_path)
-        done.write.mode("append").parquet(manifest_path)
-        for df in (parsed, fresh, done):
+            delete(spark, f"{manifest_path}/provider={provider}")
+        done.write.mode("append").partitionBy("provider").parquet(manifest_path)
+        for df in (files, parsed, fresh, done):
             df.unpersist()
         reports = report if reports is None else reports.unionByName(report)
     return reports

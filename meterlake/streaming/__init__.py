@@ -17,17 +17,21 @@ WINDOWS = {"5min": "5 minutes", "hourly": "1 hour", "daily": "1 day"}
 
 
 def append_usage(stream: DataFrame, store: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append each micro-batch's records whose key is not stored yet; a repeated batch adds nothing."""
+    """Append each micro-batch's records whose key is not stored yet; a repeated batch adds nothing.
+
+    The store is laid out as ``ingest`` does, by provider and day; a batch reads the keys of its own providers only.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         fresh = batch.dropDuplicates(USAGE_KEY)
         try:
             stored = batch.sparkSession.read.parquet(store).select(*USAGE_KEY)
-            fresh = fresh.join(stored, USAGE_KEY, "left_anti")
+            own = [r[0] for r in fresh.select("provider").distinct().collect()]
+            fresh = fresh.join(stored.filter(F.col("provider").isin(own)), USAGE_KEY, "left_anti")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        fresh.write.mode("append").parquet(store)
+        fresh.withColumn("usage_date", F.to_date("timestamp")).write.mode("append").partitionBy("provider", "usage_date").parquet(store)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
