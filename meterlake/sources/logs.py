@@ -51,7 +51,15 @@ def read(files: DataFrame) -> DataFrame:
     spark, names = files.sparkSession, [r["path"] for r in files.select("path").collect()]  # the driver has listed them anyway
     if not names:
         return files.withColumn("value", F.lit(None).cast("string"))
-    text = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(names, wholetext=True)
+    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    try:
+        text = reader.text(names, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # one went since it was listed: read by folder, and keep what was asked for
+        folders = sorted({n.rsplit("/", 1)[0] for n in names})
+        text = reader.option("recursiveFileLookup", True).text(folders, wholetext=True)
     found = text.select(plain_path(F.url_decode("_metadata.file_path")).alias("path"), "value")
     return files.join(found, "path", "left")
 

@@ -4,11 +4,12 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from meterlake.sources import logs
 
 
-def claude(request="r1", out=10, model="claude-opus-4-5-20251101", ts="2026-01-31T21:20:19.858Z", **usage):
+def claude(request="r1", out=10, model="claude-opus-9-1", ts="2025-03-04T05:06:07.089Z", **usage):
     return {"type": "assistant", "requestId": request, "timestamp": ts, "sessionId": "s", "message": {"model": model, "usage": {"input_tokens": 5, "output_tokens": out, **usage}}}
 
 
@@ -25,7 +26,7 @@ def test_claude_line_rules(spark, tmp_path):
     bad = lambda **u: claude(**u)
     rows = [
         claude(), {"type": "user", "timestamp": "2026-01-01T00:00:00Z"}, claude(request=""), claude(model="<synthetic>"), "{broken", bad(input_tokens=None), bad(input_tokens=-1),
-        bad(input_tokens="7"), bad(input_tokens=1.5), bad(input_tokens=9223372036854775808), claude(ts="2026-01-31T21:20:19"), {"type": 7}, {"type": "assistant", "requestId": "x"},
+        bad(input_tokens="7"), bad(input_tokens=1.5), bad(input_tokens=9223372036854775808), claude(ts="2025-03-04T05:06:07"), {"type": 7}, {"type": "assistant", "requestId": "x"},
     ]
     write(tmp_path / "projects" / "demo" / "a.jsonl", rows)
     want = ["kept", "skipped", "skipped", "skipped", "bad", "bad", "bad", "bad", "bad", "bad", "bad", "bad", "skipped"]
@@ -33,9 +34,9 @@ def test_claude_line_rules(spark, tmp_path):
 
 
 def test_largest_output_of_a_request_wins(spark, tmp_path):
-    write(tmp_path / "projects" / "demo" / "a.jsonl", [claude(out=10), claude(out=50), claude(out=30)])
+    write(tmp_path / "projects" / "demo" / "a.jsonl", [claude(out=4), claude(out=17), claude(out=9)])
     out = logs.kept_records(logs.parse_claude(logs.discover(spark, str(tmp_path))), "claude-code").collect()
-    assert [(r["output_tokens"], r["pos"]) for r in out] == [(50, 1)]
+    assert [(r["output_tokens"], r["pos"]) for r in out] == [(17, 1)]
 
 
 def test_cache_split_and_dimensions(spark, tmp_path):
@@ -57,12 +58,12 @@ def test_tail_waits_but_a_whole_last_line_counts(spark, tmp_path):
 
 
 def codex_rows():
-    count = lambda **u: {"timestamp": "2026-05-24T00:40:04.988Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": u, "total_token_usage": {"input_tokens": 999}}}}
+    count = lambda **u: {"timestamp": "2025-08-09T10:11:12.013Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": u, "total_token_usage": {"input_tokens": 5000}}}}
     return [
-        count(input_tokens=1), {"timestamp": "t", "type": "session_meta", "payload": {"id": "sess", "cwd": "/home/me/proj/"}}, {"timestamp": "t", "type": "turn_context", "payload": {"model": "gpt-5.5"}},
-        count(input_tokens=100, cached_input_tokens=40, output_tokens=20, reasoning_output_tokens=7), count(input_tokens="x"), {"type": "event_msg"},
-        {"timestamp": "2026-05-24T01:00:00Z", "type": "event_msg", "payload": {"type": "token_count", "usage": {"input_tokens": 3, "input_token_details": {"cached_tokens": 2}}}},
-        count(input_tokens=100, cached_input_tokens=40, output_tokens=20, reasoning_output_tokens=7),
+        count(input_tokens=1), {"timestamp": "t", "type": "session_meta", "payload": {"id": "sess", "cwd": "/home/me/proj/"}}, {"timestamp": "t", "type": "turn_context", "payload": {"model": "gpt-9"}},
+        count(input_tokens=310, cached_input_tokens=120, output_tokens=45, reasoning_output_tokens=11), count(input_tokens="x"), {"type": "event_msg"},
+        {"timestamp": "2025-08-09T11:30:00Z", "type": "event_msg", "payload": {"type": "token_count", "usage": {"input_tokens": 3, "input_token_details": {"cached_tokens": 2}}}},
+        count(input_tokens=310, cached_input_tokens=120, output_tokens=45, reasoning_output_tokens=11),
     ]
 
 
@@ -72,7 +73,7 @@ def test_codex_state_and_usage_places(spark, tmp_path):
     assert [r["state"] for r in parsed.orderBy("pos").collect()] == ["skipped", "skipped", "skipped", "kept", "skipped", "bad", "kept", "kept"]
     out = logs.kept_records(parsed, "codex").orderBy("timestamp").collect()
     assert [(r["request_id"], r["model_id"], r["project"], r["cached_input_tokens"]) for r in out] == [
-        ("sess:2026-05-24T00:40:04.988+00:00:100:40:20:7:standard", "gpt-5.5", "proj", 40), ("sess:2026-05-24T01:00:00+00:00:3:2:0:0:standard", "gpt-5.5", "proj", 2),
+        ("sess:2025-08-09T10:11:12.013+00:00:310:120:45:11:standard", "gpt-9", "proj", 120), ("sess:2025-08-09T11:30:00+00:00:3:2:0:0:standard", "gpt-9", "proj", 2),
     ]
 
 
@@ -92,6 +93,47 @@ def test_ingest_in_steps(spark, tmp_path):
     assert rebuilt["claude-code"]["inserted"] == 2 and spark.read.parquet(f"{store}/usage").count() == 2
 
 
+def test_a_rebuild_forgets_what_no_log_has(spark, tmp_path):
+    root, store = tmp_path / "logs", str(tmp_path / "store")
+    write(root / "projects" / "a" / "a.jsonl", [claude("a"), claude("b", ts="2025-04-05T00:00:00Z")])
+    write(root / "projects" / "b" / "b.jsonl", [claude("c", ts="2025-05-06T00:00:00Z")])
+    write(tmp_path / "other" / "x.jsonl", codex_rows())
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    logs.ingest(spark, {"claude-code": str(root), "codex": str(tmp_path / "other")}, store).collect()
+    stored = lambda: sorted((r["provider"], r["request_id"].split(":")[0]) for r in spark.read.parquet(f"{store}/usage").collect())
+    codex = [x for x in stored() if x[0] == "codex"]
+    assert codex and stored() == [("claude-code", x) for x in "abc"] + codex
+    (root / "projects" / "b" / "b.jsonl").unlink()
+    logs.ingest(spark, {"claude-code": str(root)}, store, rebuild=True).collect()
+    assert stored() == [("claude-code", x) for x in "ab"] + codex
+    # the file comes back as it was: it is new again
+    write(root / "projects" / "b" / "b.jsonl", [claude("c", ts="2025-05-06T00:00:00Z")])
+    logs.ingest(spark, {"claude-code": str(root)}, store).collect()
+    assert stored() == [("claude-code", x) for x in "abc"] + codex
+    for f in root.rglob("*.jsonl"):
+        f.unlink()
+    logs.ingest(spark, {"claude-code": str(root)}, store, rebuild=True).collect()
+    assert stored() == codex and spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+
+
+def test_a_file_that_cannot_be_read_is_reported(spark, tmp_path):
+    write(tmp_path / "a.jsonl", [claude("a"), "{bad"])
+    write(tmp_path / "b.jsonl", [claude("b")])
+    found = logs.listing(spark, str(tmp_path))
+    lost = found.unionByName(found.limit(1).withColumn("path", F.lit(str(tmp_path / "gone.jsonl"))))
+    files = logs.read(lost.withColumn("offset", F.lit(0))).cache()
+    parsed = logs.parse_claude(files.filter("value is not null"))
+    report = logs.ingest_report("claude-code", lost, files, parsed, logs.kept_records(parsed, "claude-code")).first()
+    assert (report["discovered"], report["processed"], report["file_errors"], report["inserted"], report["parse_errors"]) == (3, 2, 1, 2, 1)
+    assert {(r["path"].rsplit("/", 1)[1], r["bad_lines"]) for r in logs.parse_findings(parsed, files).collect()} == {("a.jsonl", 1), ("gone.jsonl", None)}
+
+
+def test_many_lines_in_one_file(spark, tmp_path):
+    write(tmp_path / "a.jsonl", ["x" * (i % 7) or "y" for i in range(100_000)])
+    found = logs.lines(logs.discover(spark, str(tmp_path))).orderBy(F.desc("pos")).first()
+    assert found["pos"] == 99_999 and found["start"] == sum(max(1, i % 7) + 1 for i in range(99_999)) and found["ended"]
+
+
 def test_invalid_records_stop_the_batch(spark, tmp_path):
     write(tmp_path / "a.jsonl", [claude("ok"), claude("  ")])
     records = logs.kept_records(logs.parse_claude(logs.discover(spark, str(tmp_path))), "claude-code")
