@@ -37,7 +37,8 @@ def format_utc(ts: Column | str) -> Column:
     """RFC 3339 with +00:00; the fraction has 0, 3 or 6 digits, as many as needed."""
     ts = col(ts)
     micro = F.date_format(ts, "SSSSSS")
-    fraction = F.when(micro == "000000", "").when(micro.endswith("000"), F.concat(F.lit("."), F.left(micro, F.lit(3)))).otherwise(F.concat(F.lit("."), micro))
+    fraction = F.when(micro == "000000", "").when(micro.endswith("000"),
+        F.concat(F.lit("."), F.left(micro, F.lit(3)))).otherwise(F.concat(F.lit("."), micro))
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
 
 

@@ -26,7 +26,9 @@ def text_of(ts: Column) -> Column:
 def finding(severity: Column | str, kind: Column | str, start: Column | None = None, end: Column | None = None, remedy: str = "") -> list[Column]:
     none = F.lit(None).cast("string")
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    return [lit(severity).alias("severity"), lit(kind).alias("kind"), "provider", "model_id", "token_category", dimension_suffix().alias("dimensions"), (none if start is None else start).alias("start"), (none if end is None else end).alias("end"), F.lit(remedy).alias("remediation")]
+    return [lit(severity).alias("severity"), lit(kind).alias("kind"), "provider", "model_id", "token_category",
+        dimension_suffix().alias("dimensions"), (none if start is None else start).alias("start"), (none if end is None else end).alias("end"),
+        F.lit(remedy).alias("remediation")]
 
 
 # -- price timelines
@@ -47,11 +49,13 @@ def open_intervals(prices: DataFrame) -> DataFrame:
     """Keys without an open interval, or with several."""
     n = F.count_if(F.col("effective_to").isNull())
     rows = prices.groupBy(*PRICE_KEY, "currency").agg(n.alias("n")).filter("n != 1")
-    return rows.select(*finding(F.when(F.col("n") == 0, "Warning").otherwise("Error"), F.when(F.col("n") == 0, "MissingCurrent").otherwise("DuplicateCurrent"), remedy="keep one open interval per key"))
+    return rows.select(*finding(F.when(F.col("n") == 0, "Warning").otherwise("Error"),
+            F.when(F.col("n") == 0, "MissingCurrent").otherwise("DuplicateCurrent"), remedy="keep one open interval per key"))
 
 
 def currencies(prices: DataFrame) -> DataFrame:
-    return prices.filter("currency != 'USD'").select(*finding("Error", "UnsupportedCurrency", text_of(F.col("effective_from")), text_of(F.col("effective_to")), "price in USD"))
+    return prices.filter("currency != 'USD'").select(*finding("Error", "UnsupportedCurrency", text_of(F.col("effective_from")),
+            text_of(F.col("effective_to")), "price in USD"))
 
 
 def price_row_problems(raw: DataFrame) -> DataFrame:
@@ -66,7 +70,8 @@ def price_row_problems(raw: DataFrame) -> DataFrame:
         F.when(rate.isNull() | F.isnan(rate), F.lit("rate is no number")), F.when(rate < 0, F.lit("rate is negative")),
         F.when(~blank(c("provider")) & ~c("provider").isin(*PROVIDERS), F.lit("unsupported provider")),
         F.when(~blank(c("token_category")) & ~c("token_category").isin(*CATEGORIES), F.lit("unsupported category")),
-        F.when(F.coalesce(utc_problem("effective_from"), F.when(c("effective_from").isNull(), F.lit("invalid"))).isNotNull(), F.lit("effective_from is not canonical")),
+        F.when(F.coalesce(utc_problem("effective_from"), F.when(c("effective_from").isNull(), F.lit("invalid"))).isNotNull(),
+            F.lit("effective_from is not canonical")),
         F.when(c("effective_to").isNotNull() & utc_problem("effective_to").isNotNull(), F.lit("effective_to is not canonical")),
         F.when(end <= start, F.lit("effective_to is not after effective_from")),
     ]
@@ -74,7 +79,8 @@ def price_row_problems(raw: DataFrame) -> DataFrame:
 
 
 def malformed_prices(raw: DataFrame) -> DataFrame:
-    return price_row_problems(raw).select(*finding("Error", "MalformedCatalogRow", F.col("effective_from"), F.col("effective_to")), "problem").withColumn("remediation", F.col("problem")).drop("problem")
+    return price_row_problems(raw).select(*finding("Error", "MalformedCatalogRow", F.col("effective_from"), F.col("effective_to")),
+        "problem").withColumn("remediation", F.col("problem")).drop("problem")
 
 
 # -- usage against prices
@@ -89,7 +95,8 @@ def usage_row_problems(raw: DataFrame) -> DataFrame:
     checks = [
         F.when(~F.coalesce(F.col("provider"), F.lit("")).isin(*PROVIDERS), F.lit("UnsupportedProvider")),
         F.when(~F.coalesce(F.col("token_category"), F.lit("")).isin(*CATEGORIES), F.lit("UnsupportedCategory")),
-        F.when(F.coalesce(utc_problem("timestamp"), F.when(F.col("timestamp").isNull(), F.lit("invalid"))).isNotNull(), F.lit("MalformedUsageTimestamp")),
+        F.when(F.coalesce(utc_problem("timestamp"), F.when(F.col("timestamp").isNull(), F.lit("invalid"))).isNotNull(),
+            F.lit("MalformedUsageTimestamp")),
     ]
     rows = raw.select("*", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("_kind"))
     return rows.select(*finding("Error", F.col("_kind"), F.col("timestamp"), remedy="correct or remove the usage row"))
@@ -101,7 +108,8 @@ def coverage(seen: DataFrame, prices: DataFrame) -> DataFrame:
     The cursor of a sweep over the intervals is a running maximum: of the first use and all earlier ends.
     """
     usd_prices = prices.filter("currency = 'USD'").select(*PRICE_KEY, "effective_from", "effective_to")
-    both = seen.alias("c").join(usd_prices.withColumn("currency", F.lit("USD")).alias("p"), same_key("c", "p"), "left").select("c.*", "p.effective_from", "p.effective_to")
+    both = seen.alias("c").join(usd_prices.withColumn("currency", F.lit("USD")).alias("p"), same_key("c", "p"), "left").select("c.*",
+        "p.effective_from", "p.effective_to")
     w = Window.partitionBy(*PRICE_KEY).orderBy("effective_from", F.col("effective_to").asc_nulls_last())
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     swept = (
@@ -117,7 +125,8 @@ def coverage(seen: DataFrame, prices: DataFrame) -> DataFrame:
         F.when(start.isNull(), said("MissingCoverage", F.col("first_at"), last)),
         F.when((F.col("nth") == 1) & (start > F.col("first_at")), said("UsageBeforeFirstInterval", F.col("first_at"), start)),
         F.when(~F.col("open_before") & (start > F.col("cursor")) & (F.col("cursor") <= last), said("MissingCoverage", F.col("cursor"), start)),
-        F.when(F.col("is_last") & start.isNotNull() & ~F.col("any_open") & (F.col("end_cursor") <= last), said("UsageAfterLastInterval", F.col("end_cursor"), last)),
+        F.when(F.col("is_last") & start.isNotNull() & ~F.col("any_open") & (F.col("end_cursor") <= last),
+            said("UsageAfterLastInterval", F.col("end_cursor"), last)),
     )
     rows = swept.select(*PRICE_KEY, F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("f"))
     return rows.select(*finding("Error", F.col("f.kind"), F.col("f.a"), F.col("f.b"), "add a price for the uncovered time"))
@@ -127,7 +136,8 @@ def unknown_models(components: DataFrame, prices: DataFrame) -> DataFrame:
     """Observed models without any price row."""
     models = components.select("provider", "model_id").distinct()
     none = {c: F.lit(None).cast("string") for c in ("token_category", *DIMENSIONS)}
-    return models.join(prices.select("provider", "model_id").distinct(), ["provider", "model_id"], "left_anti").withColumns(none).select(*finding("Error", "UnknownObservedModel", remedy="add prices for the model"))
+    return models.join(prices.select("provider", "model_id").distinct(), ["provider", "model_id"],
+        "left_anti").withColumns(none).select(*finding("Error", "UnknownObservedModel", remedy="add prices for the model"))
 
 
 def unsupported_modifiers(components: DataFrame, prices: DataFrame) -> DataFrame:
@@ -137,7 +147,8 @@ def unsupported_modifiers(components: DataFrame, prices: DataFrame) -> DataFrame
         odd = odd | F.col(d).isNotNull()
     keys = key_set(components.filter(odd))
     known = key_set(prices)
-    return keys.alias("c").join(known.alias("p"), same_key("c", "p", None), "left_anti").select(*finding("Error", "UnsupportedModifier", remedy="add prices for these dimensions"))
+    return keys.alias("c").join(known.alias("p"), same_key("c", "p", None),
+        "left_anti").select(*finding("Error", "UnsupportedModifier", remedy="add prices for these dimensions"))
 
 
 def used_sources(components: DataFrame, prices: DataFrame, sources: DataFrame) -> DataFrame:
@@ -157,9 +168,11 @@ def source_quality(components: DataFrame, prices: DataFrame, sources: DataFrame,
         blank = blank | (F.coalesce(c, F.lit("")) == "")
     stale = F.try_to_date("source_retrieved_at", "yyyy-MM-dd") < F.lit(today - dt.timedelta(days=STALE_DAYS))
     kind = lambda s, k: F.struct(F.lit(s).alias("s"), F.lit(k).alias("k"))
-    kinds = F.array(F.when(blank, kind("Warning", "MissingSourceMetadata")), F.when(~blank & stale, kind("Warning", "StaleSource")), F.when(~blank & (F.col("source_kind") == "bundled"), kind("Info", "BundledFallbackSource")))
+    kinds = F.array(F.when(blank, kind("Warning", "MissingSourceMetadata")), F.when(~blank & stale, kind("Warning", "StaleSource")),
+        F.when(~blank & (F.col("source_kind") == "bundled"), kind("Info", "BundledFallbackSource")))
     rows = used.select("*", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("f"))
-    return rows.select(*finding(F.col("f.s"), F.col("f.k"), text_of(F.col("effective_from")), text_of(F.col("effective_to")), "import a reviewed catalog"), "source").withColumn("remediation", F.concat_ws(": ", "source", "remediation")).drop("source")
+    return rows.select(*finding(F.col("f.s"), F.col("f.k"), text_of(F.col("effective_from")), text_of(F.col("effective_to")),
+            "import a reviewed catalog"), "source").withColumn("remediation", F.concat_ws(": ", "source", "remediation")).drop("source")
 
 
 # -- billing components against usage
@@ -170,7 +183,8 @@ def orphans(usage: DataFrame, components: DataFrame) -> DataFrame:
 
 def duplicates(components: DataFrame) -> DataFrame:
     dims = [F.coalesce(d, F.lit("")).alias(d) for d in DIMENSIONS]
-    return components.select(*USAGE_KEY, "token_category", *dims).groupBy(*USAGE_KEY, "token_category", *DIMENSIONS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return components.select(*USAGE_KEY, "token_category", *dims).groupBy(*USAGE_KEY, "token_category",
+        *DIMENSIONS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def _actual(components: DataFrame) -> DataFrame:
@@ -194,7 +208,8 @@ def integrity(usage: DataFrame, components: DataFrame, selected: DataFrame | Non
     own = usage if selected is None else selected
     null, text = F.lit(None).cast("long"), lambda s: F.lit(s)
     parts = [
-        orphans(usage, components).select(F.lit(1).alias("step"), text("Orphan").alias("issue"), *USAGE_KEY, "token_category", null.alias("expected"), F.col("tokens").alias("actual")),
+        orphans(usage, components).select(F.lit(1).alias("step"), text("Orphan").alias("issue"), *USAGE_KEY, "token_category", null.alias("expected"),
+            F.col("tokens").alias("actual")),
         duplicates(components).select(F.lit(2), text("Duplicate"), *USAGE_KEY, "token_category", F.lit(1).cast("long"), "n"),
         mismatches(own, components).select(F.lit(3), text("Mismatch"), *USAGE_KEY, "token_category", "expected", "actual"),
         unexpected(own, components).select(F.lit(4), text("Unexpected"), *USAGE_KEY, "token_category", F.lit(0).cast("long"), "actual"),
@@ -206,7 +221,8 @@ def integrity(usage: DataFrame, components: DataFrame, selected: DataFrame | Non
 
 
 def full_audit(
-    components: DataFrame, prices: DataFrame, sources: DataFrame, usage: DataFrame, today: dt.date, raw_prices: DataFrame | None = None, raw_usage: DataFrame | None = None,
+    components: DataFrame, prices: DataFrame, sources: DataFrame, usage: DataFrame, today: dt.date, raw_prices: DataFrame | None = None,
+    raw_usage: DataFrame | None = None,
 ) -> DataFrame:
     """Every finding with the step that made it, in the audit's order: currencies, open intervals, neighbouring intervals,
     billing components, coverage, unknown models, unsupported modifiers, sources.
@@ -214,11 +230,13 @@ def full_audit(
     Raw price rows, where given, are step -2 and raw usage rows step -1; neither stops the other steps.
     """
     none = [F.lit(None).cast("string").alias(d) for d in DIMENSIONS]
-    broken = integrity(usage, components).select("issue", "provider", F.col("request_id").alias("model_id"), "token_category", *none).select(*finding("Error", "BillingIntegrity"), "issue").withColumn("remediation", F.col("issue")).drop("issue")
+    broken = integrity(usage, components).select("issue", "provider", F.col("request_id").alias("model_id"), "token_category",
+        *none).select(*finding("Error", "BillingIntegrity"), "issue").withColumn("remediation", F.col("issue")).drop("issue")
     # one row per pricing key stands for all usage in three of the steps
     seen = observations(components).cache()
     steps = {
-        0: currencies(prices), 1: open_intervals(prices), 2: adjacent_pairs(prices), 3: broken, 4: coverage(seen, prices), 5: unknown_models(seen, prices),
+        0: currencies(prices), 1: open_intervals(prices), 2: adjacent_pairs(prices), 3: broken, 4: coverage(seen, prices),
+        5: unknown_models(seen, prices),
         6: unsupported_modifiers(seen, prices), 7: source_quality(components, prices, sources, today),
     }
     if raw_prices is not None:
@@ -240,4 +258,5 @@ def ordered(rows: DataFrame, *columns: str) -> DataFrame:
 def verdict(findings: DataFrame, provider: str | None = None) -> DataFrame:
     """Findings by severity and whether the audit failed: any error."""
     own = findings if provider is None else findings.filter(F.col("provider") == provider)
-    return own.agg(*(F.count_if(F.col("severity") == s).alias(s.lower() + "_count") for s in SEVERITIES), F.coalesce(F.bool_or(F.col("severity") == "Error"), F.lit(False)).alias("failed"))
+    return own.agg(*(F.count_if(F.col("severity") == s).alias(s.lower() + "_count") for s in SEVERITIES),
+        F.coalesce(F.bool_or(F.col("severity") == "Error"), F.lit(False)).alias("failed"))

@@ -19,7 +19,8 @@ def warnings(report: DataFrame, threshold: float) -> DataFrame:
     return out.select("period", "cost_usd", F.lit(float(threshold)).alias("threshold"))
 
 
-def ranges(spark, today: dt.date, daily: float | None, monthly: float | None, begin: dt.date | None = None, end: dt.date | None = None, limit: float | None = None) -> DataFrame:
+def ranges(spark, today: dt.date, daily: float | None, monthly: float | None, begin: dt.date | None = None, end: dt.date | None = None,
+    limit: float | None = None) -> DataFrame:
     """Today, the month to date, and the selected range where both its ends are given."""
     rows = [("today", today, today, daily), ("month", today.replace(day=1), today, monthly)]
     if begin is not None and end is not None:
@@ -39,7 +40,8 @@ def budget_report(rows: DataFrame, scopes: DataFrame, tz: str = "UTC") -> DataFr
     cost = F.coalesce(usd("exact"), F.lit(0.0))
     return scopes.join(spent, "scope", "left").select(
         "scope", "begin", "end", cost.alias("cost_usd"), "threshold",
-        F.when(F.col("threshold") > 0, F.round(cost / F.col("threshold") * 100, 6)).alias("percent"), F.round(F.col("threshold") - cost, 6).alias("remaining"),
+        F.when(F.col("threshold") > 0, F.round(cost / F.col("threshold") * 100, 6)).alias("percent"),
+        F.round(F.col("threshold") - cost, 6).alias("remaining"),
         F.coalesce("request_count", F.lit(0)).alias("request_count"),
     )
 
@@ -49,6 +51,7 @@ def contributors(rows: DataFrame, scopes: DataFrame, tz: str = "UTC") -> DataFra
     inside = _in_ranges(rows, scopes, tz)
     kinds = {"provider": F.col("provider"), "model": F.concat_ws("/", "provider", "model_id"), "project": project_label()}
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("name")) for k, c in kinds.items())))
-    sums = inside.select("scope", "total_tokens", pairs.alias("x")).groupBy("scope", "x.kind", "x.name").agg(F.sum("total_tokens").alias("total_tokens"))
+    sums = inside.select("scope", "total_tokens", pairs.alias("x")).groupBy("scope", "x.kind",
+        "x.name").agg(F.sum("total_tokens").alias("total_tokens"))
     first = F.row_number().over(Window.partitionBy("scope", "kind").orderBy(F.desc("total_tokens"), "name"))
     return sums.withColumn("_r", first).filter("_r = 1").drop("_r")

@@ -25,7 +25,8 @@ def provenance(usage: DataFrame, components: DataFrame, prices: DataFrame, sourc
     keys = ["provider", "model_id", "token_category", "service_tier", "speed", "region", "processing_mode"]
     # reduced to distinct keys before the join with the sources
     priced = price_join(own, prices).select(*keys, "price_source").distinct()
-    return priced.join(meta, F.col("price_source") == F.col("s_source"), "left").select(*keys, F.col("price_source").alias("source"), "source_kind", "source_retrieved_at").distinct()
+    return priced.join(meta, F.col("price_source") == F.col("s_source"), "left").select(*keys, F.col("price_source").alias("source"), "source_kind",
+        "source_retrieved_at").distinct()
 
 
 def assumptions(rows: DataFrame, today: dt.date) -> DataFrame:
@@ -46,7 +47,8 @@ def assumptions(rows: DataFrame, today: dt.date) -> DataFrame:
         said(F.try_to_date("source_retrieved_at", "yyyy-MM-dd") < cutoff, "stale_source", none, src),
     ]
     out = rows.select("provider", "model_id", "token_category", F.explode(F.filter(F.array(*kinds), lambda a: a.isNotNull())).alias("a"))
-    return out.select("a.kind", "provider", "model_id", "token_category", "a.dimension", "a.source").distinct().orderBy("kind", "provider", "model_id", "token_category", "dimension", "source")
+    return out.select("a.kind", "provider", "model_id", "token_category", "a.dimension", "a.source").distinct().orderBy("kind", "provider",
+        "model_id", "token_category", "dimension", "source")
 
 
 def explain_cost(usage: DataFrame, costs: DataFrame, components: DataFrame, prices: DataFrame, sources: DataFrame, today: dt.date) -> DataFrame:

@@ -31,9 +31,11 @@ class UsageFilter:
         ntz = usage.schema["timestamp"].dataType.typeName()
         if self.begin is not None:
             # the widened range on the raw column reaches the scan and prunes; the local day decides
-            out = out.filter(F.col("timestamp") >= F.lit(dt.datetime.combine(self.begin - dt.timedelta(days=1), dt.time())).cast(ntz)).filter(day >= F.lit(self.begin))
+            out = out.filter(F.col("timestamp") >= F.lit(dt.datetime.combine(self.begin - dt.timedelta(days=1),
+                        dt.time())).cast(ntz)).filter(day >= F.lit(self.begin))
         if self.end is not None:
-            out = out.filter(F.col("timestamp") < F.lit(dt.datetime.combine(self.end + dt.timedelta(days=2), dt.time())).cast(ntz)).filter(day <= F.lit(self.end))
+            out = out.filter(F.col("timestamp") < F.lit(dt.datetime.combine(self.end + dt.timedelta(days=2),
+                        dt.time())).cast(ntz)).filter(day <= F.lit(self.end))
         if self.provider is not None:
             out = out.filter(F.col("provider") == self.provider)
         if self.model is not None:

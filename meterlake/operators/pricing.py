@@ -37,7 +37,8 @@ def price_join(rows: DataFrame, prices: DataFrame, how: str = "left") -> DataFra
     """Rows with each price that applies; Spark broadcasts the prices where they are small enough."""
     picked = prices.select(*(F.col(c) for c in [*PRICE_KEY, "currency", "rate_per_1m_tokens", "effective_from", "effective_to", "source"]))
     joined = rows.alias("c").join(picked.alias("p"), same_key("c", "p") & in_force("c", "p"), how)
-    return joined.select("c.*", F.col("p.rate_per_1m_tokens").alias("rate"), F.col("p.source").alias("price_source"), F.col("p.effective_from").alias("price_from"))
+    return joined.select("c.*", F.col("p.rate_per_1m_tokens").alias("rate"), F.col("p.source").alias("price_source"),
+        F.col("p.effective_from").alias("price_from"))
 
 
 def component_costs(components: DataFrame, prices: DataFrame) -> DataFrame:
@@ -68,7 +69,8 @@ def priced_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """
     shared = [c for c in PRICE_KEY if c not in ("token_category", "source_detail")]
     offers = prices.filter("currency = 'USD'").groupBy(*shared).agg(
-        F.collect_list(F.struct("token_category", "source_detail", F.col("rate_per_1m_tokens").cast("decimal(18,6)").alias("rate"), "effective_from", "effective_to")).alias("_offers")
+        F.collect_list(F.struct("token_category", "source_detail", F.col("rate_per_1m_tokens").cast("decimal(18,6)").alias("rate"), "effective_from",
+                "effective_to")).alias("_offers")
     )
     dims = {f"_{d}": c for d, c in component_dimensions().items()}
     left = usage.withColumns({**dims, "_parts": component_array()}).alias("u")
@@ -91,7 +93,8 @@ def priced_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
         found = F.filter(F.coalesce("_offers", F.array().cast(joined.schema["_offers"].dataType)), applies(part))
         one = F.when(F.size(found) == 1, cost_of(part["tokens"], F.get(found, F.lit(0))["rate"])).otherwise(0)
         return F.struct(
-            (acc["missing"] + F.when(F.size(found) == 0, 1).otherwise(0)).alias("missing"), (acc["ambiguous"] + F.when(F.size(found) > 1, 1).otherwise(0)).alias("ambiguous"),
+            (acc["missing"] + F.when(F.size(found) == 0, 1).otherwise(0)).alias("missing"),
+            (acc["ambiguous"] + F.when(F.size(found) > 1, 1).otherwise(0)).alias("ambiguous"),
             (acc["exact"] + one).cast("decimal(38,6)").alias("exact"),
         )
 
@@ -149,7 +152,8 @@ def unpriced(usage: DataFrame, costs: DataFrame, generations: DataFrame) -> Data
     """Requests whose cost is absent, not priced, or of an older price generation."""
     state = generations.select("provider", F.col("generation").alias("now"))
     stale = F.col("status").isNull() | (F.col("status") != "priced") | (F.col("pricing_generation") != F.col("now"))
-    return usage.join(costs, USAGE_KEY, "left").join(state, "provider").filter(stale).select(*USAGE_KEY, "model_id", "timestamp", F.coalesce("status", F.lit("absent")).alias("status"))
+    return usage.join(costs, USAGE_KEY, "left").join(state, "provider").filter(stale).select(*USAGE_KEY, "model_id", "timestamp",
+        F.coalesce("status", F.lit("absent")).alias("status"))
 
 
 def require_cost(usage: DataFrame, costs: DataFrame, generations: DataFrame, components: DataFrame, prices: DataFrame) -> None:

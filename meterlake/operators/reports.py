@@ -28,7 +28,8 @@ def measures(approximate_sessions: bool = False) -> list[Column]:
     sessions = F.approx_count_distinct(F.struct("provider", "session_id")) if approximate_sessions else F.count_distinct("provider", "session_id")
     return [
         *(clamp(F.coalesce(F.sum(c), F.lit(0))).alias(c) for c in SUMS), F.coalesce(usd(F.sum("exact")), F.lit(0.0)).alias("cost_usd"),
-        F.count(F.lit(1)).alias("request_count"), sessions.alias("session_count"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"),
+        F.count(F.lit(1)).alias("request_count"), sessions.alias("session_count"), F.min("timestamp").alias("first_at"),
+        F.max("timestamp").alias("last_at"),
     ]
 
 
@@ -70,7 +71,8 @@ def fill_gaps(report: DataFrame, period: str, tz: str = "UTC") -> DataFrame:
 
 def top_days(rows: DataFrame, n: int, tz: str = "UTC") -> DataFrame:
     """The days with most tokens; equal days in calendar order."""
-    return rows.groupBy(report_day("timestamp", tz).alias("day")).agg(*measures()).drop("first_at", "last_at").orderBy(F.desc("total_tokens"), "day").limit(n)
+    return rows.groupBy(report_day("timestamp", tz).alias("day")).agg(*measures()).drop("first_at", "last_at").orderBy(F.desc("total_tokens"),
+        "day").limit(n)
 
 
 def by_group(rows: DataFrame, by: str, n: int | None = None) -> DataFrame:
@@ -91,12 +93,15 @@ def summary(rows: DataFrame) -> DataFrame:
 
 
 def daily_totals(rows: DataFrame, tz: str = "UTC") -> DataFrame:
-    return rows.groupBy(report_day("timestamp", tz).alias("day")).agg(*measures()).select("day", "total_tokens", "input_tokens", "output_tokens", "cost_usd").orderBy("day")
+    return rows.groupBy(report_day("timestamp", tz).alias("day")).agg(*measures()).select("day", "total_tokens", "input_tokens", "output_tokens",
+        "cost_usd").orderBy("day")
 
 
 def totals_row(report: DataFrame) -> DataFrame:
     """Column sums of the rows shown; sessions are summed, so one in two buckets counts twice."""
-    return report.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS), F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"), F.coalesce(F.sum("request_count"), F.lit(0)).alias("request_count"), F.coalesce(F.sum("session_count"), F.lit(0)).alias("session_count"))
+    return report.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS),
+        F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"), F.coalesce(F.sum("request_count"), F.lit(0)).alias("request_count"),
+        F.coalesce(F.sum("session_count"), F.lit(0)).alias("session_count"))
 
 
 def with_totals(report: DataFrame, label: str = "total") -> DataFrame:
@@ -134,9 +139,11 @@ def inventory(usage: DataFrame, prices: DataFrame, files: DataFrame | None = Non
         return df.agg(n.cast("string").alias("value")).select(F.lit(item).alias("item"), F.lit("").alias("key"), "value")
 
     parts = [
-        one("usage_rows", F.count(F.lit(1)), usage), one("models", F.count_distinct("model_id"), usage), one("latest_usage", F.date_format(F.max("timestamp").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), usage),
+        one("usage_rows", F.count(F.lit(1)), usage), one("models", F.count_distinct("model_id"), usage),
+        one("latest_usage", F.date_format(F.max("timestamp").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), usage),
         usage.groupBy("provider").count().select(F.lit("usage_rows_by_provider"), "provider", F.col("count").cast("string")),
-        one("price_intervals", F.count(F.lit(1)), prices), one("open_intervals", F.count_if(F.col("effective_to").isNull()), prices), one("priced_models", F.count_distinct("provider", "model_id"), prices),
+        one("price_intervals", F.count(F.lit(1)), prices), one("open_intervals", F.count_if(F.col("effective_to").isNull()), prices),
+        one("priced_models", F.count_distinct("provider", "model_id"), prices),
     ]
     if files is not None:
         parts.append(files.groupBy("provider").count().select(F.lit("files_by_provider"), "provider", F.col("count").cast("string")))
@@ -148,8 +155,10 @@ def inventory(usage: DataFrame, prices: DataFrame, files: DataFrame | None = Non
 
 def _stats() -> list[Column]:
     return [
-        F.count(F.lit(1)).alias("requests"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("model_id").alias("models"), F.min("timestamp").alias("first_at"),
-        F.max("timestamp").alias("last_at"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"), F.coalesce(usd(F.sum("exact")), F.lit(0.0)).alias("cost_usd"),
+        F.count(F.lit(1)).alias("requests"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("model_id").alias("models"),
+        F.min("timestamp").alias("first_at"),
+        F.max("timestamp").alias("last_at"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"),
+        F.coalesce(usd(F.sum("exact")), F.lit(0.0)).alias("cost_usd"),
     ]
 
 
@@ -162,11 +171,13 @@ def provider_stats(rows: DataFrame) -> DataFrame:
 
 
 def top_models(rows: DataFrame, n: int = 20) -> DataFrame:
-    return rows.groupBy("provider", "model_id").agg(F.count(F.lit(1)).alias("requests"), F.sum("total_tokens").alias("tokens"), F.coalesce(usd(F.sum("exact")), F.lit(0.0)).alias("cost_usd")).orderBy(F.desc("tokens"), "provider", "model_id").limit(n)
+    return rows.groupBy("provider", "model_id").agg(F.count(F.lit(1)).alias("requests"), F.sum("total_tokens").alias("tokens"),
+        F.coalesce(usd(F.sum("exact")), F.lit(0.0)).alias("cost_usd")).orderBy(F.desc("tokens"), "provider", "model_id").limit(n)
 
 
 def recent(rows: DataFrame, n: int = 10) -> DataFrame:
-    return rows.orderBy(F.desc("timestamp"), "provider", "request_id").select("provider", "request_id", "timestamp", "model_id", "total_tokens", usd("exact").alias("cost_usd")).limit(n)
+    return rows.orderBy(F.desc("timestamp"), "provider", "request_id").select("provider", "request_id", "timestamp", "model_id", "total_tokens",
+        usd("exact").alias("cost_usd")).limit(n)
 
 
 def price_overview(prices: DataFrame) -> DataFrame:
@@ -174,7 +185,8 @@ def price_overview(prices: DataFrame) -> DataFrame:
     day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return prices.groupBy(*PRICE_KEY).agg(
         F.count(F.lit(1)).alias("intervals"), day(F.min("effective_from").cast("timestamp")).alias("first_from"),
-        F.coalesce(day(F.max("effective_to").cast("timestamp")), F.lit("open")).alias("last_to"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
+        F.coalesce(day(F.max("effective_to").cast("timestamp")), F.lit("open")).alias("last_to"),
+        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
     )
 
 

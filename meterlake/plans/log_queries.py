@@ -34,15 +34,19 @@ def _claude_lines(t: Tables) -> DataFrame:
     kind = i % 10
     usage = F.struct(
         F.when(kind == 2, -1).otherwise(i % 1000).cast("long").alias("input_tokens"), (k * 7 + F.col("copy") * 5).alias("output_tokens"),
-        F.struct((i % 3).alias("ephemeral_5m_input_tokens"), (i % 2).alias("ephemeral_1h_input_tokens")).alias("cache_creation"), F.when(i % 4 == 0, "priority").otherwise(" ").alias("service_tier"),
+        F.struct((i % 3).alias("ephemeral_5m_input_tokens"), (i % 2).alias("ephemeral_1h_input_tokens")).alias("cache_creation"),
+        F.when(i % 4 == 0, "priority").otherwise(" ").alias("service_tier"),
     )
-    message = F.struct(F.when(kind == 3, "<synthetic>").otherwise(F.concat(F.lit("claude-opus-"), (i % 3).cast("string"))).alias("model"), usage.alias("usage"))
+    message = F.struct(F.when(kind == 3, "<synthetic>").otherwise(F.concat(F.lit("claude-opus-"), (i % 3).cast("string"))).alias("model"),
+        usage.alias("usage"))
     line = F.to_json(F.struct(
         F.when(kind == 1, "user").otherwise("assistant").alias("type"), F.date_format(F.col("ts").cast("timestamp"), STAMP).alias("timestamp"),
-        F.when(kind == 4, "").otherwise(F.concat(F.lit("req-"), i.cast("string"))).alias("requestId"), F.concat(F.lit("sess-"), F.col("user_id").cast("string")).alias("sessionId"), message.alias("message"),
+        F.when(kind == 4, "").otherwise(F.concat(F.lit("req-"), i.cast("string"))).alias("requestId"),
+        F.concat(F.lit("sess-"), F.col("user_id").cast("string")).alias("sessionId"), message.alias("message"),
     ))
     rows = bridge.events(t.spark, t.sf_dir).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    return rows.withColumns({"p": F.concat(F.lit("app"), (F.col("user_id") % 4).cast("string")), "line": F.when(kind == 0, F.concat(F.lit("{broken "), i)).otherwise(line)})
+    return rows.withColumns({"p": F.concat(F.lit("app"), (F.col("user_id") % 4).cast("string")),
+            "line": F.when(kind == 0, F.concat(F.lit("{broken "), i)).otherwise(line)})
 
 
 def _codex_lines(t: Tables) -> DataFrame:
@@ -55,7 +59,8 @@ def _codex_lines(t: Tables) -> DataFrame:
     usage = F.struct((i % 500).alias("input_tokens"), (i % 100).alias("cached_input_tokens"), (k * 3).alias("output_tokens"))
     count = F.struct(F.lit("token_count").alias("type"), F.struct(usage.alias("last_token_usage")).alias("info"))
     line = (
-        F.when(kind == "signup", say(timestamp=stamp, type=F.lit("session_meta"), payload=meta)).when(kind == "purchase", say(timestamp=stamp, type=F.lit("turn_context"), payload=turn))
+        F.when(kind == "signup", say(timestamp=stamp, type=F.lit("session_meta"), payload=meta)).when(kind == "purchase",
+            say(timestamp=stamp, type=F.lit("turn_context"), payload=turn))
         .otherwise(say(timestamp=stamp, type=F.lit("event_msg"), payload=count))
     )
     return bridge.events(t.spark, t.sf_dir).withColumns({"p": F.concat(F.lit("dir"), (F.col("user_id") % 4).cast("string")), "line": line})
@@ -82,7 +87,8 @@ i % 3 + i % 2 AS cache_creation_tokens, CASE WHEN i % 4 = 0 THEN 'priority' END
 def _(t):
     root = _write_lines(_claude_lines(t), "claude-logs", "event_id", "copy")
     kept = logs.kept_records(logs.parse_claude(logs.discover(t.spark, root, GLOB)), "claude-code")
-    return kept.select("request_id", "session_id", audit.text_of(F.col("timestamp")).alias("at"), "model_id", "input_tokens", "output_tokens", "cache_creation_tokens", "service_tier", "project", "is_subagent")
+    return kept.select("request_id", "session_id", audit.text_of(F.col("timestamp")).alias("at"), "model_id", "input_tokens", "output_tokens",
+        "cache_creation_tokens", "service_tier", "project", "is_subagent")
 
 
 @query("S5_S6_codex_records", O.base(TURNS) + """ SELECT session AS session_id, project, model AS model_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, i % 500 AS input_tokens, i % 100 AS cached_input_tokens, k * 3 AS output_tokens, 'standard' AS processing_mode
@@ -91,7 +97,8 @@ QUALIFY row_number() OVER (PARTITION BY session, ts, i % 500, i % 100, k ORDER B
 def _(t):
     root = _write_lines(_codex_lines(t), "codex-logs", "event_id")
     kept = logs.kept_records(logs.parse_codex(logs.discover(t.spark, root, GLOB)), "codex").filter("session_id like 's%'")
-    return kept.select("session_id", "project", "model_id", audit.text_of(F.col("timestamp")).alias("at"), "input_tokens", "cached_input_tokens", "output_tokens", "processing_mode")
+    return kept.select("session_id", "project", "model_id", audit.text_of(F.col("timestamp")).alias("at"), "input_tokens", "cached_input_tokens",
+        "output_tokens", "processing_mode")
 
 
 @query("S7_line_offsets", O.base("""flat AS (SELECT event_id, user_id % 4 AS p, 'x' || event_id || repeat('é', CAST(event_id % 5 AS INTEGER)) AS line FROM events)""") + """ SELECT event_id,
@@ -121,14 +128,17 @@ def _(t):
     return first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2))).drop("last_record_at")
 
 
-@query("S11_S12_S15_stored_usage", O.base(LINES) + f" SELECT 'claude-code' AS provider, strftime(ts, '%Y-%m-%d') AS usage_date, count(*) AS n, CAST(sum(k * 7 + 5) AS BIGINT) AS output_tokens FROM ({KEPT}) GROUP BY ALL")
+@query("S11_S12_S15_stored_usage",
+    O.base(LINES) + f" SELECT 'claude-code' AS provider, strftime(ts, '%Y-%m-%d') AS usage_date, count(*) AS n, CAST(sum(k * 7 + 5) AS BIGINT) AS output_tokens FROM ({KEPT}) GROUP BY ALL")
 def _(t):
     store, whole, _, _ = _store(t)
     logs.ingest(t.spark, {"claude-code": whole}, store, glob=GLOB)  # nothing is read again
-    return t.spark.read.parquet(f"{store}/usage").groupBy("provider", F.col("usage_date").cast("string").alias("usage_date")).agg(F.count(F.lit(1)).alias("n"), F.sum("output_tokens").alias("output_tokens"))
+    return t.spark.read.parquet(f"{store}/usage").groupBy("provider",
+        F.col("usage_date").cast("string").alias("usage_date")).agg(F.count(F.lit(1)).alias("n"), F.sum("output_tokens").alias("output_tokens"))
 
 
-@query("S16_rebuilt_usage", O.base(LINES) + f" SELECT 'p=app' || (user_id % 4) AS project, count(*) AS n FROM ({KEPT}) WHERE user_id % 4 = 3 AND ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY ALL")
+@query("S16_rebuilt_usage",
+    O.base(LINES) + f" SELECT 'p=app' || (user_id % 4) AS project, count(*) AS n FROM ({KEPT}) WHERE user_id % 4 = 3 AND ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY ALL")
 def _(t):
     store, _, _, _ = _store(t)
     left = _write_lines(_claude_lines(t).filter("user_id % 4 = 3 and ts < timestamp_ntz'2024-01-15 00:00:00'"), "claude-logs", "event_id", "copy")
@@ -144,17 +154,26 @@ def _catalog(t: Tables, faults: bool = False) -> str:
     part, k = t.spark.read.parquet(f"{t.sf_dir}/part.parquet"), F.col("p_partkey")
     none = F.lit(None).cast("string")
     bad = lambda n, x, y: F.when(k % n == 0, x).otherwise(y) if faults else y
-    rates = F.map_from_arrays(F.array(F.lit("input"), F.lit("output")), F.array(F.col("p_size").cast("decimal(18,6)"), (F.col("p_size") * 5).cast("decimal(18,6)")))
+    rates = F.map_from_arrays(F.array(F.lit("input"), F.lit("output")),
+        F.array(F.col("p_size").cast("decimal(18,6)"), (F.col("p_size") * 5).cast("decimal(18,6)")))
     entry = F.struct(
-        F.lit("codex").alias("provider"), F.array(bad(7, F.lit(" "), F.concat(F.lit("part-"), k)), F.concat(F.lit("part-"), k, F.lit("-x"))).alias("model_ids"), F.array().cast("array<string>").alias("model_aliases"), F.lit("USD").alias("currency"),
-        F.when(k % 2 == 0, "2024-01-01").otherwise("2024-01-01T06:00:00Z").alias("effective_from"), none.alias("effective_to"), bad(11, F.lit(""), F.concat(F.lit("list-"), k % 3)).alias("source"), bad(5, F.lit("nowhere"), F.concat(F.lit("s"), k % 3)).alias("source_ref"),
-        F.struct(none.alias("service_tier"), none.alias("speed"), F.when(k % 3 == 0, "us").alias("region"), F.lit("standard").alias("processing_mode"), none.alias("source_detail")).alias("dimensions"),
+        F.lit("codex").alias("provider"), F.array(bad(7, F.lit(" "), F.concat(F.lit("part-"), k)),
+            F.concat(F.lit("part-"), k, F.lit("-x"))).alias("model_ids"), F.array().cast("array<string>").alias("model_aliases"),
+        F.lit("USD").alias("currency"),
+        F.when(k % 2 == 0, "2024-01-01").otherwise("2024-01-01T06:00:00Z").alias("effective_from"), none.alias("effective_to"),
+        bad(11, F.lit(""), F.concat(F.lit("list-"), k % 3)).alias("source"),
+        bad(5, F.lit("nowhere"), F.concat(F.lit("s"), k % 3)).alias("source_ref"),
+        F.struct(none.alias("service_tier"), none.alias("speed"), F.when(k % 3 == 0, "us").alias("region"),
+            F.lit("standard").alias("processing_mode"), none.alias("source_detail")).alias("dimensions"),
         rates.alias("rates_per_1m_tokens"), F.concat(F.lit("n"), k).alias("notes"),
     )
-    source = lambda i: F.struct(F.lit(f"s{i}").alias("id"), F.lit(f"http{'' if faults and i == 1 else 's'}://example.org/{i}").alias("url"), F.lit("2024-01-02").alias("retrieved_at"), F.lit("").alias("notes"))
+    source = lambda i: F.struct(F.lit(f"s{i}").alias("id"), F.lit(f"http{'' if faults and i == 1 else 's'}://example.org/{i}").alias("url"),
+        F.lit("2024-01-02").alias("retrieved_at"), F.lit("").alias("notes"))
     # a catalog is one document, so its entries are one row
-    whole = part.agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), entry.alias("e"))), lambda a, b: (a["k"] - b["k"]).cast("int")).alias("x")).select(
-        F.lit(2 if faults else 1).alias("schema_version"), F.lit("").alias("notes"), F.array(*(source(i) for i in range(3))).alias("sources"), F.transform("x", lambda x: x["e"]).alias("entries")
+    whole = part.agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), entry.alias("e"))), lambda a,
+            b: (a["k"] - b["k"]).cast("int")).alias("x")).select(
+        F.lit(2 if faults else 1).alias("schema_version"), F.lit("").alias("notes"), F.array(*(source(i) for i in range(3))).alias("sources"),
+        F.transform("x", lambda x: x["e"]).alias("entries")
     )
     path = fresh_dir(t.spark, "catalog")
     whole.write.json(path)
@@ -166,7 +185,8 @@ CASE WHEN p_partkey % 2 = 0 THEN '2024-01-01 00:00:00' ELSE '2024-01-01 06:00:00
 
 
 def _listed(df: DataFrame) -> DataFrame:
-    return df.select("provider", "model_id", "token_category", "region", F.col("rate_per_1m_tokens").cast("double").alias("rate"), audit.text_of(F.col("effective_from")).alias("effective_from"), "source")
+    return df.select("provider", "model_id", "token_category", "region", F.col("rate_per_1m_tokens").cast("double").alias("rate"),
+        audit.text_of(F.col("effective_from")).alias("effective_from"), "source")
 
 
 @query("S17_S18_catalog_prices", _PRICED)
@@ -178,11 +198,14 @@ def _(t):
 UNION ALL SELECT 'source', source_url, NULL, NULL, NULL, NULL, source, n FROM (SELECT 'list-' || (p_partkey % 3) AS source, 'https://example.org/' || (p_partkey % 3) AS source_url, 1 AS n FROM part GROUP BY ALL)""")
 def _(t):
     one = catalog.catalog_prices(catalog.read_catalog(t.spark, _catalog(t))).limit(1)
-    old = one.withColumns({"model_id": F.lit("old"), "token_category": F.lit("input"), "region": F.lit(None).cast("string"), "rate_per_1m_tokens": F.lit("1").cast("decimal(18,6)"), "effective_from": F.lit(dt.datetime(2023, 1, 1)).cast("timestamp"), "source": F.lit("list-0")})
+    old = one.withColumns({"model_id": F.lit("old"), "token_category": F.lit("input"), "region": F.lit(None).cast("string"),
+            "rate_per_1m_tokens": F.lit("1").cast("decimal(18,6)"), "effective_from": F.lit(dt.datetime(2023, 1, 1)).cast("timestamp"),
+            "source": F.lit("list-0")})
     meta = bridge.sources(t.spark).limit(0)
     prices, sources = catalog.import_catalog(t.spark, _catalog(t), old, meta)
     none = F.lit(None).cast("string")
-    shown = sources.select(F.lit("source").alias("provider"), F.col("source_url").alias("model_id"), none.alias("token_category"), none.alias("region"), F.lit(None).cast("double").alias("rate"), none.alias("effective_from"), "source", F.lit(1).alias("source_count"))
+    shown = sources.select(F.lit("source").alias("provider"), F.col("source_url").alias("model_id"), none.alias("token_category"),
+        none.alias("region"), F.lit(None).cast("double").alias("rate"), none.alias("effective_from"), "source", F.lit(1).alias("source_count"))
     return _listed(prices).withColumn("source_count", F.lit(0)).unionByName(shown)
 
 
@@ -204,12 +227,14 @@ def _stream(t: Tables, *parts: Column) -> DataFrame:
     return t.spark.readStream.schema(t.usage.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("T1_appended_usage", O.base(O.USAGE) + " SELECT provider, strftime(\"timestamp\", '%Y-%m-%d') AS usage_date, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM usage GROUP BY ALL")
+@query("T1_appended_usage",
+    O.base(O.USAGE) + " SELECT provider, strftime(\"timestamp\", '%Y-%m-%d') AS usage_date, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM usage GROUP BY ALL")
 def _(t):
     i, store = F.substring_index("request_id", "-", -1).cast("long"), fresh_dir(t.spark, "usage")
     # the second part repeats a third of the first one's records
     streaming.append_usage(_stream(t, i % 2 == 0, (i % 2 == 1) | (i % 3 == 0)), store, fresh_dir(t.spark, "offsets")).awaitTermination()
-    return t.spark.read.parquet(store).groupBy("provider", F.col("usage_date").cast("string").alias("usage_date")).agg(F.count(F.lit(1)).alias("n"), F.sum("total_tokens").alias("total_tokens"))
+    return t.spark.read.parquet(store).groupBy("provider", F.col("usage_date").cast("string").alias("usage_date")).agg(F.count(F.lit(1)).alias("n"),
+        F.sum("total_tokens").alias("total_tokens"))
 
 
 def _collected(t: Tables, df: DataFrame, mode: str) -> DataFrame:
@@ -217,21 +242,25 @@ def _collected(t: Tables, df: DataFrame, mode: str) -> DataFrame:
     path = fresh_dir(t.spark, "stream-result")
     how = "overwrite" if mode == "complete" else "append"
     write = lambda batch, epoch: batch.write.mode(how).parquet(path)
-    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", fresh_dir(t.spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation",
+        fresh_dir(t.spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(path)
 
 
-@query("T2_stream_rollup", O.base(O.USAGE) + " SELECT strftime(date_trunc('hour', \"timestamp\"), '%Y-%m-%d %H:%M:%S') AS period_start, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in O.SUMS) + ", count(*) AS request_count FROM usage GROUP BY 1")
+@query("T2_stream_rollup",
+    O.base(O.USAGE) + " SELECT strftime(date_trunc('hour', \"timestamp\"), '%Y-%m-%d %H:%M:%S') AS period_start, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in O.SUMS) + ", count(*) AS request_count FROM usage GROUP BY 1")
 def _(t):
     i = F.substring_index("request_id", "-", -1).cast("long")
     out = _collected(t, streaming.rollup(_stream(t, i % 2 == 0, i % 2 == 1), "hourly"), "complete")
     return out.withColumn("period_start", audit.text_of(F.col("period_start"))).drop("session_count")
 
 
-@query("T3_stream_costs", O.priced(f"SELECT c.provider, c.request_id, c.token_category, c.component_ordinal, c.tokens, CAST(p.rate AS DOUBLE) AS rate, CAST(round(CAST(c.tokens AS DECIMAL(20,0)) * p.rate, 0) AS DOUBLE) / 1e6 AS cost_usd FROM components c LEFT JOIN prices p ON {O.MATCH} AND p.currency = 'USD' AND {O.IN_FORCE}"))
+@query("T3_stream_costs",
+    O.priced(f"SELECT c.provider, c.request_id, c.token_category, c.component_ordinal, c.tokens, CAST(p.rate AS DOUBLE) AS rate, CAST(round(CAST(c.tokens AS DECIMAL(20,0)) * p.rate, 0) AS DOUBLE) / 1e6 AS cost_usd FROM components c LEFT JOIN prices p ON {O.MATCH} AND p.currency = 'USD' AND {O.IN_FORCE}"))
 def _(t):
     out = _collected(t, streaming.component_costs(_stream(t), t.prices), "append")
-    return out.select(*USAGE_KEY, "token_category", F.col("component_ordinal").cast("long").alias("component_ordinal"), "tokens", F.col("rate").cast("double").alias("rate"), "cost_usd")
+    return out.select(*USAGE_KEY, "token_category", F.col("component_ordinal").cast("long").alias("component_ordinal"), "tokens",
+        F.col("rate").cast("double").alias("rate"), "cost_usd")
 
 
 @query("T4_deduplicated_stream", O.base(O.USAGE) + " SELECT provider, count(*) AS n FROM usage GROUP BY 1")

@@ -55,7 +55,8 @@ def _price_rows() -> list[tuple]:
         if provider == "codex":
             cats += [("cached_input", None, read), ("reasoning_output", None, outp)]
         else:
-            cats += [("cache_read", None, read), ("cache_creation", None, c5), ("cache_creation", "ephemeral_5m", c5), ("cache_creation", "ephemeral_1h", c1)]
+            cats += [("cache_read", None, read), ("cache_creation", None, c5), ("cache_creation", "ephemeral_5m", c5),
+                ("cache_creation", "ephemeral_1h", c1)]
         for cat, detail, rate in cats:
             out.append((provider, model, cat, None, mode, detail, "USD", Decimal(rate), "2024-01-01", None, "bundled-2024"))
             if regional:
@@ -138,7 +139,8 @@ prices AS (SELECT
   FROM lineitem)"""
 KEY = "provider, model_id, token_category, service_tier, speed, region, processing_mode, source_detail"
 
-SUMS = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "cached_input_tokens", "reasoning_output_tokens", "total_tokens"]
+SUMS = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "cached_input_tokens", "reasoning_output_tokens",
+    "total_tokens"]
 USD = "CAST(round(coalesce(sum(exact), 0), 0) AS DOUBLE) / 1e6"
 MEASURES = ", ".join(f"CAST(greatest(coalesce(sum({c}), 0), 0) AS BIGINT) AS {c}" for c in SUMS) + f", {USD} AS cost_usd, count(*) AS request_count, count(DISTINCT (provider, session_id)) AS session_count"
 ZEROS = ", ".join(f"coalesce({c}, 0) AS {c}" for c in [*SUMS, "cost_usd", "request_count", "session_count"])
@@ -167,7 +169,8 @@ def defective(select: str, *more: str) -> str:
 def bucket(period: str, tz: str | None = None) -> str:
     t = '"timestamp"' if tz is None else f"(\"timestamp\" AT TIME ZONE 'UTC' AT TIME ZONE '{tz}')"
     return {
-        "5min": f"strftime({t}, '%Y-%m-%d %H:') || lpad(CAST(floor(minute({t}) / 5) * 5 AS INTEGER)::VARCHAR, 2, '0')", "hourly": f"strftime({t}, '%Y-%m-%d %H:00')",
+        "5min": f"strftime({t}, '%Y-%m-%d %H:') || lpad(CAST(floor(minute({t}) / 5) * 5 AS INTEGER)::VARCHAR, 2, '0')",
+        "hourly": f"strftime({t}, '%Y-%m-%d %H:00')",
         "daily": f"strftime({t}, '%Y-%m-%d')", "monthly": f"strftime({t}, '%Y-%m')", "yearly": f"strftime({t}, '%Y')",
     }[period]
 

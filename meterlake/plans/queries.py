@@ -94,11 +94,13 @@ def _(t):
 @query("F4_format_utc", """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' WHEN microsecond(ts) % 1000 = 0 THEN '.' || lpad(CAST((microsecond(ts) % 1000000) // 1000 AS VARCHAR), 3, '0')
 ELSE '.' || lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0') END || '+00:00' AS utc FROM (SELECT event_id, ts + to_milliseconds(CASE WHEN event_id % 3 = 0 THEN event_id % 1000 ELSE 0 END) AS ts FROM events)""")
 def _(t):
-    ts = F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 1000).otherwise(0).cast("decimal(10,3)") / 1000)
+    ts = F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.when(F.col("event_id") % 3 == 0,
+            F.col("event_id") % 1000).otherwise(0).cast("decimal(10,3)") / 1000)
     return bridge.events(t.spark, t.sf_dir).select("event_id", C.format_utc(ts).alias("utc"))
 
 
-@query("F5_utc_problems", """SELECT CASE event_id % 4 WHEN 0 THEN 'invalid' WHEN 1 THEN 'not_utc' WHEN 2 THEN 'not_canonical' END AS problem, count(*) AS n FROM events GROUP BY 1""")
+@query("F5_utc_problems",
+    """SELECT CASE event_id % 4 WHEN 0 THEN 'invalid' WHEN 1 THEN 'not_utc' WHEN 2 THEN 'not_canonical' END AS problem, count(*) AS n FROM events GROUP BY 1""")
 def _(t):
     i, day = F.col("event_id") % 4, F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
     text = F.concat(day, F.when(i == 0, "T99:00:00Z").when(i == 1, "T01:02:03+02:00").when(i == 2, "T01:02:03Z").otherwise("T01:02:03+00:00"))
@@ -110,54 +112,66 @@ def _(t):
     return t.usage.select("request_id", C.total_tokens().alias("total_tokens"))
 
 
-@query("F7_cache_creation_total", "SELECT event_id, CASE WHEN (event_id % 3) * 10 > 0 THEN (event_id % 3) * 10 ELSE event_id % 7 + event_id % 5 END AS n FROM events")
+@query("F7_cache_creation_total",
+    "SELECT event_id, CASE WHEN (event_id % 3) * 10 > 0 THEN (event_id % 3) * 10 ELSE event_id % 7 + event_id % 5 END AS n FROM events")
 def _(t):
     i = F.col("event_id")
     return bridge.events(t.spark, t.sf_dir).select("event_id", C.cache_creation_total((i % 3) * 10, i % 7, i % 5).alias("n"))
 
 
-@query("F8_first_present", """SELECT coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, CASE WHEN event_id % 2 = 0 THEN 'user' END) AS found, count(*) AS n FROM events GROUP BY 1""")
+@query("F8_first_present",
+    """SELECT coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, CASE WHEN event_id % 2 = 0 THEN 'user' END) AS found, count(*) AS n FROM events GROUP BY 1""")
 def _(t):
     i = F.col("event_id")
-    return bridge.events(t.spark, t.sf_dir).groupBy(C.first_present(F.when(i % 3 == 0, F.col("event_type")).otherwise("  "), F.when(i % 2 == 0, "user")).alias("found")).agg(F.count(F.lit(1)).alias("n"))
+    return bridge.events(t.spark, t.sf_dir).groupBy(C.first_present(F.when(i % 3 == 0, F.col("event_type")).otherwise("  "),
+            F.when(i % 2 == 0, "user")).alias("found")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("F9_processing_mode", "SELECT CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'standard' END AS mode, count(*) AS n FROM events GROUP BY 1")
 def _(t):
-    return bridge.events(t.spark, t.sf_dir).groupBy(C.processing_mode(F.when(F.col("event_id") % 3 == 0, F.col("event_type")), F.lit(" ")).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+    return bridge.events(t.spark, t.sf_dir).groupBy(C.processing_mode(F.when(F.col("event_id") % 3 == 0, F.col("event_type")),
+            F.lit(" ")).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F10_codex_request_id", O.base(O.USAGE) + """ SELECT session_id || ':' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || ':' || input_tokens || ':' || cached_input_tokens || ':' || output_tokens || ':' || reasoning_output_tokens || ':' || processing_mode AS id FROM usage WHERE provider = 'codex'""")
+@query("F10_codex_request_id",
+    O.base(O.USAGE) + """ SELECT session_id || ':' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || ':' || input_tokens || ':' || cached_input_tokens || ':' || output_tokens || ':' || reasoning_output_tokens || ':' || processing_mode AS id FROM usage WHERE provider = 'codex'""")
 def _(t):
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
-    return t.usage.filter("provider = 'codex'").select(C.codex_request_id(F.col("session_id"), stamp, F.col("input_tokens"), F.col("cached_input_tokens"), F.col("output_tokens"), F.col("reasoning_output_tokens"), F.col("processing_mode")).alias("id"))
+    return t.usage.filter("provider = 'codex'").select(C.codex_request_id(F.col("session_id"), stamp, F.col("input_tokens"),
+            F.col("cached_input_tokens"), F.col("output_tokens"), F.col("reasoning_output_tokens"), F.col("processing_mode")).alias("id"))
 
 
 @query("F11_F14_path_columns", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'app-' || user_id WHEN 1 THEN 'work' WHEN 2 THEN 'unknown' ELSE 'x' || user_id END AS project,
 CASE WHEN event_id % 2 = 0 THEN 'repo' || user_id ELSE 'unknown' END AS cwd_project, CASE WHEN event_id % 2 = 0 THEN '01234567-89ab-cdef-0123-456789abcdef' ELSE 'log' || event_id END AS session, event_id % 3 = 0 AS subagent FROM events""")
 def _(t):
     i, u = F.col("event_id"), F.col("user_id").cast("string")
-    part = F.when(i % 4 == 0, F.concat(F.lit("-home-me-src-app-"), u)).when(i % 4 == 1, F.lit("-home-work-")).when(i % 4 == 2, F.lit("-")).otherwise(F.concat(F.lit("a-b-x"), u))
+    part = F.when(i % 4 == 0, F.concat(F.lit("-home-me-src-app-"), u)).when(i % 4 == 1, F.lit("-home-work-")).when(i % 4 == 2,
+        F.lit("-")).otherwise(F.concat(F.lit("a-b-x"), u))
     stem = F.when(i % 2 == 0, F.lit("rollout-2024-01234567-89ab-cdef-0123-456789abcdef")).otherwise(F.concat(F.lit("log"), i))
     path = F.concat(F.lit("/logs/projects/"), part, F.when(i % 3 == 0, "/s/subagents/").otherwise("/"), stem, F.lit(".jsonl"))
     cwd = F.when(i % 2 == 0, F.concat(F.lit("/home/me/repo"), u, F.lit("/"))).otherwise("/")
-    return bridge.events(t.spark, t.sf_dir).select("event_id", C.project_from_dir(path).alias("project"), C.project_from_cwd(cwd).alias("cwd_project"), C.session_from_path(path).alias("session"), C.is_subagent(path).alias("subagent"))
+    return bridge.events(t.spark, t.sf_dir).select("event_id", C.project_from_dir(path).alias("project"),
+        C.project_from_cwd(cwd).alias("cwd_project"), C.session_from_path(path).alias("session"), C.is_subagent(path).alias("subagent"))
 
 
 @query("F15_dimensions", O.base(O.USAGE) + """ SELECT CASE WHEN provider = 'claude-code' AND service_tier = 'standard' THEN NULL ELSE service_tier END AS service_tier, CASE WHEN provider = 'claude-code' AND speed IN ('standard', 'fast') THEN NULL ELSE speed END AS speed,
 CASE WHEN provider = 'claude-code' AND region = 'not_available' THEN NULL ELSE region END AS region, count(*) AS n FROM usage GROUP BY 1, 2, 3""")
 def _(t):
-    return t.usage.groupBy(*(C.normalize_dimension("provider", d, d).alias(d) for d in ("service_tier", "speed", "region"))).agg(F.count(F.lit(1)).alias("n"))
+    return t.usage.groupBy(*(C.normalize_dimension("provider", d, d).alias(d) for d in ("service_tier", "speed",
+                "region"))).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F16_billable_tokens", O.base(O.USAGE) + """ SELECT provider, request_id, CASE WHEN provider = 'codex' THEN greatest(input_tokens - cached_input_tokens, 0) ELSE input_tokens END AS input, CASE WHEN provider = 'codex' THEN 0 ELSE reasoning_output_tokens END AS reasoning FROM usage""")
+@query("F16_billable_tokens",
+    O.base(O.USAGE) + """ SELECT provider, request_id, CASE WHEN provider = 'codex' THEN greatest(input_tokens - cached_input_tokens, 0) ELSE input_tokens END AS input, CASE WHEN provider = 'codex' THEN 0 ELSE reasoning_output_tokens END AS reasoning FROM usage""")
 def _(t):
     return t.usage.select(*USAGE_KEY, C.billable_tokens("input").alias("input"), C.billable_tokens("reasoning_output").alias("reasoning"))
 
 
-@query("F17_component_cost", O.priced(f"SELECT c.provider, c.request_id, c.component_ordinal, CAST(round(CAST(c.tokens AS DECIMAL(20,0)) * p.rate, 0) AS DOUBLE) / 1e6 AS cost_usd FROM components c JOIN prices p ON {O.MATCH} AND {O.IN_FORCE}"))
+@query("F17_component_cost",
+    O.priced(f"SELECT c.provider, c.request_id, c.component_ordinal, CAST(round(CAST(c.tokens AS DECIMAL(20,0)) * p.rate, 0) AS DOUBLE) / 1e6 AS cost_usd FROM components c JOIN prices p ON {O.MATCH} AND {O.IN_FORCE}"))
 def _(t):
-    return pricing.price_join(t.components, t.prices, "inner").select(*USAGE_KEY, "component_ordinal", C.usd(C.cost_of("tokens", "rate")).alias("cost_usd"))
+    return pricing.price_join(t.components, t.prices, "inner").select(*USAGE_KEY, "component_ordinal",
+        C.usd(C.cost_of("tokens", "rate")).alias("cost_usd"))
 
 
 for _p in C.PERIODS:
@@ -186,9 +200,11 @@ def _(t):
     return t.usage.groupBy(C.project_label().alias("project")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F23_group_labels", O.base(O.USAGE) + " SELECT provider || '/' || model_id AS model, provider, coalesce(nullif(project, ''), 'unknown') AS project, count(*) AS n FROM usage GROUP BY 1, 2, 3")
+@query("F23_group_labels",
+    O.base(O.USAGE) + " SELECT provider || '/' || model_id AS model, provider, coalesce(nullif(project, ''), 'unknown') AS project, count(*) AS n FROM usage GROUP BY 1, 2, 3")
 def _(t):
-    return t.usage.groupBy(C.group_label("model").alias("model"), C.group_label("provider").alias("provider"), C.group_label("project").alias("project")).agg(F.count(F.lit(1)).alias("n"))
+    return t.usage.groupBy(C.group_label("model").alias("model"), C.group_label("provider").alias("provider"),
+        C.group_label("project").alias("project")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("F26_dimension_suffix", O.base(O.USAGE, O.COMPONENTS) + f" SELECT {O.DIMS} AS suffix, count(*) AS n FROM components GROUP BY 1")
@@ -196,7 +212,8 @@ def _(t):
     return t.components.groupBy(C.dimension_suffix().alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F27_column_selection", O.priced(f"SELECT period, request_count, total_tokens, cost_usd FROM (SELECT {O.bucket('daily')} AS period, {O.MEASURES} FROM rows GROUP BY 1)"))
+@query("F27_column_selection",
+    O.priced(f"SELECT period, request_count, total_tokens, cost_usd FROM (SELECT {O.bucket('daily')} AS period, {O.MEASURES} FROM rows GROUP BY 1)"))
 def _(t):
     return reports.rollup(t.rows, "daily", fill=False).select(*C.report_columns(["date", "requests", "total", "cost"]))
 
@@ -236,24 +253,30 @@ def _(t):
     return pricing.with_usd(reports.with_costs(t.usage, t.costs).select(*USAGE_KEY, "total_tokens", "exact"))
 
 
-@query("J2_price_join", O.priced(f"SELECT c.provider, c.request_id, c.component_ordinal, c.tokens, CAST(p.rate AS DOUBLE) AS rate, p.source AS price_source FROM components c LEFT JOIN prices p ON {O.MATCH} AND p.currency = 'USD' AND {O.IN_FORCE}"))
+@query("J2_price_join",
+    O.priced(f"SELECT c.provider, c.request_id, c.component_ordinal, c.tokens, CAST(p.rate AS DOUBLE) AS rate, p.source AS price_source FROM components c LEFT JOIN prices p ON {O.MATCH} AND p.currency = 'USD' AND {O.IN_FORCE}"))
 def _(t):
-    return pricing.price_join(t.components, t.prices).select(*USAGE_KEY, F.col("component_ordinal").cast("long").alias("component_ordinal"), "tokens", F.col("rate").cast("double").alias("rate"), "price_source")
+    return pricing.price_join(t.components, t.prices).select(*USAGE_KEY, F.col("component_ordinal").cast("long").alias("component_ordinal"), "tokens",
+        F.col("rate").cast("double").alias("rate"), "price_source")
 
 
 @query("J3_price_lookup", O.defective(f"""SELECT c.* REPLACE ({O.said('c."timestamp"')} AS "timestamp"), count(p.rate) AS price_matches, CASE WHEN count(p.rate) = 1 THEN CAST(max(p.rate) AS DOUBLE) END AS rate, CASE WHEN count(p.rate) = 0 THEN 'missing' WHEN count(p.rate) > 1 THEN 'overlapping' ELSE 'found' END AS result
 FROM (SELECT DISTINCT {O.KEY}, date_trunc('day', "timestamp") AS "timestamp" FROM components) c LEFT JOIN prices p ON {O.MATCH} AND p.currency = 'USD' AND {O.IN_FORCE} GROUP BY ALL"""), defects=True)
 def _(t):
-    return pricing.lookup(t.components.select(*PRICE_KEY, F.date_trunc("day", "timestamp").alias("timestamp")).distinct(), t.prices).withColumns({"timestamp": audit.text_of(F.col("timestamp")), "rate": F.col("rate").cast("double")})
+    return pricing.lookup(t.components.select(*PRICE_KEY, F.date_trunc("day", "timestamp").alias("timestamp")).distinct(),
+        t.prices).withColumns({"timestamp": audit.text_of(F.col("timestamp")), "rate": F.col("rate").cast("double")})
 
 
 @query("J4_observed_coverage", O.defective(f"""SELECT provider, model_id, token_category, problem, count(*) AS n FROM (SELECT c.*, CASE WHEN count(p.rate) = 0 THEN 'missing' ELSE 'overlap' END AS problem
 FROM (SELECT DISTINCT {O.KEY}, "timestamp" FROM components) c LEFT JOIN prices p ON {O.MATCH} AND p.currency = 'USD' AND {O.IN_FORCE} GROUP BY ALL HAVING count(p.rate) <> 1) GROUP BY ALL"""), defects=True)
 def _(t):
-    return pricing.observed_coverage(t.components, t.prices).groupBy("provider", "model_id", "token_category", "problem").agg(F.count(F.lit(1)).alias("n"))
+    return pricing.observed_coverage(t.components, t.prices).groupBy("provider", "model_id", "token_category",
+        "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("J5_component_lookup", O.base(O.USAGE, O.COMPONENTS) + " SELECT count(*) AS component_count FROM components c JOIN usage u USING (provider, request_id) WHERE u.provider = 'codex'")
+@query("J5_component_lookup",
+    O.base(O.USAGE,
+        O.COMPONENTS) + " SELECT count(*) AS component_count FROM components c JOIN usage u USING (provider, request_id) WHERE u.provider = 'codex'")
 def _(t):
     return explain.component_count(UsageFilter(provider="codex").apply(t.usage), t.components)
 
@@ -264,9 +287,12 @@ def _(t):
     return explain.provenance(t.usage, t.components, t.prices, t.sources)
 
 
-@query("J7_used_sources", O.defective(f"""SELECT DISTINCT c.provider, c.model_id, c.token_category, {O.said('p.effective_from')} AS effective_from, p.source, s.source_kind FROM components c JOIN prices p ON {O.MATCH} AND {O.IN_FORCE} LEFT JOIN sources s ON s.source = p.source"""), defects=True)
+@query("J7_used_sources",
+    O.defective(f"""SELECT DISTINCT c.provider, c.model_id, c.token_category, {O.said('p.effective_from')} AS effective_from, p.source, s.source_kind FROM components c JOIN prices p ON {O.MATCH} AND {O.IN_FORCE} LEFT JOIN sources s ON s.source = p.source"""),
+    defects=True)
 def _(t):
-    return audit.used_sources(t.components, t.prices, t.sources).select("provider", "model_id", "token_category", audit.text_of(F.col("effective_from")).alias("effective_from"), "source", "source_kind").distinct()
+    return audit.used_sources(t.components, t.prices, t.sources).select("provider", "model_id", "token_category",
+        audit.text_of(F.col("effective_from")).alias("effective_from"), "source", "source_kind").distinct()
 
 
 def _broken(t: Tables) -> DataFrame:
@@ -328,23 +354,30 @@ def _(t):
 _GAPPY = "components_seen AS (SELECT * FROM components), known AS (SELECT * FROM prices WHERE model_id NOT IN ('gpt-5.4') AND region IS NULL)"
 
 
-@query("J9_unknown_models", O.priced("SELECT 'Error' AS severity, 'UnknownObservedModel' AS kind, provider, model_id, CAST(NULL AS VARCHAR) AS token_category, 'default' AS dimensions, CAST(NULL AS VARCHAR) AS \"start\", CAST(NULL AS VARCHAR) AS \"end\", 'add prices for the model' AS remediation FROM (SELECT DISTINCT provider, model_id FROM components) c WHERE NOT EXISTS (SELECT 1 FROM known p WHERE p.provider = c.provider AND p.model_id = c.model_id)", _GAPPY))
+@query("J9_unknown_models",
+    O.priced("SELECT 'Error' AS severity, 'UnknownObservedModel' AS kind, provider, model_id, CAST(NULL AS VARCHAR) AS token_category, 'default' AS dimensions, CAST(NULL AS VARCHAR) AS \"start\", CAST(NULL AS VARCHAR) AS \"end\", 'add prices for the model' AS remediation FROM (SELECT DISTINCT provider, model_id FROM components) c WHERE NOT EXISTS (SELECT 1 FROM known p WHERE p.provider = c.provider AND p.model_id = c.model_id)",
+        _GAPPY))
 def _(t):
     return audit.unknown_models(t.components, t.prices.filter("model_id != 'gpt-5.4' and region is null"))
 
 
-@query("J10_unsupported_modifiers", O.priced(f"SELECT {O.finding(chr(39) + 'Error' + chr(39), chr(39) + 'UnsupportedModifier' + chr(39), remedy=chr(39) + 'add prices for these dimensions' + chr(39))} FROM (SELECT DISTINCT {O.KEY} FROM components WHERE coalesce(service_tier, speed, region, processing_mode, source_detail) IS NOT NULL) c WHERE NOT EXISTS (SELECT 1 FROM known p WHERE {O.MATCH})", _GAPPY))
+@query("J10_unsupported_modifiers",
+    O.priced(f"SELECT {O.finding(chr(39) + 'Error' + chr(39), chr(39) + 'UnsupportedModifier' + chr(39), remedy=chr(39) + 'add prices for these dimensions' + chr(39))} FROM (SELECT DISTINCT {O.KEY} FROM components WHERE coalesce(service_tier, speed, region, processing_mode, source_detail) IS NOT NULL) c WHERE NOT EXISTS (SELECT 1 FROM known p WHERE {O.MATCH})",
+        _GAPPY))
 def _(t):
     return audit.unsupported_modifiers(t.components, t.prices.filter("model_id != 'gpt-5.4' and region is null"))
 
 
-@query("J13_unpriced", O.defective("SELECT provider, request_id, model_id, status FROM usage JOIN costs USING (provider, request_id) WHERE status <> 'priced' OR provider = 'codex'"), defects=True)
+@query("J13_unpriced",
+    O.defective("SELECT provider, request_id, model_id, status FROM usage JOIN costs USING (provider, request_id) WHERE status <> 'priced' OR provider = 'codex'"),
+    defects=True)
 def _(t):
     now = t.spark.createDataFrame([("claude-code", 1), ("codex", 2)], "provider string, generation int")
     return pricing.unpriced(t.usage, t.costs, now).drop("timestamp")
 
 
-@query("J14_reprice", O.priced("SELECT provider, request_id, CASE WHEN provider = 'codex' THEN 2 ELSE 1 END AS pricing_generation, status FROM costs"))
+@query("J14_reprice",
+    O.priced("SELECT provider, request_id, CASE WHEN provider = 'codex' THEN 2 ELSE 1 END AS pricing_generation, status FROM costs"))
 def _(t):
     fresh = pricing.request_costs(t.usage, t.components, t.prices, generation=2)
     return pricing.reprice(t.costs, fresh, ("codex",)).select(*USAGE_KEY, "pricing_generation", "status")
@@ -355,24 +388,31 @@ FROM prices p LEFT JOIN (SELECT {O.KEY}, min("timestamp") AS first_at FROM compo
 def _(t):
     late = t.prices.withColumn("effective_from", F.col("effective_from") + F.make_dt_interval(F.lit(20)))
     out = catalog.back_date(late, t.prices.filter("provider = 'codex'"), t.components)
-    return out.select("provider", "model_id", "token_category", "region", "source_detail", audit.text_of(F.col("effective_from")).alias("effective_from"))
+    return out.select("provider", "model_id", "token_category", "region", "source_detail",
+        audit.text_of(F.col("effective_from")).alias("effective_from"))
 
 
 # -- components and costs
 
-@query("C1_components", O.base(O.USAGE, O.COMPONENTS) + ' SELECT provider, request_id, model_id, token_category, tokens, service_tier, speed, region, processing_mode, source_detail, component_ordinal FROM components')
+@query("C1_components",
+    O.base(O.USAGE,
+        O.COMPONENTS) + ' SELECT provider, request_id, model_id, token_category, tokens, service_tier, speed, region, processing_mode, source_detail, component_ordinal FROM components')
 def _(t):
     return t.components.drop("timestamp").withColumn("component_ordinal", F.col("component_ordinal").cast("long"))
 
 
-@query("C2_A11_request_costs", O.defective("SELECT provider, request_id, status, CAST(round(exact, 0) AS DOUBLE) / 1e6 AS cost_usd FROM costs"), defects=True)
+@query("C2_A11_request_costs", O.defective("SELECT provider, request_id, status, CAST(round(exact, 0) AS DOUBLE) / 1e6 AS cost_usd FROM costs"),
+    defects=True)
 def _(t):
     return pricing.with_usd(t.costs).select(*USAGE_KEY, "status", "cost_usd")
 
 
-@query("A10_component_costs", O.defective("SELECT provider, request_id, component_ordinal, price_matches, CAST(round(exact, 0) AS DOUBLE) / 1e6 AS cost_usd FROM matches"), defects=True)
+@query("A10_component_costs",
+    O.defective("SELECT provider, request_id, component_ordinal, price_matches, CAST(round(exact, 0) AS DOUBLE) / 1e6 AS cost_usd FROM matches"),
+    defects=True)
 def _(t):
-    return pricing.component_costs(t.components, t.prices).select(*USAGE_KEY, F.col("component_ordinal").cast("long").alias("component_ordinal"), "price_matches", C.usd("exact").alias("cost_usd"))
+    return pricing.component_costs(t.components, t.prices).select(*USAGE_KEY, F.col("component_ordinal").cast("long").alias("component_ordinal"),
+        "price_matches", C.usd("exact").alias("cost_usd"))
 
 
 @query("A11_status_counts", O.defective("SELECT status, count(*) AS n FROM costs GROUP BY 1"), defects=True)
@@ -380,14 +420,17 @@ def _(t):
     return t.costs.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A14_observations", O.base(O.USAGE, O.COMPONENTS) + f""" SELECT {O.KEY}, {O.said('min("timestamp")')} AS first_at, {O.said('max("timestamp")')} AS last_at FROM components GROUP BY ALL""")
+@query("A14_observations",
+    O.base(O.USAGE,
+        O.COMPONENTS) + f""" SELECT {O.KEY}, {O.said('min("timestamp")')} AS first_at, {O.said('max("timestamp")')} AS last_at FROM components GROUP BY ALL""")
 def _(t):
     return audit.observations(t.components).withColumns({c: audit.text_of(F.col(c)) for c in ("first_at", "last_at")})
 
 
 # -- reports
 
-_LABEL = {"hourly": ("INTERVAL 1 HOUR", "%Y-%m-%d %H:00", "hour"), "daily": ("INTERVAL 1 DAY", "%Y-%m-%d", "day"), "monthly": ("INTERVAL 1 MONTH", "%Y-%m", "month"), "5min": ("INTERVAL 5 MINUTES", "%Y-%m-%d %H:%M", "minute")}
+_LABEL = {"hourly": ("INTERVAL 1 HOUR", "%Y-%m-%d %H:00", "hour"), "daily": ("INTERVAL 1 DAY", "%Y-%m-%d", "day"),
+    "monthly": ("INTERVAL 1 MONTH", "%Y-%m", "month"), "5min": ("INTERVAL 5 MINUTES", "%Y-%m-%d %H:%M", "minute")}
 
 
 def _filled(period: str, where: str = "true") -> str:
@@ -446,7 +489,8 @@ def _(t):
     return reports.by_group(t.rows, "provider")
 
 
-@query("A5_by_project", O.priced(f"SELECT coalesce(nullif(project, ''), 'unknown') AS project, coalesce(nullif(project, ''), 'unknown') AS label, {O.MEASURES} FROM rows GROUP BY 1"))
+@query("A5_by_project",
+    O.priced(f"SELECT coalesce(nullif(project, ''), 'unknown') AS project, coalesce(nullif(project, ''), 'unknown') AS label, {O.MEASURES} FROM rows GROUP BY 1"))
 def _(t):
     return reports.by_group(t.rows, "project")
 
@@ -461,7 +505,8 @@ def _(t):
     return reports.summary(t.selected(model="no-such-model"))
 
 
-@query("A7_daily_totals", O.priced(f"SELECT {O.bucket('daily')} AS day, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {O.USD} AS cost_usd FROM rows GROUP BY 1"))
+@query("A7_daily_totals",
+    O.priced(f"SELECT {O.bucket('daily')} AS day, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {O.USD} AS cost_usd FROM rows GROUP BY 1"))
 def _(t):
     return reports.daily_totals(t.rows).withColumn("day", F.col("day").cast("string"))
 
@@ -503,28 +548,33 @@ def _(t):
     return _said_ends(reports.provider_stats(t.rows))
 
 
-@query("A18_top_models", O.priced(f"SELECT provider, model_id, count(*) AS requests, CAST(sum(total_tokens) AS BIGINT) AS tokens, {O.USD} AS cost_usd FROM rows GROUP BY 1, 2 ORDER BY tokens DESC, provider, model_id LIMIT 20"))
+@query("A18_top_models",
+    O.priced(f"SELECT provider, model_id, count(*) AS requests, CAST(sum(total_tokens) AS BIGINT) AS tokens, {O.USD} AS cost_usd FROM rows GROUP BY 1, 2 ORDER BY tokens DESC, provider, model_id LIMIT 20"))
 def _(t):
     return reports.top_models(t.rows)
 
 
-@query("A19_recent", O.priced(f"""SELECT provider, request_id, {O.said('"timestamp"')} AS at, model_id, total_tokens, CAST(round(exact, 0) AS DOUBLE) / 1e6 AS cost_usd FROM rows ORDER BY "timestamp" DESC, provider, request_id LIMIT 10"""))
+@query("A19_recent",
+    O.priced(f"""SELECT provider, request_id, {O.said('"timestamp"')} AS at, model_id, total_tokens, CAST(round(exact, 0) AS DOUBLE) / 1e6 AS cost_usd FROM rows ORDER BY "timestamp" DESC, provider, request_id LIMIT 10"""))
 def _(t):
     return reports.recent(t.rows).withColumn("at", audit.text_of(F.col("timestamp"))).drop("timestamp")
 
 
-@query("A20_price_overview", O.base(O.QUOTES) + f" SELECT {O.KEY}, count(*) AS intervals, {O.said('min(effective_from)')} AS first_from, coalesce({O.said('max(effective_to)')}, 'open') AS last_to, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM prices GROUP BY ALL")
+@query("A20_price_overview",
+    O.base(O.QUOTES) + f" SELECT {O.KEY}, count(*) AS intervals, {O.said('min(effective_from)')} AS first_from, coalesce({O.said('max(effective_to)')}, 'open') AS last_to, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM prices GROUP BY ALL")
 def _(t):
     return reports.price_overview(t.quotes)
 
 
 for _m, _c in (("tokens", "total_tokens"), ("cost", "cost_usd"), ("input", "input_tokens"), ("output", "output_tokens")):
-    @query(f"A21_series_{_m}", O.priced(f"SELECT round(avg({_c}), 6) AS average, max({_c}) AS largest, round(sum({_c}), 6){'' if _m == 'cost' else '::BIGINT'} AS total FROM (SELECT {O.bucket('daily')} AS day, {O.MEASURES} FROM rows GROUP BY 1)"))
+    @query(f"A21_series_{_m}",
+        O.priced(f"SELECT round(avg({_c}), 6) AS average, max({_c}) AS largest, round(sum({_c}), 6){'' if _m == 'cost' else '::BIGINT'} AS total FROM (SELECT {O.bucket('daily')} AS day, {O.MEASURES} FROM rows GROUP BY 1)"))
     def _(t, m=_m):
         return reports.series_stats(reports.daily_totals(t.rows), m)
 
 
-@query("A22_record_cost", O.priced("SELECT provider, request_id, CAST(round(exact, 0) AS DOUBLE) / 1e6 AS cost_usd FROM costs WHERE request_id LIKE '%7'"))
+@query("A22_record_cost",
+    O.priced("SELECT provider, request_id, CAST(round(exact, 0) AS DOUBLE) / 1e6 AS cost_usd FROM costs WHERE request_id LIKE '%7'"))
 def _(t):
     return pricing.record_costs(t.usage.filter(F.col("request_id").endswith("7")), t.prices)
 
@@ -543,32 +593,39 @@ def _(t):
     return reports.calendar_grid(daily, D(2024, 1, 15)).withColumn("day", F.col("day").cast("string"))
 
 
-@query("G6_ordered_findings", O.base(O.QUOTES) + f" SELECT row_number() OVER (ORDER BY provider, model_id, token_category, region NULLS FIRST) AS place, provider, model_id, token_category, region FROM (SELECT DISTINCT {O.KEY} FROM prices) ORDER BY place LIMIT 100")
+@query("G6_ordered_findings",
+    O.base(O.QUOTES) + f" SELECT row_number() OVER (ORDER BY provider, model_id, token_category, region NULLS FIRST) AS place, provider, model_id, token_category, region FROM (SELECT DISTINCT {O.KEY} FROM prices) ORDER BY place LIMIT 100")
 def _(t):
-    keys = t.quotes.select("provider", "model_id", "token_category", "region").distinct().orderBy("provider", "model_id", "token_category", F.col("region").asc_nulls_first()).limit(100)
+    keys = t.quotes.select("provider", "model_id", "token_category", "region").distinct().orderBy("provider", "model_id", "token_category",
+        F.col("region").asc_nulls_first()).limit(100)
     from pyspark.sql.window import Window
 
-    return keys.withColumn("place", F.row_number().over(Window.orderBy("provider", "model_id", "token_category", F.col("region").asc_nulls_first())).cast("long"))
+    return keys.withColumn("place", F.row_number().over(Window.orderBy("provider", "model_id", "token_category",
+                F.col("region").asc_nulls_first())).cast("long"))
 
 
-@query("G6_ordered_findings_all", O.base(O.QUOTES) + f" SELECT row_number() OVER (ORDER BY provider, model_id, token_category, region NULLS FIRST) AS place, provider, model_id, token_category, region FROM (SELECT DISTINCT {O.KEY} FROM prices) ORDER BY place")
+@query("G6_ordered_findings_all",
+    O.base(O.QUOTES) + f" SELECT row_number() OVER (ORDER BY provider, model_id, token_category, region NULLS FIRST) AS place, provider, model_id, token_category, region FROM (SELECT DISTINCT {O.KEY} FROM prices) ORDER BY place")
 def _(t):
     shown = ["provider", "model_id", "token_category", "region"]
     return audit.ordered(key_set(t.quotes).select(*shown), *shown)
 
 
-@query("S19_csv_rows", O.priced(f"SELECT provider, model_id, total_tokens, CAST(CAST(cost_usd AS DECIMAL(38,6)) AS VARCHAR) AS cost_usd FROM (SELECT provider, model_id, {O.MEASURES} FROM rows GROUP BY 1, 2)"))
+@query("S19_csv_rows",
+    O.priced(f"SELECT provider, model_id, total_tokens, CAST(CAST(cost_usd AS DECIMAL(38,6)) AS VARCHAR) AS cost_usd FROM (SELECT provider, model_id, {O.MEASURES} FROM rows GROUP BY 1, 2)"))
 def _(t):
     report = reports.by_group(t.rows, "model").withColumn("project", F.lit(None).cast("string"))
     return sinks.csv_rows(report.select("provider", "model_id", "project", "total_tokens", "cost_usd"))
 
 
-@query("S20_json_rows", O.priced("""SELECT '{"provider":"' || provider || '","total_tokens":' || sum(total_tokens)::BIGINT || '}' AS json FROM rows GROUP BY provider"""))
+@query("S20_json_rows",
+    O.priced("""SELECT '{"provider":"' || provider || '","total_tokens":' || sum(total_tokens)::BIGINT || '}' AS json FROM rows GROUP BY provider"""))
 def _(t):
     return sinks.json_rows(reports.by_group(t.rows, "provider").select("provider", F.lit(None).cast("string").alias("project"), "total_tokens"))
 
 
-@query("S21_provider_label", O.priced(f"SELECT 'all providers' AS provider, {O.bucket('daily')} AS period, count(*) AS request_count FROM rows GROUP BY 2"))
+@query("S21_provider_label",
+    O.priced(f"SELECT 'all providers' AS provider, {O.bucket('daily')} AS period, count(*) AS request_count FROM rows GROUP BY 2"))
 def _(t):
     return reports.provider_filled(reports.rollup(t.rows, "daily", fill=False)).select("provider", "period", "request_count")
 
@@ -635,16 +692,20 @@ def _(t):
     return audit.full_audit(t.components, t.prices, t.sources, t.usage, bridge.TODAY)
 
 
-@query("C18_errors_of_provider", O.defective(f"SELECT count(*) FILTER (severity = 'Error') > 0 AS failed, count(*) FILTER (severity = 'Error') AS error_count, count(*) FILTER (severity = 'Info') AS info_count, count(*) FILTER (severity = 'Warning') AS warning_count FROM (SELECT * FROM ({_C12}) UNION ALL SELECT * FROM ({_W3}) UNION ALL SELECT * FROM ({_W1}) UNION ALL SELECT * FROM ({_W2}) UNION ALL SELECT * FROM ({_C14})) WHERE provider = 'claude-code'", _SWEEP, _USED), defects=True)
+@query("C18_errors_of_provider",
+    O.defective(f"SELECT count(*) FILTER (severity = 'Error') > 0 AS failed, count(*) FILTER (severity = 'Error') AS error_count, count(*) FILTER (severity = 'Info') AS info_count, count(*) FILTER (severity = 'Warning') AS warning_count FROM (SELECT * FROM ({_C12}) UNION ALL SELECT * FROM ({_W3}) UNION ALL SELECT * FROM ({_W1}) UNION ALL SELECT * FROM ({_W2}) UNION ALL SELECT * FROM ({_C14})) WHERE provider = 'claude-code'",
+        _SWEEP, _USED), defects=True)
 def _(t):
     found = audit.full_audit(t.components, t.prices, t.sources, t.usage, bridge.TODAY).filter("kind != 'UnsupportedModifier'")
     return audit.verdict(found, "claude-code")
 
 
-@query("C3_seed_prices", O.base(O.QUOTES) + f""" SELECT provider, count(*) AS n FROM (SELECT DISTINCT {O.KEY}, currency, effective_from FROM prices WHERE source <> 'src-0') p WHERE NOT EXISTS (SELECT 1 FROM prices c WHERE c.source = 'src-0' AND c.currency = p.currency AND c.effective_from = p.effective_from AND {O.MATCH}) GROUP BY 1""")
+@query("C3_seed_prices",
+    O.base(O.QUOTES) + f""" SELECT provider, count(*) AS n FROM (SELECT DISTINCT {O.KEY}, currency, effective_from FROM prices WHERE source <> 'src-0') p WHERE NOT EXISTS (SELECT 1 FROM prices c WHERE c.source = 'src-0' AND c.currency = p.currency AND c.effective_from = p.effective_from AND {O.MATCH}) GROUP BY 1""")
 def _(t):
     key = [*PRICE_KEY, "currency", "effective_from"]
-    return catalog.seed_rows(t.quotes.filter("source = 'src-0'"), t.quotes.filter("source != 'src-0'").dropDuplicates(key)).groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
+    return catalog.seed_rows(t.quotes.filter("source = 'src-0'"),
+        t.quotes.filter("source != 'src-0'").dropDuplicates(key)).groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SNAP = f"""snap AS (SELECT {O.KEY}, max(rate) AS rate, max(effective_from) AS effective_from, max(source) AS source FROM prices WHERE source <> 'src-0' GROUP BY ALL),
@@ -654,7 +715,8 @@ op AS (SELECT {O.KEY}, count(*) AS opens, max(struct_pack(f := effective_from, r
 @query("C4_refresh_plan", O.base(O.QUOTES, _SNAP) + f""" SELECT c.provider, CASE WHEN opens IS NULL THEN 'insert' WHEN opens > 1 THEN 'ambiguous' WHEN c.rate = p.o.r AND c.source = p.o.s THEN 'keep' WHEN c.rate = p.o.r THEN 'relabel' WHEN c.effective_from > p.o.f THEN 'close'
 WHEN c.effective_from = p.o.f THEN 'replace' ELSE 'stale' END AS action, count(*) AS n FROM snap c LEFT JOIN op p ON {O.MATCH} GROUP BY 1, 2""")
 def _(t):
-    snap = t.quotes.filter("source != 'src-0'").groupBy(*PRICE_KEY).agg(F.max("rate_per_1m_tokens").alias("rate_per_1m_tokens"), F.max("effective_from").alias("effective_from"), F.max("source").alias("source"))
+    snap = t.quotes.filter("source != 'src-0'").groupBy(*PRICE_KEY).agg(F.max("rate_per_1m_tokens").alias("rate_per_1m_tokens"),
+        F.max("effective_from").alias("effective_from"), F.max("source").alias("source"))
     return catalog.refresh_plan(t.quotes.filter("source = 'src-0'"), snap).groupBy("provider", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -662,7 +724,8 @@ _SHOW = "provider, model_id, token_category, region, CAST(rate AS DOUBLE) AS rat
 
 
 def _shown_prices(df: DataFrame) -> DataFrame:
-    return df.select("provider", "model_id", "token_category", "region", F.col("rate_per_1m_tokens").cast("double").alias("rate"), *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("effective_from", "effective_to")), "source")
+    return df.select("provider", "model_id", "token_category", "region", F.col("rate_per_1m_tokens").cast("double").alias("rate"),
+        *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("effective_from", "effective_to")), "source")
 
 
 @query("C4_refresh_applied", O.base(O.QUOTES, _SNAP) + f""", todo AS (SELECT c.*, opens, o, CASE WHEN opens IS NULL THEN 'insert' WHEN opens > 1 THEN 'ambiguous' WHEN c.rate = p.o.r AND c.source = p.o.s THEN 'keep' WHEN c.rate = p.o.r THEN 'relabel'
@@ -671,13 +734,16 @@ after AS (SELECT p.provider, p.model_id, p.token_category, p.region, CASE WHEN a
   CASE WHEN action IN ('replace', 'relabel') THEN c.source ELSE p.source END AS source FROM (SELECT * FROM prices WHERE source = 'src-0') p LEFT JOIN good c ON {O.MATCH} AND p.effective_to IS NULL
   UNION ALL SELECT provider, model_id, token_category, region, rate, effective_from, NULL, source FROM good WHERE action IN ('insert', 'close')) SELECT {_SHOW} FROM after""")
 def _(t):
-    snap = t.quotes.filter("source != 'src-0'").groupBy(*PRICE_KEY).agg(F.max("rate_per_1m_tokens").alias("rate_per_1m_tokens"), F.max("effective_from").alias("effective_from"), F.max("source").alias("source"))
+    snap = t.quotes.filter("source != 'src-0'").groupBy(*PRICE_KEY).agg(F.max("rate_per_1m_tokens").alias("rate_per_1m_tokens"),
+        F.max("effective_from").alias("effective_from"), F.max("source").alias("source"))
     snap = snap.withColumns({"currency": F.lit("USD"), "effective_to": F.lit(None).cast("timestamp")})
     stored = t.quotes.filter("source = 'src-0'")
-    return _shown_prices(catalog.refresh(stored, catalog.refresh_plan(stored, snap).filter("action not in ('stale', 'ambiguous')").select(*stored.columns)))
+    return _shown_prices(catalog.refresh(stored, catalog.refresh_plan(stored,
+                snap).filter("action not in ('stale', 'ambiguous')").select(*stored.columns)))
 
 
-@query("C6_upsert_sources", "SELECT s_suppkey % 50 AS k, max(s_suppkey) FILTER (s_suppkey % 3 = 0) AS last_new, count(*) AS n FROM supplier GROUP BY 1 HAVING count(*) > 0")
+@query("C6_upsert_sources",
+    "SELECT s_suppkey % 50 AS k, max(s_suppkey) FILTER (s_suppkey % 3 = 0) AS last_new, count(*) AS n FROM supplier GROUP BY 1 HAVING count(*) > 0")
 def _(t):
     s = t.spark.read.parquet(f"{t.sf_dir}/supplier.parquet")
     name = F.concat(F.lit("src-"), (F.col("s_suppkey") % 50).cast("string"))
@@ -685,20 +751,26 @@ def _(t):
     new = s.filter("s_suppkey % 3 = 0").groupBy(name.alias("source")).agg(F.max("s_suppkey").cast("string").alias("notes"))
     out = catalog.upsert_sources(old, new)
     sizes = s.groupBy(name.alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    return out.join(sizes, "source").select(F.substring_index("source", "-", -1).cast("long").alias("k"), F.when(F.col("notes") != "old", F.col("notes").cast("long")).alias("last_new"), "n")
+    return out.join(sizes, "source").select(F.substring_index("source", "-", -1).cast("long").alias("k"),
+        F.when(F.col("notes") != "old", F.col("notes").cast("long")).alias("last_new"), "n")
 
 
-@query("C8_interval_violations", O.base(O.QUOTES) + """ SELECT problem, count(*) AS n FROM (SELECT 'currency is not USD' AS problem FROM prices WHERE currency <> 'USD' UNION ALL SELECT 'rate is negative' FROM prices WHERE rate - 5000 < 0) GROUP BY 1""")
+@query("C8_interval_violations",
+    O.base(O.QUOTES) + """ SELECT problem, count(*) AS n FROM (SELECT 'currency is not USD' AS problem FROM prices WHERE currency <> 'USD' UNION ALL SELECT 'rate is negative' FROM prices WHERE rate - 5000 < 0) GROUP BY 1""")
 def _(t):
     lower = t.quotes.withColumn("rate_per_1m_tokens", (F.col("rate_per_1m_tokens") - 5000).cast("decimal(18,6)"))
     return catalog.interval_violations(lower).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C9_source_violations", """SELECT problem, count(*) AS n FROM (SELECT 'unknown kind' AS problem FROM supplier WHERE s_suppkey % 4 = 3 UNION ALL SELECT 'bad retrieval date' FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT 'blank source_url' FROM supplier WHERE s_suppkey % 7 = 0) GROUP BY 1""")
+@query("C9_source_violations",
+    """SELECT problem, count(*) AS n FROM (SELECT 'unknown kind' AS problem FROM supplier WHERE s_suppkey % 4 = 3 UNION ALL SELECT 'bad retrieval date' FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT 'blank source_url' FROM supplier WHERE s_suppkey % 7 = 0) GROUP BY 1""")
 def _(t):
     k = F.col("s_suppkey")
     kind = F.element_at(F.array(F.lit("bundled"), F.lit("reviewed"), F.lit("manual"), F.lit("other")), (k % 4 + 1).cast("int"))
-    rows = t.spark.read.parquet(f"{t.sf_dir}/supplier.parquet").select(F.col("s_name").alias("source"), F.when(k % 7 == 0, " ").otherwise("https://example.org").alias("source_url"), F.when(k % 5 == 0, "2024-99-01").otherwise("2024-01-01").alias("source_retrieved_at"), F.lit("1").alias("catalog_version"), kind.alias("source_kind"))
+    rows = t.spark.read.parquet(f"{t.sf_dir}/supplier.parquet").select(F.col("s_name").alias("source"),
+        F.when(k % 7 == 0, " ").otherwise("https://example.org").alias("source_url"),
+        F.when(k % 5 == 0, "2024-99-01").otherwise("2024-01-01").alias("source_retrieved_at"), F.lit("1").alias("catalog_version"),
+        kind.alias("source_kind"))
     return catalog.source_violations(rows).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -710,10 +782,13 @@ FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'codex' ELSE 'claude-code' END AS
 def _(t):
     r, text = F.col("p_size").cast("decimal(9,2)"), lambda x: x.cast("decimal(18,6)").cast("string")
     wide = t.spark.read.parquet(f"{t.sf_dir}/part.parquet").select(
-        F.when(F.col("p_partkey") % 2 == 0, "codex").otherwise("claude-code").alias("provider"), F.concat(F.lit("part-"), "p_partkey").alias("model_id"), text(r).alias("input"), text(r * F.lit("1.25").cast("decimal(3,2)")).alias("cache_5m"), text(r * 2).alias("cache_1h"),
+        F.when(F.col("p_partkey") % 2 == 0, "codex").otherwise("claude-code").alias("provider"),
+        F.concat(F.lit("part-"), "p_partkey").alias("model_id"), text(r).alias("input"),
+        text(r * F.lit("1.25").cast("decimal(3,2)")).alias("cache_5m"), text(r * 2).alias("cache_1h"),
         text(r * F.lit("0.1").cast("decimal(2,1)")).alias("cache_read"), text(r * 5).alias("output"), (F.col("p_size") % 2 == 0).alias("regional"),
     )
-    return catalog.expand_rates(wide, bridge.START, "x").select("provider", "model_id", "token_category", "region", "source_detail", "processing_mode", F.col("rate_per_1m_tokens").cast("double").alias("rate"))
+    return catalog.expand_rates(wide, bridge.START, "x").select("provider", "model_id", "token_category", "region", "source_detail",
+        "processing_mode", F.col("rate_per_1m_tokens").cast("double").alias("rate"))
 
 
 def _raw_prices(t: Tables) -> DataFrame:
@@ -721,8 +796,11 @@ def _raw_prices(t: Tables) -> DataFrame:
     k, p, day = F.col("l_orderkey"), F.col("l_partkey"), F.date_format("l_shipdate", "yyyy-MM-dd")
     none = F.lit(None).cast("string")
     return t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet").select(
-        F.when(p % 5 == 0, "acme").otherwise("codex").alias("provider"), F.when(k % 11 == 0, " ").otherwise("m").alias("model_id"), F.when(p % 6 == 0, "images").otherwise("input").alias("token_category"), *(none.alias(d) for d in C.DIMENSIONS), F.lit("USD").alias("currency"),
-        F.when(k % 13 == 0, "abc").when(k % 7 == 0, "-1.5").otherwise("2.5").alias("rate_per_1m_tokens"), F.concat(day, F.when(k % 3 == 0, "T00:00:00Z").otherwise("T00:00:00+00:00")).alias("effective_from"),
+        F.when(p % 5 == 0, "acme").otherwise("codex").alias("provider"), F.when(k % 11 == 0, " ").otherwise("m").alias("model_id"),
+        F.when(p % 6 == 0, "images").otherwise("input").alias("token_category"), *(none.alias(d) for d in C.DIMENSIONS),
+        F.lit("USD").alias("currency"),
+        F.when(k % 13 == 0, "abc").when(k % 7 == 0, "-1.5").otherwise("2.5").alias("rate_per_1m_tokens"),
+        F.concat(day, F.when(k % 3 == 0, "T00:00:00Z").otherwise("T00:00:00+00:00")).alias("effective_from"),
         F.when(k % 4 == 0, F.concat(day, F.lit("T00:00:00+00:00"))).alias("effective_to"), F.lit("s").alias("source"),
     )
 
@@ -737,10 +815,13 @@ def _raw_usage(t: Tables) -> DataFrame:
     """Usage rows as text, with seeded defects."""
     i, none = F.col("event_id"), F.lit(None).cast("string")
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
-    return bridge.events(t.spark, t.sf_dir).select(F.when(i % 5 == 0, "acme").otherwise("codex").alias("provider"), F.lit("m").alias("model_id"), F.when(i % 7 == 0, "images").otherwise("input").alias("token_category"), F.concat(stamp, F.when(i % 3 == 0, "").otherwise("+00:00")).alias("timestamp"), *(none.alias(d) for d in C.DIMENSIONS))
+    return bridge.events(t.spark, t.sf_dir).select(F.when(i % 5 == 0, "acme").otherwise("codex").alias("provider"), F.lit("m").alias("model_id"),
+        F.when(i % 7 == 0, "images").otherwise("input").alias("token_category"),
+        F.concat(stamp, F.when(i % 3 == 0, "").otherwise("+00:00")).alias("timestamp"), *(none.alias(d) for d in C.DIMENSIONS))
 
 
-@query("C13_usage_row_audit", """SELECT kind, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN event_id % 5 = 0 THEN 'UnsupportedProvider' END, CASE WHEN event_id % 7 = 0 THEN 'UnsupportedCategory' END, CASE WHEN event_id % 3 = 0 THEN 'MalformedUsageTimestamp' END], lambda x: x IS NOT NULL)) AS kind FROM events) GROUP BY 1""")
+@query("C13_usage_row_audit",
+    """SELECT kind, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN event_id % 5 = 0 THEN 'UnsupportedProvider' END, CASE WHEN event_id % 7 = 0 THEN 'UnsupportedCategory' END, CASE WHEN event_id % 3 = 0 THEN 'MalformedUsageTimestamp' END], lambda x: x IS NOT NULL)) AS kind FROM events) GROUP BY 1""")
 def _(t):
     return audit.usage_row_problems(_raw_usage(t)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -759,7 +840,8 @@ def _(t):
 
 
 def _steps(*steps: tuple[int, str]) -> str:
-    return "SELECT step, severity, kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {i} AS step, severity, kind FROM ({sql})" for i, sql in steps) + ") GROUP BY ALL"
+    return "SELECT step, severity, kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {i} AS step, severity, kind FROM ({sql})" for i,
+        sql in steps) + ") GROUP BY ALL"
 
 
 _FAULTS = " UNION ALL ".join(f"SELECT 'Error' AS severity, 'BillingIntegrity' AS kind FROM ({x})" for x in (_ORPHANS, _DUPES, _MISMATCH, _UNEXPECTED))
@@ -789,7 +871,9 @@ def _(t):
     return explain.assumptions(explain.provenance(t.usage, t.components, t.prices, t.sources), bridge.TODAY)
 
 
-@query("C16_explain_cost", O.defective(f"SELECT CASE WHEN (SELECT count(*) FROM assumed) = 0 THEN 'high' ELSE 'estimated' END AS confidence, (SELECT {O.USD} FROM costs) AS cost_usd, (SELECT count(*) FROM components) AS component_count, (SELECT count(*) FROM assumed) AS assumption_count", _ASSUME), defects=True)
+@query("C16_explain_cost",
+    O.defective(f"SELECT CASE WHEN (SELECT count(*) FROM assumed) = 0 THEN 'high' ELSE 'estimated' END AS confidence, (SELECT {O.USD} FROM costs) AS cost_usd, (SELECT count(*) FROM components) AS component_count, (SELECT count(*) FROM assumed) AS assumption_count",
+        _ASSUME), defects=True)
 def _(t):
     return explain.explain_cost(t.usage, t.costs, t.components, t.prices, t.sources, bridge.TODAY)
 
@@ -802,7 +886,8 @@ def _(t):
 
 # -- budgets
 
-@query("B1_budget_warnings", O.priced(f"SELECT period, cost_usd, 10.0::DOUBLE AS threshold FROM (SELECT {O.bucket('daily')} AS period, {O.MEASURES} FROM rows GROUP BY 1) WHERE cost_usd >= 10.0"))
+@query("B1_budget_warnings",
+    O.priced(f"SELECT period, cost_usd, 10.0::DOUBLE AS threshold FROM (SELECT {O.bucket('daily')} AS period, {O.MEASURES} FROM rows GROUP BY 1) WHERE cost_usd >= 10.0"))
 def _(t):
     return budget.warnings(reports.rollup(t.rows, "daily"), 10.0)
 
@@ -828,20 +913,24 @@ def _(t):
 
 # -- window-shaped rules on whole tables
 
-@query("W4_carry_forward", """SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events""")
+@query("W4_carry_forward",
+    """SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events""")
 def _(t):
     rows = bridge.events(t.spark, t.sf_dir).withColumn("seen", F.when(F.col("event_type") == "signup", F.col("value")))
     return logs.carried(rows, ["user_id"], ["ts", "event_id"], {"seen": "carried"}).select("event_id", "carried")
 
 
-@query("W5_max_output_wins", O.base(O.USAGE) + " SELECT session_id, project, request_id, output_tokens FROM (SELECT *, row_number() OVER (PARTITION BY session_id, project ORDER BY output_tokens DESC, CAST(split_part(request_id, '-', 2) AS BIGINT)) AS r FROM usage) WHERE r = 1")
+@query("W5_max_output_wins",
+    O.base(O.USAGE) + " SELECT session_id, project, request_id, output_tokens FROM (SELECT *, row_number() OVER (PARTITION BY session_id, project ORDER BY output_tokens DESC, CAST(split_part(request_id, '-', 2) AS BIGINT)) AS r FROM usage) WHERE r = 1")
 def _(t):
     # here a session stands for a file and a project for a request
-    rows = t.usage.withColumns({"own": F.col("request_id"), "pos": F.substring_index("request_id", "-", -1).cast("long"), "path": F.col("session_id"), "request_id": F.col("project")})
+    rows = t.usage.withColumns({"own": F.col("request_id"), "pos": F.substring_index("request_id", "-", -1).cast("long"), "path": F.col("session_id"),
+            "request_id": F.col("project")})
     return logs.max_output_wins(rows).select("session_id", "project", F.col("own").alias("request_id"), "output_tokens")
 
 
-@query("W6_S10_new_records", O.base(O.USAGE) + " SELECT provider, count(*) AS n FROM usage WHERE CAST(split_part(request_id, '-', 2) AS BIGINT) % 4 <> 0 GROUP BY 1")
+@query("W6_S10_new_records",
+    O.base(O.USAGE) + " SELECT provider, count(*) AS n FROM usage WHERE CAST(split_part(request_id, '-', 2) AS BIGINT) % 4 <> 0 GROUP BY 1")
 def _(t):
     i = F.substring_index("request_id", "-", -1).cast("long")
     twice = t.usage.unionByName(t.usage.filter(i % 2 == 0)).withColumns({"path": F.col("source_file"), "pos": F.lit(0)})

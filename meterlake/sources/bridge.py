@@ -54,11 +54,14 @@ def _usage(rows: DataFrame) -> DataFrame:
         .when(F.col("kind").isin("purchase", "error"), "claude-sonnet-4-6").otherwise("claude-haiku-4-6")
     )
     return rows.select(
-        F.when(codex, "codex").otherwise("claude-code").alias("provider"), F.concat(F.lit("req-"), i).alias("request_id"), F.concat(F.lit("sess-"), "who").alias("session_id"),
+        F.when(codex, "codex").otherwise("claude-code").alias("provider"), F.concat(F.lit("req-"), i).alias("request_id"),
+        F.concat(F.lit("sess-"), "who").alias("session_id"),
         F.concat(F.lit("uuid-"), i).alias("uuid"), F.col("ts").cast("timestamp").alias("timestamp"), model.alias("model_id"),
-        amount.alias("input_tokens"), out.alias("output_tokens"), claude((i % 5) * 100).alias("cache_creation_tokens"), claude((i % 11) * 1000).alias("cache_read_tokens"),
+        amount.alias("input_tokens"), out.alias("output_tokens"), claude((i % 5) * 100).alias("cache_creation_tokens"),
+        claude((i % 11) * 1000).alias("cache_read_tokens"),
         own(F.least(amount, (i % 4) * 500)).alias("cached_input_tokens"), own(F.least(out, i % 50)).alias("reasoning_output_tokens"),
-        claude(F.when(i % 5 == 2, 100).otherwise(0)).alias("cache_creation_5m_tokens"), claude(F.when(i % 5 == 3, 50).otherwise(0)).alias("cache_creation_1h_tokens"),
+        claude(F.when(i % 5 == 2, 100).otherwise(0)).alias("cache_creation_5m_tokens"),
+        claude(F.when(i % 5 == 3, 50).otherwise(0)).alias("cache_creation_1h_tokens"),
         text(i % 10 == 0, "standard").alias("service_tier"), text(i % 7 == 0, "fast").alias("speed"),
         text(i % 13 == 0, "us").when(~codex & (i % 13 == 1), "not_available").alias("region"), F.when(codex, "standard").alias("processing_mode"),
         F.when(F.col("who") % 5 == 0, "").otherwise(F.concat(F.lit("proj-"), (F.col("who") % 5).cast("string"))).alias("project"),
@@ -68,7 +71,8 @@ def _usage(rows: DataFrame) -> DataFrame:
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    return _usage(events(spark, sf_dir).select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("who"), F.col("event_type").alias("kind"), F.col("value").alias("amount"), k.alias("k")))
+    return _usage(events(spark, sf_dir).select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("who"), F.col("event_type").alias("kind"),
+            F.col("value").alias("amount"), k.alias("k")))
 
 
 def usage_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +82,8 @@ def usage_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
         F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(l_orderkey % 30 as int), cast(l_suppkey % 24 as int), cast(l_partkey % 60 as int), 0)").alias("ts"),
-        (F.col("l_suppkey") % 150).alias("who"), kinds.alias("kind"), (F.col("l_extendedprice") % 400).alias("amount"), (F.col("l_partkey") % 100).alias("k"),
+        (F.col("l_suppkey") % 150).alias("who"), kinds.alias("kind"), (F.col("l_extendedprice") % 400).alias("amount"),
+        (F.col("l_partkey") % 100).alias("k"),
     )
     return _usage(rows)
 
@@ -92,7 +97,8 @@ def prices(spark: SparkSession) -> DataFrame:
     expanded = expand_rates(rates(spark), START, "bundled-2024")
     change = (F.col("model_id") == "claude-opus-4-6") & (F.col("token_category") == "input") & F.col("region").isNull()
     old = expanded.withColumn("effective_to", F.when(change, F.lit(CHANGE).cast("timestamp")))
-    new = expanded.filter(change).withColumns({"rate_per_1m_tokens": (F.col("rate_per_1m_tokens") * 2).cast("decimal(18,6)"), "effective_from": F.lit(CHANGE).cast("timestamp"), "source": F.lit("reviewed-2024")})
+    new = expanded.filter(change).withColumns({"rate_per_1m_tokens": (F.col("rate_per_1m_tokens") * 2).cast("decimal(18,6)"),
+            "effective_from": F.lit(CHANGE).cast("timestamp"), "source": F.lit("reviewed-2024")})
     return old.unionByName(new).select(*PRICE_COLUMNS)
 
 
@@ -115,7 +121,8 @@ def defective_prices(spark: SparkSession) -> DataFrame:
 
 
 def sources(spark: SparkSession) -> DataFrame:
-    return inline(spark, SOURCES, "source string, source_url string, source_retrieved_at string, catalog_version string, source_kind string, notes string")
+    return inline(spark, SOURCES,
+        "source string, source_url string, source_retrieved_at string, catalog_version string, source_kind string, notes string")
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,9 +132,14 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("l_shipdate").cast("timestamp")
     none = F.lit(None).cast("string")
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.when(F.col("l_partkey") % 2 == 0, "codex").otherwise("claude-code").alias("provider"), F.concat(F.lit("part-"), (F.col("l_partkey") % 500).cast("string")).alias("model_id"),
-        F.element_at(F.array(F.lit("input"), F.lit("output"), F.lit("cache_read"), F.lit("cache_creation"), F.lit("cached_input"), F.lit("reasoning_output")), (n % 6 + 1).cast("int")).alias("token_category"),
-        none.alias("service_tier"), none.alias("speed"), F.when(k % 4 == 0, "us").alias("region"), none.alias("processing_mode"), none.alias("source_detail"),
-        F.when(k % 97 == 0, "EUR").otherwise("USD").alias("currency"), F.col("l_extendedprice").cast("decimal(18,6)").alias("rate_per_1m_tokens"), start.alias("effective_from"),
-        F.when(k % 17 != 0, start + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias("effective_to"), F.concat(F.lit("src-"), (F.col("l_suppkey") % 5).cast("string")).alias("source"),
+        F.when(F.col("l_partkey") % 2 == 0, "codex").otherwise("claude-code").alias("provider"),
+        F.concat(F.lit("part-"), (F.col("l_partkey") % 500).cast("string")).alias("model_id"),
+        F.element_at(F.array(F.lit("input"), F.lit("output"), F.lit("cache_read"), F.lit("cache_creation"), F.lit("cached_input"),
+                F.lit("reasoning_output")), (n % 6 + 1).cast("int")).alias("token_category"),
+        none.alias("service_tier"), none.alias("speed"), F.when(k % 4 == 0, "us").alias("region"), none.alias("processing_mode"),
+        none.alias("source_detail"),
+        F.when(k % 97 == 0, "EUR").otherwise("USD").alias("currency"), F.col("l_extendedprice").cast("decimal(18,6)").alias("rate_per_1m_tokens"),
+        start.alias("effective_from"),
+        F.when(k % 17 != 0, start + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias("effective_to"),
+        F.concat(F.lit("src-"), (F.col("l_suppkey") % 5).cast("string")).alias("source"),
     )

@@ -40,17 +40,20 @@ def catalog_prices(catalog: DataFrame) -> DataFrame:
     rows = catalog_entries(catalog).withColumn("model_id", F.explode("model_ids"))
     return rows.select("*", F.explode("rates_per_1m_tokens").alias("token_category", "rate_per_1m_tokens")).select(
         "provider", "model_id", "token_category", *(F.col(f"dimensions.{d}").alias(d) for d in DIMENSIONS), "currency",
-        F.col("rate_per_1m_tokens").cast("decimal(18,6)").alias("rate_per_1m_tokens"), instant(F.col("effective_from")).alias("effective_from"), instant(F.col("effective_to")).alias("effective_to"), "source",
+        F.col("rate_per_1m_tokens").cast("decimal(18,6)").alias("rate_per_1m_tokens"), instant(F.col("effective_from")).alias("effective_from"),
+        instant(F.col("effective_to")).alias("effective_to"), "source",
     )
 
 
 def catalog_sources(catalog: DataFrame, kind: str = "reviewed") -> DataFrame:
     """Metadata per source label: its first entry wins, the notes of source and entry are joined."""
-    refs = catalog.select("schema_version", F.explode("sources").alias("s")).select("schema_version", F.col("s.id").alias("source_ref"), F.col("s.url").alias("url"), F.col("s.retrieved_at").alias("at"), F.col("s.notes").alias("source_notes"))
+    refs = catalog.select("schema_version", F.explode("sources").alias("s")).select("schema_version", F.col("s.id").alias("source_ref"),
+        F.col("s.url").alias("url"), F.col("s.retrieved_at").alias("at"), F.col("s.notes").alias("source_notes"))
     first = F.row_number().over(Window.partitionBy("source").orderBy("position"))
     entries = catalog_entries(catalog).withColumn("_r", first).filter("_r = 1").select("source", "source_ref", F.col("notes").alias("entry_notes"))
     return entries.join(refs, "source_ref").select(
-        "source", F.col("url").alias("source_url"), F.col("at").alias("source_retrieved_at"), F.col("schema_version").cast("string").alias("catalog_version"),
+        "source", F.col("url").alias("source_url"), F.col("at").alias("source_retrieved_at"),
+        F.col("schema_version").cast("string").alias("catalog_version"),
         F.lit(kind).alias("source_kind"), F.concat_ws("; ", F.nullif("source_notes", F.lit("")), F.nullif("entry_notes", F.lit(""))).alias("notes"),
     )
 
@@ -69,12 +72,15 @@ def catalog_violations(catalog: DataFrame) -> DataFrame:
     parts = [
         say(catalog, F.coalesce(F.col("schema_version"), F.lit(0)) != 1, "unsupported version", F.col("schema_version")),
         say(catalog, size("sources") == 0, "no sources", F.lit("catalog")), say(catalog, size("entries") == 0, "no entries", F.lit("catalog")),
-        say(sources.groupBy("id").count(), F.col("count") > 1, "repeated source id", F.col("id")), say(sources, _blank(F.col("id")), "blank source id", F.col("url")),
+        say(sources.groupBy("id").count(), F.col("count") > 1, "repeated source id", F.col("id")),
+        say(sources, _blank(F.col("id")), "blank source id", F.col("url")),
         say(sources, ~F.coalesce(F.col("url").startswith("https://"), F.lit(False)), "source url is not https", F.col("id")),
         say(sources, F.try_to_date("retrieved_at", "yyyy-MM-dd").isNull(), "bad retrieval date", F.col("id")),
         say(entries, (size("model_ids") == 0) | F.exists("model_ids", _blank), "no or blank model ids", F.col("position")),
-        say(entries, size("rates_per_1m_tokens") == 0, "no rates", F.col("position")), say(entries, _blank(F.col("source")), "blank source", F.col("position")),
-        say(entries.join(sources.select(F.col("id").alias("source_ref")).distinct(), "source_ref", "left_anti"), F.lit(True), "unknown source_ref", F.col("position")),
+        say(entries, size("rates_per_1m_tokens") == 0, "no rates", F.col("position")),
+        say(entries, _blank(F.col("source")), "blank source", F.col("position")),
+        say(entries.join(sources.select(F.col("id").alias("source_ref")).distinct(), "source_ref", "left_anti"), F.lit(True), "unknown source_ref",
+            F.col("position")),
         say(keys, F.col("n") > 1, "repeated price", F.concat_ws("/", "provider", "model_id", "token_category")),
     ]
     out = parts[0]
@@ -86,8 +92,10 @@ def catalog_violations(catalog: DataFrame) -> DataFrame:
 def interval_violations(prices: DataFrame) -> DataFrame:
     c = F.col
     checks = [
-        F.when(c("currency") != "USD", "currency is not USD"), F.when(c("rate_per_1m_tokens") < 0, "rate is negative"), F.when(c("rate_per_1m_tokens").isNull(), "rate is missing"),
-        F.when(c("effective_from").isNull(), "no effective_from"), F.when(c("effective_to") <= c("effective_from"), "ends before it begins"), F.when(~c("token_category").isin(*CATEGORIES), "unsupported category"),
+        F.when(c("currency") != "USD", "currency is not USD"), F.when(c("rate_per_1m_tokens") < 0, "rate is negative"),
+        F.when(c("rate_per_1m_tokens").isNull(), "rate is missing"),
+        F.when(c("effective_from").isNull(), "no effective_from"), F.when(c("effective_to") <= c("effective_from"), "ends before it begins"),
+        F.when(~c("token_category").isin(*CATEGORIES), "unsupported category"),
         *(F.when(c(d).isNotNull() & _blank(c(d)), f"blank {d}") for d in DIMENSIONS),
     ]
     return prices.select("*", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("problem"))
@@ -96,7 +104,8 @@ def interval_violations(prices: DataFrame) -> DataFrame:
 def source_violations(sources: DataFrame) -> DataFrame:
     checks = [
         *(F.when(_blank(F.col(x)), f"blank {x}") for x in ("source", "source_url", "source_retrieved_at", "catalog_version", "source_kind")),
-        F.when(~F.col("source_kind").isin(*KINDS), "unknown kind"), F.when(~_blank(F.col("source_retrieved_at")) & F.try_to_date("source_retrieved_at", "yyyy-MM-dd").isNull(), "bad retrieval date"),
+        F.when(~F.col("source_kind").isin(*KINDS), "unknown kind"),
+        F.when(~_blank(F.col("source_retrieved_at")) & F.try_to_date("source_retrieved_at", "yyyy-MM-dd").isNull(), "bad retrieval date"),
     ]
     return sources.select("source", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("problem"))
 
@@ -142,11 +151,13 @@ def seed(prices: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def refresh_plan(prices: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Each snapshot row with what it does to its key's open row, and how many rows that changes."""
-    opened = prices.filter("effective_to is null").groupBy(*PRICE_KEY).agg(F.count(F.lit(1)).alias("opens"), F.max(F.struct("effective_from", "rate_per_1m_tokens", "source")).alias("o"))
+    opened = prices.filter("effective_to is null").groupBy(*PRICE_KEY).agg(F.count(F.lit(1)).alias("opens"),
+        F.max(F.struct("effective_from", "rate_per_1m_tokens", "source")).alias("o"))
     rows = snapshot.alias("s").join(opened.alias("p"), same_price("s", "p"), "left").select("s.*", "p.opens", "p.o")
     same_rate, start, old = F.col("rate_per_1m_tokens") == F.col("o.rate_per_1m_tokens"), F.col("effective_from"), F.col("o.effective_from")
     action = (
-        F.when(F.col("opens").isNull(), "insert").when(F.col("opens") > 1, "ambiguous").when(same_rate & (F.col("source") == F.col("o.source")), "keep").when(same_rate, "relabel")
+        F.when(F.col("opens").isNull(), "insert").when(F.col("opens") > 1, "ambiguous").when(same_rate & (F.col("source") == F.col("o.source")),
+            "keep").when(same_rate, "relabel")
         .when(start > old, "close").when(start == old, "replace").otherwise("stale")
     )
     count = F.when(F.col("action") == "close", 2).when(F.col("action").isin("insert", "relabel", "replace"), 1).otherwise(0)
@@ -194,14 +205,18 @@ def refresh(prices: DataFrame, snapshot: DataFrame) -> DataFrame:
     once = snapshot.alias("s").join(several.alias("k"), same_price("s", "k"), "left_anti")
     plan = refresh_plan(prices, once)
     require_none(plan.filter("action in ('stale', 'ambiguous')"), "refresh")
-    todo = plan.select(*PRICE_KEY, F.col("effective_from").alias("n_from"), F.col("effective_to").alias("n_to"), F.col("rate_per_1m_tokens").alias("n_rate"), F.col("source").alias("n_source"), "action")
+    todo = plan.select(*PRICE_KEY, F.col("effective_from").alias("n_from"), F.col("effective_to").alias("n_to"),
+        F.col("rate_per_1m_tokens").alias("n_rate"), F.col("source").alias("n_source"), "action")
     rest = prices.alias("p").join(several.alias("k"), same_price("p", "k"), "left_anti")
     is_open = F.col("p.effective_to").isNull()
     joined = rest.alias("p").join(todo.alias("t"), same_price("p", "t") & is_open, "left")
     at = lambda action, new, old: F.when(F.col("t.action").isin(*action), new).otherwise(old)
     changed = joined.select(
-        *(F.col(f"p.{c}").alias(c) for c in [*PRICE_KEY, "currency"]), at(["replace"], F.col("t.n_rate"), F.col("p.rate_per_1m_tokens")).alias("rate_per_1m_tokens"), F.col("p.effective_from").alias("effective_from"),
-        F.when(F.col("t.action") == "close", F.col("t.n_from")).when(F.col("t.action") == "replace", F.col("t.n_to")).otherwise(F.col("p.effective_to")).alias("effective_to"),
+        *(F.col(f"p.{c}").alias(c) for c in [*PRICE_KEY, "currency"]),
+        at(["replace"], F.col("t.n_rate"), F.col("p.rate_per_1m_tokens")).alias("rate_per_1m_tokens"),
+        F.col("p.effective_from").alias("effective_from"),
+        F.when(F.col("t.action") == "close", F.col("t.n_from")).when(F.col("t.action") == "replace",
+            F.col("t.n_to")).otherwise(F.col("p.effective_to")).alias("effective_to"),
         at(["replace", "relabel"], F.col("t.n_source"), F.col("p.source")).alias("source"),
     )
     out = changed.select(*PRICE_COLUMNS).unionByName(plan.filter("action in ('insert', 'close')").select(*PRICE_COLUMNS))
@@ -235,10 +250,12 @@ def expand_rates(rates: DataFrame, effective_from: dt.datetime, source: str) ->
     """
     claude, codex = F.col("provider") == "claude-code", F.col("provider") == "codex"
     none = F.lit(None).cast("string")
-    part = lambda when, cat, rate, detail=none: F.when(when & rate.isNotNull(), F.struct(F.lit(cat).alias("token_category"), rate.cast("decimal(18,6)").alias("rate"), detail.alias("source_detail")))
+    part = lambda when, cat, rate, detail=none: F.when(when & rate.isNotNull(),
+        F.struct(F.lit(cat).alias("token_category"), rate.cast("decimal(18,6)").alias("rate"), detail.alias("source_detail")))
     c = F.col
     parts = F.array(
-        part(F.lit(True), "input", c("input")), part(F.lit(True), "output", c("output")), part(claude, "cache_read", c("cache_read")), part(claude, "cache_creation", c("cache_5m")),
+        part(F.lit(True), "input", c("input")), part(F.lit(True), "output", c("output")), part(claude, "cache_read", c("cache_read")),
+        part(claude, "cache_creation", c("cache_5m")),
         part(claude, "cache_creation", c("cache_5m"), F.lit("ephemeral_5m")), part(claude, "cache_creation", c("cache_1h"), F.lit("ephemeral_1h")),
         part(codex, "cached_input", c("cache_read")), part(codex, "reasoning_output", c("output")),
     )
@@ -246,6 +263,8 @@ def expand_rates(rates: DataFrame, effective_from: dt.datetime, source: str) ->
     rows = rows.withColumn("region", F.explode(F.when(claude & c("regional"), F.array(none, F.lit("us"))).otherwise(F.array(none))))
     rate = F.when(c("region") == "us", (c("p.rate") * F.lit(REGIONAL).cast("decimal(3,1)")).cast("decimal(18,6)")).otherwise(c("p.rate"))
     return rows.select(
-        "provider", "model_id", "p.token_category", none.alias("service_tier"), none.alias("speed"), "region", F.when(codex, "standard").alias("processing_mode"), "p.source_detail",
-        F.lit("USD").alias("currency"), rate.alias("rate_per_1m_tokens"), F.lit(effective_from).cast("timestamp").alias("effective_from"), F.lit(None).cast("timestamp").alias("effective_to"), F.lit(source).alias("source"),
+        "provider", "model_id", "p.token_category", none.alias("service_tier"), none.alias("speed"), "region",
+        F.when(codex, "standard").alias("processing_mode"), "p.source_detail",
+        F.lit("USD").alias("currency"), rate.alias("rate_per_1m_tokens"), F.lit(effective_from).cast("timestamp").alias("effective_from"),
+        F.lit(None).cast("timestamp").alias("effective_to"), F.lit(source).alias("source"),
     )

@@ -78,7 +78,8 @@ def changed(files: DataFrame, manifest: DataFrame, provider: str) -> DataFrame:
 
     Unchanged ones are skipped; a grown file resumes; a shrunk one, or one with a new time only, restarts at 0.
     """
-    known = manifest.filter(F.col("provider") == provider).select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("consumed").alias("_consumed"))
+    known = manifest.filter(F.col("provider") == provider).select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"),
+        F.col("consumed").alias("_consumed"))
     rows = files.join(known, "path", "left")
     same = (F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime")) & (F.col("_consumed") >= F.col("size"))
     offset = F.when((F.col("size") > F.col("_consumed")), F.col("_consumed")).otherwise(0)
@@ -116,7 +117,8 @@ def parse_claude(files: DataFrame) -> DataFrame:
     v = F.try_parse_json("line")
     rows = rows.withColumn("j", F.from_json("line", CLAUDE, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})).withColumn("v", v)
     u = "$.message.usage"
-    counts = [f"{u}.{c}" for c in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "cache_creation.ephemeral_5m_input_tokens", "cache_creation.ephemeral_1h_input_tokens")]
+    counts = [f"{u}.{c}" for c in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens",
+            "cache_creation.ephemeral_5m_input_tokens", "cache_creation.ephemeral_1h_input_tokens")]
     wrong = F.lit(False)
     for c in counts:
         wrong = wrong | F.coalesce(_count(F.col("v"), c), F.lit(-1)).__lt__(0)
@@ -128,20 +130,29 @@ def parse_claude(files: DataFrame) -> DataFrame:
     )
     m = F.col("j.message")
     keep = (
-        (F.col("j.type") == "assistant") & m["usage"].isNotNull() & (F.coalesce("j.requestId", F.lit("")) != "") & ~F.coalesce(m["model"], F.lit("")).isin("", "<synthetic>") & ts.isNotNull()
+        (F.col("j.type") == "assistant") & m["usage"].isNotNull() & (F.coalesce("j.requestId", F.lit("")) != "") & ~F.coalesce(m["model"],
+            F.lit("")).isin("", "<synthetic>") & ts.isNotNull()
     )
     state = F.when(bad, F.when(F.col("ended"), "bad").otherwise("tail")).when(F.coalesce(keep, F.lit(False)), "kept").otherwise("skipped")
     usage, split = m["usage"], m["usage"]["cache_creation"]
     n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     out = rows.withColumn("state", state).select(
-        "path", "size", "mtime", "offset" if "offset" in files.columns else F.lit(0).alias("offset"), "pos", "start", "state", F.lit("claude-code").alias("provider"),
-        F.col("j.requestId").alias("request_id"), F.coalesce(F.col("j.sessionId"), session_from_path("path")).alias("session_id"), F.col("j.uuid").alias("uuid"), F.try_to_timestamp(ts).alias("timestamp"),
-        classify_family(m["model"]).alias("model_family"), m["model"].alias("model_id"), n(usage["input_tokens"]).alias("input_tokens"), n(usage["output_tokens"]).alias("output_tokens"),
-        cache_creation_total(usage["cache_creation_input_tokens"], split["ephemeral_5m_input_tokens"], split["ephemeral_1h_input_tokens"]).alias("cache_creation_tokens"),
-        n(usage["cache_read_input_tokens"]).alias("cache_read_tokens"), F.lit(0).cast("long").alias("cached_input_tokens"), F.lit(0).cast("long").alias("reasoning_output_tokens"),
-        n(split["ephemeral_5m_input_tokens"]).alias("cache_creation_5m_tokens"), n(split["ephemeral_1h_input_tokens"]).alias("cache_creation_1h_tokens"),
-        first_present(usage["service_tier"], m["service_tier"], F.col("j.serviceTier")).alias("service_tier"), first_present(usage["speed"], m["speed"], F.col("j.speed")).alias("speed"),
-        first_present(usage["inference_geo"], m["inference_geo"], F.col("j.inferenceGeo")).alias("region"), F.lit(None).cast("string").alias("processing_mode"), "project", F.col("path").alias("source_file"), "is_subagent",
+        "path", "size", "mtime", "offset" if "offset" in files.columns else F.lit(0).alias("offset"), "pos", "start", "state",
+        F.lit("claude-code").alias("provider"),
+        F.col("j.requestId").alias("request_id"), F.coalesce(F.col("j.sessionId"), session_from_path("path")).alias("session_id"),
+        F.col("j.uuid").alias("uuid"), F.try_to_timestamp(ts).alias("timestamp"),
+        classify_family(m["model"]).alias("model_family"), m["model"].alias("model_id"), n(usage["input_tokens"]).alias("input_tokens"),
+        n(usage["output_tokens"]).alias("output_tokens"),
+        cache_creation_total(usage["cache_creation_input_tokens"], split["ephemeral_5m_input_tokens"],
+            split["ephemeral_1h_input_tokens"]).alias("cache_creation_tokens"),
+        n(usage["cache_read_input_tokens"]).alias("cache_read_tokens"), F.lit(0).cast("long").alias("cached_input_tokens"),
+        F.lit(0).cast("long").alias("reasoning_output_tokens"),
+        n(split["ephemeral_5m_input_tokens"]).alias("cache_creation_5m_tokens"),
+        n(split["ephemeral_1h_input_tokens"]).alias("cache_creation_1h_tokens"),
+        first_present(usage["service_tier"], m["service_tier"], F.col("j.serviceTier")).alias("service_tier"),
+        first_present(usage["speed"], m["speed"], F.col("j.speed")).alias("speed"),
+        first_present(usage["inference_geo"], m["inference_geo"], F.col("j.inferenceGeo")).alias("region"),
+        F.lit(None).cast("string").alias("processing_mode"), "project", F.col("path").alias("source_file"), "is_subagent",
     )
     return out.withColumn("total_tokens", total_tokens())
 
@@ -163,36 +174,50 @@ def parse_codex(files: DataFrame) -> DataFrame:
     rows = lines(files).withColumn("v", F.try_parse_json("line"))
     g = lambda p: F.try_variant_get("v", p, "string")
     ts = g("$.timestamp")
-    bad = F.col("v").isNull() | F.coalesce(_types(F.variant_get("v", "$.type", "variant")) != "STRING", F.lit(True)) | F.variant_get("v", "$.payload", "variant").isNull()
+    bad = F.col("v").isNull() | F.coalesce(_types(F.variant_get("v", "$.type", "variant")) != "STRING", F.lit(True)) | F.variant_get("v", "$.payload",
+        "variant").isNull()
     kind, inner = g("$.type"), g("$.payload.type")
     sets = lambda p, *kinds: F.when(kind.isin(*kinds), first_present(g(p)))
     rows = rows.withColumn("bad", bad).withColumns({
-        "_session": sets("$.payload.id", "session_meta"), "_cwd": sets("$.payload.cwd", "session_meta", "turn_context"), "_model": sets("$.payload.model", "turn_context"),
+        "_session": sets("$.payload.id", "session_meta"), "_cwd": sets("$.payload.cwd", "session_meta", "turn_context"),
+        "_model": sets("$.payload.model", "turn_context"),
         "_mode": sets("$.payload.processing_mode", "session_meta", "turn_context"),
     })
     rows = carried(rows, ["path"], ["pos"], {"_session": "s_session", "_cwd": "s_cwd", "_model": "s_model", "_mode": "s_mode"})
     places = ("$.payload.info.last_token_usage", "$.payload.response.usage", "$.payload.usage")
     at = F.coalesce(*(F.variant_get("v", p, "variant") for p in places))
     rows = rows.withColumn("u", at)
-    pick = lambda *paths: F.coalesce(*(F.when(F.variant_get("u", p, "variant").isNotNull(), _count(F.col("u"), p)) for p in paths), F.lit(0).cast("long"))
-    cached = F.when(F.variant_get("u", "$.cached_input_tokens", "variant").isNotNull(), _count(F.col("u"), "$.cached_input_tokens")).otherwise(_count(F.col("u"), "$.input_token_details.cached_tokens"))
-    reason = F.when(F.variant_get("u", "$.reasoning_output_tokens", "variant").isNotNull(), _count(F.col("u"), "$.reasoning_output_tokens")).otherwise(_count(F.col("u"), "$.output_token_details.reasoning_tokens"))
+    pick = lambda *paths: F.coalesce(*(F.when(F.variant_get("u", p, "variant").isNotNull(), _count(F.col("u"), p)) for p in paths),
+        F.lit(0).cast("long"))
+    cached = F.when(F.variant_get("u", "$.cached_input_tokens", "variant").isNotNull(),
+        _count(F.col("u"), "$.cached_input_tokens")).otherwise(_count(F.col("u"), "$.input_token_details.cached_tokens"))
+    reason = F.when(F.variant_get("u", "$.reasoning_output_tokens", "variant").isNotNull(),
+        _count(F.col("u"), "$.reasoning_output_tokens")).otherwise(_count(F.col("u"), "$.output_token_details.reasoning_tokens"))
     n_in, n_out = _count(F.col("u"), "$.input_tokens"), _count(F.col("u"), "$.output_tokens")
-    decodes = F.coalesce(_types(F.col("u")).startswith("OBJECT"), F.lit(False)) & (F.coalesce(n_in, F.lit(-1)) >= 0) & (F.coalesce(n_out, F.lit(-1)) >= 0) & (F.coalesce(cached, F.lit(-1)) >= 0) & (F.coalesce(reason, F.lit(-1)) >= 0)
+    decodes = F.coalesce(_types(F.col("u")).startswith("OBJECT"),
+        F.lit(False)) & (F.coalesce(n_in, F.lit(-1)) >= 0) & (F.coalesce(n_out, F.lit(-1)) >= 0) & (F.coalesce(cached,
+            F.lit(-1)) >= 0) & (F.coalesce(reason, F.lit(-1)) >= 0)
     good_ts = F.coalesce(ts.rlike(RFC3339), F.lit(False)) & F.try_to_timestamp(ts).isNotNull()
     keep = (kind == "event_msg") & (inner == "token_count") & F.col("s_model").isNotNull() & F.col("u").isNotNull() & decodes & good_ts
     state = F.when(F.col("bad"), F.when(F.col("ended"), "bad").otherwise("tail")).when(F.coalesce(keep, F.lit(False)), "kept").otherwise("skipped")
-    mode = processing_mode(F.try_variant_get("u", "$.processing_mode", "string"), g("$.payload.info.processing_mode"), g("$.payload.response.processing_mode"), g("$.payload.processing_mode"), F.col("s_mode"))
+    mode = processing_mode(F.try_variant_get("u", "$.processing_mode", "string"), g("$.payload.info.processing_mode"),
+        g("$.payload.response.processing_mode"), g("$.payload.processing_mode"), F.col("s_mode"))
     session = F.coalesce("s_session", session_from_path("path"))
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
-    out = rows.withColumn("state", state).withColumns({"n_in": n_in, "n_out": n_out, "n_cached": cached, "n_reason": reason, "mode": mode, "session_id": session})
+    out = rows.withColumn("state", state).withColumns({"n_in": n_in, "n_out": n_out, "n_cached": cached, "n_reason": reason, "mode": mode,
+            "session_id": session})
     stamp = F.regexp_replace(F.regexp_replace(ts, " ", "T"), r"[Zz]$", "+00:00")
     return out.select(
-        "path", "size", "mtime", "offset" if "offset" in files.columns else F.lit(0).alias("offset"), "pos", "start", "state", F.lit("codex").alias("provider"),
-        codex_request_id(F.col("session_id"), stamp, F.col("n_in"), F.col("n_cached"), F.col("n_out"), F.col("n_reason"), F.col("mode")).alias("request_id"), "session_id", none.alias("uuid"), F.try_to_timestamp(ts).alias("timestamp"),
-        classify_family("s_model").alias("model_family"), F.col("s_model").alias("model_id"), F.col("n_in").alias("input_tokens"), F.col("n_out").alias("output_tokens"), zero.alias("cache_creation_tokens"), zero.alias("cache_read_tokens"),
-        F.col("n_cached").alias("cached_input_tokens"), F.col("n_reason").alias("reasoning_output_tokens"), zero.alias("cache_creation_5m_tokens"), zero.alias("cache_creation_1h_tokens"), none.alias("service_tier"), none.alias("speed"), none.alias("region"),
-        F.col("mode").alias("processing_mode"), project_from_cwd("s_cwd").alias("project"), F.col("path").alias("source_file"), F.lit(False).alias("is_subagent"),
+        "path", "size", "mtime", "offset" if "offset" in files.columns else F.lit(0).alias("offset"), "pos", "start", "state",
+        F.lit("codex").alias("provider"),
+        codex_request_id(F.col("session_id"), stamp, F.col("n_in"), F.col("n_cached"), F.col("n_out"), F.col("n_reason"),
+            F.col("mode")).alias("request_id"), "session_id", none.alias("uuid"), F.try_to_timestamp(ts).alias("timestamp"),
+        classify_family("s_model").alias("model_family"), F.col("s_model").alias("model_id"), F.col("n_in").alias("input_tokens"),
+        F.col("n_out").alias("output_tokens"), zero.alias("cache_creation_tokens"), zero.alias("cache_read_tokens"),
+        F.col("n_cached").alias("cached_input_tokens"), F.col("n_reason").alias("reasoning_output_tokens"), zero.alias("cache_creation_5m_tokens"),
+        zero.alias("cache_creation_1h_tokens"), none.alias("service_tier"), none.alias("speed"), none.alias("region"),
+        F.col("mode").alias("processing_mode"), project_from_cwd("s_cwd").alias("project"), F.col("path").alias("source_file"),
+        F.lit(False).alias("is_subagent"),
     ).withColumn("total_tokens", total_tokens())
 
 
@@ -229,7 +254,8 @@ def new_records(records: DataFrame, stored: DataFrame) -> DataFrame:
 def consumed(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """Per file the bytes that are read for good: all, or up to a tail that is still being written."""
     tail = parsed.filter("state = 'tail'").groupBy("path").agg(F.min("start").alias("tail"))
-    return files.select("path", "size", "mtime").join(tail, "path", "left").select("path", "size", "mtime", F.coalesce("tail", "size").alias("consumed"))
+    return files.select("path", "size", "mtime").join(tail, "path", "left").select("path", "size", "mtime",
+        F.coalesce("tail", "size").alias("consumed"))
 
 
 def upsert_manifest(manifest: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -290,12 +316,14 @@ def ingest(spark: SparkSession, roots: dict[str, str], store: str, rebuild: bool
         validate(records)
         stored = stored_table(spark, usage_path, f"{USAGE}, usage_date date").filter(F.col("provider") == provider)
         fresh = new_records(records, stored.limit(0) if rebuild else stored).withColumn("usage_date", F.to_date("timestamp")).persist()
-        done = consumed(parsed, files.filter("value is not null")).select(F.lit(provider).alias("provider"), "path", "size", "mtime", "consumed", F.current_timestamp().alias("ingested_at")).persist()
+        done = consumed(parsed, files.filter("value is not null")).select(F.lit(provider).alias("provider"), "path", "size", "mtime", "consumed",
+            F.current_timestamp().alias("ingested_at")).persist()
         report = spark.createDataFrame(ingest_report(provider, found, files, parsed, fresh).collect(), REPORT)
         done.count()
         gone = []
         if rebuild:
-            days = lambda df: {r[0] for r in df.select(F.coalesce(F.col("usage_date").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))).distinct().collect()}  # noqa: E731 - a row a day
+            days = lambda df: {r[0] for r in df.select(F.coalesce(F.col("usage_date").cast("string"),
+                        F.lit("__HIVE_DEFAULT_PARTITION__"))).distinct().collect()}  # noqa: E731 - a row a day
             gone = sorted(days(stored) - days(fresh))
         # the days that are written replace the stored ones in a rebuild, and no session setting says so
         mode = fresh.write.mode("overwrite" if rebuild else "append").option("partitionOverwriteMode", "dynamic")

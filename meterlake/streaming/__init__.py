@@ -45,11 +45,13 @@ def rollup(stream: DataFrame, period: str, delay: str = "1 hour") -> DataFrame:
     """Tumbling sums in UTC; sessions are approximate, since a stream has no exact distinct count."""
     return (
         stream.withWatermark("timestamp", delay).groupBy(F.window("timestamp", WINDOWS[period]).alias("w"))
-        .agg(*(F.sum(c).alias(c) for c in SUMS), F.count(F.lit(1)).alias("request_count"), F.approx_count_distinct(F.struct("provider", "session_id")).alias("session_count"))
+        .agg(*(F.sum(c).alias(c) for c in SUMS), F.count(F.lit(1)).alias("request_count"),
+            F.approx_count_distinct(F.struct("provider", "session_id")).alias("session_count"))
         .select(F.col("w.start").alias("period_start"), *SUMS, "request_count", "session_count")
     )
 
 
 def component_costs(stream: DataFrame, prices: DataFrame) -> DataFrame:
     """Each streamed component with the static price that applies; no price leaves its cost null."""
-    return price_join(explode_components(stream), prices).select(*USAGE_KEY, "timestamp", "token_category", "component_ordinal", "tokens", "rate", usd(cost_of("tokens", "rate")).alias("cost_usd"))
+    return price_join(explode_components(stream), prices).select(*USAGE_KEY, "timestamp", "token_category", "component_ordinal", "tokens", "rate",
+        usd(cost_of("tokens", "rate")).alias("cost_usd"))
