@@ -203,7 +203,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     dim.append(len(a))
                     band.append(int(np.frexp(most)[1]) + int(np.floor(np.log2(scaled @ scaled) / 2)))
         at = pa.array(keep, pa.int64())
-        yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(raw, pa.binary()), pa.array(dim, pa.int32()), pa.array(band, pa.int32()), b.column(3).take(at)], ["row", "id", "v", "dim", "band", "query"])
+        yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(raw, pa.binary()), pa.array(dim, pa.int32()),
+                pa.array(band, pa.int32()), b.column(3).take(at)], ["row", "id", "v", "dim", "band", "query"])
 
 
 def _matrix(col) -> np.ndarray:
@@ -269,7 +270,8 @@ def _search(degree: int, beam: int, keep: int):
                     index, held = _Shard(held, degree), []
                 for s in range(0, part.num_rows, BATCH):
                     own = part.slice(s, BATCH)
-                    yield pa.record_batch([own.column(6), own.column(0), pa.array(index.search(own.column(3).to_pylist(), beam, keep), found)], ["q", "shard", "found"])
+                    yield pa.record_batch([own.column(6), own.column(0), pa.array(index.search(own.column(3).to_pylist(), beam, keep), found)],
+                        ["q", "shard", "found"])
 
     return run
 
@@ -281,7 +283,8 @@ def nearest(
     """query_id, rank, vec_id, score of each query's ``k`` nearest; queries: ids divisible by ``every``."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), (F.col(id_col) % every == 0).alias("query"))
+    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
+        F.col(vec_col).cast("array<double>").alias("v"), (F.col(id_col) % every == 0).alias("query"))
     rows = materialize(map_arrow(rows, _packed, "row long, id long, v binary, dim int, band int, query boolean"), "vectors")
     usual = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("band").alias("top")).orderBy(F.desc("n"), "dim").first()
     if usual is None:
@@ -303,13 +306,15 @@ def nearest(
         .groupBy("v", "band").agg(cut("rows"))
         .withColumn("shard", shard)
     )
-    index = nodes.repartitionById(shards, "shard").groupBy("shard").applyInPandas(_build_shard(degree, alpha), f"shard int, node int, v binary, rows {ROWS}, out array<int>, entry boolean")
+    index = nodes.repartitionById(shards, "shard").groupBy("shard").applyInPandas(_build_shard(degree, alpha),
+        f"shard int, node int, v binary, rows {ROWS}, out array<int>, entry boolean")
     index = materialize(index, "graph")
     queries = rows.filter("query").select("id", "row", F.col("v").alias("qv"))
     asked = materialize(queries.select("qv").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
     here = index.select("shard", F.lit(False).alias("is_query"), "node", "v", "out", "entry", F.lit(None).cast("long").alias("q"), "rows")
     there = asked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), F.lit(0).alias("node"), F.col("qv").alias("v"),
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), F.lit(0).alias("node"),
+        F.col("qv").alias("v"),
         F.lit(None).cast("array<int>").alias("out"), F.lit(False).alias("entry"), "q", F.lit(None).cast(ROWS).alias("rows"),
     )
     dealt = here.unionByName(there).repartitionById(shards, "shard").sortWithinPartitions("shard", "is_query", "node")

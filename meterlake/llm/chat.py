@@ -94,15 +94,19 @@ def effective_turns(calls: DataFrame) -> DataFrame:
     state = calls.select("conv_id", "call_id", "turn", "ready", F.col("after").alias("anc"))
     parent = calls.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_id"), "ready")
     joined = state.drop("ready").join(parent, same_key("conv_id", "anc", "p_conv", "p_id", "call_id"), "left")
-    state = materialize(joined.select("conv_id", "call_id", "turn", F.col("p_id").alias("anc"), (F.col("ready") + 1).alias("best"), F.when(F.col("p_id").isNotNull(), 1).otherwise(0).cast("long").alias("dist")), "chains")
+    state = materialize(joined.select("conv_id", "call_id", "turn", F.col("p_id").alias("anc"), (F.col("ready") + 1).alias("best"),
+            F.when(F.col("p_id").isNotNull(), 1).otherwise(0).cast("long").alias("dist")), "chains")
     for _ in range(MAX_ROUNDS):
         if state.filter("anc is not null").isEmpty():
             break
-        far = state.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_id"), F.col("anc").alias("p_anc"), F.col("best").alias("p_best"), F.col("dist").alias("p_dist"))
+        far = state.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_id"), F.col("anc").alias("p_anc"),
+            F.col("best").alias("p_best"), F.col("dist").alias("p_dist"))
         # a chain that is longer than there are calls loops; it stays marked by its ancestor
         joined = state.join(far, same_key("conv_id", "anc", "p_conv", "p_id", "call_id"), "left")
         state = materialize(
-            joined.select("conv_id", "call_id", "turn", F.col("p_anc").alias("anc"), F.greatest("best", F.col("p_best") + F.col("dist")).alias("best"), (F.col("dist") + F.coalesce("p_dist", F.lit(0))).alias("dist")), "chains"
+            joined.select("conv_id", "call_id", "turn", F.col("p_anc").alias("anc"),
+                F.greatest("best", F.col("p_best") + F.col("dist")).alias("best"), (F.col("dist") + F.coalesce("p_dist", F.lit(0))).alias("dist")),
+            "chains"
         )
         if state.agg(F.max("dist") > F.count(F.lit(1))).first()[0]:
             break
@@ -163,14 +167,17 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
         F.col("answer").isNotNull().alias("linked"), F.array_join("problems", ",").alias("problems"),
         canonical(after=F.col("after"), arguments=F.col("arguments"), id=F.col("call_id"), name=F.col("name"), type=F.lit("call")).alias("json"),
     )
-    facts = linked.select(*key, "answer").join(order.select(*key, "eff"), key).select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id"), "answer", F.col("eff").alias("call_eff"))
+    facts = linked.select(*key, "answer").join(order.select(*key, "eff"), key).select(F.col("conv_id").alias("k_conv"),
+        F.col("call_id").alias("k_id"), "answer", F.col("eff").alias("call_eff"))
     result_rows = results.join(facts, same_key("conv_id", "call_id", "k_conv", "k_id", "content"), "left").select(
-        "conv_id", "turn", F.greatest("turn", "call_eff").alias("eff"), F.lit(2).alias("kind_no"), F.lit("result").alias("kind"), "call_id", F.col("k_id").isNotNull().alias("linked"),
+        "conv_id", "turn", F.greatest("turn", "call_eff").alias("eff"), F.lit(2).alias("kind_no"), F.lit("result").alias("kind"), "call_id",
+        F.col("k_id").isNotNull().alias("linked"),
         F.when(F.col("turn") > F.col("answer"), "repeated").otherwise("").alias("problems"),
         canonical(call=F.col("call_id"), content=F.col("content"), type=F.lit("result")).alias("json"),
     )
     message_rows = messages.select(
-        "conv_id", "turn", F.col("turn").alias("eff"), F.lit(0).alias("kind_no"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(False).alias("linked"), F.lit("").alias("problems"),
+        "conv_id", "turn", F.col("turn").alias("eff"), F.lit(0).alias("kind_no"), F.lit("message").alias("kind"),
+        F.lit(None).cast("string").alias("call_id"), F.lit(False).alias("linked"), F.lit("").alias("problems"),
         canonical(content=F.col("text"), role=F.col("role"), type=F.lit("message")).alias("json"),
     )
     events = message_rows.unionByName(call_rows).unionByName(result_rows)
@@ -221,7 +228,8 @@ def derived_results(conversations: DataFrame) -> DataFrame:
     h = text_number()
     back = F.when(h % 5 == 0, 3).otherwise(1)
     return conversations.filter("role = 'user' and turn >= 1").select(
-        "conv_id", "turn", F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string")).alias("call_id"), F.col("text").alias("content")
+        "conv_id", "turn", F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string")).alias("call_id"),
+        F.col("text").alias("content")
     )
 
 

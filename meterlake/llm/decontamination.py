@@ -55,7 +55,8 @@ def _windows(size: int):
                     window = b" ".join(words[i : i + n]).decode()
                     out += [(c, window, n, j, pairs[i + j]) for j in range(n - 1)] if n > 1 else [(c, window, 1, 0, int(h[:1].view(np.int64)[0]))]
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["class", "window", "len", "off", "shingle"])
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)],
+                ["class", "window", "len", "off", "shingle"])
 
     return run
 
@@ -63,7 +64,8 @@ def _windows(size: int):
 def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, words joined by one blank)."""
     for b in slices(batches, 1):
-        yield pa.record_batch([b.column(0), pa.array([b" ".join(words_of(t or b"")).decode() for t in b.column(1).to_pylist()])], ["item_id", "words"])
+        yield pa.record_batch([b.column(0), pa.array([b" ".join(words_of(t or b"")).decode() for t in b.column(1).to_pylist()])],
+            ["item_id", "words"])
 
 
 def _shingle_hits(texts: list[bytes], bloom: Bloom):
@@ -113,7 +115,8 @@ def _candidates(bloom_bc, size: int):
                 [
                     b.column(0).take(take), b.column(1).take(take), pa.array(n_words[rows], pa.int64()),
                     pa.array(h.view(np.int64).tolist() + none, pa.int64()), pa.array((at - first[doc]).tolist() + none, pa.int64()),
-                    pa.array((lo - first[doc]).tolist() + none, pa.int64()), pa.array(context + none, pa.string()), pa.array(own.tolist() + none, pa.int64()),
+                    pa.array((lo - first[doc]).tolist() + none, pa.int64()), pa.array(context + none, pa.string()),
+                    pa.array(own.tolist() + none, pa.int64()),
                 ],
                 ["_uid", "doc_id", "n_words", "shingle", "at", "lo", "context", "salt"],
             )
@@ -130,7 +133,8 @@ def decontaminate(
     rows = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("binary").alias("text"))
-    items = materialize(map_arrow(items, _normal, "item_id string, words string").filter("words != ''").withColumn("class", F.sha2("words", 256)), "items")
+    items = materialize(map_arrow(items, _normal, "item_id string, words string").filter("words != ''").withColumn("class", F.sha2("words", 256)),
+        "items")
     classes = items.groupBy("class").agg(F.first("words").cast("binary").alias("words"))
     listed = materialize(map_arrow(classes, _windows(window), "class string, window string, len int, off int, shingle long"), "windows")
     # rarity of every shingle of a window, over all documents
@@ -147,28 +151,33 @@ def decontaminate(
     least = often[HOT]["n"] if len(often) > HOT else SALT_ROWS
     hot = sorted((r["shingle"], -(-r["n"] // SALT_ROWS)) for r in often if r["n"] > least) or [(0, 1)]
     wanted = spark.sparkContext.broadcast((Bloom.of(prefixes.select("shingle").distinct(), "shingle"), *np.array(hot, np.int64).T))
-    found = map_arrow(rows, _candidates(wanted, window), f"_uid long, doc_id {kind}, n_words long, shingle long, at long, lo long, context string, salt long")
+    found = map_arrow(rows, _candidates(wanted, window),
+        f"_uid long, doc_id {kind}, n_words long, shingle long, at long, lo long, context string, salt long")
     # documents without a candidate keep one row, under a key of their own
     found = found.withColumns({"shingle": F.coalesce("shingle", F.xxhash64("_uid")), "salt": F.coalesce("salt", F.lit(-1).cast("long"))})
     salts = F.when(F.col("n") > least, F.ceil(F.col("n") / SALT_ROWS)).otherwise(1).cast("long")
     salted = prefixes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     begin = F.col("at") - F.col("off")
     fits = (begin >= F.col("lo")) & (begin + F.col("len") <= F.col("n_words"))
-    same = F.array_join(F.slice(F.split("context", " "), (F.greatest(begin - F.col("lo"), F.lit(0)) + 1).cast("int"), F.col("len")), " ") == F.col("window")
-    hits = found.alias("f").join(salted.alias("p"), (F.col("f.shingle") == F.col("p.shingle")) & (F.col("f.salt") == F.col("p.salt")) & fits & same, "left")
+    same = F.array_join(F.slice(F.split("context", " "), (F.greatest(begin - F.col("lo"), F.lit(0)) + 1).cast("int"), F.col("len")),
+        " ") == F.col("window")
+    hits = found.alias("f").join(salted.alias("p"), (F.col("f.shingle") == F.col("p.shingle")) & (F.col("f.salt") == F.col("p.salt")) & fits & same,
+        "left")
     hits = materialize(hits.select("_uid", "doc_id", "n_words", begin.alias("begin"), (begin + F.col("len")).alias("end"), "window"), "hits")
     # words inside any occurrence: the union of the intervals, in order
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     union = F.aggregate(
         F.array_sort("spans"), start,
-        lambda acc, x: F.struct(F.greatest(acc["end"], x["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["end"], x["begin"]))).alias("n")),
+        lambda acc, x: F.struct(F.greatest(acc["end"], x["end"]).alias("end"),
+            (acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["end"], x["begin"]))).alias("n")),
     )["n"]
     per_doc = (
         hits.groupBy("_uid", "doc_id", "n_words")
         .agg(F.collect_set(F.when(F.col("window").isNotNull(), F.struct("begin", "end"))).alias("spans"))
         .select("_uid", "doc_id", "n_words", union.alias("n_hit"))
     )
-    of_class = hits.filter("window is not null").select("_uid", "window").distinct().join(listed.select("window", "class").distinct(), "window").select("_uid", "class").distinct()
+    of_class = hits.filter("window is not null").select("_uid", "window").distinct().join(listed.select("window", "class").distinct(),
+        "window").select("_uid", "class").distinct()
     per_item = (
         of_class.join(items.select("class", "item_id").distinct(), "class")
         .groupBy("_uid").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))

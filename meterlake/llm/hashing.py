@@ -121,7 +121,8 @@ class Bloom:
         place = F.array(*(F.shiftrightunsigned(column, s).bitwiseAND(F.lit((1 << bits) - 1)) for s in (0, 32)))
         rows = (
             df.select(F.explode(place).alias("bit"))
-            .select(F.shiftright("bit", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int")).alias("mask"))
+            .select(F.shiftright("bit", 6).alias("word"),
+                F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int")).alias("mask"))
             .groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
         )
         out = cls(bits)

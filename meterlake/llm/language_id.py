@@ -99,7 +99,8 @@ class Model:
                     for i in range(64 * word, min(k, 64 * word + 64)):
                         np.cumsum(((mask >> kind(i % 64)) & kind(1)).astype(bool) & ok, out=run[1:])
                         hits[:, i] += np.diff(run[cut])
-        some = np.add.reduceat(np.concatenate((codes > 0, [False])).astype(np.int64), np.minimum(starts[:-1], len(codes))) > 0 if len(texts) else np.zeros(0, bool)
+        some = np.add.reduceat(np.concatenate((codes > 0, [False])).astype(np.int64),
+            np.minimum(starts[:-1], len(codes))) > 0 if len(texts) else np.zeros(0, bool)
         right = np.clip((hits - total[:, None] * self.fp) / (1 - self.fp), 0, None)
         best = np.where(right.max(axis=1, initial=0) > 0, right.argmax(axis=1) if k else 0, self.usual)
         top = right[np.arange(len(texts)), best] if k else np.zeros(len(texts))
@@ -126,7 +127,8 @@ def fit(
     sample_docs: int = SAMPLE_DOCS, ratio: float = 0.2, min_count: int = 3,
 ) -> Model:
     """Learn from the rows of ``docs`` whose text and language are set."""
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(key_col).cast("string").alias("key")).filter("lang is not null and text is not null")
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
+        F.col(key_col).cast("string").alias("key")).filter("lang is not null and text is not null")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
     languages = sorted(counts)
     dtype = np.uint8 if len(languages) <= 8 else np.uint64
@@ -139,7 +141,8 @@ def fit(
     per = found.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     # rates: an n-gram's share of all n-grams counted for its language
     totals = {r[0]: r[1] for r in per.groupBy("lang").agg(F.sum("n")).collect()}
-    rate = F.col("n") / F.try_element_at(F.create_map(*(F.lit(x) for i in range(len(languages)) for x in (i, float(totals.get(i, 1))))), F.col("lang"))
+    rate = F.col("n") / F.try_element_at(F.create_map(*(F.lit(x) for i in range(len(languages)) for x in (i, float(totals.get(i, 1))))),
+        F.col("lang"))
     lists = per.withColumn("rate", rate).groupBy("gram").agg(F.collect_list(F.struct("lang", "n", "rate")).alias("in"), F.max("rate").alias("most"))
     holders = F.filter("in", lambda x: (x["rate"] >= F.col("most") * ratio) & (x["n"] >= min_count))
     held = lists.select("gram", F.explode(holders).alias("held")).select("gram", "held.lang")
@@ -164,9 +167,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at, 1 << 20):
             lang, score, coverage = bc.value.judge([t or "" for t in b.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(coverage, pa.float64())], names=[*b.schema.names, "lang_pred", "score", "coverage"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                    pa.array(coverage, pa.float64())], names=[*b.schema.names, "lang_pred", "score", "coverage"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("coverage", T.DoubleType())])
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+            T.StructField("coverage", T.DoubleType())])
     return map_arrow(docs.select(*(f.name for f in kept)), run, schema)

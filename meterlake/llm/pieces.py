@@ -67,7 +67,8 @@ class Pieces:
         self.ids = {n: i for i, n in enumerate(self.names) if i not in special}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         probe = "  a  ①ﬁ b "
-        if any(re.search(f"[^{MARK}]{MARK}", n) for n in self.ids) or not all(sp.is_byte(b) for b in self.bytes) or sp.decode(sp.encode(probe)) != probe:
+        if any(re.search(f"[^{MARK}]{MARK}",
+                n) for n in self.ids) or not all(sp.is_byte(b) for b in self.bytes) or sp.decode(sp.encode(probe)) != probe:
             raise ValueError("a model with byte-pair pieces, byte fallback and no normalisation is needed")
         #: True for a piece, False for what only begins one
         self.kinds = {n[:i]: False for n in self.ids for i in range(1, len(n))} | dict.fromkeys(self.ids, True)
@@ -294,7 +295,8 @@ class Pieces:
         first, back = first[order], np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         n_long = int(np.searchsorted(-size[first], -LONG_UNIT, side="left"))
-        walked = [self.number(self.trace(self.forward(u, 0, "", len(u)), 0, len(u))) for u in (joined[start[i] : start[i] + size[i]] for i in first[:n_long].tolist())]
+        walked = [self.number(self.trace(self.forward(u, 0, "", len(u)), 0,
+                    len(u))) for u in (joined[start[i] : start[i] + size[i]] for i in first[:n_long].tolist())]
         ids, count = self.solve(codes, start[first[n_long:]], size[first[n_long:]])
         if walked:
             ids = np.concatenate((*(np.frombuffer(x, np.int32) for x in walked), ids))
@@ -366,7 +368,8 @@ class Pieces:
                     continue
                 leave(r, self.forward(text, begin + run, piece, end))
         else:
-            into = [r for r, (run, piece) in enumerate(rows) if begin + run <= first and (begin + run == first or first in self.forward(text[:first], begin + run, piece, first))]
+            into = [r for r, (run, piece) in enumerate(rows) if begin + run <= first and (begin + run == first or first in self.forward(text[:first],
+                        begin + run, piece, first))]
             if last < end:
                 tail: list = []
                 back = self.forward(text, last, "", end)
@@ -407,7 +410,8 @@ class Pieces:
             tails.append(tail)
             covers.append((start, stop))
         ids, at = self.encode_units(middles)
-        parts = [x for h, a, z, t in zip(heads, at[:-1], at[1:], tails, strict=True) for x in (np.array(h, np.int32), ids[a:z], np.array(t, np.int32))]
+        parts = [x for h, a, z, t in zip(heads, at[:-1], at[1:], tails, strict=True) for x in (np.array(h, np.int32), ids[a:z],
+                np.array(t, np.int32))]
         sizes = [len(parts[i]) + len(parts[i + 1]) + len(parts[i + 2]) for i in range(0, len(parts), 3)]
         return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), covers
 
@@ -506,7 +510,8 @@ def _encode(path: str, at: int):
             ids, bounds = m.encode_all(texts)
             same = m.gives(ids, bounds, [b" " + t.encode() if t else b"" for t in texts])
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(np.diff(bounds)), pa.array(same)], names=[*b.schema.names, "piece_ids", "n_pieces", "round_trip"])
+            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(np.diff(bounds)), pa.array(same)],
+                names=[*b.schema.names, "piece_ids", "n_pieces", "round_trip"])
 
     return run
 
@@ -526,7 +531,8 @@ def _cut(long: DataFrame, chunk: int, margin: int, *more: str) -> DataFrame:
     at = F.greatest(F.col("k") * chunk - margin, F.lit(0))
     return (
         long.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))))
-        .select("_uid", "k", n.alias("total"), at.alias("from"), F.substring("text", at + 1, F.lit(chunk) + F.col("k") * chunk - at + margin).alias("part"), *more)
+        .select("_uid", "k", n.alias("total"), at.alias("from"),
+            F.substring("text", at + 1, F.lit(chunk) + F.col("k") * chunk - at + margin).alias("part"), *more)
         .repartition("_uid", "k")
     )
 
@@ -539,9 +545,11 @@ def _matrices(path: str, chunk: int):
             for k, total, start, part in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 text, begin, end = _around(part, k, chunk, m.longest, total, start)
                 rows, cols, matrix = m.transfer(text, begin, end, (k + 1) * chunk >= total)
-                out.append({"rows": [{"run": r, "piece": p} for r, p in rows], "cols": [{"run": r, "piece": p} for r, p in cols], "cells": matrix.ravel().tolist()})
+                out.append({"rows": [{"run": r, "piece": p} for r, p in rows], "cols": [{"run": r, "piece": p} for r, p in cols],
+                        "cells": matrix.ravel().tolist()})
             state = pa.list_(pa.struct([("run", pa.int32()), ("piece", pa.string())]))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([o["rows"] for o in out], state), pa.array([o["cols"] for o in out], state), pa.array([o["cells"] for o in out], pa.list_(pa.float64()))], ["_uid", "k", "rows", "cols", "cells"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([o["rows"] for o in out], state), pa.array([o["cols"] for o in out], state),
+                    pa.array([o["cells"] for o in out], pa.list_(pa.float64()))], ["_uid", "k", "rows", "cols", "cells"])
 
     return run
 
@@ -567,13 +575,15 @@ def _product(fan: int):
         parts = _parts(pdf)
         rows, cols, matrix, _ = up(parts, 0, len(parts))
         said = lambda states: [{"run": r, "piece": p} for r, p in states]
-        return pd.DataFrame({"_uid": pdf["_uid"].iloc[:1].to_numpy(), "k": [int(pdf["k"].iloc[0]) // fan], "rows": [said(rows)], "cols": [said(cols)], "cells": [matrix.ravel().tolist()]})
+        return pd.DataFrame({"_uid": pdf["_uid"].iloc[:1].to_numpy(), "k": [int(pdf["k"].iloc[0]) // fan], "rows": [said(rows)], "cols": [said(cols)],
+                "cells": [matrix.ravel().tolist()]})
 
     return run
 
 
 def _said_states(pdf: pd.DataFrame, states: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame({"_uid": pdf["_uid"].to_numpy(), "k": pdf["k"].to_numpy(), "in_run": [a[0] for a, _ in states], "in_piece": [a[1] for a, _ in states], "out_run": [b[0] for _, b in states], "out_piece": [b[1] for _, b in states]})
+    return pd.DataFrame({"_uid": pdf["_uid"].to_numpy(), "k": pdf["k"].to_numpy(), "in_run": [a[0] for a, _ in states],
+            "in_piece": [a[1] for a, _ in states], "out_run": [b[0] for _, b in states], "out_piece": [b[1] for _, b in states]})
 
 
 def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -625,7 +635,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk_chars
     """``docs`` with piece_ids, n_pieces and round_trip (decoding the pieces gives the text again)."""
     kept = [f for f in docs.schema.fields if f.name not in OUT]
     rows = docs.select(*(f.name for f in kept))
-    added = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    added = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()),
+        T.StructField("round_trip", T.BooleanType())]
     is_long = F.coalesce(F.length(text_col), F.lit(0)) > chunk_chars
     short = map_arrow(rows.filter(~is_long), _encode(model_path, [f.name for f in kept].index(text_col)), T.StructType([*kept, *added]))
     uid = unused("_uid", rows.columns)
@@ -637,11 +648,14 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk_chars
     margin = model(model_path).longest + 1
     parts = materialize(map_arrow(_cut(long, chunk_chars, margin), _matrices(model_path, chunk_chars), MATRICES), "matrices")
     cut = _cut(long, chunk_chars, margin).join(cut_states(parts, fan), ["_uid", "k"])
-    traced = map_arrow(cut.select("_uid", "k", "total", "from", "part", "in_run", "in_piece", "out_run", "out_piece"), _backtrace(model_path, chunk_chars), "_uid long, k int, ids array<int>, same boolean")
+    traced = map_arrow(cut.select("_uid", "k", "total", "from", "part", "in_run", "in_piece", "out_run", "out_piece"),
+        _backtrace(model_path, chunk_chars), "_uid long, k int, ids array<int>, same boolean")
     ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]))
-    joined = traced.groupBy("_uid").agg(ids.alias("piece_ids"), F.bool_and("same").alias("round_trip")).withColumnRenamed("_uid", unused("_own", rows.columns))
+    joined = traced.groupBy("_uid").agg(ids.alias("piece_ids"), F.bool_and("same").alias("round_trip")).withColumnRenamed("_uid",
+        unused("_own", rows.columns))
     own = joined.columns[0]
-    return short.unionByName(whole.join(joined, F.col(uid) == F.col(own)).select(*rows.columns, "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "round_trip"))
+    return short.unionByName(whole.join(joined, F.col(uid) == F.col(own)).select(*rows.columns, "piece_ids",
+            F.size("piece_ids").cast("long").alias("n_pieces"), "round_trip"))
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:

@@ -147,7 +147,8 @@ def next_version(spark: SparkSession, path: str, n_shards: int, n_slots: int, sl
     return SlotMap.load(spark, path)
 
 
-def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", n_slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", n_slots: int = SLOTS,
+    map_path: str | None = None) -> DataFrame:
     """Place every record: near-equal bytes per shard, and its number within its shard.
 
     ``map_path`` holds the versions of the slot map (by default a new table in the shared folder).  Only bytes per slot

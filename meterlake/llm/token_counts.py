@@ -142,7 +142,8 @@ def _spliced(long: DataFrame, path: str, chunk_chars: int, overlap: int) -> Data
     """(_uid, n_tokens), null where some neighbours share no boundary."""
     n = F.length("text")
     parts = (
-        long.select("_uid", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - F.lit(overlap) - 1) / chunk_chars).cast("int")))).alias("k"))
+        long.select("_uid", "text", F.explode(F.sequence(F.lit(0),
+                    F.greatest(F.lit(0), F.floor((n - F.lit(overlap) - 1) / chunk_chars).cast("int")))).alias("k"))
         .select(
             "_uid", "k", (F.col("k") * chunk_chars).cast("long").alias("start"),
             (n <= (F.col("k") + 1) * chunk_chars + overlap).alias("last"),
@@ -180,7 +181,8 @@ def count_tokens(
     short = map_arrow(rows.filter(~is_long).select("_uid", "text", size), _whole(tokenizer_path), f"_uid {kind}, n_bytes long, n_tokens long")
     out = short.withColumnRenamed("_uid", "doc_id")
     # the long texts are kept with a number of their own, since ids may repeat
-    long = materialize(rows.filter(is_long).select(F.col("_uid").alias("doc_id"), F.monotonically_increasing_id().alias("_uid"), "text", size), "long-texts")
+    long = materialize(rows.filter(is_long).select(F.col("_uid").alias("doc_id"), F.monotonically_increasing_id().alias("_uid"), "text", size),
+        "long-texts")
     longest = long.agg(F.max(F.length("text"))).first()[0]
     left = long
     while longest:
