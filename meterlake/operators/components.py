@@ -11,27 +11,30 @@ from ..schemas import PRICE_KEY
 COMPONENT_COLUMNS = ["provider", "request_id", "model_id", "timestamp", "token_category", "tokens", *DIMENSIONS, "component_ordinal"]
 
 
-def component_array() -> Column:
-    """A request's components in order, as structs: one per category with tokens; cache creation splits by lifetime where
-    the split is known."""
+def component_parts() -> list[tuple[str, str | None, Column]]:
+    """(category, detail, tokens) of everything a request may bill, in order; cache creation splits by lifetime where the
+    split is known."""
     five, hour, whole = F.col("cache_creation_5m_tokens"), F.col("cache_creation_1h_tokens"), F.col("cache_creation_tokens")
     split = (five > 0) | (hour > 0)
-    none = F.lit(None).cast("string")
-
-    def part(category: str, tokens, detail=none):
-        return F.struct(F.lit(category).alias("token_category"), tokens.cast("long").alias("tokens"), detail.alias("source_detail"))
-
     parts = []
     for c in CATEGORIES:
         if c != "cache_creation":
-            parts.append(part(c, billable_tokens(c)))
+            parts.append((c, None, billable_tokens(c)))
             continue
         # a request without the aggregate but with a split has no cache creation at all
         has = whole > 0
-        parts.append(part(c, F.when(has, five).otherwise(0), F.lit("ephemeral_5m")))
-        parts.append(part(c, F.when(has, hour).otherwise(0), F.lit("ephemeral_1h")))
-        parts.append(part(c, F.when(split, F.greatest(whole - five - hour, F.lit(0))).otherwise(whole)))
-    return F.filter(F.array(*parts), lambda p: p["tokens"] > 0)
+        parts.append((c, "ephemeral_5m", F.when(has, five).otherwise(0)))
+        parts.append((c, "ephemeral_1h", F.when(has, hour).otherwise(0)))
+        parts.append((c, None, F.when(split, F.greatest(whole - five - hour, F.lit(0))).otherwise(whole)))
+    return [(c, detail, tokens.cast("long")) for c, detail, tokens in parts]
+
+
+def component_array() -> Column:
+    """A request's components in order, as structs: the parts with tokens."""
+    def part(category: str, detail: str | None, tokens: Column) -> Column:
+        return F.struct(F.lit(category).alias("token_category"), tokens.alias("tokens"), F.lit(detail).cast("string").alias("source_detail"))
+
+    return F.filter(F.array(*(part(*p) for p in component_parts())), lambda p: p["tokens"] > 0)
 
 
 def component_dimensions() -> dict[str, Column]:

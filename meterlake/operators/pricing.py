@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import DIMENSIONS, PROVIDERS, cost_of, normalize_dimension, usd
 from ..schemas import PRICE_KEY, TOKEN_COLUMNS, USAGE_KEY
-from .components import component_array, component_dimensions, explode_components
+from .components import component_dimensions, component_parts, explode_components
 
 
 class MissingPricing(ValueError):
@@ -60,51 +61,57 @@ def why(status: Column) -> Column:
     )
 
 
+def timelines(prices: DataFrame) -> DataFrame:
+    """Per model and dimensions the stretches of time in which its prices stay the same, one row each, with the number of
+    prices and the rate of every part of a request: columns n0, r0, n1, ... in the order of ``component_parts``."""
+    shared = [c for c in PRICE_KEY if c not in ("token_category", "source_detail")]
+    own = prices.filter("currency = 'USD'").select(*PRICE_KEY, F.col("rate_per_1m_tokens").cast("decimal(18,6)").alias("rate"), "effective_from",
+        "effective_to")
+    edges = own.select(*shared, F.explode(F.array("effective_from", "effective_to")).alias("since")).filter("since is not null").distinct()
+    until = F.lead("since").over(Window.partitionBy(*shared).orderBy("since"))
+    stretches = edges.withColumn("until", until)
+    meets = F.lit(True)
+    for c in shared:
+        meets = meets & F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}"))
+    holds = (F.col("p.effective_from") <= F.col("s.since")) & (F.col("p.effective_to").isNull() | (F.col("s.since") < F.col("p.effective_to")))
+    both = stretches.alias("s").join(own.alias("p"), meets & holds).select("s.*", "p.token_category", "p.source_detail", "p.rate")
+    columns = []
+    for i, (category, detail, _) in enumerate(component_parts()):
+        same = (F.col("token_category") == category) & F.col("source_detail").eqNullSafe(F.lit(detail).cast("string"))
+        columns += [F.count_if(same).alias(f"n{i}"), F.max(F.when(same, F.col("rate"))).alias(f"r{i}")]
+    return both.groupBy(*shared, "since", "until").agg(*columns)
+
+
 def priced_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Usage with ``exact`` and ``status``, as ``request_costs`` finds them for the components that usage gives rise to.
 
-    A request's components share everything but category and detail, so one join per request with the price lists of
-    its model and dimensions is enough: usage is read once, nothing is exploded, and with prices that Spark broadcasts
-    nothing is shuffled.  A list holds one model's prices of all dates.
+    A request's components share everything but category and detail, so one join per request with the stretch of time that
+    holds it prices them all: usage is read once, nothing is exploded, and with timelines that Spark broadcasts nothing is
+    shuffled.
     """
-    shared = [c for c in PRICE_KEY if c not in ("token_category", "source_detail")]
-    offers = prices.filter("currency = 'USD'").groupBy(*shared).agg(
-        F.collect_list(F.struct("token_category", "source_detail", F.col("rate_per_1m_tokens").cast("decimal(18,6)").alias("rate"), "effective_from",
-                "effective_to")).alias("_offers")
-    )
     dims = {f"_{d}": c for d, c in component_dimensions().items()}
-    left = usage.withColumns({**dims, "_parts": component_array()}).alias("u")
+    t = F.col("u.timestamp")
     meets = (F.col("u.provider") == F.col("o.provider")) & (F.col("u.model_id") == F.col("o.model_id"))
     for d in dims:
         meets = meets & F.col(f"u.{d}").eqNullSafe(F.col(f"o.{d[1:]}"))
-    joined = left.join(offers.alias("o"), meets, "left").select("u.*", "o._offers")
-    t = F.col("timestamp")
-
-    def applies(part: Column):
-        return lambda o: (
-            (o["token_category"] == part["token_category"]) & o["source_detail"].eqNullSafe(part["source_detail"])
-            & (o["effective_from"] <= t) & (o["effective_to"].isNull() | (t < o["effective_to"]))
-        )
-
-    zero = F.lit(0).cast("decimal(38,6)")
-    start = F.struct(F.lit(0).alias("missing"), F.lit(0).alias("ambiguous"), zero.alias("exact"))
-
-    def add(acc: Column, part: Column) -> Column:
-        found = F.filter(F.coalesce("_offers", F.array().cast(joined.schema["_offers"].dataType)), applies(part))
-        one = F.when(F.size(found) == 1, cost_of(part["tokens"], F.get(found, F.lit(0))["rate"])).otherwise(0)
-        return F.struct(
-            (acc["missing"] + F.when(F.size(found) == 0, 1).otherwise(0)).alias("missing"),
-            (acc["ambiguous"] + F.when(F.size(found) > 1, 1).otherwise(0)).alias("ambiguous"),
-            (acc["exact"] + one).cast("decimal(38,6)").alias("exact"),
-        )
-
-    tokens = sum((F.col(c) for c in TOKEN_COLUMNS[1:]), F.col(TOKEN_COLUMNS[0]))
-    status = (
-        F.when(F.col("_sum.ambiguous") > 0, "ambiguous").when((F.size("_parts") == 0) & (tokens > 0), "integrity")
-        .when(F.col("_sum.missing") > 0, "missing").otherwise("priced")
-    )
-    summed = joined.withColumn("_sum", F.aggregate("_parts", start, add)).withColumn("status", status)
-    return summed.select(*usage.columns, F.when(F.col("status") == "priced", F.col("_sum.exact")).alias("exact"), "status")
+    meets = meets & (F.col("o.since") <= t) & (F.col("o.until").isNull() | (t < F.col("o.until")))
+    parts = component_parts()
+    found = [f"o.{c}{i}" for i in range(len(parts)) for c in "nr"]
+    joined = usage.withColumns(dims).alias("u").join(timelines(prices).alias("o"), meets, "left").select("u.*", *found)
+    zero, total = F.lit(0), lambda columns: sum(columns[1:], columns[0])
+    some = [tokens > 0 for _, _, tokens in parts]
+    n = [F.coalesce(f"n{i}", zero) for i in range(len(parts))]
+    missing = total([F.when(s & (c == 0), 1).otherwise(0) for s, c in zip(some, n, strict=True)])
+    ambiguous = total([F.when(s & (c > 1), 1).otherwise(0) for s, c in zip(some, n, strict=True)])
+    costs = [F.when(s & (c == 1), cost_of(p[2], f"r{i}")).otherwise(0).cast("decimal(38,6)") for i,
+        (s, c, p) in enumerate(zip(some, n, parts, strict=True))]
+    billed = F.lit(False)
+    for s in some:
+        billed = billed | s
+    tokens = total([F.col(c) for c in TOKEN_COLUMNS])
+    status = F.when(ambiguous > 0, "ambiguous").when(~billed & (tokens > 0), "integrity").when(missing > 0, "missing").otherwise("priced")
+    rows = joined.withColumn("status", status)
+    return rows.select(*usage.columns, F.when(F.col("status") == "priced", total(costs).cast("decimal(38,6)")).alias("exact"), "status")
 
 
 def request_costs(usage: DataFrame, components: DataFrame, prices: DataFrame, generation: int = 1) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..operators import audit
+from ..operators import audit, reports
 from ..schemas import USAGE_KEY
 from ..sources import bridge, catalog, logs
 from ..sources.scratch import fresh_dir
@@ -146,6 +146,14 @@ def _(t):
     return t.spark.read.parquet(f"{store}/usage").groupBy("project").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("A15_inventory_of_files", O.base(LINES) + f""" SELECT 'usage_rows' AS item, '' AS key, CAST(count(*) AS VARCHAR) AS value FROM ({KEPT}) UNION ALL
+SELECT 'files_by_provider', 'claude-code', CAST(count(DISTINCT user_id % 4) + count(DISTINCT CASE WHEN user_id % 4 < 2 THEN user_id % 4 END) AS VARCHAR) FROM lines""")
+def _(t):
+    store, _, _, _ = _store(t)
+    usage, files = t.spark.read.parquet(f"{store}/usage"), t.spark.read.parquet(f"{store}/manifest")
+    return reports.inventory(usage, t.prices, files).filter("item in ('usage_rows', 'files_by_provider')")
+
+
 # -- catalogs
 
 
