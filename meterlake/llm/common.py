@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh_dir, shared_dir  # noqa: F401
+
 #: ASCII bytes that end a word, by the contract's pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ over lower-cased text.
 WORD_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32
@@ -29,24 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, else one in the warehouse.
-
-    Where driver and executors are one process and no folder is set, as in tests, a temporary one will do."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.startswith("local["):
-            found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -61,6 +48,15 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of a narrow table up to which it is sent to every executor rather than the texts to it.
+FEW_ROWS = 200_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written, narrow table, with a hint to broadcast it if it has few rows; a larger one is joined by shuffling."""
+    return F.broadcast(table) if table.limit(FEW_ROWS + 1).count() <= FEW_ROWS else table
+
+
 def unused(name: str, taken: list[str]) -> str:
     """A column name that none of the ``taken`` ones equals in any case."""
     low = {t.lower() for t in taken}

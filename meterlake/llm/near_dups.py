@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, map_arrow, materialize, slices, unused
+from .common import discard, map_arrow, materialize, slices, small, unused
 from .hashing import K1, K2, mix, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -184,7 +184,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.cumsum([0, *map(len, sig)])
         lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(sig)))
         marks = pa.array([occupancy(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-        yield pa.record_batch([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), lists, marks], ["id", "text_hash", "n", "bands", "marks"])
+        yield pa.record_batch([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), lists, marks],
+            ["id", "text_hash", "n", "bands", "marks"])
 
 
 def _verify(threshold: float):
@@ -232,7 +233,8 @@ def components(edges: DataFrame) -> DataFrame:
         discard(large, least)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return edges.select(F.col("u").alias("node"),
+                F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
 
 
@@ -267,31 +269,41 @@ def node_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float,
     kind = rows.schema["id"].dataType.simpleString()
     signed = materialize(map_arrow(rows, _signatures, f"id {kind}, text_hash binary, n long, bands array<long>, marks array<long>"), "signatures")
     first = signed.filter("text_hash is not null").groupBy("text_hash").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value(F.struct("n", "bands", "marks")).alias("s")
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("id"), F.count(F.lit(1)).alias("copies"),
+        F.any_value(F.struct("n", "bands", "marks")).alias("s")
     )
     nodes = materialize(first.select(sortable(F.col("text_hash"), F.col("id"), kind).alias("node"), "text_hash", "id", "copies", "s.*"), "nodes")
     facts = nodes.select("node", "n", "marks")
     member = nodes.select("node", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "node", "pos")
-    buckets = member.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    # members of buckets with company; everything later works on these
-    member = materialize(member.join(buckets, "bucket").select("bucket", "node", "pos", "pivot"), "members")
+    # buckets with company are few, and numbers alone find them; everything later works on their members
+    shared = materialize(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket"), "buckets")
+    here = materialize(member.join(small(shared), "bucket"), "company")
+    pivots = here.groupBy("bucket").agg(F.min("node").alias("pivot"))
+    member = materialize(here.join(pivots, "bucket").select("bucket", "node", "pos", "pivot"), "members")
+    discard(shared, here)
 
     def reachable(pairs: DataFrame) -> DataFrame:
         """Distinct (a, b) without those whose bitmaps already rule them out."""
-        one, two = facts.select(F.struct("node", "n", "marks").alias("x"), F.col("node").alias("a")), facts.select(F.struct("node", "n", "marks").alias("y"), F.col("node").alias("b"))
+        one, two = facts.select(F.struct("node", "n", "marks").alias("x"),
+            F.col("node").alias("a")), facts.select(F.struct("node", "n", "marks").alias("y"), F.col("node").alias("b"))
         return pairs.join(one, "a").join(two, "b").filter(within_reach("x", "y", threshold)).select("a", "b")
 
     pairs = materialize(reachable(member.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
-    wanted = member.select("node").distinct().join(nodes.select("node", F.col("text_hash").alias("h"), F.col("id").alias("i")), "node")
-    texts = materialize(rows.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "text").dropDuplicates(["node"]), "texts")
+    wanted = materialize(member.select("node").distinct().join(nodes.select("node", F.col("text_hash").alias("h"), F.col("id").alias("i")), "node"),
+        "wanted")
+    texts = materialize(rows.join(small(wanted), (F.col("text_hash") == F.col("h")) & F.col("id").eqNullSafe(F.col("i"))).select("node",
+            "text").dropDuplicates(["node"]), "texts")
     links = _links(pairs, texts, threshold)
     labels = components(links)
     # what is left: bucket members in different components
     of = materialize(member.join(labels, "node", "left").select("bucket", "node", "pos", F.coalesce("root", "node").alias("root")), "rooted")
     sizes = of.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    most = materialize(most.select("bucket", F.col("m.root").alias("main"), ((F.col("all") - F.col("m.c")) * F.col("all") > most_pairs).alias("heavy")), "mixed")
-    mixed = of.join(most, "bucket").join(nodes.select("node", F.struct("node", "n", "marks", "bands").alias("y")), "node").select("bucket", "pos", "root", "main", "heavy", "y")
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"),
+        F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    most = materialize(most.select("bucket", F.col("m.root").alias("main"),
+            ((F.col("all") - F.col("m.c")) * F.col("all") > most_pairs).alias("heavy")), "mixed")
+    mixed = of.join(most, "bucket").join(nodes.select("node", F.struct("node", "n", "marks", "bands").alias("y")), "node").select("bucket", "pos",
+        "root", "main", "heavy", "y")
     light = mixed.filter("not heavy")
     few = light.filter("root != main").select("bucket", F.col("root").alias("rx"), F.col("y").alias("x"))
     # a pair counts in the first bucket it shares only
@@ -311,7 +323,8 @@ def node_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float,
         more = _links(across, texts, threshold)
         if not more.isEmpty():
             labels = components(links.unionByName(more))
-    classes = nodes.select("node", "text_hash", "copies").join(labels, "node", "left").select("text_hash", "copies", "node", F.coalesce("root", "node").alias("root"))
+    classes = nodes.select("node", "text_hash", "copies").join(labels, "node", "left").select("text_hash", "copies", "node",
+        F.coalesce("root", "node").alias("root"))
     return signed.select("id", "text_hash"), materialize(classes, "classes")
 
 
@@ -321,7 +334,8 @@ def by_prefix(own: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     Two texts that reach the threshold share one of the longer text's n - ceil(t n) + 1 rarest shingles that is also among
     the shorter one's n - ceil(2 t / (1 + t) n) + 1 rarest.
     """
-    here = materialize(map_arrow(texts.join(own, "node", "left_semi").select("node", "text"), _prefix_shingles, "node binary, shingle long"), "shingles")
+    here = materialize(map_arrow(texts.join(own, "node", "left_semi").select("node", "text"), _prefix_shingles, "node binary, shingle long"),
+        "shingles")
     counts = here.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     by_rarity = Window.partitionBy("node").orderBy("df", "shingle")
     n = F.count(F.lit(1)).over(Window.partitionBy("node"))
@@ -330,14 +344,16 @@ def by_prefix(own: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     ranked = ranked.filter(F.col("place") <= rest(threshold)).withColumn("short", F.col("place") <= rest(2 * threshold / (1 + threshold)))
     ranked = materialize(ranked.join(own, "node").select("node", "root", "few", "shingle", "n", "short"), "prefixes")
     longer = ranked.select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("few").alias("fx"))
-    shorter = ranked.filter("short").select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("few").alias("fy"))
+    shorter = ranked.filter("short").select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"),
+        F.col("few").alias("fy"))
     order = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
     meets = order & (F.col("rx") != F.col("ry")) & (F.col("ny") >= F.col("nx") * threshold - 1e-9)
     found = [longer.filter("fx").join(shorter, "shingle").filter(meets), longer.filter("not fx").join(shorter.filter("fy"), "shingle").filter(meets)]
     return found[0].unionByName(found[1]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most_pairs: int = PAIRS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+    most_pairs: int = PAIRS) -> DataFrame:
     """One row per document: its id and class_id, the least id of its group."""
     rows, classes = node_classes(docs, id_col, text_col, threshold, most_pairs)
     kind = rows.schema["id"].dataType.simpleString()
@@ -356,9 +372,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     mark, own, best = (unused(c, docs.columns) for c in ("_text", "_own", "_best"))
     marked = docs.withColumn(mark, text_hash(text_col))
     # texts of which some row goes: all rows of those that are not their class, all but one of the others
-    some = materialize(classes.filter("copies > 1 or node != root").select(F.col("text_hash").alias(own), F.when(F.col("node") == F.col("root"), F.struct(id_of(F.col("root"), kind).alias("id"))).alias(best)), "some-go")
+    some = materialize(classes.filter("copies > 1 or node != root").select(F.col("text_hash").alias(own),
+            F.when(F.col("node") == F.col("root"), F.struct(id_of(F.col("root"), kind).alias("id"))).alias(best)), "some-go")
     here = F.col(mark) == F.col(own)
     texts = marked.filter(F.col(mark).isNotNull())
-    whole = texts.join(some, here, "left_anti")
-    one = texts.join(some.filter(F.col(best).isNotNull()), here & F.col(id_col).eqNullSafe(F.col(best)["id"])).select(*marked.columns).dropDuplicates([mark])
+    whole = texts.join(small(some), here, "left_anti")
+    one = texts.join(small(some.filter(F.col(best).isNotNull())),
+        here & F.col(id_col).eqNullSafe(F.col(best)["id"])).select(*marked.columns).dropDuplicates([mark])
     return whole.unionByName(one).unionByName(marked.filter(F.col(mark).isNull())).drop(mark)
