@@ -300,8 +300,7 @@ def slow_lm(rows, monkey):
             total.update(c for c, _, _, _ in own)
     best = {}
     for (c, b), n in count.items():
-        signed = b - (1 << 64) if b >> 63 else b
-        best[c] = max(best.get(c, (0, 0, 0)), (n, signed, b))
+        best[c] = max(best.get(c, (0, 0, 0)), (n, b >> 42, b))
     out = []
     for (w, tokens), own, train in zip(texts, cuts, trains, strict=True):
         here, ctx = Counter((c, b) for c, b, _, _ in own), Counter(c for c, _, _, _ in own)
