@@ -82,7 +82,7 @@ def changed(files: DataFrame, manifest: DataFrame, provider: str) -> DataFrame:
         F.col("consumed").alias("_consumed"))
     rows = files.join(known, "path", "left")
     same = (F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime")) & (F.col("_consumed") >= F.col("size"))
-    offset = F.when((F.col("size") > F.col("_consumed")), F.col("_consumed")).otherwise(0)
+    offset = F.when((F.col("size") >= F.col("_size")) & (F.col("size") > F.col("_consumed")), F.col("_consumed")).otherwise(0)
     return rows.filter(~F.coalesce(same, F.lit(False))).withColumn("offset", F.coalesce(offset, F.lit(0))).drop("_size", "_mtime", "_consumed")
 
 

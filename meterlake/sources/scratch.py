@@ -7,19 +7,24 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: What was chosen for an application whose session names no folder: Spark lets nobody set one in a running session.
+_chosen: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, else a folder in the warehouse.
 
     Where driver and executors are one process and no folder is set, as in tests, a temporary one will do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.startswith("local["):
-            found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+    if found:
+        return found
+    sc = spark.sparkContext
+    if sc.applicationId not in _chosen:
+        if sc.master == "local" or sc.master.startswith("local["):
+            _chosen[sc.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+            _chosen[sc.applicationId] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    return _chosen[sc.applicationId]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
