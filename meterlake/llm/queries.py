@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontamination, language_id, lm, near_dups, pieces, secrets, sharding, token_counts
+from . import ann, chat, decontamination, language_id, lm, near_dups, pieces, secrets, sharding, token_counts, whitening
 from .common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
