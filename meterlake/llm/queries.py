@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontamination, language_id, lm, near_dups, pieces, secrets, sharding, token_counts, whitening
+from . import ann, chat, decontamination, language_id, lm, near_dups, pieces, secrets, sharding, substrings, token_counts, whitening
 from .common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit(vectors))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), per_text=lambda t: t.select("k1", "k2", "n_words", "n_removed", digest))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
@@ -79,10 +84,12 @@ QUERIES: dict[str, Query] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_substring_dedup": op12_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontamination.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
+    "op12_substring_dedup": substrings.ORACLE,
 }
