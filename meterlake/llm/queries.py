@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontamination, language_id, lm, near_dups, pieces, secrets, sharding, substrings, token_counts, whitening
+from . import ann, chat, decontamination, language_id, lm, near_dups, pieces, secrets, sharding, spelling, substrings, token_counts, whitening
 from .common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"), per_text=lambda t: t.select("k1", "k2", "n_words", "n_removed", digest))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
