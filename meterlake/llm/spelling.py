@@ -21,11 +21,16 @@ columns are ignored.  Texts are read whole, and words are counted in each task b
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, map_arrow, materialize, slices
+from .hashing import K1, K2, K3, mix
 
 #: Letters of a run, shortest word, which of the runs lose a letter, occurrences of a word.
 LETTERS, SHORTEST, LOSES, LEAST = "[A-Za-zÀ-ÿ]", 7, 31, 2
@@ -51,14 +56,27 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return runs(docs, id_col, text_col).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST)
 
 
-def part_hashes(word: Column | str) -> Column:
-    """One hash for each part of a word's letters; an empty part has one too."""
-    letters = F.array_sort(F.filter(F.split(word, ""), lambda c: c != ""))
-    # equal letters lie together: which of them one is tells it from the others
-    elements = F.transform(letters, lambda c, i: F.concat(c, (i + 1 - F.array_position(letters, c)).cast("string")))
-    dealt = F.transform(elements, lambda e: F.struct(F.pmod(F.xxhash64(e), F.lit(PARTS)).alias("p"), e.alias("e")))
-    return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)),
-        lambda p: F.xxhash64(F.array_join(F.transform(F.filter(dealt, lambda x: x["p"] == p), lambda x: x["e"]), ",")))
+def _letter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) to (word, n, parts): one hash for each part of a word's letters; an empty part has one too."""
+    for b in slices(batches, 0):
+        words = b.column(0)
+        letters = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        of = np.repeat(np.arange(len(words)), pc.utf8_length(words).to_numpy())
+        # a word's letters in order: equal ones lie together, and which of them one is tells it from the others
+        own = np.sort(of.astype(np.uint64) << np.uint64(32) | letters)
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(own)))
+        before = np.arange(len(own)) - np.repeat(first, size)
+        element = mix((own & np.uint64(0xFFFFFFFF)) * K1 + before.astype(np.uint64) * K2 + K3)
+        # sums do not depend on the order of what is summed
+        parts = np.zeros(len(words) * PARTS, np.uint64)
+        np.add.at(parts, (own >> np.uint64(32)).astype(np.int64) * PARTS + (element % np.uint64(PARTS)).astype(np.int64), mix(element + K2))
+        offsets = pa.array(np.arange(len(words) + 1, dtype=np.int32) * PARTS)
+        yield pa.record_batch([words, b.column(1), pa.ListArray.from_arrays(offsets, pa.array(parts.view(np.int64)))], ["word", "n", "parts"])
+
+
+def letter_parts(words: DataFrame) -> DataFrame:
+    return map_arrow(words.select("word", "n"), _letter_parts, "word string, n long, parts array<long>")
 
 
 def signatures(parts: str) -> Column:
@@ -83,7 +101,7 @@ def _met(rows: DataFrame, key: str) -> DataFrame:
 
 def near_words(words: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, n_a, b, n_b): each pair of words one edit apart once, from (word, n); the smaller word first."""
-    parts = materialize(words.select("word", "n", part_hashes("word").alias("parts")), "letters")
+    parts = materialize(letter_parts(words), "letters")
     signed = parts.select("word", "n", F.explode(signatures("parts")).alias("signature"))
     crowded = materialize(signed.groupBy("signature").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > crowd).select("signature"), "crowded")
     few = signed.join(crowded, "signature", "left_anti")

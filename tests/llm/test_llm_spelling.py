@@ -6,7 +6,6 @@ import zlib
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from meterlake.llm import queries, spelling
 
@@ -92,6 +91,6 @@ def test_signatures_meet(spark):
         w = "".join(rng.choice("abcdeßé") for _ in range(rng.randint(7, 12)))
         i, c = rng.randrange(len(w)), rng.choice("abcdeßé")
         pairs.append((w, rng.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i + 1 :], w[:i] + c + w[i:]])))
-    df = spark.createDataFrame(pairs, "a string, b string").select(spelling.part_hashes("a").alias("pa"), spelling.part_hashes("b").alias("pb"))
-    met = df.select(F.arrays_overlap(spelling.signatures("pa"), spelling.signatures("pb")).alias("met"), F.size("pa").alias("n"))
-    assert all(r["met"] and r["n"] == 6 for r in met.collect())
+    words = spark.createDataFrame([(w, 2) for p in pairs for w in p], "word string, n long").distinct()
+    signed = {r["word"]: set(r["s"]) for r in spelling.letter_parts(words).select("word", spelling.signatures("parts").alias("s")).collect()}
+    assert all(signed[a] & signed[b] for a, b in pairs) and {len(s) for s in signed.values()} == {15}
