@@ -425,3 +425,43 @@ def test_slot_map_edits_move_slots_only_where_needed(spark, tmp_path):
     grown.save(spark, str(tmp_path / "map"))
     assert sharding.SlotMap.load(spark, str(tmp_path / "map")).shard_of == grown.shard_of
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1).shard_of == one.shard_of
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, many = ({r["doc_id"]: (r["score"], r["base_score"]) for r in lm.score(d).collect()} for d in (df.coalesce(1), df.repartition(8)))
+    assert len(one) == 1000
+    assert all(abs(a - b) <= 1e-9 * abs(a) for d in one for a, b in zip(one[d], many[d], strict=True))
+
+
+def test_lm_counts_are_whole(spark):
+    rows = [(i, f"the cat {i}") for i in range(50)] + [(100, " ".join(["dog"] * 40_000)), (101, "dog")]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), head=1).collect()}
+    trains = [t.split() + ["\n"] for d, t in rows if zlib.crc32(str(d).encode()) % 10]
+    count = Counter(w for t in trains for w in t)
+    n, v = sum(count.values()), len(count)
+    for d, t in rows:
+        words = t.split() + ["\n"]
+        assert got[d]["n_known"] == sum(count[w] > 0 for w in words)
+        assert abs(got[d]["base_score"] - sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)) < 1e-6 * len(words)
+
+
+def test_lm_beginnings_are_shared():
+    """Sums over shared bytes are those over each word's own."""
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 9))).encode() for _ in range(200)} | {b"a" * 100, b"a" * 101, lm.END})
+    for tokens in (words, words + words[:5], list(reversed(words)), []):
+        edges = lm.Edges.of(tokens)
+        _, starts = lm.closed(tokens)
+        ctx = lm.contexts(edges.data, edges.starts)[3]
+        value = (ctx[edges.own] % np.uint64(1000)).astype(float) + edges.data[edges.own]
+        every = (ctx % np.uint64(1000)).astype(float) + edges.data
+        assert np.allclose(edges.totals(value), [every[a:z].sum() for a, z in zip(starts, starts[1:], strict=False)])
+        weight = np.arange(1.0, len(tokens) + 1)
+        whole, shared = Counter(), Counter()
+        for i, t in enumerate(tokens):
+            for k, b in enumerate(t if t == lm.END else t + b" "):
+                whole[ctx[starts[i] + k], b] += weight[i]
+        for place, w in zip(edges.own, edges.sums(weight), strict=True):
+            shared[ctx[place], edges.data[place]] += w
+        assert whole == shared
