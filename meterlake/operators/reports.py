@@ -6,10 +6,11 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.columns import bucket, clamp, group_label, local, log_intensity, project_label, report_day, usd
 from ..schemas import PRICE_KEY, TOKEN_COLUMNS, USAGE_KEY
+from ..sources.scratch import fresh_dir
 
 SUMS = [*TOKEN_COLUMNS, "total_tokens"]
 #: Calendar step of each period that has gaps filled.
@@ -196,7 +197,13 @@ def tail(report: DataFrame, n: int, order: str = "period") -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """``rows`` with their ``place`` in order from 1: ranges are sorted and counted apart, so that no task has all rows."""
-    kinds = T.StructType([*rows.schema.fields, T.StructField("place", T.LongType(), False)])
-    placed = rows.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return rows.sparkSession.createDataFrame(placed, kinds)
+    """``rows`` with their ``place`` in order from 1: ranges are sorted, written with each row's place in its range, and
+    ranges' counts added up, so that no task has all rows.  Ranges are drawn by sample, so they are cut once and kept."""
+    spark, path = rows.sparkSession, fresh_dir(rows.sparkSession, "numbered")
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows.orderBy(*order).select("*", F.spark_partition_id().alias("_range"), inside.alias("_at")).write.parquet(path)
+    kept = spark.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range
+    first = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return kept.join(F.broadcast(first), "_range").select(*rows.columns, (F.col("_first") + F.col("_at") + 1).alias("place"))

@@ -125,7 +125,47 @@ SELECT run, 'claude-code' AS provider, CAST(count(DISTINCT user_id % 4) AS BIGIN
 UNION ALL SELECT 1, 'codex', 0, 0, 0, 0, 0""")
 def _(t):
     _, _, first, second = _store(t)
-    return first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2))).drop("last_record_at")
+    return first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2))).drop("last_record_at", "last_ingested_at", "status",
+        "findings")
+
+
+@query("S13_report_details", O.base(LINES) + """, halves AS (SELECT 1 AS run, * FROM states WHERE user_id % 4 < 2 UNION ALL SELECT 2, * FROM states)
+SELECT run, 'claude-code' AS provider, 'partial' AS status,
+  strftime(max(ts) FILTER (state = 'kept' AND copy = 1 AND (run = 1 OR user_id % 4 >= 2)), '%Y-%m-%d %H:%M:%S') AS last_record_at, true AS ingested,
+  CAST(count(DISTINCT user_id % 4) FILTER (state = 'bad') AS BIGINT) AS files_with_findings, count(*) FILTER (state = 'bad') AS bad_lines FROM halves GROUP BY run
+UNION ALL SELECT 1, 'codex', 'missing', NULL, false, 0, 0""")
+def _(t):
+    _, _, first, second = _store(t)
+    bad = F.aggregate("findings", F.lit(0).cast("long"), lambda n, f: n + f["bad_lines"])
+    return first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2))).select(
+        "run", "provider", "status", audit.text_of(F.col("last_record_at")).alias("last_record_at"), F.col("last_ingested_at").isNotNull().alias("ingested"),
+        F.size("findings").cast("long").alias("files_with_findings"), bad.alias("bad_lines"))
+
+
+@query("S9_changed_files", """WITH f AS (SELECT event_id AS i, 100 + event_id % 5 * 10 AS size, 100 + event_id % 3 * 10 AS was, 100 + event_id % 3 * 10 - event_id % 4 * 10 AS consumed,
+  event_id % 7 > 0 AS known, event_id % 2 = 0 AS touched FROM events)
+SELECT i, CAST(CASE WHEN known AND size >= was AND size > consumed THEN consumed ELSE 0 END AS BIGINT) AS start FROM f
+WHERE NOT (known AND size = was AND NOT touched AND consumed >= size)""")
+def _(t):
+    i = F.col("event_id")
+    at = F.col("ts").cast("timestamp")
+    rows = bridge.events(t.spark, t.sf_dir).select(F.concat(F.lit("/logs/"), i).alias("path"), i, (100 + i % 5 * 10).cast("long").alias("size"), at.alias("mtime"))
+    before = F.when(i % 2 == 0, at - F.expr("interval 1 hour")).otherwise(at)
+    known = bridge.events(t.spark, t.sf_dir).filter(i % 7 > 0).select(
+        F.lit("codex").alias("provider"), F.concat(F.lit("/logs/"), i).alias("path"), (100 + i % 3 * 10).cast("long").alias("size"), before.alias("mtime"),
+        (100 + i % 3 * 10 - i % 4 * 10).cast("long").alias("consumed"), at.alias("ingested_at"))
+    return logs.changed(rows, known, "codex").select(F.col("event_id").alias("i"), F.col("offset").cast("long").alias("start"))
+
+
+@query("S11_invalid_records", O.base(O.USAGE) + """ SELECT problem, count(*) AS n FROM (SELECT CASE WHEN CAST(split_part(request_id, '-', 2) AS BIGINT) % 11 = 0 THEN 'blank id, model or file'
+  WHEN CAST(split_part(request_id, '-', 2) AS BIGINT) % 13 = 0 OR CAST(split_part(request_id, '-', 2) AS BIGINT) % 17 = 0 THEN 'token count out of range' END AS problem FROM usage)
+WHERE problem IS NOT NULL GROUP BY 1""")
+def _(t):
+    i, most = F.substring_index("request_id", "-", -1).cast("long"), F.lit(2**63 - 1)
+    rows = t.usage.withColumns({"model_id": F.when(i % 11 == 0, " ").otherwise(F.col("model_id")), "source_file": F.lit("f"),
+            "input_tokens": F.when(i % 13 == 0, -1).when(i % 17 == 0, most).otherwise(F.col("input_tokens")),
+            "output_tokens": F.when(i % 17 == 0, most).otherwise(F.col("output_tokens"))})
+    return logs.invalid_records(rows).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S11_S12_S15_stored_usage",
@@ -133,7 +173,7 @@ def _(t):
 def _(t):
     store, whole, _, _ = _store(t)
     logs.ingest(t.spark, {"claude-code": whole}, store, glob=GLOB)  # nothing is read again
-    return t.spark.read.parquet(f"{store}/usage").groupBy("provider",
+    return logs.stored_usage(t.spark, store).groupBy("provider",
         F.col("usage_date").cast("string").alias("usage_date")).agg(F.count(F.lit(1)).alias("n"), F.sum("output_tokens").alias("output_tokens"))
 
 
@@ -143,14 +183,14 @@ def _(t):
     store, _, _, _ = _store(t)
     left = _write_lines(_claude_lines(t).filter("user_id % 4 = 3 and ts < timestamp_ntz'2024-01-15 00:00:00'"), "claude-logs", "event_id", "copy")
     logs.ingest(t.spark, {"claude-code": left}, store, rebuild=True, glob=GLOB)
-    return t.spark.read.parquet(f"{store}/usage").groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+    return logs.stored_usage(t.spark, store).groupBy("project").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("A15_inventory_of_files", O.base(LINES) + f""" SELECT 'usage_rows' AS item, '' AS key, CAST(count(*) AS VARCHAR) AS value FROM ({KEPT}) UNION ALL
 SELECT 'files_by_provider', 'claude-code', CAST(count(DISTINCT user_id % 4) + count(DISTINCT CASE WHEN user_id % 4 < 2 THEN user_id % 4 END) AS VARCHAR) FROM lines""")
 def _(t):
     store, _, _, _ = _store(t)
-    usage, files = t.spark.read.parquet(f"{store}/usage"), t.spark.read.parquet(f"{store}/manifest")
+    usage, files = logs.stored_usage(t.spark, store), logs.stored_manifest(t.spark, store)
     return reports.inventory(usage, t.prices, files).filter("item in ('usage_rows', 'files_by_provider')")
 
 

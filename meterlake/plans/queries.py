@@ -920,6 +920,14 @@ def _(t):
     return logs.carried(rows, ["user_id"], ["ts", "event_id"], {"seen": "carried"}).select("event_id", "carried")
 
 
+@query("W4_carry_forward_in_chunks",
+    """SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY event_id % 2 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events""")
+def _(t):
+    # two keys hold all rows; a task has a key's rows of one day
+    rows = bridge.events(t.spark, t.sf_dir).withColumns({"seen": F.when(F.col("event_type") == "signup", F.col("value")), "half": F.col("event_id") % 2})
+    return logs.carried(rows, ["half"], ["ts", "event_id"], {"seen": "carried"}, F.to_date("ts")).select("event_id", "carried")
+
+
 @query("W5_max_output_wins",
     O.base(O.USAGE) + " SELECT session_id, project, request_id, output_tokens FROM (SELECT *, row_number() OVER (PARTITION BY session_id, project ORDER BY output_tokens DESC, CAST(split_part(request_id, '-', 2) AS BIGINT)) AS r FROM usage) WHERE r = 1")
 def _(t):

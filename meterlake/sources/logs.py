@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 from ..functions.columns import RFC3339, cache_creation_total, classify_family, codex_request_id, first_present, is_subagent, processing_mode, project_from_cwd, project_from_dir, session_from_path, total_tokens
-from ..schemas import USAGE, USAGE_COLUMNS, USAGE_KEY
+from ..schemas import TOKEN_COLUMNS, USAGE, USAGE_COLUMNS, USAGE_KEY
 
 _USAGE = (
     "struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint,"
@@ -31,7 +33,7 @@ class InvalidRecord(ValueError):
 def listing(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
     """Every log file below a directory: path, size, mtime; nothing of its content is read.  A missing directory is empty.
 
-    Where the file system shows links as the files they lead to, as Spark's local one does, they count as files.
+    Empty files are not listed.  Where the file system shows links as the files they lead to, as Spark's local one does, they count as files.
     """
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
@@ -46,27 +48,60 @@ def plain_path(path: Column | str) -> Column:
     return F.regexp_replace(path, r"^file:/*", "/")
 
 
-def read(files: DataFrame) -> DataFrame:
-    """``files`` with their content; null where a file can't be read, which does not stop the others."""
-    spark, names = files.sparkSession, [r["path"] for r in files.select("path").collect()]  # the driver has listed them anyway
-    if not names:
-        return files.withColumn("value", F.lit(None).cast("string"))
-    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+def raw_lines(spark: SparkSession, root: str | list[str], glob: str = "*.jsonl", since: dt.datetime | None = None) -> DataFrame:
+    """(path, split, seq, value): the lines of all logs, split by split, in order of ``seq`` within a split.
+
+    Spark deals out large files in splits, each of which has the lines that begin in it.  Files older than ``since`` are not opened."""
+    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("recursiveFileLookup", True)
+    text = reader.option("pathGlobFilter", glob).text(root, lineSep="\n")
+    if since is not None:
+        text = text.filter(F.col("_metadata.file_modification_time") >= F.lit(since))
+    return text.select(plain_path(F.url_decode("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("seq"), "value")
+
+
+def read(files: DataFrame, root: str | None = None, glob: str = "*") -> DataFrame:
+    """``files`` with their lines: split, value, pos, start (in bytes), ended (by a line feed); one row with a null value for
+    a file that can't be read, which does not stop the others.
+
+    A line's offset is what earlier splits of its file hold, a running sum over a row per split, and what earlier lines of
+    its split do.  No task holds more than a split, and the paths to read stay in a table.  What a file has gained since
+    it was listed waits.  Without a ``root`` the folders of the files are read.
+    """
+    spark = files.sparkSession
+    least = files.agg(F.min("mtime")).first()[0]
+    where = root or sorted(r[0] for r in files.select(F.regexp_extract("path", "^(.*)/", 1)).distinct().collect())
+    kinds = "path string, split long, seq long, value string"
     try:
-        text = reader.text(names, wholetext=True)
+        raw = raw_lines(spark, where, glob, least) if least else spark.createDataFrame([], kinds)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        # one went since it was listed: read by folder, and keep what was asked for
-        folders = sorted({n.rsplit("/", 1)[0] for n in names})
-        text = reader.option("recursiveFileLookup", True).text(folders, wholetext=True)
-    found = text.select(plain_path(F.url_decode("_metadata.file_path")).alias("path"), "value")
-    return files.join(found, "path", "left")
+        raw = spark.createDataFrame([], kinds)
+    whole, before = Window.partitionBy("path"), Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    zero, size = F.lit(0).cast("long"), F.octet_length("value") + 1
+    sums = raw.groupBy("path", "split").agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_bytes"))
+    sums = sums.select("path", "split", F.sum("_bytes").over(whole).alias("_total"), F.coalesce(F.sum("_n").over(before), zero).alias("_lines"),
+        F.coalesce(F.sum("_bytes").over(before), zero).alias("_start"))
+    # readers drop a mark of three bytes at a file's start
+    mark = F.when(F.col("size") - F.col("_total") >= 2, 3).otherwise(0)
+    placed = files.join(sums, "path", "left").withColumn("_start", F.col("_start") + mark)
+    there = F.coalesce(F.col("_total") + 3 >= F.col("size"), F.lit(False))
+    inside = Window.partitionBy("path", "split").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = raw.join(placed.filter(there), ["path", "split"])
+    pos = F.col("_lines") + F.coalesce(F.count(F.lit(1)).over(inside), zero)
+    start = F.col("_start") + F.coalesce(F.sum(size).over(inside), zero)
+    out = [*files.columns, "split", "value", "pos", "start", "ended"]
+    found = rows.withColumns({"pos": pos, "start": start}).withColumn("ended", F.col("start") + size <= F.col("size")).filter("start < size").select(*out)
+    # one row for each file without lines
+    rest = placed.filter(~there).select(*files.columns).distinct()
+    return found.unionByName(rest.select(*files.columns, zero.alias("split"), F.lit(None).cast("string").alias("value"), zero.alias("pos"), zero.alias("start"),
+        F.lit(False).alias("ended")))
 
 
 def discover(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
-    """Every log file below a directory with its content: path, size, mtime, value."""
-    return read(listing(spark, root, glob))
+    """Every log file below a directory with its lines, as ``read`` gives them."""
+    return read(listing(spark, root, glob), root, glob)
 
 
 def file_columns(files: DataFrame) -> DataFrame:
@@ -87,18 +122,36 @@ def changed(files: DataFrame, manifest: DataFrame, provider: str) -> DataFrame:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """One row per line with its position, byte offset, and whether a line feed ends it."""
-    split = F.split("value", "\n", -1)
-    rows = files.withColumn("_n", F.size(split)).select(*(c for c in files.columns if c != "value"), "_n", F.posexplode(split).alias("pos", "line"))
-    before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0).cast("long"))
-    return rows.withColumn("start", start).withColumn("ended", F.col("pos") < F.col("_n") - 1).drop("_n").filter(F.trim("line") != "")
+    """What ``read`` found, one row per line that is not blank."""
+    return files.withColumnRenamed("value", "line").filter(F.trim("line") != "")
+
 
+def carried(rows: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], chunk: Column | None = None) -> DataFrame:
+    """``rows`` with the last value of some columns that was set so far, by key in order, under new names.
 
-def carried(rows: DataFrame, keys: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
-    """``rows`` with the last value of some columns that was set so far, by key in order, under new names."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({new: F.last(c, ignorenulls=True).over(w) for c, new in columns.items()})
+    With ``chunk``, which must not fall in order, a key's rows are scanned chunk by chunk: the last value set in each chunk, a
+    running last one over a row per chunk, and what is set inside each.  No task then holds more of a key than a chunk.
+    """
+    if chunk is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({new: F.last(c, ignorenulls=True).over(w) for c, new in columns.items()})
+    rows = rows.withColumn("_chunk", chunk)
+    at = F.struct(*order)
+    last = rows.groupBy(*keys, "_chunk").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_last_{c}") for c in columns))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    told = last.select(*keys, "_chunk", *(F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_last_{c}") for c in columns))
+    meets = F.col("r._chunk").eqNullSafe(F.col("t._chunk"))
+    for k in keys:
+        meets = meets & F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
+    both = rows.alias("r").join(told.alias("t"), meets).select("r.*", *(f"t._last_{c}" for c in columns))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumns({new: F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"_last_{c}")) for c, new in columns.items()}).drop("_chunk",
+        *(f"_last_{c}" for c in columns))
+
+
+def resumed(rows: DataFrame) -> DataFrame:
+    """Lines from each file's offset on."""
+    return rows.filter(F.col("start") >= F.col("offset")) if "offset" in rows.columns else rows
 
 
 def _types(obj: Column) -> Column:
@@ -113,7 +166,7 @@ def _count(v: Column, path: str) -> Column:
 
 def parse_claude(files: DataFrame) -> DataFrame:
     """Lines of the first provider, each ``kept``, ``skipped``, ``bad`` or a ``tail`` still being written."""
-    rows = lines(file_columns(files))
+    rows = resumed(lines(file_columns(files)))
     v = F.try_parse_json("line")
     rows = rows.withColumn("j", F.from_json("line", CLAUDE, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})).withColumn("v", v)
     u = "$.message.usage"
@@ -183,7 +236,8 @@ def parse_codex(files: DataFrame) -> DataFrame:
         "_model": sets("$.payload.model", "turn_context"),
         "_mode": sets("$.payload.processing_mode", "session_meta", "turn_context"),
     })
-    rows = carried(rows, ["path"], ["pos"], {"_session": "s_session", "_cwd": "s_cwd", "_model": "s_model", "_mode": "s_mode"})
+    # what was said before the offset still holds after it
+    rows = resumed(carried(rows, ["path"], ["pos"], {"_session": "s_session", "_cwd": "s_cwd", "_model": "s_model", "_mode": "s_mode"}, F.col("split")))
     places = ("$.payload.info.last_token_usage", "$.payload.response.usage", "$.payload.usage")
     at = F.coalesce(*(F.variant_get("v", p, "variant") for p in places))
     rows = rows.withColumn("u", at)
@@ -231,16 +285,22 @@ def kept_records(parsed: DataFrame, provider: str) -> DataFrame:
 
 
 def invalid_records(records: DataFrame) -> DataFrame:
-    blank = F.lit(False)
+    """Records with ``problem``: a blank id, model or file, or a token count that is null, below 0 or whose sum exceeds a long."""
+    blank, wrong, total = F.lit(False), F.lit(False), F.lit(0).cast("decimal(38,0)")
     for c in ("request_id", "model_id", "source_file"):
         blank = blank | (F.coalesce(F.trim(c), F.lit("")) == "")
-    return records.filter(blank)
+    for c in TOKEN_COLUMNS:
+        wrong = wrong | F.col(c).isNull() | (F.col(c) < 0)
+    for c in TOKEN_COLUMNS[:4]:
+        total = total + F.coalesce(c, F.lit(0)).cast("decimal(20,0)")
+    problem = F.when(blank, "blank id, model or file").when(wrong | (total > F.lit(str(2**63 - 1)).cast("decimal(38,0)")), "token count out of range")
+    return records.withColumn("problem", problem).filter("problem is not null")
 
 
 def validate(records: DataFrame) -> None:
     bad = invalid_records(records).limit(1).collect()
     if bad:
-        raise InvalidRecord(f"blank id, model or file in {bad[0]['source_file']}")
+        raise InvalidRecord(f"{bad[0]['problem']} in {bad[0]['source_file']}")
 
 
 def new_records(records: DataFrame, stored: DataFrame) -> DataFrame:
@@ -254,7 +314,7 @@ def new_records(records: DataFrame, stored: DataFrame) -> DataFrame:
 def consumed(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """Per file the bytes that are read for good: all, or up to a tail that is still being written."""
     tail = parsed.filter("state = 'tail'").groupBy("path").agg(F.min("start").alias("tail"))
-    return files.select("path", "size", "mtime").join(tail, "path", "left").select("path", "size", "mtime",
+    return files.select("path", "size", "mtime").distinct().join(tail, "path", "left").select("path", "size", "mtime",
         F.coalesce("tail", "size").alias("consumed"))
 
 
@@ -264,18 +324,34 @@ def upsert_manifest(manifest: DataFrame, fresh: DataFrame) -> DataFrame:
     return both.withColumn("_r", last).filter("_r = 1").drop("_w", "_r")
 
 
-REPORT = "provider string, discovered long, processed long, inserted long, parse_errors long, file_errors long, last_record_at timestamp"
+REPORT = (
+    "provider string, discovered long, processed long, inserted long, parse_errors long, file_errors long, last_record_at timestamp, "
+    "last_ingested_at timestamp, status string, findings array<struct<path:string,bad_lines:long>>"
+)
+#: Files with findings that a report names; ``parse_findings`` has them all.
+NAMED = 100
 
 
-def ingest_report(provider: str, discovered: DataFrame, files: DataFrame, parsed: DataFrame, inserted: DataFrame) -> DataFrame:
-    """One row: files found and read, records stored, bad lines past each file's offset, files that can't be read, latest record."""
+def ingest_report(provider: str, discovered: DataFrame, files: DataFrame, parsed: DataFrame, inserted: DataFrame,
+    ingested_at: Column | None = None) -> DataFrame:
+    """One row: files found and read, records stored, bad lines past each file's offset, files that can't be read, latest
+    record, when this provider was last ingested, the first ``NAMED`` files with findings by path, and a status: ``ok``,
+    ``partial`` (with findings), ``failed`` (no file of those to read could be), ``unchanged`` or ``missing`` (no file at all)."""
     found = discovered.agg(F.count(F.lit(1)).alias("discovered"))
-    opened = files.agg(F.count_if(F.col("value").isNotNull()).alias("processed"), F.count_if(F.col("value").isNull()).alias("file_errors"))
+    each = files.groupBy("path").agg(F.max(F.col("value").isNotNull()).alias("there"))
+    opened = each.agg(F.count_if("there").alias("processed"), F.count_if(~F.col("there")).alias("file_errors"))
     bad = parsed.agg(F.count_if((F.col("state") == "bad") & (F.col("start") >= F.col("offset"))).alias("parse_errors"))
     stored = inserted.agg(F.count(F.lit(1)).alias("inserted"), F.max("timestamp").alias("last_record_at"))
+    some = parse_findings(parsed, files).orderBy("path").limit(NAMED).agg(F.array_sort(F.collect_list(F.struct("path", "bad_lines"))).alias("findings"))
     # one-row results side by side
-    out = found.join(F.broadcast(opened)).join(F.broadcast(bad)).join(F.broadcast(stored))
-    return out.select(F.lit(provider).alias("provider"), "discovered", "processed", "inserted", "parse_errors", "file_errors", "last_record_at")
+    out = found.join(F.broadcast(opened)).join(F.broadcast(bad)).join(F.broadcast(stored)).join(F.broadcast(some))
+    c = F.col
+    status = (
+        F.when(c("discovered") == 0, "missing").when(c("processed") + c("file_errors") == 0, "unchanged").when(c("processed") == 0, "failed")
+        .when(F.size("findings") > 0, "partial").otherwise("ok")
+    )
+    return out.select(F.lit(provider).alias("provider"), "discovered", "processed", "inserted", "parse_errors", "file_errors", "last_record_at",
+        (F.lit(None).cast("timestamp") if ingested_at is None else ingested_at).alias("last_ingested_at"), status.alias("status"), "findings")
 
 
 def parse_findings(parsed: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -298,42 +374,98 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def current(spark: SparkSession, store: str) -> int:
+    """The version that readers see; 0 before the first ingest."""
+    names = _names(spark, f"{store}/versions")
+    return max((int(n) for n in names if n.isdigit()), default=0)
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+
+def publish(spark: SparkSession, store: str, version: int) -> None:
+    """Make a version the current one: its marker is written aside and moved into place, which readers see whole or not at all.
+
+    Fails where another ingest has published that version meanwhile."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    mark, aside = path(f"{store}/versions/{version}"), path(f"{store}/versions/.{version}-{uuid.uuid4().hex}")
+    files = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.create(aside).close()
+    if files.exists(mark) or not files.rename(aside, mark):
+        files.delete(aside, False)
+        raise RuntimeError(f"version {version} of {store} is there already")
+
+
+def stored_usage(spark: SparkSession, store: str) -> DataFrame:
+    return _stored(spark, store, "usage", f"{USAGE}, usage_date date")
+
+
+def stored_manifest(spark: SparkSession, store: str) -> DataFrame:
+    return _stored(spark, store, "manifest", MANIFEST)
+
+
+def _stored(spark: SparkSession, store: str, table: str, schema: str) -> DataFrame:
+    """What the current version holds: rows that came no later, and went no earlier."""
+    now = current(spark, store)
+    rows = stored_table(spark, f"{store}/{table}", f"{schema}, version int")
+    gone = stored_table(spark, f"{store}/rebuilt", "version int, provider string").filter(F.col("version") <= now)
+    last = {r["provider"]: r["v"] for r in gone.groupBy("provider").agg(F.max("version").alias("v")).collect()}  # a row a provider
+    kept = F.col("version") <= now
+    for provider, version in last.items():
+        kept = kept & ((F.col("provider") != provider) | (F.col("version") >= version))
+    return rows.filter(kept).drop("version")
+
+
 def ingest(spark: SparkSession, roots: dict[str, str], store: str, rebuild: bool = False, glob: str = "*.jsonl") -> DataFrame:
-    """Read changed logs of each provider into ``store``/usage and ``store``/manifest; returns the reports.
+    """Read changed logs of each provider into ``store``; returns the reports.
 
-    Files are listed first, and only changed ones are read.  Usage is appended before the manifest, and keys are
-    idempotent, so a lost run is repeated safely.  A rebuild reads everything: it overwrites the provider's days, drops
-    those that no log has any more, and forgets its files in the manifest; if it is lost half way, it is run again.
+    Files are listed first, and only changed ones are read, grown ones from where they were left.  Usage and manifest are written
+    into partitions of a new version, and a marker then makes both visible at once: readers (``stored_usage``, ``stored_manifest``) and later
+    runs never see a part of a run, and a run that stopped half way leaves nothing that counts.  A rebuild reads everything; its
+    version also says that what the provider had before is gone, which is then deleted.
     """
-    usage_path, manifest_path = f"{store}/usage", f"{store}/manifest"
     reports = None
     for provider, root in roots.items():
-        log = stored_table(spark, manifest_path, MANIFEST).filter(F.col("provider") == provider)
+        version = current(spark, store) + 1
+        # what a run that stopped has left under this number
+        for table in ("usage", "manifest", "rebuilt"):
+            delete(spark, f"{store}/{table}/version={version}")
+        log = upsert_manifest(stored_manifest(spark, store).limit(0), stored_manifest(spark, store)).filter(F.col("provider") == provider)
         found = listing(spark, root, glob)
-        files = read(changed(found, log.limit(0) if rebuild else upsert_manifest(log.limit(0), log), provider)).persist()
+        files = read(changed(found, log.limit(0) if rebuild else log, provider), root, glob).persist()
         parsed = PARSERS[provider](files.filter("value is not null")).persist()
         records = kept_records(parsed, provider)
         validate(records)
-        stored = stored_table(spark, usage_path, f"{USAGE}, usage_date date").filter(F.col("provider") == provider)
+        stored = stored_usage(spark, store).filter(F.col("provider") == provider)
         fresh = new_records(records, stored.limit(0) if rebuild else stored).withColumn("usage_date", F.to_date("timestamp")).persist()
+        now = spark.range(1).select(F.current_timestamp()).first()[0]
         done = consumed(parsed, files.filter("value is not null")).select(F.lit(provider).alias("provider"), "path", "size", "mtime", "consumed",
-            F.current_timestamp().alias("ingested_at")).persist()
-        report = spark.createDataFrame(ingest_report(provider, found, files, parsed, fresh).collect(), REPORT)
-        done.count()
-        gone = []
+            F.lit(now).alias("ingested_at")).persist()
+        before = log.agg(F.max("ingested_at")).first()[0]
+        last = F.when((F.col("processed") > 0), F.lit(now)).otherwise(F.lit(before).cast("timestamp"))
+        report = spark.createDataFrame(ingest_report(provider, found, files, parsed, fresh, last).collect(), REPORT)
+        fresh.write.partitionBy("provider", "usage_date").parquet(f"{store}/usage/version={version}")
+        done.write.partitionBy("provider").parquet(f"{store}/manifest/version={version}")
         if rebuild:
-            days = lambda df: {r[0] for r in df.select(F.coalesce(F.col("usage_date").cast("string"),
-                        F.lit("__HIVE_DEFAULT_PARTITION__"))).distinct().collect()}  # noqa: E731 - a row a day
-            gone = sorted(days(stored) - days(fresh))
-        # the days that are written replace the stored ones in a rebuild, and no session setting says so
-        mode = fresh.write.mode("overwrite" if rebuild else "append").option("partitionOverwriteMode", "dynamic")
-        mode.partitionBy("provider", "usage_date").parquet(usage_path)
-        for day in gone:
-            delete(spark, f"{usage_path}/provider={provider}/usage_date={day}")
+            spark.createDataFrame([(provider,)], "provider string").write.parquet(f"{store}/rebuilt/version={version}")
+        publish(spark, store, version)
         if rebuild:
-            delete(spark, f"{manifest_path}/provider={provider}")
-        done.write.mode("append").partitionBy("provider").parquet(manifest_path)
+            compact(spark, store)
         for df in (files, parsed, fresh, done):
             df.unpersist()
         reports = report if reports is None else reports.unionByName(report)
     return reports
+
+
+def compact(spark: SparkSession, store: str) -> None:
+    """Delete what the current version does not see any more: what providers had before they were rebuilt."""
+    now = current(spark, store)
+    gone = stored_table(spark, f"{store}/rebuilt", "version int, provider string").filter(F.col("version") <= now)
+    for r in gone.groupBy("provider").agg(F.max("version").alias("v")).collect():  # a row a provider
+        for table in ("usage", "manifest"):
+            for name in _names(spark, f"{store}/{table}"):
+                if name.startswith("version=") and int(name[8:]) < r["v"]:
+                    delete(spark, f"{store}/{table}/{name}/provider={r['provider']}")

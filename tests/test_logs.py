@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +148,113 @@ def test_manifest_keeps_the_latest(spark):
     old = spark.createDataFrame([("codex", "/a", 1, t(1), 1, t(1)), ("codex", "/b", 1, t(1), 1, t(1))], logs.MANIFEST)
     new = spark.createDataFrame([("codex", "/a", 9, t(2), 9, t(2))], logs.MANIFEST)
     assert sorted((r["path"], r["size"]) for r in logs.upsert_manifest(old, new).collect()) == [("/a", 9), ("/b", 1)]
+
+
+def ingested(spark, root, store, **more):
+    got = logs.ingest(spark, {"claude-code": str(root)}, store, **more).first()
+    rows = sorted(r["request_id"] for r in logs.stored_usage(spark, store).collect())
+    return (got["processed"], got["inserted"], got["parse_errors"], got["status"]), "".join(rows)
+
+
+def test_files_that_grow_shrink_are_touched_or_lose_their_tail(spark, tmp_path):
+    root, store = tmp_path / "logs", str(tmp_path / "store")
+    file = root / "projects" / "demo" / "a.jsonl"
+    write(file, [claude("a"), "{bad", claude("b")], tail='\n{"type": "assis')
+    assert ingested(spark, root, store) == ((1, 2, 1, "partial"), "ab")
+    # grown: only what follows is read, and the line that was half written is whole now
+    write(file, [claude("a"), "{bad", claude("b"), claude("c"), claude("d")])
+    assert ingested(spark, root, store) == ((1, 2, 0, "ok"), "abcd")
+    assert ingested(spark, root, store) == ((0, 0, 0, "unchanged"), "abcd")
+    # touched: all is read, all of it is known
+    os.utime(file, (file.stat().st_atime, file.stat().st_mtime + 10))
+    assert ingested(spark, root, store) == ((1, 0, 1, "partial"), "abcd")
+    # shrunk, but longer than a part of it that was consumed before: all is read
+    write(file, [claude("e"), "{bad", claude("f")])
+    assert ingested(spark, root, store) == ((1, 2, 1, "partial"), "abcdef")
+    # its tail is lost within a line
+    text = file.read_text()
+    file.write_text(text[:-20])
+    assert ingested(spark, root, store) == ((1, 0, 1, "partial"), "abcdef")
+    file.write_text(text)
+    assert ingested(spark, root, store) == ((1, 0, 0, "ok"), "abcdef")
+    file.unlink()
+    assert ingested(spark, root, store) == ((0, 0, 0, "missing"), "abcdef")
+
+
+def test_state_is_carried_over_the_offset(spark, tmp_path):
+    root, store = tmp_path / "logs", str(tmp_path / "store")
+    write(root / "a.jsonl", codex_rows()[:4])
+    assert logs.ingest(spark, {"codex": str(root)}, store).first()["inserted"] == 1
+    write(root / "a.jsonl", codex_rows())
+    got = logs.ingest(spark, {"codex": str(root)}, store).first()
+    assert (got["inserted"], got["parse_errors"]) == (1, 1)
+    assert {r["model_id"] for r in logs.stored_usage(spark, store).collect()} == {"gpt-9"}
+
+
+@pytest.mark.parametrize("split", ["128m", "3000b"])
+def test_splits_of_one_file(spark, tmp_path, split):
+    """Offsets, positions and carried state do not depend on how a file is dealt."""
+    rows = [("é" * (i % 9) + f"x{i}" if i % 5 else "") for i in range(9_000)]
+    write(tmp_path / "lines" / "a.jsonl", rows, tail="\ntail")
+    (tmp_path / "lines" / "empty.jsonl").write_text("")
+    (tmp_path / "lines" / "blank.jsonl").write_text("\n\n")
+    write(tmp_path / "codex" / "a.jsonl", codex_rows()[:3] + codex_rows()[3:4] * 300)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set(keys[0], split)
+        spark.conf.set(keys[1], "0")
+        files = logs.discover(spark, str(tmp_path / "lines"))
+        got = sorted((r["pos"], r["start"], r["line"], r["ended"], r["split"]) for r in logs.lines(files).collect())
+        assert (len({r[4] for r in got}) > 20) == (split == "3000b")
+        start, want = 0, []
+        for i, line in enumerate([*rows, "tail"]):
+            if line:
+                want.append((i, start, line, line != "tail"))
+            start += len(line.encode()) + 1
+        assert [r[:4] for r in got] == want
+        assert logs.consumed(logs.parse_claude(files), files).count() == 2  # an empty file is not listed
+        parsed = logs.parse_codex(logs.discover(spark, str(tmp_path / "codex")))
+        assert [r["state"] for r in parsed.orderBy("pos").collect()] == ["skipped"] * 3 + ["kept"] * 300
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_an_ingest_that_stops_half_way_counts_for_nothing(spark, tmp_path, monkeypatch):
+    root, store = tmp_path / "logs", str(tmp_path / "store")
+    write(root / "a.jsonl", [claude("a")])
+    assert ingested(spark, root, store)[1] == "a"
+    seen = lambda: ("".join(sorted(r["request_id"] for r in logs.stored_usage(spark, store).collect())), logs.stored_manifest(spark, store).count())
+    for rebuild in (False, True):
+        before = seen()
+        write(root / "a.jsonl", [claude("a"), claude("b" if not rebuild else "c")])
+        whole = logs.publish
+
+        def stop(*_):
+            raise RuntimeError("stopped")
+
+        monkeypatch.setattr(logs, "publish", stop)  # usage, manifest and mark of the rebuild are written by then
+        with pytest.raises(RuntimeError, match="stopped"):
+            logs.ingest(spark, {"claude-code": str(root)}, store, rebuild=rebuild)
+        monkeypatch.setattr(logs, "publish", whole)
+        assert seen() == before
+        assert ingested(spark, root, store, rebuild=rebuild)[1] == ("ac" if rebuild else "ab")
+    with pytest.raises(RuntimeError, match="there already"):
+        logs.publish(spark, store, logs.current(spark, store))
+
+
+def test_records_out_of_range(spark, tmp_path):
+    write(tmp_path / "a.jsonl", [claude("ok"), claude("big", out=2**63 - 1), claude("fits", out=2**63 - 6)])
+    records = logs.kept_records(logs.parse_claude(logs.discover(spark, str(tmp_path))).withColumn("total_tokens", F.lit(0)), "claude-code")
+    assert [r["request_id"] for r in logs.invalid_records(records).collect()] == ["big"]
+
+
+@pytest.mark.parametrize("keys", [["k"], ["k", "g"]])
+def test_carried_in_chunks(spark, keys):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([0, None]), i, rng.choice([None, None, f"v{i}"]), rng.choice([None, i])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, g int, i long, v string, w long").repartition(5)
+    whole = logs.carried(df, keys, ["i"], {"v": "x", "w": "y"}).orderBy("i").collect()
+    for size in (1, 7, 600):
+        assert logs.carried(df, keys, ["i"], {"v": "x", "w": "y"}, F.floor(F.col("i") / size)).orderBy("i").collect() == whole
