@@ -42,6 +42,35 @@ def price_join(rows: DataFrame, prices: DataFrame, how: str = "left") -> DataFra
         F.col("p.effective_from").alias("price_from"))
 
 
+def time_bucket(at: Column, days: int) -> Column:
+    return F.floor(F.unix_seconds(at) / (days * 86_400))
+
+
+def price_join_in_time(rows: DataFrame, prices: DataFrame, how: str = "left", days: int = 7, in_time: bool = True) -> DataFrame:
+    """``price_join`` for long price histories: intervals are cut at the edges of buckets of ``days`` days, and a row meets only
+    the prices of its key and bucket.
+
+    Buckets are part of the hash key, so a busy model's rows are spread over as many of them as they span, and nothing needs to be
+    broadcast.  A price has a row for each bucket that it reaches within the span of ``rows``: buckets about as long as the usual price
+    lasts keep both sides small.  Without ``in_time`` the times themselves are not compared, which shows what buckets alone
+    let through.
+    """
+    lo, hi = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    picked = prices.select(*PRICE_KEY, "currency", "rate_per_1m_tokens", "effective_from", "effective_to", "source")
+    if lo is None:
+        return price_join(rows, picked, how)
+    lo, hi = (F.lit(x).cast("timestamp") for x in (lo, hi))
+    reached = picked.filter((F.col("effective_from") <= hi) & (F.col("effective_to").isNull() | ((F.col("effective_to") > lo) & (F.col("effective_to") > F.col("effective_from")))))
+    last = F.least(F.coalesce(F.col("effective_to") - F.expr("interval 1 microsecond"), hi), hi)
+    cut = reached.withColumn("_bucket", F.explode(F.sequence(time_bucket(F.greatest("effective_from", lo), days), time_bucket(last, days))))
+    meets = same_key("c", "p") & (F.col("c._bucket") == F.col("p._bucket"))
+    if in_time:
+        meets = meets & in_force("c", "p")
+    joined = rows.withColumn("_bucket", time_bucket(F.col("timestamp"), days)).alias("c").join(cut.alias("p"), meets, how)
+    return joined.select(*(F.col(f"c.{c}") for c in rows.columns), F.col("p.rate_per_1m_tokens").alias("rate"), F.col("p.source").alias("price_source"),
+        F.col("p.effective_from").alias("price_from"))
+
+
 def component_costs(components: DataFrame, prices: DataFrame) -> DataFrame:
     """Per component: how many prices match, and its exact cost where exactly one does.
 

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import audit, budget, explain, pricing, reports
+from ..operators import audit, budget, explain, pricing, reports, stored_costs
 from ..operators.components import expected_components, explode_components, key_set
 from ..operators.filters import UsageFilter
 from ..schemas import PRICE_KEY, USAGE_KEY
 from ..sources import bridge, catalog, logs, sinks
+from ..sources.scratch import fresh_dir
 from . import oracle as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,6 +261,39 @@ def _(t):
         F.col("rate").cast("double").alias("rate"), "price_source")
 
 
+_POINTS = f"""points AS (SELECT {O.KEY}, effective_from + to_days(CAST(floor(rate % 40) AS INTEGER)) + to_hours(7) AS "timestamp", CAST(floor(rate) AS BIGINT) AS tokens FROM prices)"""
+
+
+@query("J2_price_join_in_time", O.base(O.QUOTES, _POINTS) + f""" SELECT c.provider, c.model_id, c.token_category, count(*) AS rows, count(p.rate) AS price_matches,
+CAST(round(sum(CAST(c.tokens AS DECIMAL(20,0)) * p.rate), 0) AS DOUBLE) AS exact FROM points c LEFT JOIN prices p ON {O.MATCH} AND p.currency = 'USD' AND {O.IN_FORCE} GROUP BY ALL""")
+def _(t):
+    # every line asks for a price of its part some days after its own price began
+    at = F.col("effective_from") + F.make_dt_interval((F.col("rate_per_1m_tokens") % 40).cast("int"), F.lit(7))
+    points = t.quotes.select(*PRICE_KEY, at.alias("timestamp"), F.floor("rate_per_1m_tokens").cast("long").alias("tokens"))
+    found = pricing.price_join_in_time(points, t.quotes, days=14)
+    cost = F.sum(F.col("tokens").cast("decimal(20,0)") * F.col("rate"))
+    return found.groupBy("provider", "model_id", "token_category").agg(F.count(F.lit(1)).alias("rows"), F.count("rate").alias("price_matches"),
+        F.round(cost, 0).cast("double").alias("exact"))
+
+
+@query("C2_J14_stored_costs", O.priced("""SELECT provider, request_id, status, CAST(round(exact, 0) AS DOUBLE) AS exact,
+CASE WHEN CAST(split_part(request_id, '-', 2) AS BIGINT) % 4 = 0 OR (provider = 'codex' AND "timestamp" >= TIMESTAMP '2024-01-12 00:00:00') THEN 2 ELSE 1 END AS pricing_generation
+FROM costs JOIN usage USING (provider, request_id)"""))
+def _(t):
+    # a first list has other prices of one provider from a day on; then comes the one in force, and then requests that are new
+    store, turn, codex = fresh_dir(t.spark, "costs"), F.lit("2024-01-12").cast("timestamp"), F.col("provider") == "codex"
+    cut = t.prices.withColumn("effective_to", F.when(codex, turn).otherwise(F.col("effective_to")))
+    later = t.prices.filter(codex).withColumn("effective_from", turn)
+    dear = later.withColumn("rate_per_1m_tokens", (F.col("rate_per_1m_tokens") * 3).cast("decimal(18,6)"))
+    old = F.substring_index("request_id", "-", -1).cast("long") % 4 > 0
+    stored_costs.reprice_stored(t.usage.filter(old), cut.unionByName(dear), store)
+    stored_costs.reprice_stored(t.usage.filter(old), cut.unionByName(later), store)
+    stored_costs.cost_new(t.usage.filter(~old & ~codex), store)
+    stored_costs.cost_new(t.usage, store)
+    return stored_costs.stored_costs(t.spark, store).select("provider", "request_id", "status", F.round("exact", 0).cast("double").alias("exact"),
+        "pricing_generation")
+
+
 @query("J3_price_lookup", O.defective(f"""SELECT c.* REPLACE ({O.said('c."timestamp"')} AS "timestamp"), count(p.rate) AS price_matches, CASE WHEN count(p.rate) = 1 THEN CAST(max(p.rate) AS DOUBLE) END AS rate, CASE WHEN count(p.rate) = 0 THEN 'missing' WHEN count(p.rate) > 1 THEN 'overlapping' ELSE 'found' END AS result
 FROM (SELECT DISTINCT {O.KEY}, date_trunc('day', "timestamp") AS "timestamp" FROM components) c LEFT JOIN prices p ON {O.MATCH} AND p.currency = 'USD' AND {O.IN_FORCE} GROUP BY ALL"""), defects=True)
 def _(t):

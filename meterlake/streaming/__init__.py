@@ -51,6 +51,26 @@ def rollup(stream: DataFrame, period: str, delay: str = "1 hour") -> DataFrame:
     )
 
 
+def final_rollup(stream: DataFrame, period: str, delay: str = "1 hour") -> DataFrame:
+    """Tumbling sums in UTC with an exact number of sessions, each window told once, when the watermark has passed its end.
+
+    Sessions are summed first and windows of sessions then, so state holds a row for each session of the windows that are still
+    open, and is dropped with them.  Rows of windows that had ended at the watermark of the batch before do not count; ``late_rows`` says how
+    many those were.
+    """
+    width = WINDOWS[period]
+    each = stream.withWatermark("timestamp", delay).groupBy(F.window("timestamp", width).alias("w"), "provider", "session_id").agg(
+        *(F.sum(c).alias(c) for c in SUMS), F.count(F.lit(1)).alias("request_count"))
+    whole = each.groupBy(F.window(F.window_time("w"), width).alias("w")).agg(*(F.sum(c).alias(c) for c in [*SUMS, "request_count"]),
+        F.count(F.lit(1)).alias("session_count"))
+    return whole.select(F.col("w.start").alias("period_start"), *SUMS, "request_count", "session_count")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Groups of rows that came behind the watermark, as far back as the query keeps its progress."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def component_costs(stream: DataFrame, prices: DataFrame) -> DataFrame:
     """Each streamed component with the static price that applies; no price leaves its cost null."""
     return price_join(explode_components(stream), prices).select(*USAGE_KEY, "timestamp", "token_category", "component_ordinal", "tokens", "rate",
