@@ -89,6 +89,22 @@ def distinct_sessions(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_distinct("provider", "session_id").alias("sessions"))
 
 
+#: Relative standard error of session sketches, that of 2^14 registers.
+SKETCH_BITS, SKETCH_ERROR = 14, 1.04 / 2**7
+
+
+def session_sketches(rows: DataFrame, period: str = "daily", tz: str = "UTC") -> DataFrame:
+    """(period, sessions): a sketch of each bucket's sessions, a few kilobytes however many there are; made to be stored."""
+    session = F.concat_ws("\0", "provider", "session_id")
+    return rows.groupBy(bucket("timestamp", period, tz).alias("period")).agg(F.hll_sketch_agg(session, SKETCH_BITS).alias("sessions"))
+
+
+def sketched_sessions(sketches: DataFrame, period: Column) -> DataFrame:
+    """(period, estimate): sketches of shorter buckets united into longer ones, without the rows that they sum up."""
+    united = F.hll_union_agg("sessions").alias("sessions")
+    return sketches.groupBy(period.alias("period")).agg(united).select("period", F.hll_sketch_estimate("sessions").alias("estimate"))
+
+
 def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(*measures()).drop("first_at", "last_at")
 

@@ -947,6 +947,18 @@ def _(t):
 
 # -- window-shaped rules on whole tables
 
+@query("A9_sketched_sessions",
+    O.base(O.USAGE) + """ SELECT strftime("timestamp", '%Y-%m') AS period, count(DISTINCT (provider, session_id)) AS exact, true AS within FROM usage GROUP BY 1""")
+def _(t):
+    # stored by day, united by month; four standard errors
+    path = fresh_dir(t.spark, "sketches")
+    reports.session_sketches(t.usage).write.parquet(path)
+    found = reports.sketched_sessions(t.spark.read.parquet(path), F.substring("period", 1, 7))
+    exact = t.usage.groupBy(F.date_format("timestamp", "yyyy-MM").alias("period")).agg(F.count_distinct("provider", "session_id").alias("exact"))
+    within = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(1.0), 4 * reports.SKETCH_ERROR * F.col("exact"))
+    return found.join(exact, "period").select("period", "exact", within.alias("within"))
+
+
 @query("W4_carry_forward",
     """SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events""")
 def _(t):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -164,37 +163,58 @@ def refresh_plan(prices: DataFrame, snapshot: DataFrame) -> DataFrame:
     return rows.withColumn("action", action).withColumn("changes", count).drop("o", "opens")
 
 
-def _fold(key: tuple, stored: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one key that comes several times in a snapshot, applied one after the other."""
-    rows = stored[PRICE_COLUMNS].to_dict("records")
-    for new in fresh.sort_values("position")[PRICE_COLUMNS].to_dict("records"):
-        opened = [r for r in rows if pd.isna(r["effective_to"])]
-        if len(opened) > 1:
-            raise CatalogError(f"several open prices for {key}")
-        if not opened:
-            rows.append(new)
-            continue
-        old = opened[0]
-        if old["rate_per_1m_tokens"] == new["rate_per_1m_tokens"]:
-            old["source"] = new["source"]
-        elif new["effective_from"] > old["effective_from"]:
-            old["effective_to"] = new["effective_from"]
-            rows.append(new)
-        elif new["effective_from"] == old["effective_from"]:
-            old.update(rate_per_1m_tokens=new["rate_per_1m_tokens"], source=new["source"], effective_to=new["effective_to"])
-        else:
-            raise CatalogError(f"a price older than the open one for {key}")
-    out = pd.DataFrame(rows, columns=PRICE_COLUMNS)
-    for c in ("effective_from", "effective_to"):
-        out[c] = pd.to_datetime(out[c])
-    return out.astype(object).where(out.notna(), None)
+#: What a price is besides its key.
+_ROW = ["currency", "rate_per_1m_tokens", "effective_from", "effective_to", "source"]
+_ROW_TYPE = "struct<currency:string,rate_per_1m_tokens:decimal(18,6),effective_from:timestamp,effective_to:timestamp,source:string>"
+
+
+def _row(x: Column, **changed: Column) -> Column:
+    return F.struct(*(changed.get(c, x[c]).alias(c) for c in _ROW))
+
+
+def fold(prices: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(price key, rows, problem): of each key in a snapshot the rows that its open price and its snapshot rows, one after the other by
+    ``position``, leave behind; ``problem`` is null where that went well.
+
+    A row with the open one's rate gives it its source; a later one closes it and follows it; one that begins with it takes its
+    place; an earlier one is ``stale``; several open prices are ``ambiguous``.  A row that has an end follows, but is not open.
+    """
+    opened = prices.filter("effective_to is null").groupBy(*PRICE_KEY).agg(F.count(F.lit(1)).alias("_opens"), F.first(F.struct(*_ROW)).alias("_open"))
+    fresh = snapshot.groupBy(*PRICE_KEY).agg(F.array_sort(F.collect_list(F.struct("position", *_ROW))).alias("_fresh"))
+    both = fresh.alias("s").join(opened.alias("p"), same_price("s", "p"), "left").select("s.*", "p._opens", "p._open")
+    kind, kinds = _ROW_TYPE, f"array<{_ROW_TYPE}>"
+    none, row = F.lit(None).cast(kind), F.col("_open").cast(kind)
+    state = lambda now, past, problem: F.struct(now.cast(kind).alias("now"), past.cast(kinds).alias("past"), problem.cast("string").alias("problem"))
+    begin = state(row, F.array(), F.when(F.col("_opens") > 1, "ambiguous"))
+
+    def follow(past: Column, x: Column) -> Column:
+        """A row that comes next: open, or closed at once."""
+        new = _row(x)
+        return F.when(x["effective_to"].isNull(), state(new, past, F.lit(None))).otherwise(state(none, F.concat(past, F.array(new.cast(kind))), F.lit(None)))
+
+    def step(acc: Column, x: Column) -> Column:
+        now, past = acc["now"], acc["past"]
+        closed = _row(now, effective_to=x["effective_from"]).cast(kind)
+        instead = _row(now, rate_per_1m_tokens=x["rate_per_1m_tokens"], source=x["source"], effective_to=x["effective_to"])
+        return (
+            F.when(acc["problem"].isNotNull(), acc)
+            .when(now.isNull(), follow(past, x))
+            .when(now["rate_per_1m_tokens"] == x["rate_per_1m_tokens"], state(_row(now, source=x["source"]), past, F.lit(None)))
+            .when(x["effective_from"] > now["effective_from"], follow(F.concat(past, F.array(closed)), x))
+            .when(x["effective_from"] == now["effective_from"], follow(past, instead))
+            .otherwise(state(now, past, F.lit("stale")))
+        )
+
+    done = both.withColumn("_done", F.aggregate("_fresh", begin, step))
+    rows = F.concat("_done.past", F.when(F.col("_done.now").isNotNull(), F.array(F.col("_done.now"))).otherwise(F.array().cast(kinds)))
+    return done.select(*PRICE_KEY, rows.alias("rows"), F.col("_done.problem").alias("problem"))
 
 
 def refresh(prices: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Prices after a snapshot; raises, and changes nothing, where a row is older than what is in force or ambiguous.
 
     Keys with one snapshot row are settled by joins.  Keys with several see each other's effect in snapshot
-    order, which only those keys' fold needs.
+    order: a fold over the ordered rows of each such key.
     """
     if "position" not in snapshot.columns:
         snapshot = snapshot.withColumn("position", F.monotonically_increasing_id())
@@ -220,11 +240,12 @@ def refresh(prices: DataFrame, snapshot: DataFrame) -> DataFrame:
         at(["replace", "relabel"], F.col("t.n_source"), F.col("p.source")).alias("source"),
     )
     out = changed.select(*PRICE_COLUMNS).unionByName(plan.filter("action in ('insert', 'close')").select(*PRICE_COLUMNS))
-    key = [F.coalesce(F.col(c), F.lit("")).alias(f"k_{c}") for c in PRICE_KEY]
-    names = [f"k_{c}" for c in PRICE_KEY]
-    left = prices.alias("p").join(several.alias("k"), same_price("p", "k"), "left_semi").select(*PRICE_COLUMNS, *key)
-    right = snapshot.alias("s").join(several.alias("k"), same_price("s", "k"), "left_semi").select(*PRICE_COLUMNS, "position", *key)
-    return out.unionByName(left.groupBy(*names).cogroup(right.groupBy(*names)).applyInPandas(_fold, PRICES))
+    left = prices.alias("p").join(several.alias("k"), same_price("p", "k"), "left_semi").select(*PRICE_COLUMNS)
+    right = snapshot.alias("s").join(several.alias("k"), same_price("s", "k"), "left_semi").select(*PRICE_COLUMNS, "position")
+    folded = fold(left, right)
+    require_none(folded.filter("problem is not null").select(*PRICE_KEY, F.col("problem").alias("action")), "refresh")
+    after = folded.select(*PRICE_KEY, F.explode("rows").alias("r")).select(*PRICE_KEY, "r.*").select(*PRICE_COLUMNS)
+    return out.unionByName(left.filter("effective_to is not null")).unionByName(after)
 
 
 def back_date(fresh: DataFrame, prices: DataFrame, components: DataFrame) -> DataFrame:

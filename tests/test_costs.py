@@ -1,16 +1,18 @@
 """Prices joined in time, stored costs, and streams that tell each window once."""
 
 import datetime as dt
+import decimal
 import glob
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from meterlake import streaming
 from meterlake.operators import pricing, stored_costs
 from meterlake.schemas import PRICE_KEY, PRICES
-from meterlake.sources import bridge
+from meterlake.sources import bridge, catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +136,59 @@ def test_late_rows_are_counted_apart(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r["period_start"].hour, r["request_count"], r["session_count"], r["total_tokens"]) for r in spark.read.parquet(out).collect())
     assert got == [(1, 3, 2, 3), (9, 2, 2, 2)] and streaming.late_rows(q) == 1
+
+
+def slow_fold(prices, fresh):
+    """Snapshot rows applied one after the other, by key; None where one is stale or ambiguous."""
+    rows = [dict(p) for p in prices]
+    for x in sorted(fresh, key=lambda r: r["position"]):
+        opened = [r for r in rows if r["effective_to"] is None]
+        if len(opened) > 1:
+            return None
+        new = {k: v for k, v in x.items() if k != "position"}
+        if not opened:
+            rows.append(new)
+        elif opened[0]["rate_per_1m_tokens"] == new["rate_per_1m_tokens"]:
+            opened[0]["source"] = new["source"]
+        elif new["effective_from"] > opened[0]["effective_from"]:
+            opened[0]["effective_to"] = new["effective_from"]
+            rows.append(new)
+        elif new["effective_from"] == opened[0]["effective_from"]:
+            opened[0].update({k: new[k] for k in ("rate_per_1m_tokens", "source", "effective_to")})
+        else:
+            return None
+    return rows
+
+
+def test_several_snapshot_rows_of_a_key(spark):
+    """Up to five rows a key, empty texts beside nulls, against a loop."""
+    rng = random.Random(7)
+    cols = [c.split()[0] for c in PRICES.replace("(18,6)", "").split(", ")]
+    row = lambda m, tier, start, end, rate: dict(zip(cols, ("p", m, "input", tier, None, None, None, None, "USD", decimal.Decimal(rate), day(start), end, f"s{rng.randint(0, 3)}"), strict=True))
+    stored, fresh = [], []
+    for i in range(150):
+        tier = rng.choice([None, "", "x"])
+        stored += [row(f"m{i}", tier, s, day(s + 1), rng.randint(1, 3)) for s in (1, 3)] + [row(f"m{i}", tier, 5, None, rng.randint(1, 3))] * (i % 7 != 0)
+        start = 4 if i % 11 == 0 else 5
+        for k in range(rng.randint(1, 5)):
+            start += rng.choice([0, 1, 2])
+            fresh.append(row(f"m{i}", tier, start, rng.choice([None, None, None, day(start + 2)]), rng.randint(1, 3)) | {"position": len(fresh)})
+        if i % 2:  # the same key but for a null
+            stored.append(row(f"m{i}", None if tier == "" else "", 2, None, 2))
+    key = lambda r: tuple(r[c] for c in PRICE_KEY)
+    bad, want = set(), Counter()
+    for k in {key(r) for r in stored + fresh}:
+        got = slow_fold([r for r in stored if key(r) == k], [r for r in fresh if key(r) == k])
+        if got is None:
+            bad.add(k)
+        else:
+            want.update(tuple(r[c] for c in cols) for r in got)
+    df = lambda rows, kinds: spark.createDataFrame([tuple(r.values()) for r in rows], kinds).repartition(3)
+    prices, snapshot = df(stored, PRICES), df(fresh, f"{PRICES}, position long")
+    problems = catalog.fold(prices, snapshot).filter("problem is not null").collect()
+    assert {key(r) for r in problems} == bad and 3 < len(bad) < 100
+    good = df([r for r in fresh if key(r) not in bad], f"{PRICES}, position long")
+    kept = df([r for r in stored if key(r) not in bad], PRICES)
+    assert Counter(tuple(r[c] for c in cols) for r in catalog.refresh(kept, good).collect()) == want
+    with pytest.raises(catalog.CatalogError):
+        catalog.refresh(prices, snapshot)
