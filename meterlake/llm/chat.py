@@ -9,7 +9,9 @@ that a huge conversation is never sorted in one task.
 
 Arguments are checked against a table of tool parameters: unknown tool, missing or unknown argument, wrong
 type, out of range.  JSON is canonical: keys in order, no blanks, no null fields, and so is the text of a call's
-arguments, which is parsed and written again.
+arguments, which is parsed and written again: an argument that is null counts as absent, and a number has one form, so that
+10, 10.0 and 1e1 are the same whole number, in the check and in the text.  Inside an argument that is itself an object or a list,
+keys are ordered, but nulls and the forms of numbers stay.
 
 A missing key never meets others: rows without one take a join key of their own, so no task gets them all.
 
@@ -49,6 +51,25 @@ def type_name(value: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.schema_of_variant(value), r"[<(].*$", ""), F.lit("VOID"))
 
 
+def whole_number(value: Column) -> Column:
+    """Whether a variant is a number without a fraction, however it is written and however large."""
+    number = F.try_variant_get(value, "$", "double")
+    kind = type_name(value)
+    return F.coalesce(
+        (kind == "BIGINT") | ((kind == "DECIMAL") & F.try_variant_get(value, "$", "string").rlike(r"^-?[0-9]+(\.0*)?$"))
+        | (kind.isin("DOUBLE", "FLOAT") & (F.rint(number) == number)), F.lit(False))
+
+
+def one_form(value: Column) -> Column:
+    """A number variant in its one form: whole ones below 10^18 as digits, others as decimal or, where only a double holds them, as that
+    double's shortest text; what is no number stays."""
+    kind, text, number = type_name(value), F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+    digits = F.when(F.abs(number) < 1e18, number.cast("long").cast("string"))
+    told = F.when(kind.isin("DOUBLE", "FLOAT"), F.coalesce(F.when(F.rint(number) == number, digits), text)).when(kind == "DECIMAL",
+        F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))
+    return F.coalesce(F.try_parse_json(told), value)
+
+
 def same_key(conv: Column | str, own: Column | str, other_conv: str, other: str, spread: str) -> Column:
     """Equality of (conversation, id) as join keys.  Where either is missing, a hash of ``spread`` takes their place as a
     third key, which nothing on the other side equals."""
@@ -61,7 +82,10 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """``calls`` with ``problems``: what is wrong with each one's arguments, in the schema's order."""
     params = schemas.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("param", "type", "required", "low", "high"))).alias("params"))
     # names and values come apart, so whatever stands in a name does no harm
-    have = F.when(F.col("object").isNotNull(), F.from_json("arguments", "map<string,variant>"))
+    told = F.map_filter(F.from_json("arguments", "map<string,variant>"), lambda k, v: type_name(v) != "VOID")
+    have = F.when(F.col("object").isNotNull(), F.transform_values(told, lambda k, v: one_form(v)))
+    # in order of names, which a map alone does not promise
+    ordered = F.map_from_entries(F.array_sort(F.map_entries("have"), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
 
     def judge(p: Column) -> Column:
         there, value = F.map_contains_key("have", p["param"]), F.try_element_at("have", p["param"])
@@ -69,7 +93,7 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         outside = (number < p["low"]) | (number > p["high"])
         return (
             F.when(~there & p["required"], F.concat(F.lit("missing:"), p["param"]))
-            .when(there & (type_name(value) != p["type"]), F.concat(F.lit("type:"), p["param"]))
+            .when(there & (F.when(whole_number(value), "BIGINT").otherwise(type_name(value)) != p["type"]), F.concat(F.lit("type:"), p["param"]))
             .when(there & F.coalesce(outside, F.lit(False)), F.concat(F.lit("range:"), p["param"]))
         )
 
@@ -83,7 +107,7 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     # a call without a tool's name joins with nothing, wherever it lies
     joined = calls.join(params, F.coalesce("name", F.concat(F.lit("\0"), F.xxhash64("call_id"))) == params["tool"], "left").drop("tool")
     read = joined.withColumn("object", parsed(F.col("arguments"))).withColumn("have", have).withColumn("problems", problems)
-    return read.withColumn("arguments", F.coalesce(F.to_json("object"), "arguments")).drop("params", "object", "have")
+    return read.withColumn("arguments", F.coalesce(F.to_json(ordered), "arguments")).drop("params", "object", "have")
 
 
 def effective_turns(calls: DataFrame) -> DataFrame:
