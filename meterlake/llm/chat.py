@@ -9,9 +9,10 @@ that a huge conversation is never sorted in one task.
 
 Arguments are checked against a table of tool parameters: unknown tool, missing or unknown argument, wrong
 type, out of range.  JSON is canonical: keys in order, no blanks, no null fields, and so is the text of a call's
-arguments, which is parsed and written again: an argument that is null counts as absent, and a number has one form, so that
-10, 10.0 and 1e1 are the same whole number, in the check and in the text.  Inside an argument that is itself an object or a list,
-keys are ordered, but nulls and the forms of numbers stay.
+arguments, which is parsed and written again.  An argument that is null is of a wrong type and left out of the text.  A number
+with a decimal point is taken by its value, so 3.0 is the whole number 3 in check and text, and a whole number beyond a long is out of
+range, not of a wrong type; one with an exponent is a floating-point number and written as one.  Inside an argument that is itself an
+object or a list, keys are ordered, but nulls and the forms of numbers stay.
 
 A missing key never meets others: rows without one take a join key of their own, so no task gets them all.
 
@@ -51,23 +52,20 @@ def type_name(value: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.schema_of_variant(value), r"[<(].*$", ""), F.lit("VOID"))
 
 
+def decimal_text(value: Column) -> Column:
+    """The digits of a decimal variant, without zeros at the end of its fraction; null for anything else."""
+    text = F.when(type_name(value) == "DECIMAL", F.try_variant_get(value, "$", "string"))
+    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
 def whole_number(value: Column) -> Column:
-    """Whether a variant is a number without a fraction, however it is written and however large."""
-    number = F.try_variant_get(value, "$", "double")
-    kind = type_name(value)
-    return F.coalesce(
-        (kind == "BIGINT") | ((kind == "DECIMAL") & F.try_variant_get(value, "$", "string").rlike(r"^-?[0-9]+(\.0*)?$"))
-        | (kind.isin("DOUBLE", "FLOAT") & (F.rint(number) == number)), F.lit(False))
+    """Whether a variant is a number without a fraction, however large; one with an exponent is a floating-point number."""
+    return (type_name(value) == "BIGINT") | F.coalesce(decimal_text(value).rlike("^-?[0-9]+$"), F.lit(False))
 
 
 def one_form(value: Column) -> Column:
-    """A number variant in its one form: whole ones below 10^18 as digits, others as decimal or, where only a double holds them, as that
-    double's shortest text; what is no number stays."""
-    kind, text, number = type_name(value), F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
-    digits = F.when(F.abs(number) < 1e18, number.cast("long").cast("string"))
-    told = F.when(kind.isin("DOUBLE", "FLOAT"), F.coalesce(F.when(F.rint(number) == number, digits), text)).when(kind == "DECIMAL",
-        F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))
-    return F.coalesce(F.try_parse_json(told), value)
+    """A decimal variant without needless zeros; anything else as it is."""
+    return F.coalesce(F.try_parse_json(decimal_text(value)), value)
 
 
 def same_key(conv: Column | str, own: Column | str, other_conv: str, other: str, spread: str) -> Column:
@@ -82,10 +80,11 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """``calls`` with ``problems``: what is wrong with each one's arguments, in the schema's order."""
     params = schemas.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("param", "type", "required", "low", "high"))).alias("params"))
     # names and values come apart, so whatever stands in a name does no harm
-    told = F.map_filter(F.from_json("arguments", "map<string,variant>"), lambda k, v: type_name(v) != "VOID")
+    told = F.from_json("arguments", "map<string,variant>")
     have = F.when(F.col("object").isNotNull(), F.transform_values(told, lambda k, v: one_form(v)))
     # in order of names, which a map alone does not promise
-    ordered = F.map_from_entries(F.array_sort(F.map_entries("have"), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    some = F.map_filter("have", lambda k, v: type_name(v) != "VOID")
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(some), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
 
     def judge(p: Column) -> Column:
         there, value = F.map_contains_key("have", p["param"]), F.try_element_at("have", p["param"])
