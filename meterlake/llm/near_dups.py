@@ -7,7 +7,8 @@ make a band, ``BANDS`` bands a signature; texts that share a band are candidates
 
 Candidates are verified by banded alignment: the longest common subsequence of both shingle sequences,
 with matches only inside the band of diagonals that a similarity of ``threshold`` allows; similarity is
-aligned shingles over all (aligned once).  Groups are the connected components of verified links.
+aligned shingles over all (aligned once).  Bands slide with the row and widen only as far as the two texts differ, so
+whole texts of a million words are compared at a cost of their length times their difference.  Groups are the connected components of verified links.
 
 What keeps it whole under skew: exact copies are one node, so a group of copies costs one signature.  A
 bucket's members are first compared with its least member only; once components are known, members of
@@ -29,6 +30,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,8 @@ PICK, ROWS, BANDS = 2, 3, 32
 #: Places of the bitmap that bounds what two texts share.
 MARKS = 2048
 BLOCK = 8192
+#: Diagonals of the first band tried.
+LEAST_BAND = 64
 #: Comparisons of one bucket's members; beyond it, its members meet by shingle prefixes.
 PAIRS = 1 << 20
 
@@ -118,20 +122,55 @@ def bands(s: np.ndarray) -> np.ndarray:
     return sig
 
 
-def aligned(a: list[int], b: list[int], width: int) -> int:
-    """Longest common subsequence with matches at most ``width`` diagonals off, by bit-parallel rows."""
-    places: dict[int, int] = {}
+def _banded(a: list[int], b: list[int], places: dict[int, list[int]], width: int, need: float) -> int:
+    """Longest common subsequence with matches at most ``width`` diagonals off, by bit-parallel rows; 0 once it can't reach ``need``.
+
+    A block of rows holds bits only for the columns that it reaches; columns behind it are counted and dropped.
+    """
+    band, step = (1 << (2 * width + 1)) - 1, max(width // 8, LEAST_BAND)
+    v = low = high = same = 0
+    for r in range(0, len(a), step):
+        lo, hi = min(max(0, r - width), len(b)), min(len(b), r + step + width)
+        gone = lo - low
+        same += gone - (v & ((1 << gone) - 1)).bit_count()
+        v = v >> gone | ((1 << (hi - high)) - 1) << (high - lo)
+        low, high, full = lo, hi, (1 << (hi - lo)) - 1
+        masks: dict[int, int] = {}
+        for i, x in enumerate(a[r : r + step], r):
+            at = places.get(x)
+            if not at:
+                continue
+            match = masks.get(x)
+            if match is None:
+                match = 0
+                for j in at[bisect_left(at, lo) : bisect_left(at, hi)]:
+                    match |= 1 << (j - lo)
+                masks[x] = match
+            first = i - width - lo
+            u = v & match & (band << first if first >= 0 else band >> -first)
+            if u:
+                v = ((v + u) | (v - u)) & full
+        if same + high - low - v.bit_count() + max(0, len(a) - r - step) < need:
+            return 0
+    return same + high - low - v.bit_count()
+
+
+def aligned(a: list[int], b: list[int], width: int, need: float = 0) -> int:
+    """Longest common subsequence with matches at most ``width`` diagonals off; may be 0 where it can't reach ``need``.
+
+    Bands widen until one holds what is left over: an alignment that leaves ``d`` items of the two texts out strays at most
+    ``d`` diagonals, so a band of ``d`` gives the same as any wider one, and texts that differ little cost little.
+    """
+    places: dict[int, list[int]] = {}
     for j, x in enumerate(b):
-        places[x] = places.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    band, v = (1 << (2 * width + 1)) - 1, full
-    for i, x in enumerate(a):
-        match = places.get(x, 0)
-        if match:
-            match &= band << (i - width) if i >= width else band >> (width - i)
-            u = v & match
-            v = ((v + u) | (v - u)) & full
-    return len(b) - v.bit_count()
+        places.setdefault(x, []).append(j)
+    tried = LEAST_BAND
+    while tried < width:
+        same = _banded(a, b, places, tried, (len(a) + len(b) - tried) / 2)
+        if len(a) + len(b) - 2 * same <= tried:
+            return same
+        tried *= 4
+    return _banded(a, b, places, width, need)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
@@ -149,7 +188,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     differ = np.flatnonzero(a[::-1][: n - head] != b[::-1][: n - head])
     tail = int(differ[0]) if len(differ) else n - head
     width = int(na + nb - 2 * need + 1e-9)
-    same = head + tail + aligned(a[head : na - tail].tolist(), b[head : nb - tail].tolist(), width)
+    same = head + tail + aligned(a[head : na - tail].tolist(), b[head : nb - tail].tolist(), width, need - 1e-9 - head - tail)
     return same / (na + nb - same)
 
 

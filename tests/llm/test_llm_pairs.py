@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import corpus_pipeline
@@ -141,6 +142,34 @@ def test_banded_alignment_and_bounds():
         assert near_dups.aligned(a.tolist(), b.tolist(), 100) == exact
 
 
+def test_bands_slide_and_widen(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(near_dups, "LEAST_BAND", 4)
+    for _ in range(60):
+        a = rng.integers(0, 40, rng.integers(20, 200)).tolist()
+        b = a.copy()
+        for _ in range(rng.integers(0, 30)):
+            at = rng.integers(0, len(b))
+            b[at : at + int(rng.integers(0, 4))] = rng.integers(0, 40, rng.integers(0, 4)).tolist()
+            b = b or [1]
+        exact = lcs(a, b)
+        assert near_dups.aligned(a, b, 400) == exact == near_dups.aligned(b, a, 400)
+        assert near_dups.aligned(a, b, 400, exact) == exact and near_dups.aligned(a, b, 400, exact + 1) in (0, exact)
+        # a band as wide as what is left over loses nothing
+        assert near_dups.aligned(a, b, max(1, len(a) + len(b) - 2 * exact)) == exact
+
+
+def test_a_million_words_are_aligned():
+    a = np.arange(1_000_000, dtype=np.uint64) % np.uint64(700_001)
+    b = np.delete(a, np.arange(500, 1_000_000, 9_973))
+    b[250_000] = 999_999_999
+    start = time.perf_counter()
+    same = len(b) - 1
+    assert near_dups.similarity(a, b) == same / (len(a) + len(b) - same)
+    assert time.perf_counter() - start < 60
+    assert near_dups.similarity(a, b[::-1].copy()) < 0.8
+
+
 def test_order_matters_to_the_samples():
     a = near_dups.shingle_sets([b" ".join(b"w%d" % i for i in range(200))])[0]
     b = near_dups.shingle_sets([b" ".join(b"w%d" % i for i in [*range(100, 200), *range(100)])])[0]
