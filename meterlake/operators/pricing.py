@@ -91,24 +91,39 @@ def why(status: Column) -> Column:
 
 
 def timelines(prices: DataFrame) -> DataFrame:
-    """Per model and dimensions the stretches of time in which its prices stay the same, one row each, with the number of
-    prices and the rate of every part of a request: columns n0, r0, n1, ... in the order of ``component_parts``."""
+    """Per model and dimensions the stretches of time in which its prices stay the same, one row each: which parts of a
+    request have no price and which have several, as bits, and the rates of those with one (r0, r1, ... in the order of
+    ``component_parts``, 0 elsewhere).
+
+    A price opens at its start and closes at its end; numbers and rates in force are running sums of what opened less what
+    closed, which are exact in decimals, so the work grows with the changes of a model and not with their square.
+    """
     shared = [c for c in PRICE_KEY if c not in ("token_category", "source_detail")]
-    own = prices.filter("currency = 'USD'").select(*PRICE_KEY, F.col("rate_per_1m_tokens").cast("decimal(18,6)").alias("rate"), "effective_from",
-        "effective_to")
-    edges = own.select(*shared, F.explode(F.array("effective_from", "effective_to")).alias("since")).filter("since is not null").distinct()
-    until = F.lead("since").over(Window.partitionBy(*shared).orderBy("since"))
-    stretches = edges.withColumn("until", until)
-    meets = F.lit(True)
-    for c in shared:
-        meets = meets & F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}"))
-    holds = (F.col("p.effective_from") <= F.col("s.since")) & (F.col("p.effective_to").isNull() | (F.col("s.since") < F.col("p.effective_to")))
-    both = stretches.alias("s").join(own.alias("p"), meets & holds).select("s.*", "p.token_category", "p.source_detail", "p.rate")
-    columns = []
-    for i, (category, detail, _) in enumerate(component_parts()):
+    rate = F.col("rate_per_1m_tokens").cast("decimal(18,6)")
+    own = prices.filter("currency = 'USD' and effective_from is not null and (effective_to is null or effective_to > effective_from)")
+    edge = lambda at, sign: F.struct(F.col(at).alias("since"), F.lit(sign).alias("sign"))
+    edges = own.select(*PRICE_KEY, rate.alias("rate"), F.inline(F.array(edge("effective_from", 1), edge("effective_to", -1)))).filter("since is not null")
+    parts = component_parts()
+    changes = []
+    for i, (category, detail, _) in enumerate(parts):
         same = (F.col("token_category") == category) & F.col("source_detail").eqNullSafe(F.lit(detail).cast("string"))
-        columns += [F.count_if(same).alias(f"n{i}"), F.max(F.when(same, F.col("rate"))).alias(f"r{i}")]
-    return both.groupBy(*shared, "since", "until").agg(*columns)
+        changes += [F.sum(F.when(same, F.col("sign")).otherwise(0)).alias(f"n{i}"),
+            F.sum(F.when(same, F.col("sign") * F.col("rate")).otherwise(0)).cast("decimal(28,6)").alias(f"r{i}")]
+    # dealt by model once: sums per edge and running sums use the same layout
+    at = edges.repartition(*shared).groupBy(*shared, "since").agg(*changes)
+    past = Window.partitionBy(*shared).orderBy("since")
+    so_far = past.rowsBetween(Window.unboundedPreceding, 0)
+    running = at.select(*shared, "since", F.lead("since").over(past).alias("until"), *(F.sum(f"{c}{i}").over(so_far).alias(f"{c}{i}") for i in range(len(parts)) for c in "nr"))
+    n = [F.col(f"n{i}") for i in range(len(parts))]
+    rates = [F.when(c == 1, F.col(f"r{i}").cast("decimal(18,6)")).otherwise(F.lit(0).cast("decimal(18,6)")).alias(f"r{i}") for i, c in enumerate(n)]
+    none, several = (_bits([test(c) for c in n]) for test in (lambda c: c == 0, lambda c: c > 1))
+    return running.filter(F.greatest(*n) > 0).select(*shared, "since", "until", none.alias("none"), several.alias("several"), *rates)
+
+
+def _bits(tests: list[Column]) -> Column:
+    """One number with a bit for each test that holds."""
+    bits = [F.when(t, 1 << i).otherwise(0) for i, t in enumerate(tests)]
+    return sum(bits[1:], bits[0])
 
 
 def priced_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
@@ -124,23 +139,21 @@ def priced_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
     for d in dims:
         meets = meets & F.col(f"u.{d}").eqNullSafe(F.col(f"o.{d[1:]}"))
     meets = meets & (F.col("o.since") <= t) & (F.col("o.until").isNull() | (t < F.col("o.until")))
-    parts = component_parts()
-    found = [f"o.{c}{i}" for i in range(len(parts)) for c in "nr"]
-    joined = usage.withColumns(dims).alias("u").join(timelines(prices).alias("o"), meets, "left").select("u.*", *found)
-    zero, total = F.lit(0), lambda columns: sum(columns[1:], columns[0])
-    some = [tokens > 0 for _, _, tokens in parts]
-    n = [F.coalesce(f"n{i}", zero) for i in range(len(parts))]
-    missing = total([F.when(s & (c == 0), 1).otherwise(0) for s, c in zip(some, n, strict=True)])
-    ambiguous = total([F.when(s & (c > 1), 1).otherwise(0) for s, c in zip(some, n, strict=True)])
-    costs = [F.when(s & (c == 1), cost_of(p[2], f"r{i}")).otherwise(0).cast("decimal(38,6)") for i,
-        (s, c, p) in enumerate(zip(some, n, parts, strict=True))]
-    billed = F.lit(False)
-    for s in some:
-        billed = billed | s
-    tokens = total([F.col(c) for c in TOKEN_COLUMNS])
-    status = F.when(ambiguous > 0, "ambiguous").when(~billed & (tokens > 0), "integrity").when(missing > 0, "missing").otherwise("priced")
-    rows = joined.withColumn("status", status)
-    return rows.select(*usage.columns, F.when(F.col("status") == "priced", total(costs).cast("decimal(38,6)")).alias("exact"), "status")
+    # tokens and bits are worked out before the join, and what a request bills meets its prices as bits: each piece of
+    # generated code stays short enough to be compiled
+    tokens = {f"_t{i}": F.greatest(t, F.lit(0).cast("long")) for i, (_, _, t) in enumerate(component_parts())}
+    bits = {"_billed": _bits([t > 0 for t in tokens.values()])}
+    found = ["o.none", "o.several", *(f"o.r{i}" for i in range(len(tokens)))]
+    joined = usage.withColumns(dims | tokens | bits).alias("u").join(timelines(prices).alias("o"), meets, "left").select("u.*", *found)
+    total = lambda columns: sum(columns[1:], columns[0])
+    billed, every = F.col("_billed"), F.lit((1 << len(tokens)) - 1)
+    several = billed.bitwiseAND(F.coalesce("several", F.lit(0))) > 0
+    missing = billed.bitwiseAND(F.coalesce("none", every)) > 0
+    integrity = (billed == 0) & (total([F.col(c) for c in TOKEN_COLUMNS]) > 0)
+    status = F.when(several, "ambiguous").when(integrity, "integrity").when(missing, "missing").otherwise("priced")
+    costs = [cost_of(t, f"r{i}").cast("decimal(38,6)") for i, t in enumerate(tokens)]
+    exact = F.when(F.col("status") == "priced", F.coalesce(total(costs), F.lit(0)).cast("decimal(38,6)"))
+    return joined.withColumn("status", status).select(*usage.columns, exact.alias("exact"), "status")
 
 
 def request_costs(usage: DataFrame, components: DataFrame, prices: DataFrame, generation: int = 1) -> DataFrame:

@@ -17,6 +17,8 @@ from .queries import Tables, query
 
 #: Log files end in what Spark's text writer ends them in.
 GLOB = "*.txt"
+#: Files of one batch of a stream.
+BATCH_FILES = 8
 STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -268,11 +270,12 @@ def _(t):
 
 
 def _stream(t: Tables, *parts: Column) -> DataFrame:
-    """Usage as a stream of one file folder per part."""
+    """Usage as a stream of one batch of files per part."""
     path = fresh_dir(t.spark, "usage-stream")
     for when in parts or [F.lit(True)]:
-        t.usage.filter(when).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(t.usage.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        # dealt round, so that every part has as many files as a batch takes
+        t.usage.filter(when).repartition(BATCH_FILES).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(t.usage.schema).option("maxFilesPerTrigger", BATCH_FILES).parquet(path)
 
 
 @query("T1_appended_usage",

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlake import streaming
-from meterlake.operators import pricing, stored_costs
+from meterlake.operators import components, pricing, stored_costs
 from meterlake.schemas import PRICE_KEY, PRICES
 from meterlake.sources import bridge, catalog
 
@@ -192,3 +192,23 @@ def test_several_snapshot_rows_of_a_key(spark):
     assert Counter(tuple(r[c] for c in cols) for r in catalog.refresh(kept, good).collect()) == want
     with pytest.raises(catalog.CatalogError):
         catalog.refresh(prices, snapshot)
+
+
+def test_running_sums_price_like_components(spark):
+    """Overlapping, repeated, empty and reversed intervals: one join per request finds what every component by itself finds."""
+    usage, base = bridge.usage(spark, SF), bridge.prices(spark)
+    dice = lambda salt, n: F.pmod(F.xxhash64(*PRICE_KEY, "i", F.lit(salt)), F.lit(n)).cast("int")
+    start = F.date_add(F.lit("2023-12-30").cast("date"), dice(1, 30))
+    prices = base.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(6)))).filter(dice(0, 3) > 0).withColumns({
+        "effective_from": F.when(dice(5, 9) > 0, start.cast("timestamp")),
+        "effective_to": F.when(dice(2, 8) > 0, F.date_add(start, dice(3, 9) - 1).cast("timestamp")),
+        "rate_per_1m_tokens": (F.col("rate_per_1m_tokens") + dice(4, 7)).cast("decimal(18,6)"),
+        "currency": F.when(dice(6, 10) > 0, "USD").otherwise("EUR")}).drop("i")
+    prices = spark.createDataFrame(prices.collect(), prices.schema)
+    want = pricing.request_costs(usage, components.explode_components(usage), prices).select("request_id", "exact", "status")
+    want, got = (Counter(map(str, x.collect())) for x in (want, pricing.priced_usage(usage, prices).select("request_id", "exact", "status")))
+    assert got == want
+    assert len({s.split("status=")[1] for s in got}) >= 3
+    # no prices at all
+    none = Counter(r["status"] for r in pricing.priced_usage(usage, prices.limit(0)).collect())
+    assert set(none) <= {"missing", "integrity", "priced"} and none["missing"] > 0
