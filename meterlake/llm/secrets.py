@@ -7,11 +7,13 @@ convolutional network in numpy reads a candidate with the text around it, a long
 which the largest probability counts, and gives a calibrated probability.  Short runs of one case without a
 digit, which look like any word, are not candidates.  It is trained on labelled findings: the patterns' findings (secret) and other
 candidates that do not resemble keys (not) from a bounded sample of documents, plus labelled examples made from
-fixed shapes, so that either class is never empty.  Its threshold is the highest at which held-out secrets of the
+fixed shapes, so that either class is never empty.  What looks random and is no secret (UUIDs, digests in prose, embedded
+images, ids in links, names in camel case) is among the made examples that are not secret.  Its threshold is the highest at which held-out secrets of the
 kind that it judges, those the patterns would not find, are still recalled at ``recall``; the precision there is
 reported beside it.
 
-Defined results: null and empty text have no spans and the hash of the empty string; model spans
+Defined results: null and empty text have no spans and the hash of the empty string; texts of any length are read whole, in
+one sweep; model spans
 never overlap the patterns' ones, and a part is not told beside the run that holds it; repeated rows are scanned one by one; an empty
 table gives an empty result (the network then knows the made examples only); only id and text are read.
 """
@@ -51,7 +53,7 @@ SEEN = HEAD + TAIL
 SAMPLE_DOCS, SAMPLE_FINDINGS = 20_000, 4_000
 RECALL = 0.98
 #: Made examples, the number of their secret shapes, and those shapes that the patterns find by themselves.
-MADE, MADE_SECRETS, MADE_BASE = 1_600, 9, (2, 3)
+MADE, MADE_SECRETS, MADE_BASE = 6_400, 12, (2, 3)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -125,23 +127,32 @@ def _classes() -> np.ndarray:
 CLASSES, WIDTH = _classes(), 18  # one-hot classes, inside the candidate, relative length
 
 
-def window(text: str, start: int, end: int) -> np.ndarray:
-    """Character classes of a candidate and its surroundings; high bit: inside the candidate."""
+def window(text: str, start: int, end: int, whole: tuple[int, int] | None = None) -> np.ndarray:
+    """Character classes of a candidate and its surroundings; high bit: inside the candidate.
+
+    A stretch of a longer candidate, ``whole``, is shown with what stands around the whole.
+    """
     out = np.zeros(LENGTH, np.uint8)
+    left, right = whole or (start, end)
 
     def put(at: int, part: str, flag: int) -> None:
         raw = np.minimum(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32), 256)
         out[at : at + len(raw)] = CLASSES[raw] | flag
 
-    before = text[max(0, start - BEFORE) : start]
+    before = text[max(0, left - BEFORE) : left]
     put(BEFORE - len(before), before, 0)
     put(BEFORE, text[start : min(end, start + HEAD)], 128)
     if end - start > HEAD:
         put(BEFORE + HEAD, text[max(start + HEAD, end - TAIL) : end], 128)
-    put(BEFORE + HEAD + TAIL, text[end : end + AFTER], 0)
+    put(BEFORE + HEAD + TAIL, text[right : right + AFTER], 0)
     return out
 
 
+def windows_of(text: str, start: int, end: int) -> list[np.ndarray]:
+    """A candidate as the network sees it, stretch by stretch."""
+    return [window(text, *p, (start, end)) for p in pieces(start, end)]
+
+
 def features(windows: np.ndarray) -> np.ndarray:
     x = np.zeros((len(windows), LENGTH, WIDTH), np.float32)
     b, i = np.indices(windows.shape)
@@ -169,7 +180,7 @@ class Network:
     K = 5
 
     @classmethod
-    def fresh(cls, rng: np.random.Generator, filters: int = 24, hidden: int = 16) -> Network:
+    def fresh(cls, rng: np.random.Generator, filters: int = 32, hidden: int = 16) -> Network:
         g = lambda *s: (rng.standard_normal(s) * np.sqrt(2 / s[0])).astype(np.float32)
         return cls(g(cls.K * WIDTH, filters), np.zeros(filters, np.float32), g(2 * filters, hidden), np.zeros(hidden, np.float32), g(hidden, 1)[:, 0],
             0.0)
@@ -189,7 +200,7 @@ class Network:
     def probability(self, windows: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.logits(windows) + self.scale[1], -30, 30)))
 
-    def train(self, windows: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 12, rate: float = 3e-3) -> None:
+    def train(self, windows: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 16, rate: float = 3e-3) -> None:
         names = ("conv", "bias", "dense", "dense_bias", "out", "out_bias")
         m, v, t = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
         weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
@@ -214,8 +225,8 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
                     setattr(self, k, getattr(self, k) - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8))
 
-    def calibrate(self, windows: np.ndarray, y: np.ndarray, recall: float, judged: np.ndarray | None = None) -> None:
-        """Platt scaling on held-out findings, then the highest threshold that recalls as many of the ``judged`` secrets."""
+    def calibrate(self, windows: np.ndarray, y: np.ndarray, recall: float, judged: np.ndarray | None = None, groups: np.ndarray | None = None) -> None:
+        """Platt scaling on held-out findings, then the highest threshold that recalls as many of the ``judged`` secrets of each group."""
         x, a, b = self.logits(windows), 1.0, 0.0
         for _ in range(300):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -223,44 +234,83 @@ class Network:
             b -= 0.05 * float((p - y).mean())
         self.scale = (a, b)
         p = self.probability(windows)
-        hits = np.sort(p[(y > 0) if judged is None else (y > 0) & judged])
-        if len(hits):
-            self.threshold = float(hits[int((1 - recall) * len(hits))])
-            self.recalled = float((hits >= self.threshold).mean())
+        secret = (y > 0) if judged is None else (y > 0) & judged
+        of = np.zeros(len(y), int) if groups is None else groups
+        hits = [np.sort(p[secret & (of == g)]) for g in np.unique(of[secret])]
+        if hits:
+            self.threshold = float(min(h[int((1 - recall) * len(h))] for h in hits))
+            self.recalled = float((p[secret] >= self.threshold).mean())
             self.precision = float((y[p >= self.threshold] > 0).mean())
 
 
-def made_findings(rng: np.random.Generator, n: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled examples of fixed shapes: random keys against numbers, hosts, paths, versions and words."""
-    pick = lambda s, k: "".join(rng.choice(list(s), k))
-    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    word = lambda: pick(low, int(rng.integers(2, 9)))
-    secret = [
-        lambda: pick(low + up + dig, int(rng.integers(20, 48))), lambda: pick(low + up + dig + "+/", 40) + "=",
-        lambda: pick("0123456789abcdef", int(rng.integers(24, 64))), lambda: "AKIA" + pick(up + dig, 16),
-        lambda: word() + "_" + pick(low + up + dig, 36), lambda: word() + "-" + pick(low + up + dig, 24),
-        lambda: pick(low + up + dig, int(rng.integers(8, 16))), lambda: pick(low + up, int(rng.integers(16, 40))),
-        lambda: "/".join((word(), word(), pick(low + up + dig, 24))),
-    ]
-    plain = [
-        lambda: pick(dig, int(rng.integers(16, 20))), lambda: f"{word()}{pick(dig, 1)}.{word()}.{word()}.com",
-        lambda: "/".join(word() for _ in range(4)) + f"/{pick(dig, 2)}", lambda: "-".join(word() for _ in range(4)) + f"-{pick(dig, 2)}",
-        lambda: f"{pick(dig, 4)}-{pick(dig, 2)}-{pick(dig, 2)}-{pick(dig, 6)}", lambda: word() + word() + word() + pick(dig, 2),
-        lambda: "=" * 16 + pick(dig, 1), lambda: "....".join((word(), pick(dig, 3), word())) + "." * 8,
-        lambda: word() + word().capitalize() + word().capitalize(), lambda: f"{pick(dig, 4)}-{pick(dig, 2)}-{pick(dig, 2)}",
-        lambda: word() + word() + pick(dig, 2),
-        lambda: "-".join(word() for _ in range(4)),
-    ]
+def made_findings(rng: np.random.Generator, n: int = 400, hard: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled examples of fixed shapes, each in a sentence and seen as the scan would see it or one of its parts.
+
+    ``hard`` adds shapes of keys next to other text, and of random text that is no secret.
+    """
     rows, y = [], []
     for i in range(n):
-        kinds = secret if i % 2 else plain
-        value = kinds[(i // 2) % len(kinds)]()
-        left, right = f"{word()} {word()} {word()} ", f" {word()} {word()}"
-        rows.append(window(left + value + right, len(left), len(left) + len(value)))
+        text, start, end = made_text(rng, bool(i % 2), i // 2, hard)
+        # what the scan would judge: a run that holds the secret, or any part of what only looks like one
+        spans = [(s, e) for s, e in candidates(text, base_spans(text)) if (s <= start and e >= end if i % 2 else s < end and e > start)] or [(start, end)]
+        own = windows_of(text, *spans[int(rng.integers(len(spans)))])
+        rows.append(own[int(rng.integers(len(own)))])
         y.append(i % 2)
     return np.array(rows), np.array(y, np.float32)
 
 
+def made_text(rng: np.random.Generator, secret: bool, kind: int, hard: bool = True) -> tuple[str, int, int]:
+    """A sentence that holds a made secret, or what only looks like one, and where it stands."""
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    hexa = dig + "abcdef"
+    pick = lambda s, k: "".join(np.array(list(s))[rng.integers(len(s), size=int(k))])
+    some = lambda *s: s[int(rng.integers(len(s)))]
+    between = lambda a, b: int(rng.integers(a, b))
+    word = lambda: pick(low, between(2, 9))
+    name = lambda k: "".join(word().capitalize() for _ in range(k))
+    cased = lambda v: v.upper() if rng.random() < 0.5 else v
+    host = lambda: some("https://", "http://", "https://www.") + word() + some(".com", ".org", ".net", ".example.com") + "/"
+    # each shape: what leads to it, and itself
+    secrets = [
+        lambda: ("", pick(low + up + dig, between(20, 48))), lambda: ("", pick(low + up + dig + "+/", 40) + "="),
+        lambda: ("", pick(hexa, between(24, 64))), lambda: ("", "AKIA" + pick(up + dig, 16)),
+        lambda: ("", word() + "_" + pick(low + up + dig, 36)), lambda: ("", word() + "-" + pick(low + up + dig, 24)),
+        lambda: ("", pick(low + up + dig, between(8, 16))), lambda: ("", pick(low + up, between(16, 40))),
+        lambda: ("", "/".join((word(), word(), pick(low + up + dig, 24)))),
+    ]
+    secrets += [] if not hard else [
+        lambda: ("AKIA" + pick(up + dig, 16) + some("/", "+", ":"), pick(low + up + dig, some(24, 40))), lambda: ("", some("ghp_", "sk_live_", "xoxb-", "glpat-") + pick(low + up + dig, between(20, 40))),
+        lambda: (some("pwd: ", "key ", "Bearer ", "use \"", "is '"), pick(low + up + dig, between(9, 44))),
+    ]
+    plain = [
+        lambda: ("", pick(dig, between(16, 20))), lambda: ("", f"{word()}{pick(dig, 1)}.{word()}.{word()}.com"),
+        lambda: ("", "/".join(word() for _ in range(4)) + f"/{pick(dig, 2)}"), lambda: ("", "-".join(word() for _ in range(4)) + f"-{pick(dig, 2)}"),
+        lambda: ("", f"{pick(dig, 4)}-{pick(dig, 2)}-{pick(dig, 2)}-{pick(dig, 6)}"), lambda: ("", word() + word() + word() + pick(dig, 2)),
+        lambda: ("", "=" * 16 + pick(dig, 1)), lambda: ("", "....".join((word(), pick(dig, 3), word())) + "." * 8),
+        lambda: ("", word() + name(2)), lambda: ("", f"{pick(dig, 4)}-{pick(dig, 2)}-{pick(dig, 2)}"),
+        lambda: ("", word() + word() + pick(dig, 2)), lambda: ("", "-".join(word() for _ in range(4))),
+    ]
+    plain += [] if not hard else [
+        # UUIDs
+        lambda: ("", cased("-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)))), lambda: (some("id ", "uuid:", "{"), "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))),
+        # digests and short hashes in prose
+        lambda: (some("sha256 ", "md5 ", "digest ", "SHA-1: "), pick(hexa, some(32, 40, 64)).upper()), lambda: (some("commit ", "revision ", "at "), pick(hexa, between(8, 13))),
+        # embedded images and documents
+        lambda: (f"data:{some('image/png', 'image/jpeg', 'font/woff2', 'application/pdf')};base64,", pick(low + up + dig + "+/", between(60, 400)) + some("", "=", "==")),
+        # ids in links
+        lambda: (host() + word() + some("?v=", "?id=", "?p="), pick(low + up + dig, between(8, 13))), lambda: ("", host() + word() + "/" + pick(low + up + dig, between(8, 24))),
+        lambda: ("", host() + some("d/", "file/d/", "watch/", "item/") + pick(low + up + dig + "_-", between(16, 45)) + some("", "/edit", "/view")),
+        # names in code, files and times
+        lambda: (some("", "call ", "class "), some(word(), "") + name(between(3, 6))), lambda: ("", name(2) + some("2", "64", "V3") + name(1)),
+        lambda: ("", ".".join((word(), word(), name(2), word() + name(1)))), lambda: ("", "_".join(word() for _ in range(between(3, 5))) + some("", "_v2", "_64")),
+        lambda: ("", "_".join(word().upper() for _ in range(between(3, 5)))), lambda: ("", f"{some('IMG', 'DSC', 'VID')}_{pick(dig, 8)}_{pick(dig, 6)}.jpg"),
+        lambda: ("", f"{pick(dig, 8)}T{pick(dig, 6)}Z"),
+    ]
+    lead, value = (secrets if secret else plain)[kind % len(secrets if secret else plain)]()
+    left, right = f"{word()} {word()} {word()} {lead}", f"{some('', '.', ',', '}', ')')} {word()} {word()}"
+    return left + value + right, len(left), len(left) + len(value)
+
+
 def resembles_key(value: str) -> bool:
     """Whether an unlabelled candidate may well be a key: a part of it changes often between words, capitals and digits."""
     for m in PART.finditer(value):
@@ -285,7 +335,7 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 judged.append(i % 2 == 0 and kind == 0 and not base_spans(text[value:end]))
             for s, e in candidates(text or "", base):
                 if not resembles_key(text[s:e]):
-                    own = [window(text, *p) for p in pieces(s, e)]
+                    own = windows_of(text, s, e)
                     rows += own
                     y += [0] * len(own)
                     judged += [True] * len(own)
@@ -303,16 +353,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     found = map_arrow(rows, _findings, "window binary, y int, judged boolean").withColumn("key", F.xxhash64("window"))
     sample = [r for y in (0, 1) for r in found.filter(F.col("y") == y).orderBy("key").limit(sample_findings).collect()]
     rng = np.random.default_rng(seed)
-    windows, y = made_findings(rng, MADE)
+    windows, y = made_findings(rng, MADE, hard=True)
     judged = ~np.isin(np.arange(MADE) // 2 % MADE_SECRETS, MADE_BASE) | (y == 0)
     if sample:
         windows = np.concatenate((windows, np.array([np.frombuffer(bytes(r["window"]), np.uint8) for r in sample])))
         y = np.concatenate((y, np.array([r["y"] for r in sample], np.float32)))
         judged = np.concatenate((judged, np.array([r["judged"] for r in sample], bool)))
-    held = rng.random(len(y)) < 0.25
+    held, groups = rng.random(len(y)) < 0.25, np.arange(len(y)) >= MADE
     net = Network.fresh(rng)
     net.train(windows[~held], y[~held], rng)
-    net.calibrate(windows[held], y[held], recall, judged[held])
+    net.calibrate(windows[held], y[held], recall, judged[held], groups[held])
     return net
 
 
@@ -326,7 +376,7 @@ def scan_texts(texts: list[str], net: Network) -> list[list[tuple[int, int, int,
             owner.append(i)
             spans.append((s, 3, e, s))
             first.append(len(windows))
-            windows += [window(text, *p) for p in pieces(s, e)]
+            windows += windows_of(text, s, e)
     if windows:
         last: dict[int, int] = {}
         for i, span, p in zip(owner, spans, np.maximum.reduceat(net.probability(np.array(windows)), first), strict=True):

@@ -238,6 +238,41 @@ def test_secret_network_recalls_held_out_findings():
     assert p[truth > 0].mean() > 0.9 and p[truth == 0].mean() < 0.05
 
 
+LOOKALIKES = [
+    "see 550e8400-e29b-41d4-a716-446655440000 for it", "id 7C9E6679-7425-40DE-944B-E07FC1F90AE7, done", "sha256 9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B2B0B822CD15D6C15B0F00A08 ok",
+    "fixed in commit 3f2a9bc1d by hand", "shown as data:image/png;base64," + "iVBORw0KGgoAAAANSUhEUgAAAAUAAAAFCAYAAACNbyblAAAAHElEQVQI12P4//8/w38GIAXDIBKE0DHxgljNBAAO9TXL0Y4OHwAAAABJRU5ErkJggg== here",
+    "watch https://www.example.com/watch?v=dQw4w9WgXcQ now", "call getUserAccountByIdentifier or XmlHttpRequestFactory2 then", "file IMG_20230115_143022.jpg of 20230115T143022Z",
+]
+
+
+def test_secrets_planted_in_documents(spark, docs):
+    """Precision and recall on 600 texts: keys without a keyword and what only looks like keys, set into documents."""
+    rng = np.random.default_rng(31)
+    texts = [r["text"] for r in docs.filter("length(text) > 60").orderBy("doc_id").collect()]
+    rows, planted = [], {}
+    for i in range(600):
+        text = texts[i % len(texts)]
+        is_key, at = i % 2 == 1, text.find(" ", len(text) // 2) + 1
+        part, start, end = secrets.made_text(rng, is_key, i // 2)
+        if is_key and secrets.base_spans(part):
+            continue
+        rows.append((i, f"{text[:at]}{part} {text[at:]}"))
+        planted[i] = (is_key, at + start, at + end)
+    rows += [(1000 + i, x) for i, x in enumerate(LOOKALIKES)]
+    net = secrets.fit(docs)
+    hit, wrong, missed = 0, [], []
+    for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), net).collect():
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("model")]
+        is_key, start, end = planted.get(r["doc_id"], (False, 0, 0))
+        right = [s for s in spans if is_key and s[0] < end and s[1] > start]
+        hit += bool(right)
+        missed += [r["doc_id"]] if is_key and not right else []
+        wrong += [(r["doc_id"], s) for s in spans if s not in right]
+    print(f"recall {hit / (hit + len(missed)):.3f}, precision {hit / (hit + len(wrong)):.3f}")
+    assert hit / (hit + len(missed)) >= 0.9 and hit / (hit + len(wrong)) >= 0.95, (wrong, missed)
+    assert not [d for d, _ in wrong if d >= 1000]
+
+
 def test_lm_base_and_probability(docs, odd):
     for df in (docs, odd):
         rows = df.collect()
