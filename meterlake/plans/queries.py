@@ -489,6 +489,12 @@ def _(t):
     return reports.rollup(t.rows.filter("session_id = 'sess-7'"), "daily")
 
 
+# of all sessions what falls on working days; the report fills the weekends between
+@query("A1_G1_sparse_daily_all", O.priced(_filled("daily", 'isodow("timestamp") < 6')))
+def _(t):
+    return reports.rollup(t.rows.filter(F.weekday("timestamp") < 5), "daily")
+
+
 for _z, _n in ((LA, "la"), (KOLKATA, "kolkata")):
     @query(f"G2_local_hourly_{_n}", O.priced(f"""SELECT period, {O.ZEROS} FROM (SELECT DISTINCT {O.bucket('hourly', _z)} AS period FROM (SELECT unnest(generate_series(time_bucket(INTERVAL 15 MINUTES, min("timestamp")), max("timestamp"), INTERVAL 15 MINUTES)) AS "timestamp" FROM few)
 UNION SELECT DISTINCT {O.bucket('hourly', _z)} FROM few) LEFT JOIN (SELECT {O.bucket('hourly', _z)} AS period, {O.MEASURES} FROM few GROUP BY 1) USING (period)""", "few AS (SELECT * FROM rows WHERE session_id = 'sess-7')"))
