@@ -17,7 +17,7 @@ documents, are repeated for each salt.  Bloom filters are sized by what they hol
 more candidates through, which the join drops.
 
 Defined results: null, empty and wordless documents have n_words 0 and no hits; null or wordless items
-have no windows; items with equal words all count; documents are told apart by row, so repeated rows
+have no windows; texts of any length are read whole, each in one task; items with equal words all count; documents are told apart by row, so repeated rows
 each get their own result; an empty benchmark leaves every document clean; an empty document table gives
 an empty result; other columns are ignored.
 """

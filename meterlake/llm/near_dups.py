@@ -24,7 +24,7 @@ A node's key begins with its least document id in sortable form, so the least ke
 
 Defined results: a document's class id is the least doc_id in its group (documents without an id come last); null
 texts form no groups; texts without words, the empty one included, group with exact copies only; a text of under
-five words is one shingle; repeated rows get the same class; an empty table gives an empty result; other columns are
+five words is one shingle; texts of any length are compared whole, each pair in one task; repeated rows get the same class; an empty table gives an empty result; other columns are
 ignored, whatever their names.
 """
 

@@ -212,6 +212,17 @@ def test_decontamination_matches_brute_force(spark, docs):
     assert decontamination.decontaminate(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_reads_long_texts_whole(spark):
+    words = [f"w{i * 7919 % 50_021}" for i in range(300_000)]
+    item = [f"item{i}" for i in range(20)]
+    # the item ends the long text, and stands once more in its middle
+    text = " ".join(words[:150_000] + item + words[150_000:] + item)
+    df = spark.createDataFrame([(1, text), (2, " ".join(words[:40] + item))], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", " ".join(item))], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontamination.decontaminate(df, bench).collect()}
+    assert got == {1: (300_040, 40, 1, False), 2: (60, 20, 1, True)}
+
+
 def test_decontamination_salts_frequent_shingles(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "SALT_ROWS", 3)
     monkeypatch.setattr(decontamination, "HOT", 2)
