@@ -71,6 +71,42 @@ def price_join_in_time(rows: DataFrame, prices: DataFrame, how: str = "left", da
         F.col("p.effective_from").alias("price_from"))
 
 
+def price_sums_in_time(rows: DataFrame, prices: DataFrame, days: int = 7) -> DataFrame:
+    """Rows with how many prices apply (``matches``), how many of these have a rate (``rates``) and the sum of their rates
+    (``rate_sum``, null where there is none): what sums over ``price_join`` need, without a row for each pair.
+
+    A price counts from its start and stops at its end, so what is in force is a running sum over the edges of its key, exact in
+    decimals.  Edges of one instant are added up first, time is cut into buckets of ``days`` days, and what was in force before a
+    bucket is a running sum over a row per key and bucket: the work grows with rows and prices and not with their
+    pairs, and no task holds more of a key than a bucket.
+    """
+    rate = F.col("rate_per_1m_tokens").cast("decimal(18,6)")
+    own = prices.filter("currency = 'USD' and provider is not null and model_id is not null and token_category is not null and effective_from is not null "
+        "and (effective_to is null or effective_to > effective_from)")
+    edge = lambda at, sign: F.struct(F.col(at).alias("at"), F.lit(sign).alias("sign"))
+    edges = own.select(*PRICE_KEY, rate.alias("rate"), F.inline(F.array(edge("effective_from", 1), edge("effective_to", -1)))).filter("at is not null")
+    changes = {"_n": F.sum("sign").cast("long"), "_m": F.sum(F.when(F.col("rate").isNotNull(), F.col("sign")).otherwise(0)).cast("long"),
+        "_r": F.coalesce(F.sum(F.col("sign") * F.col("rate")), F.lit(0)).cast("decimal(28,6)")}
+    at = edges.groupBy(*PRICE_KEY, "at").agg(*(c.alias(n) for n, c in changes.items())).withColumn("_bucket", time_bucket(F.col("at"), days))
+    sums = [F.sum(c).alias(c) for c in changes]
+    zero = [F.lit(0).cast("decimal(28,6)" if c == "_r" else "long").alias(c) for c in changes]
+    asked = rows.select(*PRICE_KEY, time_bucket(F.col("timestamp"), days).alias("_bucket")).distinct().select(*PRICE_KEY, "_bucket", *zero)
+    each = at.select(*PRICE_KEY, "_bucket", *changes).unionByName(asked).groupBy(*PRICE_KEY, "_bucket").agg(*sums)
+    past = Window.partitionBy(*PRICE_KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(None).cast(rows.schema)
+    total = lambda w: {c: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("decimal(28,6)" if c == "_r" else "long") for c in changes}
+    # what was in force before comes first, then changes, and rows of an instant after its changes
+    before = each.select(*PRICE_KEY, "_bucket", *(x.alias(c) for c, x in total(past).items()), F.lit(0).alias("_turn"), F.lit(None).cast("timestamp").alias("_at"),
+        none.alias("_row"))
+    within = at.select(*PRICE_KEY, "_bucket", *changes, F.lit(1).alias("_turn"), F.col("at").alias("_at"), none.alias("_row"))
+    told = rows.select(*PRICE_KEY, time_bucket(F.col("timestamp"), days).alias("_bucket"), *zero, F.lit(2).alias("_turn"), F.col("timestamp").alias("_at"),
+        F.struct(*rows.columns).alias("_row"))
+    so_far = Window.partitionBy(*PRICE_KEY, "_bucket").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    running = before.unionByName(within).unionByName(told).select("_turn", "_row", *(x.alias(c) for c, x in total(so_far).items()))
+    return running.filter("_turn = 2").select("_row.*", F.col("_n").alias("matches"), F.col("_m").alias("rates"),
+        F.when(F.col("_m") > 0, F.col("_r")).alias("rate_sum"))
+
+
 def component_costs(components: DataFrame, prices: DataFrame) -> DataFrame:
     """Per component: how many prices match, and its exact cost where exactly one does.
 

@@ -47,6 +47,31 @@ def test_buckets_change_nothing(spark):
     assert pricing.price_join_in_time(rows, prices.limit(0)).filter("rate is null").count() == 500
 
 
+def test_sums_in_time_are_those_of_the_join(spark):
+    prices = history(spark).withColumn("rate_per_1m_tokens", F.when(F.dayofmonth("effective_from") % 5 > 0, F.dayofmonth("effective_from")).cast("decimal(18,6)"))
+    odd = points(spark, 4, 7).withColumns({"timestamp": F.when(F.col("i") > 1, F.col("timestamp")), "model_id": F.when(F.col("i") != 2, F.col("model_id")), "i": F.col("i") + 500})
+    rows = points(spark).unionByName(odd)
+    of_row = pricing.price_join(rows, prices.withColumn("source", F.lit("s"))).groupBy("i").agg(F.count("price_source").alias("matches"), F.count("rate").alias("rates"),
+        F.sum("rate").cast("decimal(28,6)").alias("rate_sum"))
+    want = {tuple(r) for r in of_row.collect()}
+    assert len(want) == 504 and max(w[1] for w in want) > 5
+    for days in (1, 14, 5000):
+        assert {tuple(r) for r in pricing.price_sums_in_time(rows, prices, days).select("i", "matches", "rates", "rate_sum").collect()} == want
+    assert pricing.price_sums_in_time(rows.limit(0), prices).count() == 0
+    assert pricing.price_sums_in_time(rows, prices.limit(0)).filter("matches = 0 and rate_sum is null").count() == 504
+
+
+def test_sums_in_time_make_no_pairs(spark):
+    """20,000 rows under 20,000 prices of one key are 400 million pairs; the sums take a row each."""
+    key = [F.lit("p").alias("provider"), F.lit("m").alias("model_id"), F.lit("input").alias("token_category"), *(F.lit(None).cast("string").alias(c) for c in PRICE_KEY[3:])]
+    rows = spark.range(20_000).select(*key, F.lit(day(30)).alias("timestamp"), F.col("id").alias("i"))
+    prices = spark.range(20_000).select(*key, F.lit("USD").alias("currency"), F.lit("2").cast("decimal(18,6)").alias("rate_per_1m_tokens"), F.lit(day(0)).alias("effective_from"),
+        F.lit(None).cast("timestamp").alias("effective_to"), F.lit("s").alias("source"))
+    found = pricing.price_sums_in_time(rows, prices)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.groupBy("matches", "rates", "rate_sum").count().collect()] == [(20_000, 20_000, decimal.Decimal(40_000), 20_000)]
+
+
 def test_buckets_let_little_through(spark):
     """Over a whole price history, what buckets let through is at most twice what applies, and nothing is broadcast."""
     quotes = bridge.quotes(spark, SF.replace("0.001", "0.01")).filter("effective_to is not null")
