@@ -199,8 +199,12 @@ def _(t):
 # -- catalogs
 
 
+#: Entries of one document of a catalog, some 5 MB.
+DOCUMENT = 10_000
+
+
 def _catalog(t: Tables, faults: bool = False) -> str:
-    """A catalog document made from parts; returns its path."""
+    """A catalog made from parts, a document a file; returns its folder."""
     part, k = t.spark.read.parquet(f"{t.sf_dir}/part.parquet"), F.col("p_partkey")
     none = F.lit(None).cast("string")
     bad = lambda n, x, y: F.when(k % n == 0, x).otherwise(y) if faults else y
@@ -219,14 +223,18 @@ def _catalog(t: Tables, faults: bool = False) -> str:
     )
     source = lambda i: F.struct(F.lit(f"s{i}").alias("id"), F.lit(f"http{'' if faults and i == 1 else 's'}://example.org/{i}").alias("url"),
         F.lit("2024-01-02").alias("retrieved_at"), F.lit("").alias("notes"))
-    # a catalog is one document, so its entries are one row
-    whole = part.agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), entry.alias("e"))), lambda a,
-            b: (a["k"] - b["k"]).cast("int")).alias("x")).select(
-        F.lit(2 if faults else 1).alias("schema_version"), F.lit("").alias("notes"), F.array(*(source(i) for i in range(3))).alias("sources"),
-        F.transform("x", lambda x: x["e"]).alias("entries")
-    )
+    # a document is one row, so it has a bounded number of entries; the first one tells the sources
+    block = F.floor(k / DOCUMENT)
+    parts = part.select(k.alias("k"), entry.alias("e"), block.alias("block")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", "e")), lambda a,
+            b: (a["k"] - b["k"]).cast("int")).alias("x"))
+    told, none_told = F.array(*(source(i) for i in range(3))), F.array().cast("array<struct<id:string,url:string,retrieved_at:string,notes:string>>")
+    first = F.col("block") == part.agg(F.min(block)).first()[0]
+    whole = parts.select(
+        F.lit(2 if faults else 1).alias("schema_version"), F.lit("").alias("notes"), (F.col("block") * DOCUMENT).alias("first_position"),
+        F.when(first, told).otherwise(none_told).alias("sources"), F.transform("x", lambda x: x["e"]).alias("entries"),
+    )
     path = fresh_dir(t.spark, "catalog")
-    whole.write.json(path)
+    whole.write.option("maxRecordsPerFile", 1).json(path)
     return path
 
 

@@ -12,7 +12,7 @@ from ..functions.columns import CATEGORIES, DIMENSIONS
 from ..schemas import PRICE_COLUMNS, PRICE_KEY, PRICES
 
 CATALOG = (
-    "schema_version int, notes string, sources array<struct<id:string,url:string,retrieved_at:string,notes:string>>, "
+    "schema_version int, notes string, first_position long, sources array<struct<id:string,url:string,retrieved_at:string,notes:string>>, "
     "entries array<struct<provider:string,model_ids:array<string>,model_aliases:array<string>,currency:string,effective_from:string,effective_to:string,"
     "source:string,source_ref:string,dimensions:struct<service_tier:string,speed:string,region:string,processing_mode:string,source_detail:string>,"
     "rates_per_1m_tokens:map<string,decimal(18,6)>,notes:string>>"
@@ -25,12 +25,16 @@ class CatalogError(ValueError):
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON document."""
+    """One row per JSON document, a document a file.
+
+    A long catalog comes in several documents, since one is a single row and thus a single task's: each has a part of the entries
+    and says in ``first_position`` where in the whole it begins; sources may be told by any of them."""
     return spark.read.schema(CATALOG).json(path, multiLine=True)
 
 
 def catalog_entries(catalog: DataFrame) -> DataFrame:
-    return catalog.select(F.posexplode("entries").alias("position", "e")).select("position", "e.*")
+    first = F.coalesce("first_position", F.lit(0).cast("long")) if "first_position" in catalog.columns else F.lit(0).cast("long")
+    return catalog.select(first.alias("_first"), F.posexplode("entries").alias("_pos", "e")).select((F.col("_first") + F.col("_pos")).alias("position"), "e.*")
 
 
 def catalog_prices(catalog: DataFrame) -> DataFrame:
@@ -48,8 +52,9 @@ def catalog_sources(catalog: DataFrame, kind: str = "reviewed") -> DataFrame:
     """Metadata per source label: its first entry wins, the notes of source and entry are joined."""
     refs = catalog.select("schema_version", F.explode("sources").alias("s")).select("schema_version", F.col("s.id").alias("source_ref"),
         F.col("s.url").alias("url"), F.col("s.retrieved_at").alias("at"), F.col("s.notes").alias("source_notes"))
-    first = F.row_number().over(Window.partitionBy("source").orderBy("position"))
-    entries = catalog_entries(catalog).withColumn("_r", first).filter("_r = 1").select("source", "source_ref", F.col("notes").alias("entry_notes"))
+    # the first entry by an aggregate, which tasks begin on their own: a source may have most of all entries
+    entries = catalog_entries(catalog).groupBy("source").agg(F.min(F.struct("position", "source_ref", "notes")).alias("e")).select("source", "e.source_ref",
+        F.col("e.notes").alias("entry_notes"))
     return entries.join(refs, "source_ref").select(
         "source", F.col("url").alias("source_url"), F.col("at").alias("source_retrieved_at"),
         F.col("schema_version").cast("string").alias("catalog_version"),
@@ -67,10 +72,11 @@ def catalog_violations(catalog: DataFrame) -> DataFrame:
     entries = catalog_entries(catalog)
     say = lambda df, when, what, who: df.filter(when).select(F.lit(what).alias("problem"), who.cast("string").alias("subject"))
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    sizes = catalog.agg(*(F.sum(size(c)).alias(c) for c in ("sources", "entries"))).filter("entries is not null")
     keys = catalog_prices(catalog).groupBy(*PRICE_KEY, "currency", "effective_from").agg(F.count(F.lit(1)).alias("n"))
     parts = [
-        say(catalog, F.coalesce(F.col("schema_version"), F.lit(0)) != 1, "unsupported version", F.col("schema_version")),
-        say(catalog, size("sources") == 0, "no sources", F.lit("catalog")), say(catalog, size("entries") == 0, "no entries", F.lit("catalog")),
+        say(catalog.select("schema_version").distinct(), F.coalesce(F.col("schema_version"), F.lit(0)) != 1, "unsupported version", F.col("schema_version")),
+        say(sizes, F.col("sources") == 0, "no sources", F.lit("catalog")), say(sizes, F.col("entries") == 0, "no entries", F.lit("catalog")),
         say(sources.groupBy("id").count(), F.col("count") > 1, "repeated source id", F.col("id")),
         say(sources, _blank(F.col("id")), "blank source id", F.col("url")),
         say(sources, ~F.coalesce(F.col("url").startswith("https://"), F.lit(False)), "source url is not https", F.col("id")),

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from meterlake import streaming
 from meterlake.operators import pricing, reports
 from meterlake.operators.components import explode_components
+from meterlake.plans import log_queries
+from meterlake.plans.queries import Tables
 from meterlake.schemas import PRICES
 from meterlake.sources import bridge, catalog, sinks
 
@@ -72,6 +74,29 @@ def test_catalog_import(spark, tmp_path):
     assert prices.count() == 4 and sources.first()["notes"] == "n; e" and sources.first()["source_kind"] == "reviewed"
 
 
+def test_a_catalog_in_documents_is_one_catalog(spark, tmp_path):
+    """Positions run on over documents, sources are told once, the header counts once, and no document is a task's alone to hold."""
+    one, two = document(), document(model_ids=["m3"], notes="later")
+    more = {"schema_version": 1, "first_position": 1, "entries": two["entries"]}
+    for i, x in enumerate((more, one)):
+        (tmp_path / f"{i}.json").write_text(json.dumps(x))
+    prices, sources = catalog.import_catalog(spark, str(tmp_path), frame(spark), bridge.sources(spark).limit(0))
+    assert prices.count() == 6 and [r["notes"] for r in sources.collect()] == ["n; e"]
+    whole = catalog.read_catalog(spark, str(tmp_path))
+    assert sorted(r["position"] for r in catalog.catalog_entries(whole).collect()) == [0, 1]
+    wrong = whole.withColumns({"schema_version": F.lit(2), "sources": F.col("sources").cast("array<struct<id:string,url:string,retrieved_at:string,notes:string>>")})
+    assert [r["problem"] for r in catalog.catalog_violations(wrong).collect()] == ["unsupported version"]
+
+
+def test_made_catalogs_are_no_single_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(log_queries, "DOCUMENT", 20)
+    whole = catalog.read_catalog(spark, log_queries._catalog(Tables(spark, SF)))
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert whole.count() >= n // 20 and whole.agg(F.max(F.size("entries"))).first()[0] <= 20
+    assert sum(r["n"] for r in whole.select(F.size("entries").alias("n")).collect()) == n
+    assert len({r["position"] for r in catalog.catalog_entries(whole).select("position").collect()}) == n
+
+
 @pytest.mark.parametrize("change", [{"source_ref": "other"}, {"model_ids": []}, {"rates_per_1m_tokens": {}}, {"source": " "}])
 def test_bad_catalogs_are_refused(spark, tmp_path, change):
     path = tmp_path / "catalog.json"
