@@ -44,8 +44,8 @@ def dirty_days(usage: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def _write(rows: DataFrame, store: str, mode: str) -> None:
-    # no session setting says which partitions are replaced
-    rows.repartition("provider", "usage_date").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("provider", "usage_date").parquet(
+    # a busy day is split over several tasks and files; no session setting says which partitions are replaced
+    rows.hint("rebalance", "provider", "usage_date").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("provider", "usage_date").parquet(
         f"{store}/costs")
 
 
@@ -66,10 +66,13 @@ def reprice_stored(usage: DataFrame, prices: DataFrame, store: str) -> int:
     changes = changed_prices(old, prices)
     if generation and changes.isEmpty():
         return generation
-    days = dirty_days(usage, changes) if generation else usage.select("provider", F.to_date("timestamp").alias("usage_date")).distinct()
-    rows = usage.withColumn("usage_date", F.to_date("timestamp")).join(days, ["provider", "usage_date"], "left_semi").drop("usage_date")
+    rows = usage.withColumn("usage_date", F.to_date("timestamp")).filter("provider is not null and usage_date is not null")
+    if generation:
+        # a row per provider and day at most; usage is not dealt by day, of which there may be few and busy ones
+        rows = rows.join(F.broadcast(dirty_days(usage, changes)), ["provider", "usage_date"], "left_semi")
+    rows = rows.drop("usage_date")
     _write(_costs(rows, prices, generation + 1), store, "overwrite")
-    prices.select(*PRICE_COLUMNS).coalesce(1).write.mode("overwrite").parquet(f"{store}/prices/generation={generation + 1}")
+    prices.select(*PRICE_COLUMNS).hint("rebalance").write.mode("overwrite").parquet(f"{store}/prices/generation={generation + 1}")
     return generation + 1
 
 
