@@ -212,6 +212,12 @@ def request_costs(usage: DataFrame, components: DataFrame, prices: DataFrame, ge
     )
 
 
+def usage_costs(usage: DataFrame, prices: DataFrame, generation: int = 1) -> DataFrame:
+    """``request_costs`` for the components that usage gives rise to: each request is priced where it is read, so that no task
+    holds the components of others."""
+    return priced_usage(usage, prices).select(*USAGE_KEY, "exact", "status", F.lit(generation).alias("pricing_generation"), why(F.col("status")).alias("detail"))
+
+
 def with_usd(costs: DataFrame) -> DataFrame:
     return costs.withColumn("cost_usd", usd("exact")).drop("exact")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meterlake import streaming
 from meterlake.operators import components, pricing, stored_costs
+from meterlake.plans.queries import QUERIES
 from meterlake.schemas import PRICE_KEY, PRICES
 from meterlake.sources import bridge, catalog
 
@@ -237,3 +238,21 @@ def test_running_sums_price_like_components(spark):
     # no prices at all
     none = Counter(r["status"] for r in pricing.priced_usage(usage, prices.limit(0)).collect())
     assert set(none) <= {"missing", "integrity", "priced"} and none["missing"] > 0
+
+
+def test_a_busy_day_is_not_one_tasks(spark, tmp_path):
+    usage, prices = bridge.usage(spark, SF).withColumn("timestamp", F.lit(day(3)).cast("timestamp")), bridge.prices(spark)
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512")
+        stored_costs.reprice_stored(usage.repartition(8), prices, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(glob.glob(f"{tmp_path}/costs/provider=codex/usage_date=2024-01-04/*.parquet")) > 1
+    want = Counter((r["request_id"], r["exact"]) for r in pricing.priced_usage(usage, prices).collect())
+    assert Counter((r["request_id"], r["exact"]) for r in stored_costs.stored_costs(spark, str(tmp_path)).collect()) == want
+
+
+def test_repriced_requests_are_not_shuffled(spark):
+    plan = QUERIES["J14_reprice"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(provider" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "request_id" in x]
