@@ -30,6 +30,19 @@ def _write_lines(rows: DataFrame, name: str, *order: str) -> str:
     return root
 
 
+#: Events whose lines go to one file of a folder.
+EVENTS = 200_000
+
+
+def _write_files(t: Tables, rows: DataFrame, name: str, *order: str) -> str:
+    """Lines, for each value of ``p`` a folder with a file for every ``EVENTS`` events or so, each in order; returns the folder."""
+    root = fresh_dir(rows.sparkSession, name)
+    blocks = bridge.events(t.spark, t.sf_dir).count() // EVENTS + 1
+    kept = rows.repartition(4 * blocks, "p", F.floor(F.col("event_id") / EVENTS)).sortWithinPartitions("p", *order).select("p", "line")
+    kept.write.partitionBy("p").text(f"{root}/projects")
+    return root
+
+
 def _claude_lines(t: Tables) -> DataFrame:
     """Two lines for each event, the second one with more output; one in ten is broken, foreign, negative, synthetic or nameless."""
     i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("long")
@@ -79,7 +92,7 @@ KEPT = "SELECT * FROM states WHERE state = 'kept' AND copy = 1"
 
 @query("S1_S3_line_states", O.base(LINES) + " SELECT 'p=app' || (user_id % 4) AS folder, state, count(*) AS n FROM states GROUP BY ALL")
 def _(t):
-    root = _write_lines(_claude_lines(t), "claude-logs", "event_id", "copy")
+    root = _write_files(t, _claude_lines(t), "claude-logs", "event_id", "copy")
     parsed = logs.parse_claude(logs.discover(t.spark, root, GLOB))
     return parsed.groupBy(F.regexp_extract("path", "(p=app[0-9])", 1).alias("folder"), "state").agg(F.count(F.lit(1)).alias("n"))
 
@@ -87,7 +100,7 @@ def _(t):
 @query("S2_S4_claude_records", O.base(LINES) + f""" SELECT 'req-' || i AS request_id, 'sess-' || user_id AS session_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, 'claude-opus-' || (i % 3) AS model_id, i % 1000 AS input_tokens, k * 7 + 5 AS output_tokens,
 i % 3 + i % 2 AS cache_creation_tokens, CASE WHEN i % 4 = 0 THEN 'priority' END AS service_tier, 'p=app' || (user_id % 4) AS project, false AS is_subagent FROM ({KEPT})""")
 def _(t):
-    root = _write_lines(_claude_lines(t), "claude-logs", "event_id", "copy")
+    root = _write_files(t, _claude_lines(t), "claude-logs", "event_id", "copy")
     kept = logs.kept_records(logs.parse_claude(logs.discover(t.spark, root, GLOB)), "claude-code")
     return kept.select("request_id", "session_id", audit.text_of(F.col("timestamp")).alias("at"), "model_id", "input_tokens", "output_tokens",
         "cache_creation_tokens", "service_tier", "project", "is_subagent")

@@ -60,16 +60,21 @@ def raw_lines(spark: SparkSession, root: str | list[str], glob: str = "*.jsonl",
         F.monotonically_increasing_id().alias("seq"), "value")
 
 
+#: Lines placed together, as a power of two, and bytes of logs that one task places.
+CHUNK_BITS, TASK_BYTES = 14, 16 << 20
+
+
 def read(files: DataFrame, root: str | None = None, glob: str = "*") -> DataFrame:
     """``files`` with their lines: split, value, pos, start (in bytes), ended (by a line feed); one row with a null value for
     a file that can't be read, which does not stop the others.
 
-    A line's offset is what earlier splits of its file hold, a running sum over a row per split, and what earlier lines of
-    its split do.  No task holds more than a split, and the paths to read stay in a table.  What a file has gained since
-    it was listed waits.  Without a ``root`` the folders of the files are read.
+    A line's offset is what earlier chunks of its file hold, a running sum over a row per chunk, and what earlier lines of
+    its chunk do.  A chunk is some lines in a row of one split; ``split`` tells where it starts.  As many tasks deal with
+    chunks as the files' size asks for, whatever their text shrinks to in a shuffle, and the paths to read stay in a table.
+    What a file has gained since it was listed waits.  Without a ``root`` the folders of the files are read.
     """
     spark = files.sparkSession
-    least = files.agg(F.min("mtime")).first()[0]
+    least, held = files.agg(F.min("mtime"), F.coalesce(F.sum("size"), F.lit(0))).first()
     where = root or sorted(r[0] for r in files.select(F.regexp_extract("path", "^(.*)/", 1)).distinct().collect())
     kinds = "path string, split long, seq long, value string"
     try:
@@ -78,21 +83,23 @@ def read(files: DataFrame, root: str | None = None, glob: str = "*") -> DataFram
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         raw = spark.createDataFrame([], kinds)
-    whole, before = Window.partitionBy("path"), Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    chunk = ["path", "split", "_chunk"]
+    raw = raw.withColumn("_chunk", F.shiftright("seq", CHUNK_BITS))
+    whole, before = Window.partitionBy("path"), Window.partitionBy("path").orderBy("split", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
     zero, size = F.lit(0).cast("long"), F.octet_length("value") + 1
-    sums = raw.groupBy("path", "split").agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_bytes"))
-    sums = sums.select("path", "split", F.sum("_bytes").over(whole).alias("_total"), F.coalesce(F.sum("_n").over(before), zero).alias("_lines"),
+    sums = raw.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_bytes"))
+    sums = sums.select(*chunk, F.sum("_bytes").over(whole).alias("_total"), F.coalesce(F.sum("_n").over(before), zero).alias("_lines"),
         F.coalesce(F.sum("_bytes").over(before), zero).alias("_start"))
     # readers drop a mark of three bytes at a file's start
     mark = F.when(F.col("size") - F.col("_total") >= 2, 3).otherwise(0)
     placed = files.join(sums, "path", "left").withColumn("_start", F.col("_start") + mark)
     there = F.coalesce(F.col("_total") + 3 >= F.col("size"), F.lit(False))
-    inside = Window.partitionBy("path", "split").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = raw.join(placed.filter(there), ["path", "split"])
+    inside = Window.partitionBy(*chunk).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = raw.join(placed.filter(there), chunk).repartition(max(1, -(-held // TASK_BYTES)), *chunk)
     pos = F.col("_lines") + F.coalesce(F.count(F.lit(1)).over(inside), zero)
     start = F.col("_start") + F.coalesce(F.sum(size).over(inside), zero)
     out = [*files.columns, "split", "value", "pos", "start", "ended"]
-    found = rows.withColumns({"pos": pos, "start": start}).withColumn("ended", F.col("start") + size <= F.col("size")).filter("start < size").select(*out)
+    found = rows.withColumns({"pos": pos, "start": start}).withColumn("split", F.col("_start")).withColumn("ended", F.col("start") + size <= F.col("size")).filter("start < size").select(*out)
     # one row for each file without lines
     rest = placed.filter(~there).select(*files.columns).distinct()
     return found.unionByName(rest.select(*files.columns, zero.alias("split"), F.lit(None).cast("string").alias("value"), zero.alias("pos"), zero.alias("start"),
