@@ -500,3 +500,16 @@ def test_lm_beginnings_are_shared():
         for place, w in zip(edges.own, edges.sums(weight), strict=True):
             shared[ctx[place], edges.data[place]] += w
         assert whole == shared
+
+
+def test_contexts_that_share_a_slot_all_guess(spark):
+    """16 slots for hundreds of contexts: none is lost, so that guesses are those of a table with room for all."""
+    texts = [" ".join(f"w{(i * k) % 97} v{(i * k) % 97}" for i in range(200)) for k in range(1, 20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    successors = lm.usual_successors(docs, "text", F.lit(True), lm.counted(docs, "text", F.lit(True)))
+    guesses, words = lm.learn_guesses(successors), lm.Words.of([t.encode() for t in texts])
+    few, many = (lm.Contexts.of(successors, guesses, bits) for bits in (4, 21))
+    assert len(few.check) == 16 and len(few.rest[0]) > 100
+    for a, b in zip(few.guess(words), many.guess(words), strict=True):
+        assert (a == b).all()
+    assert many.guess(words)[0].sum() > 1000
