@@ -22,10 +22,17 @@ BATCH_FILES = 8
 STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
+#: Events whose lines are put in order together.
+BLOCK = 4096
+
+
 def _write_lines(rows: DataFrame, name: str, *order: str) -> str:
-    """Lines, one file per value of ``p``, in order; returns the folder."""
+    """Lines, one file per value of ``p``, in order; returns the folder.
+
+    Many tasks put blocks of lines in order; the one that writes a file only strings its blocks together."""
     root = fresh_dir(rows.sparkSession, name)
-    kept = rows.repartition("p").sortWithinPartitions("p", *order).select("p", "line")
+    blocks = rows.groupBy("p", F.floor(F.col("event_id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct(*order, "line"))).alias("x"))
+    kept = blocks.select("p", "block", F.array_join("x.line", "\n").alias("line")).repartition("p").sortWithinPartitions("p", "block").select("p", "line")
     kept.write.partitionBy("p").text(f"{root}/projects")
     return root
 

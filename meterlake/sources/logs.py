@@ -61,20 +61,18 @@ def raw_lines(spark: SparkSession, root: str | list[str], glob: str = "*.jsonl",
 
 
 #: Lines placed together, as a power of two, and bytes of logs that one task places.
-CHUNK_BITS, TASK_BYTES = 14, 16 << 20
+CHUNK_BITS, TASK_BYTES = 12, 16 << 20
+CHUNK = ["path", "split", "_chunk"]
 
 
-def read(files: DataFrame, root: str | None = None, glob: str = "*") -> DataFrame:
-    """``files`` with their lines: split, value, pos, start (in bytes), ended (by a line feed); one row with a null value for
-    a file that can't be read, which does not stop the others.
+def places(files: DataFrame, root: str | None = None, glob: str = "*") -> tuple[DataFrame, DataFrame]:
+    """The raw lines in ``CHUNK``s, and ``files`` with a row for each of their chunks: lines and bytes of the file before it, and
+    whether the file is ``there``.  A file that can't be read has one row.
 
-    A line's offset is what earlier chunks of its file hold, a running sum over a row per chunk, and what earlier lines of
-    its chunk do.  A chunk is some lines in a row of one split; ``split`` tells where it starts.  As many tasks deal with
-    chunks as the files' size asks for, whatever their text shrinks to in a shuffle, and the paths to read stay in a table.
-    What a file has gained since it was listed waits.  Without a ``root`` the folders of the files are read.
+    A chunk is some lines in a row of one split.  Without a ``root`` the folders of the files are read.
     """
     spark = files.sparkSession
-    least, held = files.agg(F.min("mtime"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    least = files.agg(F.min("mtime")).first()[0]
     where = root or sorted(r[0] for r in files.select(F.regexp_extract("path", "^(.*)/", 1)).distinct().collect())
     kinds = "path string, split long, seq long, value string"
     try:
@@ -83,36 +81,61 @@ def read(files: DataFrame, root: str | None = None, glob: str = "*") -> DataFram
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         raw = spark.createDataFrame([], kinds)
-    chunk = ["path", "split", "_chunk"]
     raw = raw.withColumn("_chunk", F.shiftright("seq", CHUNK_BITS))
     whole, before = Window.partitionBy("path"), Window.partitionBy("path").orderBy("split", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    zero, size = F.lit(0).cast("long"), F.octet_length("value") + 1
-    sums = raw.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_bytes"))
-    sums = sums.select(*chunk, F.sum("_bytes").over(whole).alias("_total"), F.coalesce(F.sum("_n").over(before), zero).alias("_lines"),
+    zero = F.lit(0).cast("long")
+    sums = raw.groupBy(*CHUNK).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.octet_length("value") + 1).alias("_bytes"))
+    sums = sums.select(*CHUNK, F.sum("_bytes").over(whole).alias("_total"), F.coalesce(F.sum("_n").over(before), zero).alias("_lines"),
         F.coalesce(F.sum("_bytes").over(before), zero).alias("_start"))
     # readers drop a mark of three bytes at a file's start
     mark = F.when(F.col("size") - F.col("_total") >= 2, 3).otherwise(0)
-    placed = files.join(sums, "path", "left").withColumn("_start", F.col("_start") + mark)
     there = F.coalesce(F.col("_total") + 3 >= F.col("size"), F.lit(False))
-    inside = Window.partitionBy(*chunk).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = raw.join(placed.filter(there), chunk).repartition(max(1, -(-held // TASK_BYTES)), *chunk)
-    pos = F.col("_lines") + F.coalesce(F.count(F.lit(1)).over(inside), zero)
-    start = F.col("_start") + F.coalesce(F.sum(size).over(inside), zero)
-    out = [*files.columns, "split", "value", "pos", "start", "ended"]
-    found = rows.withColumns({"pos": pos, "start": start}).withColumn("split", F.col("_start")).withColumn("ended", F.col("start") + size <= F.col("size")).filter("start < size").select(*out)
-    # one row for each file without lines
-    rest = placed.filter(~there).select(*files.columns).distinct()
-    return found.unionByName(rest.select(*files.columns, zero.alias("split"), F.lit(None).cast("string").alias("value"), zero.alias("pos"), zero.alias("start"),
-        F.lit(False).alias("ended")))
+    return raw, files.join(sums, "path", "left").withColumns({"_start": F.col("_start") + mark, "there": there}).drop("_total")
+
+
+def placed_lines(raw: DataFrame, placed: DataFrame) -> DataFrame:
+    """The lines of files that are there: split, value, pos, start (in bytes), ended (by a line feed).
+
+    A line's offset is what earlier chunks of its file hold and what earlier lines of its chunk do; ``split`` tells where its chunk
+    starts.  As many tasks deal with chunks as the files' size asks for, whatever their text shrinks to in a shuffle, of which there
+    is one.  What a file has gained since it was listed waits.
+    """
+    held = placed.select("path", "size").distinct().agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    size = F.octet_length("value") + 1
+    inside = Window.partitionBy(*CHUNK).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    # placed within a chunk before chunks are placed, so that the join finds its order made
+    own = raw.repartition(max(1, -(-held // TASK_BYTES)), *CHUNK).withColumns({"_nth": F.row_number().over(inside) - 1,
+            "_at": F.sum(size).over(inside) - size})
+    pos, start = F.col("_lines") + F.col("_nth"), F.col("_start") + F.col("_at")
+    out = [*(c for c in placed.columns if c not in ("split", "_chunk", "_lines", "_start", "there")), "split", "value", "pos", "start", "ended"]
+    rows = own.join(placed.filter("there"), CHUNK).withColumns({"pos": pos, "start": start})
+    return rows.withColumns({"split": F.col("_start"), "ended": F.col("start") + size <= F.col("size")}).filter("start < size").select(*out)
+
+
+def opened(files: list[str], placed: DataFrame) -> DataFrame:
+    """One row a file, with a null ``value`` if it can't be read."""
+    return placed.groupBy(*files).agg(F.when(F.max("there"), "").alias("value"))
+
+
+def read(files: DataFrame, root: str | None = None, glob: str = "*") -> DataFrame:
+    """``files`` with their lines, as ``placed_lines`` gives them; one row with a null value for a file that can't be read, which
+    does not stop the others."""
+    raw, placed = places(files, root, glob)
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    rest = placed.filter("not there").select(*files.columns).distinct()
+    return placed_lines(raw, placed).unionByName(rest.select(*files.columns, zero.alias("split"), none.alias("value"), zero.alias("pos"),
+        zero.alias("start"), F.lit(False).alias("ended")))
 
 
 def discover(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
     """Every log file below a directory with its lines, as ``read`` gives them."""
-    return read(listing(spark, root, glob), root, glob)
+    return read(file_columns(listing(spark, root, glob)), root, glob)
 
 
 def file_columns(files: DataFrame) -> DataFrame:
-    return files.withColumn("project", project_from_dir("path")).withColumn("is_subagent", F.coalesce(is_subagent("path"), F.lit(False)))
+    """What a path tells, worked out for files rather than for each of their lines."""
+    return files.withColumns({"project": project_from_dir("path"), "is_subagent": F.coalesce(is_subagent("path"), F.lit(False)),
+            "file_session": session_from_path("path")})
 
 
 def changed(files: DataFrame, manifest: DataFrame, provider: str) -> DataFrame:
@@ -173,15 +196,18 @@ def _count(v: Column, path: str) -> Column:
 
 def parse_claude(files: DataFrame) -> DataFrame:
     """Lines of the first provider, each ``kept``, ``skipped``, ``bad`` or a ``tail`` still being written."""
-    rows = resumed(lines(file_columns(files)))
+    rows = resumed(lines(files if "file_session" in files.columns else file_columns(files)))
     v = F.try_parse_json("line")
     rows = rows.withColumn("j", F.from_json("line", CLAUDE, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})).withColumn("v", v)
     u = "$.message.usage"
     counts = [f"{u}.{c}" for c in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens",
             "cache_creation.ephemeral_5m_input_tokens", "cache_creation.ephemeral_1h_input_tokens")]
-    wrong = F.lit(False)
+    # a count that is no whole number makes a line corrupt to begin with; a null one is told from none by the variant alone
+    below, absent = F.lit(False), F.lit(False)
     for c in counts:
-        wrong = wrong | F.coalesce(_count(F.col("v"), c), F.lit(-1)).__lt__(0)
+        below = below | F.coalesce(F.col(f"j{c[1:]}") < 0, F.lit(False))
+        absent = absent | F.coalesce(F.is_variant_null(F.variant_get("v", c, "variant")), F.lit(False))
+    wrong = below | (F.col("line").contains("null") & absent)
     kind = F.variant_get("v", "$.type", "variant")
     ts = F.col("j.timestamp")
     bad = (
@@ -199,7 +225,7 @@ def parse_claude(files: DataFrame) -> DataFrame:
     out = rows.withColumn("state", state).select(
         "path", "size", "mtime", "offset" if "offset" in files.columns else F.lit(0).alias("offset"), "pos", "start", "state",
         F.lit("claude-code").alias("provider"),
-        F.col("j.requestId").alias("request_id"), F.coalesce(F.col("j.sessionId"), session_from_path("path")).alias("session_id"),
+        F.col("j.requestId").alias("request_id"), F.coalesce(F.col("j.sessionId"), F.col("file_session")).alias("session_id"),
         F.col("j.uuid").alias("uuid"), F.try_to_timestamp(ts).alias("timestamp"),
         classify_family(m["model"]).alias("model_family"), m["model"].alias("model_id"), n(usage["input_tokens"]).alias("input_tokens"),
         n(usage["output_tokens"]).alias("output_tokens"),
@@ -231,7 +257,7 @@ def first_wins(records: DataFrame) -> DataFrame:
 
 def parse_codex(files: DataFrame) -> DataFrame:
     """Lines of the second provider; session, directory, model and mode carry forward within a file."""
-    rows = lines(files).withColumn("v", F.try_parse_json("line"))
+    rows = lines(files if "file_session" in files.columns else file_columns(files)).withColumn("v", F.try_parse_json("line"))
     g = lambda p: F.try_variant_get("v", p, "string")
     ts = g("$.timestamp")
     bad = F.col("v").isNull() | F.coalesce(_types(F.variant_get("v", "$.type", "variant")) != "STRING", F.lit(True)) | F.variant_get("v", "$.payload",
@@ -263,7 +289,7 @@ def parse_codex(files: DataFrame) -> DataFrame:
     state = F.when(F.col("bad"), F.when(F.col("ended"), "bad").otherwise("tail")).when(F.coalesce(keep, F.lit(False)), "kept").otherwise("skipped")
     mode = processing_mode(F.try_variant_get("u", "$.processing_mode", "string"), g("$.payload.info.processing_mode"),
         g("$.payload.response.processing_mode"), g("$.payload.processing_mode"), F.col("s_mode"))
-    session = F.coalesce("s_session", session_from_path("path"))
+    session = F.coalesce("s_session", "file_session")
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
     out = rows.withColumn("state", state).withColumns({"n_in": n_in, "n_out": n_out, "n_cached": cached, "n_reason": reason, "mode": mode,
             "session_id": session})
@@ -287,8 +313,12 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"claude-code": parse_cla
 
 
 def kept_records(parsed: DataFrame, provider: str) -> DataFrame:
-    rows = parsed.filter("state = 'kept'")
-    return first_wins(max_output_wins(rows) if provider == "claude-code" else rows)
+    """Per key the first record by path and position; of the first provider's, that of its file with most output.
+
+    A request's records of its first file, most output first, begin with what ``first_wins`` finds after ``max_output_wins``."""
+    order = ["path", F.desc("output_tokens"), "pos"] if provider == "claude-code" else ["path", "pos"]
+    none_before = F.lag(F.lit(1)).over(Window.partitionBy(*USAGE_KEY).orderBy(*order)).isNull()
+    return parsed.filter("state = 'kept'").withColumn("_first", none_before).filter("_first").drop("_first")
 
 
 def invalid_records(records: DataFrame) -> DataFrame:
@@ -442,26 +472,32 @@ def ingest(spark: SparkSession, roots: dict[str, str], store: str, rebuild: bool
             delete(spark, f"{store}/{table}/version={version}")
         log = upsert_manifest(stored_manifest(spark, store).limit(0), stored_manifest(spark, store)).filter(F.col("provider") == provider)
         found = listing(spark, root, glob)
-        files = read(changed(found, log.limit(0) if rebuild else log, provider), root, glob).persist()
-        parsed = PARSERS[provider](files.filter("value is not null")).persist()
+        due = changed(found, log.limit(0) if rebuild else log, provider)
+        raw, placed = places(file_columns(due), root, glob)
+        placed = placed.persist()
+        files = opened(due.columns, placed)
+        parsed = PARSERS[provider](placed_lines(raw, placed)).filter("state != 'skipped'").persist()
         records = kept_records(parsed, provider)
-        validate(records)
+        if invalid_records(parsed.filter("state = 'kept'")).count():  # else none of the records is
+            validate(records)
         stored = stored_usage(spark, store).filter(F.col("provider") == provider)
-        fresh = new_records(records, stored.limit(0) if rebuild else stored).withColumn("usage_date", F.to_date("timestamp")).persist()
+        fresh = new_records(records, stored.limit(0) if rebuild else stored).withColumn("usage_date", F.to_date("timestamp"))
+        # days are dealt to tasks by their size, so that there is no file for each task and day
+        fresh.hint("rebalance", "usage_date").write.partitionBy("provider", "usage_date").parquet(f"{store}/usage/version={version}")
+        written = stored_table(spark, f"{store}/usage/version={version}", f"{USAGE}, usage_date date")
         now = spark.range(1).select(F.current_timestamp()).first()[0]
         done = consumed(parsed, files.filter("value is not null")).select(F.lit(provider).alias("provider"), "path", "size", "mtime", "consumed",
-            F.lit(now).alias("ingested_at")).persist()
+            F.lit(now).alias("ingested_at"))
         before = log.agg(F.max("ingested_at")).first()[0]
         last = F.when((F.col("processed") > 0), F.lit(now)).otherwise(F.lit(before).cast("timestamp"))
-        report = spark.createDataFrame(ingest_report(provider, found, files, parsed, fresh, last).collect(), REPORT)
-        fresh.write.partitionBy("provider", "usage_date").parquet(f"{store}/usage/version={version}")
+        report = spark.createDataFrame(ingest_report(provider, found, files, parsed, written, last).collect(), REPORT)
         done.write.partitionBy("provider").parquet(f"{store}/manifest/version={version}")
         if rebuild:
             spark.createDataFrame([(provider,)], "provider string").write.parquet(f"{store}/rebuilt/version={version}")
         publish(spark, store, version)
         if rebuild:
             compact(spark, store)
-        for df in (files, parsed, fresh, done):
+        for df in (placed, parsed):
             df.unpersist()
         reports = report if reports is None else reports.unionByName(report)
     return reports

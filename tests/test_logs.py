@@ -258,3 +258,19 @@ def test_carried_in_chunks(spark, keys):
     whole = logs.carried(df, keys, ["i"], {"v": "x", "w": "y"}).orderBy("i").collect()
     for size in (1, 7, 600):
         assert logs.carried(df, keys, ["i"], {"v": "x", "w": "y"}, F.floor(F.col("i") / size)).orderBy("i").collect() == whole
+
+
+def test_a_day_of_a_small_ingest_is_one_file(spark, tmp_path):
+    """Files of usage grow with days and bytes, not with days times tasks."""
+    root, store = tmp_path / "logs", str(tmp_path / "store")
+    for p in range(3):
+        write(root / "projects" / f"p{p}" / "a.jsonl", [claude(f"r{p}-{i}", ts=f"2025-03-{1 + i % 5:02d}T05:06:07Z") for i in range(60)])
+    assert logs.ingest(spark, {"claude-code": str(root)}, store).first()["inserted"] == 180
+    assert len(list((tmp_path / "store" / "usage").rglob("*.parquet"))) == 5
+
+
+def test_one_order_finds_the_first_file_and_its_most_output(spark):
+    rng = random.Random(2)
+    rows = [("claude-code", f"r{rng.randrange(40)}", f"/p{rng.randrange(4)}", i, rng.randrange(5), "kept") for i in range(500)]
+    df = spark.createDataFrame(rows, "provider string, request_id string, path string, pos long, output_tokens long, state string")
+    assert sorted(logs.kept_records(df, "claude-code").collect()) == sorted(logs.first_wins(logs.max_output_wins(df)).collect())
