@@ -14,6 +14,8 @@ PERIODS = ("5min", "hourly", "daily", "monthly", "yearly")
 LABELS = {"5min": "yyyy-MM-dd HH:mm", "hourly": "yyyy-MM-dd HH:00", "daily": "yyyy-MM-dd", "monthly": "yyyy-MM", "yearly": "yyyy"}
 #: Fixed value: an RFC 3339 instant, its offset spelt out.
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+#: Fixed value: the one of them that ``format_utc`` writes.
+CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.(?!000)\d{3}|\.\d{3}(?!000)\d{3})?\+00:00\z"
 
 
 def col(c: Column | str) -> Column:
@@ -49,15 +51,21 @@ def parse_instant(text: Column | str) -> Column:
 
 
 def utc_problem(text: Column | str) -> Column:
-    """Why a text is no canonical UTC timestamp: invalid, not_utc or not_canonical; null if it is one."""
+    """Why a text is no canonical UTC timestamp: invalid, not_utc or not_canonical; null if it is one.
+
+    A text that has the canonical shape and names an instant is what that instant is written as, so nothing is written to see it.
+    """
     t = col(text)
-    ts = parse_instant(t)
     utc = t.rlike(r"([Zz]|[+-]00:00)$")
-    return F.when(ts.isNull(), "invalid").when(~utc, "not_utc").when(t != format_utc(ts), "not_canonical")
+    return (
+        F.when(is_canonical_utc(t), F.lit(None).cast("string")).when(parse_instant(t).isNull(), "invalid").when(~utc, "not_utc")
+        .otherwise("not_canonical")
+    )
 
 
 def is_canonical_utc(text: Column | str) -> Column:
-    return col(text).isNotNull() & utc_problem(text).isNull()
+    t = col(text)
+    return F.coalesce(t.rlike(CANONICAL) & F.try_to_timestamp(t).isNotNull(), F.lit(False))
 
 
 def total_tokens() -> Column:

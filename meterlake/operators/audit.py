@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import CATEGORIES, DIMENSIONS, PROVIDERS, dimension_suffix, parse_instant, utc_problem
+from ..functions.columns import CATEGORIES, DIMENSIONS, PROVIDERS, billable_tokens, dimension_suffix, is_canonical_utc, parse_instant
 from ..schemas import PRICE_KEY, USAGE_KEY
 from .components import expected_components, key_set
 from .explain import STALE_DAYS
-from .pricing import same_key
+from .pricing import in_force, same_key
 from .reports import numbered
 
 SEVERITIES = ("Info", "Warning", "Error")
@@ -62,7 +62,7 @@ def price_row_problems(raw: DataFrame) -> DataFrame:
     """Problems of raw price rows, all columns being text: several per row are possible."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     c = F.col
-    rate = c("rate_per_1m_tokens").try_cast("double")
+    rate = c("_rate")
     start, end = parse_instant("effective_from"), parse_instant("effective_to")
     checks = [
         *(F.when(blank(c(x)), F.lit(f"blank {x}")) for x in ("provider", "model_id", "token_category", "currency", "source")),
@@ -70,12 +70,13 @@ def price_row_problems(raw: DataFrame) -> DataFrame:
         F.when(rate.isNull() | F.isnan(rate), F.lit("rate is no number")), F.when(rate < 0, F.lit("rate is negative")),
         F.when(~blank(c("provider")) & ~c("provider").isin(*PROVIDERS), F.lit("unsupported provider")),
         F.when(~blank(c("token_category")) & ~c("token_category").isin(*CATEGORIES), F.lit("unsupported category")),
-        F.when(F.coalesce(utc_problem("effective_from"), F.when(c("effective_from").isNull(), F.lit("invalid"))).isNotNull(),
-            F.lit("effective_from is not canonical")),
-        F.when(c("effective_to").isNotNull() & utc_problem("effective_to").isNotNull(), F.lit("effective_to is not canonical")),
+        F.when(~is_canonical_utc("effective_from"), F.lit("effective_from is not canonical")),
+        F.when(c("effective_to").isNotNull() & ~is_canonical_utc("effective_to"), F.lit("effective_to is not canonical")),
         F.when(end <= start, F.lit("effective_to is not after effective_from")),
     ]
-    return raw.select("*", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("problem"))
+    # checks that found nothing are dropped after the explosion: a filter of an array is not compiled
+    rated = raw.withColumn("_rate", c("rate_per_1m_tokens").try_cast("double"))
+    return rated.select("*", F.explode(F.array(*checks)).alias("problem")).filter("problem is not null").drop("_rate")
 
 
 def malformed_prices(raw: DataFrame) -> DataFrame:
@@ -95,10 +96,9 @@ def usage_row_problems(raw: DataFrame) -> DataFrame:
     checks = [
         F.when(~F.coalesce(F.col("provider"), F.lit("")).isin(*PROVIDERS), F.lit("UnsupportedProvider")),
         F.when(~F.coalesce(F.col("token_category"), F.lit("")).isin(*CATEGORIES), F.lit("UnsupportedCategory")),
-        F.when(F.coalesce(utc_problem("timestamp"), F.when(F.col("timestamp").isNull(), F.lit("invalid"))).isNotNull(),
-            F.lit("MalformedUsageTimestamp")),
+        F.when(~is_canonical_utc("timestamp"), F.lit("MalformedUsageTimestamp")),
     ]
-    rows = raw.select("*", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("_kind"))
+    rows = raw.select("*", F.explode(F.array(*checks)).alias("_kind")).filter("_kind is not null")
     return rows.select(*finding("Error", F.col("_kind"), F.col("timestamp"), remedy="correct or remove the usage row"))
 
 
@@ -151,18 +151,29 @@ def unsupported_modifiers(components: DataFrame, prices: DataFrame) -> DataFrame
         "left_anti").select(*finding("Error", "UnsupportedModifier", remedy="add prices for these dimensions"))
 
 
+def observed_prices(components: DataFrame, prices: DataFrame) -> DataFrame:
+    """First and last use of every pricing key at each price that it was charged at, whatever the currency; ``charged`` is null
+    where no price was in force.  All that an audit asks of usage against prices follows from these few rows."""
+    picked = prices.select(*PRICE_KEY, "effective_from", "effective_to", "source", F.lit(True).alias("charged")).alias("p")
+    met = components.alias("c").join(picked, same_key("c", "p", None) & in_force("c", "p"), "left")
+    return met.groupBy(*(F.col(f"c.{c}") for c in PRICE_KEY), "p.effective_from", "p.effective_to", "p.source", "p.charged").agg(
+        F.min("c.timestamp").alias("first_at"), F.max("c.timestamp").alias("last_at"))
+
+
 def used_sources(components: DataFrame, prices: DataFrame, sources: DataFrame) -> DataFrame:
     """Prices that usage was charged at, whatever their currency, with what is known of their source."""
-    picked = prices.alias("p")
-    t, to = F.col("c.timestamp"), F.col("p.effective_to")
-    used = components.alias("c").join(picked, same_key("c", "p", None) & (F.col("p.effective_from") <= t) & (to.isNull() | (t < to)))
+    used = components.alias("c").join(prices.alias("p"), same_key("c", "p", None) & in_force("c", "p"))
     used = used.select("c.provider", "c.model_id", "c.token_category", "p.effective_from", "p.effective_to", "p.source").distinct()
     return used.join(sources.drop("notes"), "source", "left")
 
 
 def source_quality(components: DataFrame, prices: DataFrame, sources: DataFrame, today: dt.date) -> DataFrame:
     """Sources without metadata; stale ones and bundled ones that usage relied on."""
-    used = used_sources(components, prices, sources).withColumns({d: F.lit(None).cast("string") for d in DIMENSIONS})
+    return quality_of_used(used_sources(components, prices, sources), today)
+
+
+def quality_of_used(used: DataFrame, today: dt.date) -> DataFrame:
+    used = used.withColumns({d: F.lit(None).cast("string") for d in DIMENSIONS})
     blank = F.lit(False)
     for c in ("source_url", "source_retrieved_at", "catalog_version", "source_kind"):
         blank = blank | (F.coalesce(c, F.lit("")) == "")
@@ -204,19 +215,66 @@ def unexpected(usage: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def integrity(usage: DataFrame, components: DataFrame, selected: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """All four checks in order; a filter narrows the last two, the first two are global."""
+    """All four checks in order; a filter narrows the last two, the first two are global.
+
+    Usage and components are read once and dealt by request once.  A request's rows lie in order of category and dimensions, its usage
+    first, so that sums per request and per category need no further shuffle or sort; a hash leads the order, since ids begin alike.
+    Mismatches are found at the usage row, the others at components.
+    """
     own = usage if selected is None else selected
-    null, text = F.lit(None).cast("long"), lambda s: F.lit(s)
-    parts = [
-        orphans(usage, components).select(F.lit(1).alias("step"), text("Orphan").alias("issue"), *USAGE_KEY, "token_category", null.alias("expected"),
-            F.col("tokens").alias("actual")),
-        duplicates(components).select(F.lit(2), text("Duplicate"), *USAGE_KEY, "token_category", F.lit(1).cast("long"), "n"),
-        mismatches(own, components).select(F.lit(3), text("Mismatch"), *USAGE_KEY, "token_category", "expected", "actual"),
-        unexpected(own, components).select(F.lit(4), text("Unexpected"), *USAGE_KEY, "token_category", F.lit(0).cast("long"), "actual"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    some = F.lit(False)
+    for d in DIMENSIONS:
+        some = some | (text(F.col(d)) != "")
+    shapes = {"token_category": "string", "_dims": "struct<" + ", ".join(f"{d}: string" for d in DIMENSIONS) + ">", "tokens": "long",
+        "_due": "struct<" + ", ".join(f"d{i}: long" for i in range(len(CATEGORIES))) + ">"}
+
+    def rows(df: DataFrame, there: bool, part: bool, **given: Column) -> DataFrame:
+        return df.select(F.xxhash64(*USAGE_KEY).alias("_h"), *USAGE_KEY, F.lit(there).alias("_there"), F.lit(part).alias("_part"),
+            *(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in shapes.items()))
+
+    due = F.struct(*(billable_tokens(c).cast("long").alias(f"d{i}") for i, c in enumerate(CATEGORIES)))
+    every = rows(own, selected is None, False, _due=due).unionByName(rows(components, False, True, token_category=F.col("token_category"),
+            _dims=F.when(some, F.struct(*(text(F.col(d)).alias(d) for d in DIMENSIONS))), tokens=F.col("tokens")))
+    if selected is not None:
+        every = every.unionByName(rows(usage, True, False))
+    # a key with a null meets no other row
+    known, part, tokens = F.col("provider").isNotNull() & F.col("request_id").isNotNull(), F.col("_part"), F.col("tokens")
+    owed = [F.col(f"_due.d{i}") for i in range(len(CATEGORIES))]
+    bits = [F.when(d > 0, 1 << i).otherwise(0) for i, d in enumerate(owed)]
+    request = Window.partitionBy("_h", *USAGE_KEY).orderBy("_part", "token_category", "_dims")
+    whole, same = request.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), F.struct("_part", "token_category", "_dims")
+    told = every.select("*", F.max(F.col("_there") & known).over(whole).alias("_has_usage"),
+        F.bit_or(F.when(known & F.col("_due").isNotNull(), sum(bits[1:], bits[0]))).over(whole).alias("_owes"),
+        *(F.sum(F.when(part & known & (F.col("token_category") == c), tokens)).over(whole).alias(f"_a{i}") for i, c in enumerate(CATEGORIES)),
+        F.row_number().over(request).alias("_nth"), F.rank().over(request).alias("_rank"), F.lead(same).over(request).alias("_next"))
+    # what of a category's components is owed, as a bit
+    bit = F.lit(0)
+    for i, c in enumerate(CATEGORIES):
+        bit = F.when(F.col("token_category") == c, 1 << i).otherwise(bit)
+    zero, actual = F.lit(0).cast("long"), [F.coalesce(f"_a{i}", F.lit(0)) for i in range(len(CATEGORIES))]
+    orphan = part & ~F.col("_has_usage")
+    # the last of equal components tells how many there are
+    duplicate = part & (F.col("_nth") > F.col("_rank")) & ~F.col("_next").eqNullSafe(same)
+    unexpected = F.coalesce(part & (F.col("_owes").bitwiseAND(bit) == 0), F.lit(False))
+    wrong = [~part & (d > 0) & (d != a) for d, a in zip(owed, actual)]
+
+    def found(when: Column, step: int, issue: str, category: Column, expected: Column, actual: Column) -> Column:
+        return F.when(when, F.struct(F.lit(step).alias("step"), F.lit(issue).alias("issue"), category.alias("token_category"), expected.alias("expected"),
+                actual.cast("long").alias("actual")))
+
+    of = F.col("token_category")
+    findings = [found(orphan, 1, "Orphan", of, F.lit(None).cast("long"), tokens),
+        found(duplicate, 2, "Duplicate", of, F.lit(1).cast("long"), F.col("_nth") - F.col("_rank") + 1),
+        *(found(w, 3, "Mismatch", F.lit(c), d, a) for w, c, d, a in zip(wrong, CATEGORIES, owed, actual)),
+        found(unexpected & (F.col("_place") == 1), 4, "Unexpected", of, zero, F.col("_actual"))]
+    # few rows are left, among them all of an unexpected category, which are added up here
+    left = told.filter(orphan | duplicate | unexpected | F.coalesce(F.greatest(*wrong), F.lit(False)))
+    own_category = Window.partitionBy("_h", *USAGE_KEY, "_part", "token_category").orderBy("_dims")
+    left = left.select("*", F.row_number().over(own_category).alias("_place"),
+        F.sum("tokens").over(own_category.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_actual"))
+    out = left.select(*USAGE_KEY, F.explode(F.array(*findings)).alias("f")).filter("f is not null")
+    out = out.select("f.step", "f.issue", *USAGE_KEY, "f.token_category", "f.expected", "f.actual")
     return out if limit is None else out.orderBy("step", *USAGE_KEY, "token_category").limit(limit)
 
 
@@ -232,12 +290,15 @@ def full_audit(
     none = [F.lit(None).cast("string").alias(d) for d in DIMENSIONS]
     broken = integrity(usage, components).select("issue", "provider", F.col("request_id").alias("model_id"), "token_category",
         *none).select(*finding("Error", "BillingIntegrity"), "issue").withColumn("remediation", F.col("issue")).drop("issue")
-    # one row per pricing key stands for all usage in three of the steps
-    seen = observations(components).cache()
+    # a row per pricing key and price stands for all usage in four of the steps
+    met = observed_prices(components, prices).cache()
+    seen = met.groupBy(*PRICE_KEY).agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    used = met.filter("charged").select("provider", "model_id", "token_category", "effective_from", "effective_to",
+        "source").distinct().join(sources.drop("notes"), "source", "left")
     steps = {
         0: currencies(prices), 1: open_intervals(prices), 2: adjacent_pairs(prices), 3: broken, 4: coverage(seen, prices),
         5: unknown_models(seen, prices),
-        6: unsupported_modifiers(seen, prices), 7: source_quality(components, prices, sources, today),
+        6: unsupported_modifiers(seen, prices), 7: quality_of_used(used, today),
     }
     if raw_prices is not None:
         steps[-2] = malformed_prices(raw_prices)

@@ -29,25 +29,28 @@ def component_parts() -> list[tuple[str, str | None, Column]]:
     return [(c, detail, tokens.cast("long")) for c, detail, tokens in parts]
 
 
-def component_array() -> Column:
-    """A request's components in order, as structs: the parts with tokens."""
-    def part(category: str, detail: str | None, tokens: Column) -> Column:
-        return F.struct(F.lit(category).alias("token_category"), tokens.alias("tokens"), F.lit(detail).cast("string").alias("source_detail"))
-
-    return F.filter(F.array(*(part(*p) for p in component_parts())), lambda p: p["tokens"] > 0)
-
-
 def component_dimensions() -> dict[str, Column]:
     """The dimensions that all of a request's components share."""
     return {d: normalize_dimension("provider", d, d) for d in DIMENSIONS[:4]}
 
 
 def explode_components(usage: DataFrame) -> DataFrame:
-    """One row per component: the array of a request, exploded in one pass."""
+    """One row per component: the parts of a request that have tokens, exploded in one pass.
+
+    Parts without tokens are dropped after the explosion, since a filter of an array is not compiled; a component's ordinal is the
+    number of parts with tokens before its own.
+    """
     dims = [c.alias(d) for d, c in component_dimensions().items()]
-    return usage.select("provider", "request_id", "model_id", "timestamp", *dims, F.posexplode(component_array())).select(
+    parts = component_parts()
+    # tokens are worked out once, before the parts that they are told in
+    told = usage.select("provider", "request_id", "model_id", "timestamp", *dims, *(tokens.alias(f"_t{i}") for i, (_, _, tokens) in enumerate(parts)))
+    array = F.array(*(F.struct(F.lit(category).alias("token_category"), F.col(f"_t{i}").alias("tokens"), F.lit(detail).cast("string").alias("source_detail"))
+                for i, (category, detail, _) in enumerate(parts)))
+    bits = [F.when(F.col(f"_t{i}") > 0, 1 << i).otherwise(0) for i in range(len(parts))]
+    before = F.bit_count(F.col("_bits").bitwiseAND(F.expr("shiftleft(1, pos) - 1")))
+    return told.withColumn("_bits", sum(bits[1:], bits[0])).select("*", F.posexplode(array)).filter("col.tokens > 0").select(
         "provider", "request_id", "model_id", "timestamp", F.col("col.token_category").alias("token_category"), F.col("col.tokens").alias("tokens"),
-        *DIMENSIONS[:4], F.col("col.source_detail").alias("source_detail"), F.col("pos").alias("component_ordinal"),
+        *DIMENSIONS[:4], F.col("col.source_detail").alias("source_detail"), before.cast("int").alias("component_ordinal"),
     )
 
 
